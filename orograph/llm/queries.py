@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality, secrets
+from . import bpe, exact_dedup, language, line_dedup, mixing, near_dedup, quality, secrets
 from .shared import scratch_dir
 
 
@@ -21,6 +21,16 @@ def op2_source_mix(spark, sf_dir):
     return mixing.decide(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir).withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
+    profiles = language.learn(docs.where("not held_out"))
+    return language.predict(docs, profiles, keep=("doc_id", "held_out"))
+
+
+def op4_near_dedup(spark, sf_dir):
+    return near_dedup.classes(documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark, sf_dir):
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     docs = documents(spark, sf_dir)
@@ -28,6 +38,20 @@ def op5_quality_rules(spark, sf_dir):
     return quality.judge(docs, measures=base).select("doc_id", *base, failed.alias("base_failed"), "kept")
 
 
+def op7_bpe_round_trip(spark, sf_dir, tokenizer=None):
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.round_trip(documents(spark, sf_dir), tokenizer)
+
+
+def op9_line_dedup(spark, sf_dir):
+    spans = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"].cast("string"), x["stop"].cast("string"))), ",")
+    left = line_dedup.drop_units(documents(spark, sf_dir))
+    return left.select("doc_id", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"), F.length("text").cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     docs = documents(spark, sf_dir)
     # the locator is the file that holds the row
@@ -35,7 +59,7 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op5_quality_rules, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_language_id, op4_near_dedup, op5_quality_rules, op7_bpe_round_trip, op9_line_dedup, op10_exact_dedup)}
 
 
 def oracle_sql():

@@ -3,7 +3,10 @@
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 
 def scratch_dir(spark: SparkSession, what: str) -> str:
@@ -21,3 +24,14 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     path = scratch_dir(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@F.arrow_udf(BinaryType())
+def packed(text: pa.Array) -> pa.Array:
+    """Texts as zstd blocks behind their size in 8 bytes, about half as large on their way through a shuffle; null stays null."""
+    codec = pa.Codec("zstd", 1)
+    return pa.array([None if x is None else len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in text.cast(pa.large_binary()).to_pylist()], pa.binary())
+
+
+def unpacked(value: bytes | None) -> bytes:
+    return pa.Codec("zstd").decompress(value[8:], int.from_bytes(value[:8], "little"), asbytes=True) if value else b""
