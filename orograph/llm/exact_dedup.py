@@ -21,7 +21,12 @@ from pyspark.sql.types import BinaryType
 
 from .shared import scratch_dir
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = "spark.sql.streaming.stateStore"
+#: Native memory of all state partitions on an executor together, however many there are.
+STATE_CONF = {
+    f"{STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{STORE}.rocksdb.boundedMemoryUsage": "true", f"{STORE}.rocksdb.maxMemoryUsageMB": "128", f"{STORE}.rocksdb.writeBufferSizeMB": "4",
+}
 
 
 @F.arrow_udf(BinaryType())
@@ -46,8 +51,9 @@ class DedupState:
     def ingest(self, schema) -> None:
         """Runs every event file below ``feed`` that was not seen yet through the stream."""
         spark = self.spark
-        before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+        for k, v in STATE_CONF.items():
+            spark.conf.set(k, v)
         try:
             seen = (
                 spark.readStream.schema(schema).option("maxBytesPerTrigger", self.limit).parquet(f"{self.folder}/feed/*")
@@ -62,10 +68,8 @@ class DedupState:
             )
             query.awaitTermination()
         finally:
-            if before is None:
-                spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-            else:
-                spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
     def table(self, schema) -> DataFrame:
         """One row for each digest: ``digest, keep_id, keep_locator, group_size`` as the last micro-batch left it."""
