@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, line_dedup, mixing, near_dedup, quality, secrets
+from . import bpe, exact_dedup, language, line_dedup, lm, mixing, near_dedup, quality, secrets, suffix_dedup
 from .shared import scratch_dir
 
 
@@ -38,6 +38,13 @@ def op5_quality_rules(spark, sf_dir):
     return quality.judge(docs, measures=base).select("doc_id", *base, failed.alias("base_failed"), "kept")
 
 
+def op6_lm_score(spark, sf_dir):
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    docs = documents(spark, sf_dir)
+    scores = lm.score(docs, ~held_out)
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_bpe_round_trip(spark, sf_dir, tokenizer=None):
     if tokenizer is None:
         import public_tokenizers
@@ -46,6 +53,10 @@ def op7_bpe_round_trip(spark, sf_dir, tokenizer=None):
     return bpe.round_trip(documents(spark, sf_dir), tokenizer)
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.cut_repeats(documents(spark, sf_dir), with_bytes=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_line_dedup(spark, sf_dir):
     spans = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"].cast("string"), x["stop"].cast("string"))), ",")
     left = line_dedup.drop_units(documents(spark, sf_dir))
@@ -59,7 +70,7 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_language_id, op4_near_dedup, op5_quality_rules, op7_bpe_round_trip, op9_line_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_language_id, op4_near_dedup, op5_quality_rules, op6_lm_score, op7_bpe_round_trip, op8_suffix_dedup, op9_line_dedup, op10_exact_dedup)}
 
 
 def oracle_sql():
