@@ -296,16 +296,17 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", step: int = 1 << 14) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encodes each text and decodes its tokens, ``step`` at a time."""
-    kind = docs.schema[doc_id].dataType.simpleString()
+def round_trip(docs: DataFrame, path: str, keep=("doc_id",), text: str = "text", step: int = 1 << 14) -> DataFrame:
+    """The columns ``keep``, ``n_tokens, ids_sha256, decoded_sha256``: encodes each text and decodes its tokens, ``step`` at a time."""
+    kept = docs.select(*keep)
+    n = len(kept.columns)
 
     def run(batches):
         enc = encoder(path)
         number = [str(i) for i in range(len(enc.model.bytes))].__getitem__
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []
-            for value in batch.column(1):
+            for value in batch.column(n):
                 ids = enc.encode(value.as_py() or "")
                 a, b, d = hashlib.sha256(), hashlib.sha256(), Decoder(enc.model)
                 for at in range(0, len(ids), step):
@@ -316,6 +317,7 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
                 counts.append(len(ids))
                 ids_sha.append(a.hexdigest())
                 text_sha.append(b.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], [*batch.schema.names[:n], "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema) + "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
