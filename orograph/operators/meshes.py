@@ -62,13 +62,12 @@ def _bits(c: Column) -> Column:
 
 def weld(vertices: DataFrame, keys=("x", "y", "z", "u", "v"), order="vid", by=("tile",), exact: bool = True) -> DataFrame:
     """Adds ``weld_id``: equal vertices share one, numbered from 0 in the order of first appearance. exact: by bytes, so -0.0 and 0.0 differ."""
-    grouped = [(_bits(F.col(k)) if exact else F.col(k)).alias(f"__{k}") for k in keys]
-    keyed = vertices.select("*", *grouped)
     names = [f"__{k}" for k in keys]
+    keyed = vertices.select("*", *((_bits(F.col(k)) if exact else F.col(k)).alias(n) for k, n in zip(keys, names, strict=True)))
     firsts = keyed.groupBy(*by, *names).agg(F.min(order).alias("__first"))
-    numbered = firsts.withColumn("weld_id", F.row_number().over(Window.partitionBy(*by).orderBy("__first")) - 1)
-    cond = [keyed[k].eqNullSafe(numbered[k]) for k in (*by, *names)]
-    return keyed.join(numbered, cond).select(*(keyed[c] for c in vertices.columns), numbered["weld_id"])
+    numbered = firsts.select(*(F.col(k).alias(f"__n{k}") for k in (*by, *names)), (F.row_number().over(Window.partitionBy(*by).orderBy("__first", *names)) - 1).alias("weld_id"))
+    cond = [F.col(k).eqNullSafe(F.col(f"__n{k}")) for k in (*by, *names)]
+    return keyed.join(numbered, cond).select(*vertices.columns, "weld_id")
 
 
 def weld_rounded(vertices: DataFrame, step: float = 0.001, keys=("x", "y", "z")) -> DataFrame:

@@ -98,7 +98,8 @@ def in_flight(events: DataFrame, key="key", order=("ts", "seq"), step="step") ->
     rows = events.withColumn("__s", F.sum(step).over(up_to))
     rows = rows.withColumn("open", F.col("__s") - F.least(F.lit(0), F.min("__s").over(up_to)))
     rows = rows.withColumn("loading", F.col("open") > 0)
-    return rows.where(F.col("loading") != F.coalesce(F.lag("loading").over(w), F.lit(False))).drop("__s")
+    rows = rows.withColumn("__was", F.coalesce(F.lag("loading").over(w), F.lit(False)))
+    return rows.where("loading != __was").drop("__s", "__was")
 
 
 def retry_schedule(rounds: int = 8, first_s: float = 1.0, most_s: float = 30.0) -> list[float]:

@@ -1,11 +1,14 @@
 """All registered queries of the library and their SQL, from the modules of this package."""
 
+from orograph.plans import cells_plans, scalar_plans, tree_plans, event_plans, grid_plans  # noqa: F401
+from orograph.plans.tables import QUERIES, SQL
+
 FLAGSHIP = "agg04_residual_summary"
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
