@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .shared import scratch_dir
+from .shared import each, scratch_dir
 
 STORE = "spark.sql.streaming.stateStore"
 #: Native memory of all state partitions on an executor together, however many there are.
@@ -32,13 +32,13 @@ STATE_CONF = {
 @F.arrow_udf(BinaryType())
 def normal_bytes(text: pa.Array) -> pa.Array:
     """UTF-8 bytes with A-Z lower-cased (bytes.lower changes no others); null counts as empty."""
-    return pa.array([(x or b"").lower() for x in text.cast(pa.binary()).to_pylist()], pa.binary())
+    return pa.array([(x or b"").lower() for x in each(text.cast(pa.binary()))], pa.binary())
 
 
 @F.arrow_udf(BinaryType())
 def normal_digest(text: pa.Array) -> pa.Array:
     """SHA-256 of the normal bytes."""
-    return pa.array([hashlib.sha256((x or b"").lower()).digest() for x in text.cast(pa.binary()).to_pylist()], pa.binary())
+    return pa.array([hashlib.sha256((x or b"").lower()).digest() for x in each(text.cast(pa.binary()))], pa.binary())
 
 
 class DedupState:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import each
+
 SIZE, SAMPLE_ROWS, MAX_LANGUAGES = 300, 4000, 2000
 BITS = 21
 
@@ -85,12 +87,12 @@ def learn(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "
     sample = labelled.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).select("label", "text")
 
     def count(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, len(b), 500)):
             by: dict[str, list] = {}
-            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by.setdefault(name, []).append(value)
-            for name, texts in by.items():
-                keys, counts = np.unique(np.concatenate([ngrams(t) for t in texts]), return_counts=True)
+            for name, value in zip(batch.column(0).to_pylist(), each(batch.column(1)), strict=True):
+                by.setdefault(name, []).append(ngrams(value))
+            for name, found in by.items():
+                keys, counts = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys), pa.array(counts.astype(np.int64))], ["label", "key", "n"])
 
     sums = sample.mapInArrow(count, "label string, key long, n long").groupBy("label", "key").agg(F.sum("n").alias("n"))
@@ -109,7 +111,7 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text", keep=("doc_
 
     def run(batches):
         for batch in batches:
-            found = [profiles.nearest(t) for t in batch.column(n).to_pylist()]
+            found = [profiles.nearest(t) for t in each(batch.column(n))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*batch.schema.names[:n], "lang_pred", "score"])
 
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)

@@ -32,7 +32,7 @@ from .suffix_dedup import dump, load
 
 U = np.uint64
 MU = 200.0
-BLOCK, CHUNK = 12 << 20, 1 << 20
+BLOCK, CHUNK = 12 << 20, 1 << 19
 END, BEGIN = U(0x5BD1E995A3C59AC3 >> 1), U(0x27D4EB2F165667C5 >> 1)
 
 

@@ -9,10 +9,11 @@ threshold allows: with ``m`` shingles matched in order, the similarity is ``m /
 Classes are the connected components of links.
 
 Documents with the same words in the same order form one class before any sketching. Of the rest, first every member of a
-sketch group is compared with the group's smallest id. Then, in groups that still hold several components, the members outside
-the group's largest component are compared with all members of other components. So a large group of near copies costs
-as many comparisons as it has members, and no candidate pair between components is left out. Before the alignment, a pair needs
-sizes that allow 0.8 and one-bit sketches of 128 bits that differ in 40 at most (expected 13 at 0.8, deviation 3.4).
+sketch group is compared with the group's hub. Then, where several components are left around a hub, pairs between components
+are compared too, but for those that what was learned about either and the hub rules out (see ``_unlinked``). So a large
+group of near copies costs about as many comparisons as it has members, and no candidate pair that could be alike is left out. Before
+the alignment, a pair needs sizes that allow 0.8 and one-bit sketches of 128 bits that differ in 40 at most (expected 13 at
+0.8, deviation 3.4).
 
 Defined results: a text without words (null, empty, blank) is a class of its own. A text of one to four words is one shingle.
 The class id is the smallest doc_id; that document stays. Ids must be unique; rows that repeat an id and its words count once
@@ -34,6 +35,7 @@ from .shared import materialise, packed, unpacked
 SHINGLE, SIMILARITY = 5, 0.8
 SEEDS, LENGTH = 32, 4
 MOST_BITS = 40
+RARE = 16
 _random = np.random.Generator(np.random.PCG64(977))
 SALTS = _random.integers(0, 1 << 64, SEEDS, np.uint64)[:, None]
 PLACE = _random.integers(0, 1 << 64, LENGTH, np.uint64) | np.uint64(1)
@@ -119,7 +121,7 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """``id, same`` (digest of the words), ``n`` shingles, ``bits``, ``entries`` of the rows that have words."""
 
     def run(batches):
-        for rows, data, offsets in W.chunks(batches, "text", 1 << 20):
+        for rows, data, offsets in W.chunks(batches, "text", 1 << 18):
             data = W.LOWER[data]
             keep, same, n, bits, entries = [], [], [], [], []
             for i, own in enumerate(shingles(data, offsets)):
@@ -147,7 +149,8 @@ def _near(a: str, b: str):
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts (id, t as ``packed``) are alike."""
+    """For pairs (a, b), by their texts (id, t as ``packed``): whether they are ``alike``, and of b how many labelled shingles it
+    has and which of them (``extra``) a lacks."""
 
     def run(batches):
         for batch in batches:
@@ -158,11 +161,46 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     _, data, offsets = next(W.chunks([pa.RecordBatch.from_arrays([pa.array(map(unpacked, rows.column(c).to_pylist()), pa.large_binary())], ["text"])], "text", 1 << 62))
                     sides.append(shingles(W.LOWER[data], offsets))
                 good = [alike(x, y) for x, y in zip(*sides, strict=True)]
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+                extra = [np.setdiff1d(labelled(y), labelled(x)).view(np.int64) for x, y in zip(*sides, strict=True)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(good, pa.bool_()), pa.array(extra, pa.list_(pa.int64()))], ["a", "b", "alike", "extra"])
 
     kind = pairs.schema["a"].dataType.simpleString()
     left, right = texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}, alike boolean, extra array<long>")
+
+
+def _unlinked(member: DataFrame, star: DataFrame, checked: DataFrame, part: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one star that may be alike and are in different components.
+
+    member: entry, id, n, bits, hub; star: hub, id, n, bits; checked: what ``verify`` said of hubs and members; part: id, component.
+    Shingles that a star's hub lacks and at most ``RARE`` of its members have are rare there. Two members that share a rare
+    shingle are a pair (at most RARE for each). Two that share none have no more shingles in common than either has common ones,
+    so unless those are enough for the threshold the pair is out, and needs no comparison. Members that aren't even
+    near the hub by size and bits meet in their sketch groups instead."""
+    of = star.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = of.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least_n")).where("lo != hi").select("hub", "least_n")
+    info = checked.select(F.col("a").alias("hub"), F.col("b").alias("id"), "extra")
+    of = materialise(of.join(several, "hub").join(info, ["hub", "id"], "left"), "star")
+    near = of.where(F.col("extra").isNotNull())
+    each = near.select("hub", "id", "n", "bits0", "bits1", "component", F.explode("extra").alias("shingle"))
+    rare = each.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= RARE)
+    each = materialise(each.join(rare, ["hub", "shingle"]), "rare")
+    x, y = each.where("k > 1").alias("x"), each.where("k > 1").alias("y")
+    apart = F.col("x.component") != F.col("y.component")
+    pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
+    sharing = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & apart & _near("x", "y")).select(*pair)
+    # a member's common shingles bound the size of what it can be alike to without a rare one
+    common = near.drop("extra").join(each.groupBy("hub", "id").agg(F.count(F.lit(1)).alias("rare")), ["hub", "id"], "left")
+    common = common.withColumn("most", F.floor((F.col("n") - F.coalesce("rare", F.lit(0))) * ((1 + SIMILARITY) / SIMILARITY) + 1e-9) - F.col("n")).where(F.col("most") >= F.greatest("least_n", F.ceil(F.col("n") * SIMILARITY - 1e-9)))
+    sizes = common.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("hub").agg(F.max(F.struct("k", "component")).alias("major"))
+    common = materialise(common.join(sizes.select("hub", F.col("major.component").alias("major")), "hub"), "common")
+    x, y = common.where("component != major").alias("x"), common.alias("y")
+    plain = x.join(y, (F.col("x.hub") == F.col("y.hub")) & apart & (F.col("x.most") >= F.col("y.n")) & (F.col("y.most") >= F.col("x.n")) & _near("x", "y")).select(*pair)
+    far = of.where(F.col("extra").isNull() & (F.col("id") != F.col("hub"))).select("hub", "id")
+    groups = member.select("entry", "id", "n", "bits0", "bits1", F.col("hub.id").alias("hub")).join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    x, y = groups.join(far, ["hub", "id"], "left_semi").alias("x"), groups.alias("y")
+    strange = x.join(y, (F.col("x.entry") == F.col("y.entry")) & apart & _near("x", "y")).select(*pair)
+    return sharing.union(plain).union(strange).distinct()
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -172,28 +210,24 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     stands = rows.groupBy("same").agg(F.min("id").alias("rep"))
     copies = rows.select("id", "same").join(stands, "same").select("id", "rep").distinct()
     reps = rows.join(stands.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    member = reps.select("id", "n", "bits0", "bits1", F.explode("entries").alias("entry"))
-    hub = F.min(F.struct("id", "n", "bits0", "bits1")).alias("hub")
-    groups = member.groupBy("entry").agg(hub, F.count(F.lit(1)).alias("size")).where("size > 1")
-    member = materialise(member.alias("m").join(groups.alias("g"), "entry").select("entry", "m.id", "m.n", "m.bits0", "m.bits1", "g.hub"), "groups")
-    wanted = member.select("id").distinct()
+    each = reps.select("id", "n", "bits0", "bits1", F.explode("entries").alias("entry"))
+    groups = each.groupBy("entry").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    each = materialise(each.join(groups, "entry"), "groups")
+    # a group's hub is the member with most company over all its groups: the middle of a group of near copies
+    company = each.groupBy("id").agg((-F.sum("size")).alias("company"))
+    hubs = each.join(company, "id").groupBy("entry").agg(F.min(F.struct("company", "id", "n", "bits0", "bits1")).alias("hub"))
+    member = materialise(each.drop("size").join(hubs, "entry"), "members")
     texts = docs.select(F.col(doc_id).alias("id"), packed(text).alias("t"))
-    texts = materialise(texts.join(wanted.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = materialise(texts.join(member.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]), "texts")
     first = member.alias("m").where((F.col("m.hub.id") != F.col("m.id")) & _near("m.hub", "m")).select(F.col("hub.id").alias("a"), F.col("m.id").alias("b")).distinct()
-    links = materialise(verify(first, texts), "links")
-    part = components(links, "a", "b")
-    # groups of several components: all outside the largest against all of other components
-    of = member.drop("hub").join(part.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = of.groupBy("entry", "component").agg(F.count(F.lit(1)).alias("k"))
-    several = sizes.groupBy("entry").agg(F.max(F.struct("k", "component")).alias("major"), F.count(F.lit(1)).alias("c")).where("c > 1").select("entry", F.col("major.component").alias("major"))
-    open_ = materialise(of.join(several, "entry"), "open")
-    x, y = open_.where("component != major").alias("x"), open_.alias("y")
-    more = x.join(y, (F.col("x.entry") == F.col("y.entry")) & (F.col("x.component") != F.col("y.component")) & _near("x", "y"))
-    more = more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    more = more.join(first, ["a", "b"], "left_anti")
-    late = materialise(verify(more, texts), "links")
-    if not late.isEmpty():
-        links = links.union(late)
+    checked = materialise(verify(first, texts), "checked")
+    links = checked.where("alike").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    part = materialise(components(links, "a", "b"), "part")
+    star = member.select(F.col("hub.id").alias("hub"), "id", "n", "bits0", "bits1").distinct()
+    more = verify(_unlinked(member, star, checked, part), texts).where("alike").select("a", "b")
+    more = materialise(more, "links")
+    if not more.isEmpty():
+        links = links.union(more).distinct()
         part = components(links, "a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     found = copies.join(part.select(F.col("id").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")

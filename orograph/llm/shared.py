@@ -26,11 +26,17 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def each(column: pa.Array, step: int = 256):
+    """The values of a column, ``step`` at a time as Python objects: a batch of texts isn't held twice."""
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()
+
+
 @F.arrow_udf(BinaryType())
 def packed(text: pa.Array) -> pa.Array:
     """Texts as zstd blocks behind their size in 8 bytes, about half as large on their way through a shuffle; null stays null."""
     codec = pa.Codec("zstd", 1)
-    return pa.array([None if x is None else len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in text.cast(pa.large_binary()).to_pylist()], pa.binary())
+    return pa.array([None if x is None else len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in each(text.cast(pa.binary()))], pa.binary())
 
 
 def unpacked(value: bytes | None) -> bytes:

@@ -13,9 +13,12 @@ The textbook form inserts a symbol of every whole document per round and keeps i
 10**5 bytes that would be 10**5 passes over the corpus. Here a round is one pass over a bucket, a fragment has ``2 * LENGTH - 1``
 symbols at most, and what goes through external files is Spark's shuffle of the buckets.
 
-Before the shuffle a task keeps of equal fragments only those of the smallest doc_id (compared byte by byte); the others are removed there and
-then, as all their strings are in that document. So a passage that a third of all rows hold is sent once by each task. In a bucket, a
-minimiser that one document alone has, or one content alone, can have no match and isn't inserted.
+Most strings are in one document, so minimisers go first: a task sends each one that it meets to its bucket, with the smallest
+doc_id, and what two documents have comes back to the documents by doc_id. Only fragments with such a minimiser are sent.
+
+Before either shuffle a task keeps of equal things only that of the smallest doc_id (fragments are compared byte by byte); fragments of larger
+ids are removed there and then, as all their strings are in that document. So a passage that a third of all rows hold is sent once
+by each task. Equal fragments of several tasks are one row of the collection, by the same argument.
 
 Defined results: a null text is empty. Texts under LENGTH bytes keep all. A row with a null doc_id keeps all and is no source of a match. Equal
 rows need different ids: ids must be unique. An empty table gives no rows. Extra columns are ignored.
@@ -31,8 +34,10 @@ from pyspark.sql import functions as F
 from . import words as W
 from .shared import packed, unpacked
 
-LENGTH, PART = 50, 14
-BLOCK, CHUNK, BUCKETS_PER_TASK = 12 << 20, 1 << 20, 16
+LENGTH, PART, FINE_PART = 50, 20, 32
+BLOCK, CHUNK, PARTS_PER_BUCKET = 12 << 20, 1 << 19, 16
+#: Bits of a minimiser that are left out on its way; a chance meeting only makes a fragment a candidate.
+SHORT, SHORTER = 16, 32
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -44,11 +49,11 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - have)], x[n - have :]) if n > have else x
 
 
-def fragments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, part: int = PART):
-    """start, end, row, minimiser and content hash of the fragments of some texts."""
-    none = np.zeros(0, np.int64)
+def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, part: int = PART):
+    """first start, end of starts, row and minimiser of the runs of start positions with one minimiser; and the running sums."""
+    none, part = np.zeros(0, np.int64), min(part, length)
     if len(data) < length:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), None
     sums = W.running(W.BYTE[data])
     at = np.arange(len(data) - part + 1)
     least = sliding_min(W.span_hash(sums, at, at + part), length - part + 1)
@@ -60,12 +65,23 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, part:
     start = np.flatnonzero(new)
     # the run ends before the next start or at the row's last string
     stop = np.minimum(np.append(start[1:], len(least)), last[row[start]] + 1)
+    return start, stop, row[start], least[start], sums
+
+
+def fragments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, part: int = PART, wanted=None):
+    """start, end, row, minimiser and content hash of the fragments of some texts; wanted(row, minimiser) says which runs to take."""
+    start, stop, row, least, sums = runs(data, offsets, length, part)
+    if wanted is not None and len(start):
+        keep = wanted(row, least)
+        start, stop, row, least = start[keep], stop[keep], row[keep], least[keep]
+    if not len(start):
+        return start, start, start, least, least
     pieces = -(-(stop - start) // length)
     which = np.repeat(np.arange(len(start)), pieces)
     k = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     begin = start[which] + k * length
     end = np.minimum(begin + length, stop[which]) + length - 1
-    return begin, end, row[begin], least[begin], W.span_hash(sums, begin, end)
+    return begin, end, row[which], least[which], W.span_hash(sums, begin, end)
 
 
 def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -104,14 +120,24 @@ def merged_spans(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.nd
     return start[new], stop[np.append(np.flatnonzero(new)[1:] - 1, len(start) - 1)] if len(start) else stop
 
 
+def joined(start, stop, doc):
+    """Spans in the order of (doc, start), those that touch within a document made one."""
+    if not len(doc):
+        return start, stop, doc
+    far = np.maximum.accumulate(stop + (np.cumsum(np.append(0, doc[1:] != doc[:-1])) << 40))
+    new = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] > (far[:-1] & ((1 << 40) - 1))))
+    at = np.flatnonzero(new)
+    return start[at], far[np.append(at[1:] - 1, len(doc) - 1)] & ((1 << 40) - 1), doc[at]
+
+
 class Block:
     """What a task has read and not sent yet."""
 
     def __init__(self, buckets: int, length: int):
         self.buckets, self.length, self.parts, self.size = buckets, length, [], 0
 
-    def add(self, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
-        start, end, row, least, content = fragments(data, offsets, self.length)
+    def add(self, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, wanted=None) -> None:
+        start, end, row, least, content = fragments(data, offsets, self.length, wanted=wanted)
         self.parts.append((data, start, end - start, ids[row], start - offsets[:-1][row], least, content))
         self.size += len(data)
 
@@ -156,9 +182,10 @@ class Block:
 
     def _removed(self, doc, place, size):
         order = np.lexsort((place, doc))
-        for ids in np.array_split(order, max(1, len(order) // 100_000)):
+        start, stop, doc = joined(place[order], place[order] + size[order], doc[order])
+        for ids in np.array_split(np.arange(len(doc)), max(1, len(doc) // 100_000)):
             if len(ids):
-                yield int(doc[ids[0]] % self.buckets), dump(doc[ids], place[ids].astype(np.int32), (place[ids] + size[ids]).astype(np.int32))
+                yield int(doc[ids[0]] % self.buckets), dump(doc[ids], start[ids].astype(np.int32), stop[ids].astype(np.int32))
 
 
 def column_wise(data: np.ndarray, start: np.ndarray, size: np.ndarray):
@@ -173,14 +200,15 @@ def column_wise(data: np.ndarray, start: np.ndarray, size: np.ndarray):
     live = np.arange(n)
     for length in range(1, int(size.max(initial=0)) + 1):
         live = live[size[live] >= length]
-        rank = np.argsort(before, kind="stable")
+        rank = np.argsort(before, kind="stable")  # by radix: the symbols are short numbers
         place = np.empty(len(rank), np.int64)
         place[rank] = np.arange(len(rank))
         ends = int(np.count_nonzero(before < 0))
         to = place[at[live]]
         # common prefixes of the new suffixes and of those just below them
-        touched = np.union1d(to, to + 1)
-        touched = touched[(touched < len(rank))]
+        flag = np.zeros(len(rank) + 1, bool)
+        flag[to] = flag[to + 1] = True
+        touched = np.flatnonzero(flag[: len(rank)])
         lower, upper = rank[touched], rank[touched - 1]
         same = (before[lower] == before[upper]) & (touched > ends)
         value = np.zeros(len(touched), np.uint8)
@@ -206,23 +234,98 @@ def column_wise(data: np.ndarray, start: np.ndarray, size: np.ndarray):
 
 
 def find_matches(data, start, size, doc, length: int = LENGTH):
-    """content and place of every string of ``length`` bytes that also is in a content with a smaller doc."""
+    """item, first and last place of every run of strings of ``length`` bytes that also are in an item with a smaller doc, by the transform."""
     who, long_, common = column_wise(data, start, size)
     rows = np.flatnonzero(long_ >= length)
     if not len(rows):
-        return rows, rows
+        return rows, rows, rows
     group = np.cumsum(common < length)[rows]
     edge = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     owner = doc[who[rows]]
     least = np.repeat(np.minimum.reduceat(owner, edge), np.diff(np.append(edge, len(rows))))
     rows = rows[owner > least]
-    return who[rows].astype(np.int64), size[who[rows]] - long_[rows]
+    item, place = who[rows].astype(np.int64), size[who[rows]] - long_[rows]
+    order = np.lexsort((place, item))
+    item, place = item[order], place[order]
+    new = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1))[: len(item)])
+    return item[new], place[new], place[np.append(new[1:] - 1, len(item) - 1)] if len(new) else place
+
+
+def met_by_two(least: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether an item's minimiser is in items of two documents."""
+    if not len(least):
+        return np.zeros(0, bool)
+    order = np.argsort(least, kind="stable")
+    edge = np.flatnonzero(np.append(True, least[order][1:] != least[order][:-1]))
+    several = np.minimum.reduceat(doc[order], edge) != np.maximum.reduceat(doc[order], edge)
+    out = np.empty(len(least), bool)
+    out[order] = np.repeat(several, np.diff(np.append(edge, len(least))))
+    return out
+
+
+def spread(item, first, last, of):
+    """What was found for leaders, for all items that they stand for; ``of`` gives each item's leader."""
+    order = np.argsort(item, kind="stable")
+    item, first, last = item[order], first[order], last[order]
+    lo, hi = np.searchsorted(item, of, "left"), np.searchsorted(item, of, "right")
+    times = hi - lo
+    who = np.repeat(np.arange(len(of)), times)
+    row = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo, times)
+    return who, first[row], last[row]
+
+
+def resolve(data, start, size, doc, least, length: int = LENGTH, fine: bool = False):
+    """item, start and stop of what goes, for items (strings in ``data``) of one bucket: equal items are one, what is left of a minimiser that one
+    document has is out, items are cut once more by longer parts, and what still shares a part but isn't equal is matched by the transform."""
+    none = np.zeros(0, np.int64)
+    use = np.flatnonzero(met_by_two(least, doc))
+    if not len(use):
+        return none, none, none
+    # at most 100 bytes each, so the running sums are taken over some thousand items at a time
+    text = gather(data, start[use], size[use])
+    to = np.cumsum(size[use])
+    at = to - size[use]
+    content = np.concatenate([W.span_hash(W.running(W.BYTE[text[at[u[0]] : to[u[-1]]]]), at[u] - at[u[0]], to[u] - at[u[0]]) for u in np.array_split(np.arange(len(use)), 1 + len(use) // 8000)])
+    order = np.lexsort((doc[use], content))
+    head = order[np.maximum.accumulate(np.where(np.append(True, content[order][1:] != content[order][:-1]), np.arange(len(use)), 0))]
+    same = (size[use[order]] == size[use[head]]) & (order != head)
+    k = np.flatnonzero(same)
+    same[k] = equal_spans(text, at[order[k]], at[head[k]], size[use[order[k]]])
+    leader = np.empty(len(use), np.int64)
+    leader[order] = np.where(same, head, order)
+    gone = np.flatnonzero(doc[use] > doc[use[leader]])
+    out = [(use[gone], np.zeros(len(gone), np.int64), size[use[gone]])]
+    heads = np.flatnonzero(leader == np.arange(len(use)))
+    heads = heads[met_by_two(least[use[heads]], doc[use[heads]])]
+    if len(heads):
+        items = use[heads]
+        if fine:
+            found, first, last = find_matches(data, start[items], size[items], doc[items], length)
+            last = last + length
+        else:
+            found, first, last = none, none, none
+            own = gather(data, start[items], size[items])
+            edges = np.append(0, np.cumsum(size[items]))
+            cuts = [[] for _ in range(4)]
+            for u in np.array_split(np.arange(len(items)), 1 + len(items) // 8000):
+                a, b, row, m, _ = fragments(own[edges[u[0]] : edges[u[-1] + 1]], edges[u[0] : u[-1] + 2] - edges[u[0]], length, FINE_PART)
+                for c, v in zip(cuts, (a + edges[u[0]], b + edges[u[0]], row + u[0], m), strict=True):
+                    c.append(v)
+            a, b, row, m = (np.concatenate(c) for c in cuts)
+            i, p, q = resolve(own, a, b - a, doc[items][row], m, length, True)
+            found, first, last = row[i], p + a[i] - edges[row[i]], q + a[i] - edges[row[i]]
+        # back to all that the leaders stand for, in their own document
+        place = np.full(len(use), -1)
+        place[heads] = np.arange(len(heads))
+        follow = np.flatnonzero((place[leader] >= 0) & (doc[use] == doc[use[leader]]))
+        who, first, last = spread(found, first, last, place[leader[follow]])
+        out.append((use[follow[who]], first, last))
+    return tuple(np.concatenate([x[i] for x in out]) for i in range(3))
 
 
 def bucket_removals(payloads: list[list[np.ndarray]], length: int = LENGTH):
     """doc_id, start, stop of what goes, from all payloads of a bucket."""
-    done = [p for p in payloads if len(p) == 3]
-    out = [tuple(x.astype(np.int64) for x in p) for p in done]
+    out = [tuple(x.astype(np.int64) for x in p) for p in payloads if len(p) == 3]
     parts = [p for p in payloads if len(p) == 6]
     if parts:
         high = np.concatenate([np.cumsum(p[0], dtype=np.uint32) for p in parts])
@@ -233,105 +336,175 @@ def bucket_removals(payloads: list[list[np.ndarray]], length: int = LENGTH):
         doc = np.concatenate([p[4] for p in parts])
         place = np.concatenate([p[5] for p in parts]).astype(np.int64)
         start = np.cumsum(size) - size
-        first = np.searchsorted(owner, np.arange(len(size)))  # entries of a content stand together and have one doc
-        holder = doc[first]
-        # minimisers that two contents of different documents have
-        order = np.argsort(high, kind="stable")
-        edge = np.flatnonzero(np.append(True, high[order][1:] != high[order][:-1]))
-        most, least = np.maximum.reduceat(holder[order], edge), np.minimum.reduceat(holder[order], edge)
-        use = np.zeros(len(size), bool)
-        use[order] = np.repeat(most != least, np.diff(np.append(edge, len(order))))
-        use = np.flatnonzero(use)
-        if len(use):
-            content = np.concatenate([W.span_hash(W.running(W.BYTE[data[start[u[0]] : start[u[-1]] + size[u[-1]]]]), start[u] - start[u[0]], start[u] - start[u[0]] + size[u])
-                                      for u in np.array_split(use, max(1, len(use) // 20_000)) if len(u)])
-            order = np.lexsort((holder[use], content))
-            u, content = use[order], content[order]
-            new = np.append(True, content[1:] != content[:-1])
-            head = np.maximum.accumulate(np.where(new, np.arange(len(u)), 0))
-            same = (size[u] == size[u[head]]) & ~new
-            k = np.flatnonzero(same)
-            same[k] = equal_spans(data, start[u[k]], start[u[head[k]]], size[u[k]])
-            # a copy of a fragment in a larger document goes whole; one in the same document shares the first one's answer
-            leader = np.where(same, u[head], u)
-            drop = same & (holder[u] > holder[leader])
-            self_ = same & ~drop
-            whole = np.isin(owner, u[drop])
-            out.append((doc[whole], place[whole], place[whole] + size[owner[whole]]))
-            heads = np.sort(u[~same])
-            c, p = find_matches(data, start[heads], size[heads], holder[heads], length)
-            if len(c):
-                c = heads[c]
-                # runs of neighbouring strings
-                o = np.lexsort((p, c))
-                c, p = c[o], p[o]
-                new = np.append(True, (c[1:] != c[:-1]) | (p[1:] != p[:-1] + 1))
-                a = np.flatnonzero(new)
-                c, p, q = c[a], p[a], p[np.append(a[1:] - 1, len(p) - 1)] + length
-                of = np.arange(len(size))
-                of[u[self_]] = leader[self_]
-                # every entry whose content has runs
-                lead = of[owner]
-                lo, hi = np.searchsorted(c, lead, "left"), np.searchsorted(c, lead, "right")
-                gone = np.isin(owner, u[drop])
-                times = np.where(gone, 0, hi - lo)
-                e = np.repeat(np.arange(len(owner)), times)
-                r = np.arange(len(e)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo, times)
-                out.append((doc[e], place[e] + p[r], place[e] + q[r]))
+        holder = doc[np.searchsorted(owner, np.arange(len(size)))]  # entries of a content stand together and have one doc
+        for k in range(PARTS_PER_BUCKET):  # so that the lists of a collection stay in a processor's cache
+            own = np.flatnonzero(high % np.uint32(PARTS_PER_BUCKET) == k)
+            item, a, b = resolve(data, start[own], size[own], holder[own], high[own], length)
+            item = own[item]
+            # every entry of a content
+            lo, hi = np.searchsorted(owner, item, "left"), np.searchsorted(owner, item, "right")
+            times = hi - lo
+            e = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo, times)
+            out.append((doc[e], place[e] + np.repeat(a, times), place[e] + np.repeat(b, times)))
     if not out:
         z = np.zeros(0, np.int64)
         return z, z, z
     return tuple(np.concatenate([x[i] for x in out]) for i in range(3))
 
 
+def planes(x: np.ndarray) -> np.ndarray:
+    """The bytes of 64-bit numbers, all lowest ones first: what is zero compresses to nothing."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).reshape(-1)
+
+
+def unplaned(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.reshape(8, -1).T).view("<u8").reshape(-1)
+
+
+def send_minimisers(doc: np.ndarray, least: np.ndarray, buckets: int):
+    """(bucket, payload) rows of a block: each minimiser once, with its smallest doc_id; and, for those that several of the
+    block's documents have, all of these documents, as nothing more needs to be known of them."""
+    order = np.lexsort((doc, least))
+    doc, least = doc[order], least[order]
+    new = np.append(True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]))[: len(doc)]
+    doc, least = doc[new], least[new]
+    bucket = (least % np.uint64(buckets)).astype(np.int64)
+    least = least >> np.uint64(SHORT)  # the bucket knows the low bits
+    first = np.append(True, least[1:] != least[:-1])[: len(doc)]
+    times = np.diff(np.append(np.flatnonzero(first), len(doc)))
+    several = np.repeat(times > 1, times)
+    known = np.flatnonzero(several)
+    known = known[np.argsort(doc[known], kind="stable")]
+    for part in np.array_split(known, max(1, len(known) // 200_000)):
+        if len(part):
+            yield int(doc[part[0]] % buckets), dump(doc[part], planes(least[part]))
+    doc, least, bucket = doc[first], least[first], bucket[first]
+    order = np.argsort(bucket.astype(np.uint16), kind="stable")
+    doc, least, bucket = doc[order], least[order], bucket[order]
+    edges = np.searchsorted(bucket, np.arange(buckets + 1))
+    for b in np.flatnonzero(edges[1:] > edges[:-1]):
+        i = slice(edges[b], edges[b + 1])
+        ids, place = np.unique(doc[i], return_inverse=True)
+        yield int(b), dump(ids, place.astype(np.uint16 if len(ids) < 65536 else np.uint32), planes(np.diff(least[i], prepend=np.uint64(0))))
+
+
+def shared_minimisers(payloads: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """doc_id and minimiser of all that is in two documents or more."""
+    known = [(p[0], unplaned(p[1])) for p in payloads if len(p) == 2]
+    parts = [(p[0][p[1]], np.cumsum(unplaned(p[2]), dtype=np.uint64)) for p in payloads if len(p) == 3]
+    if parts:
+        doc, least = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(least, kind="stable")
+        doc, least = doc[order], least[order]
+        edge = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+        several = np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge)
+        keep = np.repeat(several, np.diff(np.append(edge, len(doc))))
+        known.append((doc[keep], least[keep]))
+    return tuple(np.concatenate(x) for x in zip(*known, strict=True)) if known else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def by_bucket(batches):
+    """The decoded payloads of one bucket at a time; rows come sorted by bucket."""
+    bucket, held = None, []
+    for batch in batches:
+        for b, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if b != bucket and held:
+                yield held
+                held = []
+            bucket = b
+            held.append(load(value.as_py()))
+    if held:
+        yield held
+
+
+def sent_rows(rows) -> pa.RecordBatch:
+    rows = list(rows)
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary())], ["bucket", "payload"])
+
+
+def by_document(doc: np.ndarray, *values: np.ndarray):
+    """The ids in order, and for each array the values of every id as bytes."""
+    order = np.argsort(doc, kind="stable")
+    doc = doc[order]
+    edge = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])[: len(doc)])
+    return doc[edge], [[x.tobytes() for x in np.split(v[order], edge[1:])] if len(edge) else [] for v in values]
+
+
+def candidates(source: DataFrame, length: int, tasks: int, buckets: int) -> DataFrame:
+    """``doc_id, found`` (the high 4 bytes of each): for each document the minimisers that another document has too."""
+
+    def anchors(batches):
+        docs, least, size = [], [], 0
+        for part, data, offsets in W.chunks(batches, "text", CHUNK):
+            _, _, row, m, _ = runs(data, offsets, length)
+            docs.append(part.column(0).to_numpy(zero_copy_only=False)[row])
+            least.append(m)
+            size += len(data)
+            if size >= BLOCK:
+                yield sent_rows(send_minimisers(np.concatenate(docs), np.concatenate(least), buckets))
+                docs, least, size = [], [], 0
+        if docs:
+            yield sent_rows(send_minimisers(np.concatenate(docs), np.concatenate(least), buckets))
+
+    def share(batches):
+        for payloads in by_bucket(batches):
+            doc, least = shared_minimisers(payloads)
+            ids, (found,) = by_document(doc, (least >> np.uint64(SHORTER - SHORT)).astype(np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "found"])
+
+    sent = source.mapInArrow(anchors, "bucket int, payload binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    found = sent.mapInArrow(share, "doc_id long, found binary")
+    return found.groupBy("doc_id").agg(F.collect_list("found").alias("found"))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, starts, stops`` (byte offsets, may overlap) for documents that lose bytes; a document may have several rows."""
+    """``doc_id, spans`` (starts and sizes as ``dump`` packs them; they may overlap) for documents that lose bytes; a document may have
+    several rows."""
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = tasks * BUCKETS_PER_TASK
+    buckets = tasks
+    source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    shared = candidates(source, length, tasks, buckets)
+    texts = source.select("doc_id", packed("text").alias("t")).join(shared, "doc_id").select("doc_id", "t", "found")
 
     def cut(batches):
         block = Block(buckets, length)
-
-        def rows():
-            sent = list(block.send())
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in sent], pa.int32()), pa.array([x[1] for x in sent], pa.binary())], ["bucket", "payload"])
-
-        for part, data, offsets in W.chunks(batches, "text", CHUNK):
-            block.add(part.column(0).to_numpy(zero_copy_only=False), data, offsets)
-            if block.size >= BLOCK:
-                yield rows()
-        yield rows()
+        for batch in batches:
+            for at in range(0, len(batch), 128):
+                part = batch.slice(at, 128)
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                lists = [np.frombuffer(b"".join(x), np.uint32) for x in part.column(2).to_pylist()]
+                number = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+                known = np.sort(W.keyed(number, np.concatenate(lists).astype(np.uint64)))
+                values = [unpacked(x) for x in part.column(1).to_pylist()]
+                data = np.frombuffer(b"".join(values), np.uint8)
+                offsets = np.cumsum([0, *map(len, values)])
+
+                def wanted(row, least, known=known):
+                    key = W.keyed(row, least >> np.uint64(SHORTER))
+                    return known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+
+                block.add(ids, data, offsets, wanted)
+                if block.size >= BLOCK:
+                    yield sent_rows(block.send())
+        yield sent_rows(block.send())
 
     def match(batches):
-        bucket, held = None, []
-        for batch in batches:
-            for b, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if b != bucket and held:
-                    yield found(held)
-                    held = []
-                bucket = b
-                held.append(load(value.as_py()))
-        if held:
-            yield found(held)
-
-    def found(payloads):
-        doc, start, stop = bucket_removals(payloads, length)
-        order = np.lexsort((start, doc))
-        doc, start, stop = doc[order], start[order], stop[order]
-        edge = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])[: len(doc)])
-        lists = pa.array(np.append(edge, len(doc)).astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(doc[edge], pa.int64()), *(pa.ListArray.from_arrays(lists, pa.array(x.astype(np.int32))) for x in (start, stop))], ["doc_id", "starts", "stops"])
+        for payloads in by_bucket(batches):
+            doc, start, stop = bucket_removals(payloads, length)
+            order = np.lexsort((start, doc))
+            start, stop, doc = joined(start[order], stop[order], doc[order])
+            ids, (starts, stops) = by_document(doc, start.astype(np.int32), stop.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([dump(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32) - np.frombuffer(a, np.int32)) for a, b in zip(starts, stops, strict=True)], pa.binary())], ["doc_id", "spans"])
 
-    source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sent = source.mapInArrow(cut, "bucket int, payload binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    return sent.mapInArrow(match, "doc_id long, starts array<int>, stops array<int>")
+    sent = texts.mapInArrow(cut, "bucket int, payload binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    return sent.mapInArrow(match, "doc_id long, spans binary")
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", with_bytes: bool = True) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, stops`` and, if asked for, ``kept`` (the bytes that remain) of each row."""
-    spans = repeated_spans(docs, length, doc_id, text).groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("stops")).alias("stops"))
-    rows = docs.select(F.col(doc_id).alias("id"), packed(text).alias("t")).join(spans, F.col("id") == F.col("doc_id"), "left").select("id", "t", "starts", "stops")
+    spans = repeated_spans(docs, length, doc_id, text).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    rows = docs.select(F.col(doc_id).alias("id"), packed(text).alias("t")).join(spans, F.col("id") == F.col("doc_id"), "left").select("id", "t", "spans")
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def apply(batches):
@@ -341,8 +514,9 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", t
                 cols = [[] for _ in range(7)]
                 for i in range(len(part)):
                     data = unpacked(part.column(1)[i].as_py())
-                    a, b = (np.array(part.column(c)[i].as_py() or (), np.int64) for c in (2, 3))
-                    a, b = merged_spans(a, b)
+                    found = [load(x) for x in part.column(2)[i].as_py() or ()]
+                    a, n = (np.concatenate([np.zeros(0, np.int32), *(x[c] for x in found)]).astype(np.int64) for c in (0, 1))
+                    a, b = merged_spans(a, a + n)
                     begin, stop = np.append(0, b).tolist(), np.append(a, len(data)).tolist()
                     kept = b"".join(data[x:y] for x, y in zip(begin, stop, strict=True)) if len(a) else data
                     for c, v in zip(cols, (len(data), len(data) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), a, b, kept if with_bytes else None), strict=True):

@@ -19,7 +19,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows of about ``most`` bytes of text (a longer text alone), with their bytes and the offsets of each row's text;
     null texts are empty."""
     for batch in batches:
@@ -31,6 +31,8 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 2
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
+        del batch, column, data
+        pa.default_memory_pool().release_unused()
 
 
 @lru_cache(8)
