@@ -128,7 +128,7 @@ def outline_edges(cells: DataFrame, by=("slug",)) -> DataFrame:
     ends = (((x, y), (x + 1, y)), ((x + 1, y), (x + 1, y + 1)), ((x + 1, y + 1), (x, y + 1)), ((x, y + 1), (x, y)))
     sides = F.array(*(F.struct(p[0].alias("x0"), p[1].alias("y0"), q[0].alias("x1"), q[1].alias("y1")) for p, q in ends))
     each = cells.select(*by, F.explode(sides).alias("e")).select(*by, "e.*")
-    a, b = F.struct("x0", "y0"), F.struct("x1", "y1")
+    a, b = (F.struct(F.col(p).alias("x"), F.col(q).alias("y")) for p, q in (("x0", "y0"), ("x1", "y1")))
     return each.groupBy(*by, F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).agg(F.count(F.lit(1)).alias("k"), F.first(F.struct("x0", "y0", "x1", "y1")).alias("e")).where("k = 1").select(*by, "e.*")
 
 

@@ -56,7 +56,7 @@ def mtl_textures(lines: DataFrame) -> DataFrame:
 def shifted_obj(lines: DataFrame, dx: float, dy: float, dz: float) -> DataFrame:
     """The lines with vertices moved by exact decimals and written with four places; other lines and further columns stay."""
     p = F.split(F.trim("value"), r"\s+")
-    part = lambda i, d: F.format_string("%.4f", F.get(p, F.lit(i)).try_cast("decimal(20,8)") - F.lit(str(d)).cast("decimal(20,8)"))
+    part = lambda i, d: (F.get(p, F.lit(i)).try_cast("decimal(20,8)") - F.lit(str(d)).cast("decimal(20,8)")).cast("decimal(20,4)").cast("string")
     moved = F.concat_ws(" ", F.lit("v"), part(1, dx), part(2, dy), part(3, dz), F.nullif(F.array_join(F.slice(p, 5, 100), " "), F.lit("")))
     return lines.withColumn("value", F.when(F.col("value").startswith("v "), moved).otherwise(F.col("value")))
 
@@ -94,7 +94,7 @@ def tree_document(rows: list, asset: dict | None = None) -> dict:
         t = {"boundingVolume": {"box": list(r["box"])}, "geometricError": r["geometric_error"], "refine": "REPLACE"}
         if r["uri"]:
             t["content"] = {"uri": r["uri"]}
-        if r["transform"]:
+        if r["transform"] is not None:
             t["transform"] = list(r["transform"])
         made[r["node_id"]] = t
         if r["parent_id"] is None:
