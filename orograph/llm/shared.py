@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from .words import trim
+
 
 def scratch_dir(spark: SparkSession, what: str) -> str:
     """A new path below ``spark.checkpoint.dir``; where that is unset (as in tests), the setting is made."""
@@ -18,6 +20,17 @@ def scratch_dir(spark: SparkSession, what: str) -> str:
     return f"{root}/{what}-{uuid.uuid4().hex}"
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
+    """Texts are long: lets the session pass at most so many rows at a time to Python, so that neither side holds tens of MB."""
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(BATCH)) <= rows:
+        conf.set(BATCH, str(rows))
+    return docs
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
@@ -30,6 +43,7 @@ def each(column: pa.Array, step: int = 256):
     """The values of a column, ``step`` at a time as Python objects: a batch of texts isn't held twice."""
     for at in range(0, len(column), step):
         yield from column.slice(at, step).to_pylist()
+    trim()
 
 
 @F.arrow_udf(BinaryType())

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import packed, unpacked
+from .shared import packed, small_batches, unpacked
 
 LENGTH, PART, FINE_PART = 50, 20, 32
 BLOCK, CHUNK, PARTS_PER_BUCKET = 12 << 20, 1 << 19, 16
@@ -422,6 +422,32 @@ def sent_rows(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary())], ["bucket", "payload"])
 
 
+def dealt(doc: np.ndarray, tasks: int, *values: np.ndarray) -> pa.RecordBatch:
+    """What a bucket has found, in one row for each part of the documents: ids and values in the order of the ids."""
+    part = (W.mix(doc.astype(np.uint64)) % np.uint64(tasks)).astype(np.int64)
+    order = np.lexsort((doc, part))
+    edges = np.searchsorted(part[order], np.arange(tasks + 1))
+    rows = [(p, order[edges[p] : edges[p + 1]]) for p in np.flatnonzero(edges[1:] > edges[:-1])]
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([dump(doc[i], *(v[i] for v in values)) for _, i in rows], pa.binary())], ["part", "payload"])
+
+
+def gathered(found: DataFrame, tasks: int) -> DataFrame:
+    """``doc_id, found``: one row a document with all that the buckets have found of it (arrays as ``dump`` packs them), from the rows of ``dealt``."""
+
+    def gather_(batches):
+        parts = [load(x.as_py()) for batch in batches for x in batch.column(1)]
+        if parts:
+            doc, *values = (np.concatenate(x) for x in zip(*parts, strict=True))
+            ids, lists = by_document(doc, *values)
+            kinds = [v.dtype for v in values]
+            for at in range(0, len(ids), 10_000):
+                cut = slice(at, at + 10_000)
+                packs = [dump(*(np.frombuffer(x, k) for x, k in zip(row, kinds, strict=True))) for row in zip(*(v[cut] for v in lists), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[cut], pa.int64()), pa.array(packs, pa.binary())], ["doc_id", "found"])
+
+    return found.repartition(tasks, "part").mapInArrow(gather_, "doc_id long, found binary")
+
+
 def by_document(doc: np.ndarray, *values: np.ndarray):
     """The ids in order, and for each array the values of every id as bytes."""
     order = np.argsort(doc, kind="stable")
@@ -449,21 +475,18 @@ def candidates(source: DataFrame, length: int, tasks: int, buckets: int) -> Data
     def share(batches):
         for payloads in by_bucket(batches):
             doc, least = shared_minimisers(payloads)
-            ids, (found,) = by_document(doc, (least >> np.uint64(SHORTER - SHORT)).astype(np.uint32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "found"])
+            yield dealt(doc, tasks, (least >> np.uint64(SHORTER - SHORT)).astype(np.uint32))
 
     sent = source.mapInArrow(anchors, "bucket int, payload binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    found = sent.mapInArrow(share, "doc_id long, found binary")
-    return found.groupBy("doc_id").agg(F.collect_list("found").alias("found"))
+    return gathered(sent.mapInArrow(share, "part int, payload binary"), tasks)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, spans`` (starts and sizes as ``dump`` packs them; they may overlap) for documents that lose bytes; a document may have
-    several rows."""
+    """``doc_id, found`` (starts and sizes as ``dump`` packs them; they may overlap), a row for each document that loses bytes."""
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = tasks
-    source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    source = small_batches(docs).where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     shared = candidates(source, length, tasks, buckets)
     texts = source.select("doc_id", packed("text").alias("t")).join(shared, "doc_id").select("doc_id", "t", "found")
 
@@ -473,7 +496,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
             for at in range(0, len(batch), 128):
                 part = batch.slice(at, 128)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                lists = [np.frombuffer(b"".join(x), np.uint32) for x in part.column(2).to_pylist()]
+                lists = [load(x)[0] for x in part.column(2).to_pylist()]
                 number = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
                 known = np.sort(W.keyed(number, np.concatenate(lists).astype(np.uint64)))
                 values = [unpacked(x) for x in part.column(1).to_pylist()]
@@ -488,23 +511,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
                 if block.size >= BLOCK:
                     yield sent_rows(block.send())
         yield sent_rows(block.send())
+        W.trim()
 
     def match(batches):
         for payloads in by_bucket(batches):
             doc, start, stop = bucket_removals(payloads, length)
             order = np.lexsort((start, doc))
             start, stop, doc = joined(start[order], stop[order], doc[order])
-            ids, (starts, stops) = by_document(doc, start.astype(np.int32), stop.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([dump(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32) - np.frombuffer(a, np.int32)) for a, b in zip(starts, stops, strict=True)], pa.binary())], ["doc_id", "spans"])
+            yield dealt(doc, tasks, start.astype(np.int32), (stop - start).astype(np.int32))
 
     sent = texts.mapInArrow(cut, "bucket int, payload binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    return sent.mapInArrow(match, "doc_id long, spans binary")
+    return gathered(sent.mapInArrow(match, "part int, payload binary"), tasks)
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", with_bytes: bool = True) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, stops`` and, if asked for, ``kept`` (the bytes that remain) of each row."""
-    spans = repeated_spans(docs, length, doc_id, text).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
-    rows = docs.select(F.col(doc_id).alias("id"), packed(text).alias("t")).join(spans, F.col("id") == F.col("doc_id"), "left").select("id", "t", "spans")
+    spans = repeated_spans(docs, length, doc_id, text)
+    rows = docs.select(F.col(doc_id).alias("id"), packed(text).alias("t")).join(spans, F.col("id") == F.col("doc_id"), "left").select("id", "t", "found")
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def apply(batches):
@@ -514,8 +537,8 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", t
                 cols = [[] for _ in range(7)]
                 for i in range(len(part)):
                     data = unpacked(part.column(1)[i].as_py())
-                    found = [load(x) for x in part.column(2)[i].as_py() or ()]
-                    a, n = (np.concatenate([np.zeros(0, np.int32), *(x[c] for x in found)]).astype(np.int64) for c in (0, 1))
+                    found = part.column(2)[i].as_py()
+                    a, n = (x.astype(np.int64) for x in load(found)) if found else np.zeros((2, 0), np.int64)
                     a, b = merged_spans(a, a + n)
                     begin, stop = np.append(0, b).tolist(), np.append(a, len(data)).tolist()
                     kept = b"".join(data[x:y] for x, y in zip(begin, stop, strict=True)) if len(a) else data

@@ -3,6 +3,7 @@
 Words are runs of bytes other than space and 0x09-0x0D; in UTF-8 such bytes are never part of a longer character, so byte
 runs are character runs. Hashes are 64-bit polynomials over a table of random bytes, differences of one running sum."""
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -19,6 +20,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def trim() -> None:
+    """Gives freed memory back, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
 def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows of about ``most`` bytes of text (a longer text alone), with their bytes and the offsets of each row's text;
     null texts are empty."""
@@ -32,7 +42,7 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 1
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
         del batch, column, data
-        pa.default_memory_pool().release_unused()
+        trim()
 
 
 @lru_cache(8)
