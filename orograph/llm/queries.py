@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, line_dedup, lm, mixing, near_dedup, quality, secrets, suffix_dedup
+from . import bpe, exact_dedup, language, line_dedup, lm, mixing, near_dedup, quality, secrets, sql, suffix_dedup
 from .shared import scratch_dir
 
 
@@ -74,4 +74,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return dict(sql.SQL)
