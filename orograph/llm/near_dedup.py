@@ -11,8 +11,8 @@ Classes are the connected components of links.
 Documents with the same words in the same order form one class before any sketching. Of the rest, first every member of a
 sketch group is compared with the group's hub. Then, where several components are left around a hub, pairs between components
 are compared too, but for those that what was learned about either and the hub rules out (see ``_unlinked``). So a large
-group of near copies costs about as many comparisons as it has members, and no candidate pair that could be alike is left out. Before
-the alignment, a pair needs sizes that allow 0.8 and one-bit sketches of 128 bits that differ in 40 at most (expected 13 at
+group of near copies costs about as many comparisons as it has members, and no candidate pair that could be alike is left out. A pair
+between components also needs sizes that allow 0.8 and one-bit sketches of 128 bits that differ in 32 at most (expected 13 at
 0.8, deviation 3.4).
 
 Defined results: a text without words (null, empty, blank) is a class of its own. A text of one to four words is one shingle.
@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .graph import components
-from .shared import materialise, packed, unpacked
+from .shared import materialise, packed, small_batches, unpacked
 
 SHINGLE, SIMILARITY = 5, 0.8
 SEEDS, LENGTH = 32, 4
-MOST_BITS = 40
+MOST_BITS = 32
 RARE = 16
 _random = np.random.Generator(np.random.PCG64(977))
 SALTS = _random.integers(0, 1 << 64, SEEDS, np.uint64)[:, None]
@@ -163,25 +163,25 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 good = [alike(x, y) for x, y in zip(*sides, strict=True)]
                 extra = [np.setdiff1d(labelled(y), labelled(x)).view(np.int64) for x, y in zip(*sides, strict=True)]
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(good, pa.bool_()), pa.array(extra, pa.list_(pa.int64()))], ["a", "b", "alike", "extra"])
+            W.trim()
 
     kind = pairs.schema["a"].dataType.simpleString()
     left, right = texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}, alike boolean, extra array<long>")
 
 
-def _unlinked(member: DataFrame, star: DataFrame, checked: DataFrame, part: DataFrame) -> DataFrame:
+def _unlinked(star: DataFrame, checked: DataFrame, part: DataFrame) -> DataFrame:
     """Pairs (a, b) of one star that may be alike and are in different components.
 
-    member: entry, id, n, bits, hub; star: hub, id, n, bits; checked: what ``verify`` said of hubs and members; part: id, component.
+    star: hub, id, n, bits; checked: what ``verify`` said of hubs and members; part: id, component.
     Shingles that a star's hub lacks and at most ``RARE`` of its members have are rare there. Two members that share a rare
     shingle are a pair (at most RARE for each). Two that share none have no more shingles in common than either has common ones,
-    so unless those are enough for the threshold the pair is out, and needs no comparison. Members that aren't even
-    near the hub by size and bits meet in their sketch groups instead."""
+    so unless those are enough for the threshold the pair is out, and needs no comparison."""
     of = star.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = of.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least_n")).where("lo != hi").select("hub", "least_n")
     info = checked.select(F.col("a").alias("hub"), F.col("b").alias("id"), "extra")
     of = materialise(of.join(several, "hub").join(info, ["hub", "id"], "left"), "star")
-    near = of.where(F.col("extra").isNotNull())
+    near = of.where(F.col("extra").isNotNull())  # all but the hub
     each = near.select("hub", "id", "n", "bits0", "bits1", "component", F.explode("extra").alias("shingle"))
     rare = each.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= RARE)
     each = materialise(each.join(rare, ["hub", "shingle"]), "rare")
@@ -196,17 +196,13 @@ def _unlinked(member: DataFrame, star: DataFrame, checked: DataFrame, part: Data
     common = materialise(common.join(sizes.select("hub", F.col("major.component").alias("major")), "hub"), "common")
     x, y = common.where("component != major").alias("x"), common.alias("y")
     plain = x.join(y, (F.col("x.hub") == F.col("y.hub")) & apart & (F.col("x.most") >= F.col("y.n")) & (F.col("y.most") >= F.col("x.n")) & _near("x", "y")).select(*pair)
-    far = of.where(F.col("extra").isNull() & (F.col("id") != F.col("hub"))).select("hub", "id")
-    groups = member.select("entry", "id", "n", "bits0", "bits1", F.col("hub.id").alias("hub")).join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    x, y = groups.join(far, ["hub", "id"], "left_semi").alias("x"), groups.alias("y")
-    strange = x.join(y, (F.col("x.entry") == F.col("y.entry")) & apart & _near("x", "y")).select(*pair)
-    return sharing.union(plain).union(strange).distinct()
+    return sharing.union(plain).distinct()
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, class_id, n_links, kept`` for every row of docs. n_links: verified links of the text that stands for the row's
     copies."""
-    rows = materialise(sketches(docs, doc_id, text), "sketch")
+    rows = materialise(sketches(small_batches(docs), doc_id, text), "sketch")
     stands = rows.groupBy("same").agg(F.min("id").alias("rep"))
     copies = rows.select("id", "same").join(stands, "same").select("id", "rep").distinct()
     reps = rows.join(stands.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
@@ -219,12 +215,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     member = materialise(each.drop("size").join(hubs, "entry"), "members")
     texts = docs.select(F.col(doc_id).alias("id"), packed(text).alias("t"))
     texts = materialise(texts.join(member.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]), "texts")
-    first = member.alias("m").where((F.col("m.hub.id") != F.col("m.id")) & _near("m.hub", "m")).select(F.col("hub.id").alias("a"), F.col("m.id").alias("b")).distinct()
+    first = member.where(F.col("hub.id") != F.col("id")).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
     checked = materialise(verify(first, texts), "checked")
     links = checked.where("alike").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     part = materialise(components(links, "a", "b"), "part")
     star = member.select(F.col("hub.id").alias("hub"), "id", "n", "bits0", "bits1").distinct()
-    more = verify(_unlinked(member, star, checked, part), texts).where("alike").select("a", "b")
+    more = verify(_unlinked(star, checked, part), texts).where("alike").select("a", "b")
     more = materialise(more, "links")
     if not more.isEmpty():
         links = links.union(more).distinct()
