@@ -102,7 +102,7 @@ def sca20_bilinear(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(k.alias("id"), F.round(G.bilinear(F.array(*(F.lit(float(i)) for i in range(16))), px, py, 4), 9).alias("h"))
 
 
-@query("SELECT c_custkey id, c_custkey * 2.0 + 10 x, c_custkey % 7 * 2.0 + 20 y, c_custkey % 5 * 2.0 + 30 z FROM customer")
+@query("SELECT c_custkey id, c_custkey * 2.0::DOUBLE + 10 x, c_custkey % 7 * 2.0::DOUBLE + 20 y, c_custkey % 5 * 2.0::DOUBLE + 30 z FROM customer")
 def sca12_matrix_product(spark, sf_dir):
     """A move after a scaling, applied to points."""
     m = M.product(M.literal(M.trs((10, 20, 30))), M.literal(M.trs(scale=(2, 2, 2))))
@@ -237,7 +237,7 @@ def srt01_catalogue_order(spark, sf_dir):
 
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("fecha"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("slug"))
     w = Window.orderBy(F.coalesce("fecha", F.lit("")).desc(), F.collate(F.col("slug"), "UNICODE"))
-    return rows.select("o_orderkey", F.row_number().over(w).alias("place"))
+    return rows.select("o_orderkey", F.row_number().over(w).cast("long").alias("place"))
 
 
 @query("SELECT c_custkey id, round(3 * 4 / 2.0 * (c_custkey % 5 + 1), 6) area FROM customer")
