@@ -38,12 +38,22 @@ def grid_cells(df: DataFrame, x, y, z, size_x: float, size_y: float | None = Non
     every = keyed.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n"), quantile("z", low).alias("p5"), quantile("z", high).alias("p95"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
     if point == "centre":
         every = every.withColumns({"cx": (F.col("ix") + 0.5) * size_x, "cy": (F.col("iy") + 0.5) * (size_y or size_x)})
-    cells = every.where(F.col("n") >= least).withColumn("disp", F.col("p95") - F.col("p5"))
-    return with_border(cells, every.select("ix", "iy")) if border else cells
+    every = every.withColumn("disp", F.col("p95") - F.col("p5"))
+    return (marked_border(every) if border else every).where(F.col("n") >= least)
+
+
+def marked_border(every: DataFrame) -> DataFrame:
+    """Adds ``border`` where the cells themselves are all that are taken: each sends a mark to its four neighbours and its own row to itself,
+    and one aggregation brings them together, so what the cells were computed from is read once."""
+    own = F.struct(*every.columns)
+    there = [F.struct((F.col("ix") + dx).alias("ix"), (F.col("iy") + dy).alias("iy"), F.lit(None).cast(every.select(own).schema[0].dataType).alias("own")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))]
+    sent = every.select(F.explode(F.array(F.struct("ix", "iy", own.alias("own")), *there)).alias("s")).select("s.*")
+    met = sent.groupBy("ix", "iy").agg(F.first("own", ignorenulls=True).alias("own"), F.count_if(F.col("own").isNull()).alias("k"))
+    return met.where(F.col("own").isNotNull()).select("own.*", (F.col("k") < 4).alias("border"))
 
 
 def with_border(cells: DataFrame, taken: DataFrame) -> DataFrame:
-    """Adds ``border``: fewer than four of a cell's side neighbours are taken. Neighbours announce themselves, so one
+    """Adds ``border`` against a table of taken cells: fewer than four of a cell's side neighbours are in it. Neighbours announce themselves, so one
     aggregation by cell replaces four joins."""
     sides = F.array(*(F.struct((F.col("ix") + dx).alias("ix"), (F.col("iy") + dy).alias("iy")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))))
     around = taken.select(F.explode(sides).alias("c")).groupBy(F.col("c.ix").alias("ix"), F.col("c.iy").alias("iy")).agg(F.count(F.lit(1)).alias("k"))

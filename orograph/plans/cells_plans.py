@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from orograph.functions import quantiles as Q
 from orograph.operators import cells, meshes, requests, tiletree, weighted
 from orograph.plans.tables import query, table
+from orograph.shared import settled
 
 DISPERSION = 92_500.0
 
@@ -27,8 +28,9 @@ def survey_cells(spark, sf_dir):
 
 
 def residuals(spark, sf_dir):
-    """A cell's residual is the median ground less its own; positions are about the mean."""
-    c = survey_cells(spark, sf_dir)
+    """A cell's residual is the median ground less its own; positions are about the mean. The cells, a few for each million points, are
+    written before they are used twice."""
+    c = settled(survey_cells(spark, sf_dir))
     mid = c.agg(F.median("p5").alias("m"), F.avg("cx").alias("mx"), F.avg("cy").alias("my"))
     return c.crossJoin(F.broadcast(mid)).select("ix", "iy", "disp", "border", (F.col("cx") - F.col("mx")).alias("x"), (F.col("cy") - F.col("my")).alias("y"), (F.col("m") - F.col("p5")).alias("res"))
 
