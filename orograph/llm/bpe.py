@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 #: Fixed value: the pattern that cuts text into pieces before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 RUNS = {"letters": r"\p{L}+", "numbers": r"\p{N}+", "others": r"[^\p{White_Space}\p{L}\p{N}]+", "spaces": r"\p{White_Space}+"}
@@ -277,7 +279,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([enc.encode(t or "") for t in rows.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
@@ -320,4 +322,4 @@ def round_trip(docs: DataFrame, path: str, keep=("doc_id",), text: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], [*batch.schema.names[:n], "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema) + "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return small_batches(docs).select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, small_batches
 
 CUTS = {"line": regex.compile(r"\n"), "paragraph": regex.compile(r"\n[ \t]*\n\s*"), "sentence": regex.compile(r"\n|(?<=[.!?])\s+")}
 MIN_WORDS = 5
@@ -61,7 +61,7 @@ def occurrences(docs: DataFrame, unit: str, min_words: int, doc_id: str, text: s
                             ends.append(b)
                 yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(take, pa.int64())), pa.array(digests, pa.binary()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["doc_id", "digest", "start", "stop"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, digest binary, start int, stop int")
+    return small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, digest binary, start int, stop int")
 
 
 def removals(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

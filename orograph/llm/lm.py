@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .elias_fano import Trie
-from .shared import materialise
+from .shared import materialise, small_batches
 from .suffix_dedup import dump, load
 
 U = np.uint64
@@ -213,7 +213,7 @@ def _answers(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _source(docs: DataFrame, learn, doc_id: str, text: str) -> DataFrame:
-    return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("train"), F.col(text).alias("text"))
+    return small_batches(docs).where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("train"), F.col(text).alias("text"))
 
 
 def word_pass(source: DataFrame, tasks: int):

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .shared import small_batches
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOL, UPPER, LOWER_, BANG = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b"#*$%&|<>", bytes(range(65, 91)), bytes(range(97, 123)), b"!"))
@@ -160,7 +161,7 @@ def order_rules(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: i
                 n = int(np.sum(rule.rejects(Batch(data, offsets))))
                 yield pa.RecordBatch.from_pydict({"rule": [i], "n": [len(offsets) - 1], "rejected": [n], "s": [time.perf_counter() - began]})
 
-    sample = docs.select(F.col(text).alias("t")).limit(sample_rows)
+    sample = small_batches(docs).select(F.col(text).alias("t")).limit(sample_rows)
     rows = sample.mapInArrow(measure, "rule long, n long, rejected long, s double").groupBy("rule").agg(F.sum("n").alias("n"), F.sum("rejected").alias("r"), F.sum("s").alias("s")).collect()
     # half a rejection more, so that of rules without one the cheaper goes first
     score = {r["rule"]: (r["r"] + 0.5) / max(r["s"], 1e-9) for r in rows}
@@ -181,7 +182,7 @@ def judge(docs: DataFrame, rules=None, measures=("n_words",), doc_id: str = "doc
             kept, by = cascade(batch, rules)
             yield pa.RecordBatch.from_arrays([rows.column(0), *cols, pa.array(kept), pa.array(names[by], pa.string())], ["doc_id", *measures, "kept", "rejected_by"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def filter_quality(docs: DataFrame, rules=None, text: str = "text") -> DataFrame:
@@ -192,4 +193,4 @@ def filter_quality(docs: DataFrame, rules=None, text: str = "text") -> DataFrame
         for rows, data, offsets in W.chunks(batches, text):
             yield rows.filter(pa.array(cascade(Batch(data, offsets), rules)[0]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
