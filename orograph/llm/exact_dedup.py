@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .shared import each, scratch_dir
+from .shared import each, scratch_dir, small_batches
 
 STORE = "spark.sql.streaming.stateStore"
-#: Native memory of all state partitions on an executor together, however many there are.
+#: Native memory of all state partitions on an executor together, however many there are; a partition's files are closed and go from the executor when
+#: its task has committed to the checkpoint.
 STATE_CONF = {
     f"{STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{STORE}.rocksdb.boundedMemoryUsage": "true", f"{STORE}.rocksdb.maxMemoryUsageMB": "128", f"{STORE}.rocksdb.writeBufferSizeMB": "4",
+    f"{STORE}.unloadOnCommit": "true",
 }
 
 
@@ -84,7 +86,7 @@ def dedup_decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     locator: a column that tells where a row's content lies (a file's path, say), by default the id.
     folder: that of an earlier run to go on from; its texts then count as rows that came before."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     events = docs.select(normal_digest(text).alias("digest"), F.col(doc_id).alias("doc_id"), (F.col(doc_id) if locator is None else locator).alias("locator"))
     state = DedupState(spark, folder)
     feed = f"{state.folder}/feed/{uuid.uuid4().hex}"
