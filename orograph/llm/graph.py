@@ -18,7 +18,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).union(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.join(least, "x").where("y > x and y != m").select(F.col("m").alias("u"), F.col("y").alias("v")).distinct()
+        large = both.join(least, "x").where("y > x and y != m").select(F.col("m").alias("u"), F.col("y").alias("v"))
         # now u < v: tie an id's smaller neighbours, and itself, to the smallest of them
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v")

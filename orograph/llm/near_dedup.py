@@ -203,7 +203,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """``doc_id, class_id, n_links, kept`` for every row of docs. n_links: verified links of the text that stands for the row's
     copies."""
     rows = materialise(sketches(small_batches(docs), doc_id, text), "sketch")
-    stands = rows.groupBy("same").agg(F.min("id").alias("rep"))
+    # written first, so that the joins below start from two plain shuffles and Spark may split a text that is very many rows
+    stands = materialise(rows.groupBy("same").agg(F.min("id").alias("rep")), "stands")
     copies = rows.select("id", "same").join(stands, "same").select("id", "rep").distinct()
     reps = rows.join(stands.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     each = reps.select("id", "n", "bits0", "bits1", F.explode("entries").alias("entry"))
