@@ -5,25 +5,35 @@ question or exclamation mark that white space follows. A unit is normalised (A-Z
 ends trimmed) and known by the first 16 bytes of its SHA-256. Over all documents, a unit's earliest occurrence by
 (doc_id, place) stays and all others go, within a document too. Units of fewer than ``min_words`` words always stay.
 
+Several levels can be cut at once, as in ``LEVELS``: paragraphs and lines go whole from one word on, whatever their sentences'
+lengths, and sentences of ``MIN_WORDS`` or more also within lines that aren't repeated. All levels share the digests: a unit's place is
+that of its first word, so one that holds the same words as the unit around it is that unit and isn't counted twice.
+
 A task first reduces its own units to one row for each digest, so a unit that is in a third of all documents reaches the shuffle as
 often as there are tasks. Digests met once are dropped there; the occurrences of the others get the earliest place by a join.
 
-``removed`` tells the offsets (code points, end exclusive) of what went in the original text. Defined results: a null text has no
+``removed`` tells the offsets (code points, end exclusive) of what went in the original text; of several levels, spans that overlap
+are one. Defined results: a null text has no
 units and stays null. Equal rows under one id compare by place only, so such ids must be unique. Extra columns
 are carried by ``drop_units``. An empty table gives no rows; a very long text is cut whole.
 """
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from .shared import materialise, small_batches
 
 CUTS = {"line": regex.compile(r"\n"), "paragraph": regex.compile(r"\n[ \t]*\n\s*"), "sentence": regex.compile(r"\n|(?<=[.!?])\s+")}
 MIN_WORDS = 5
+#: What the registered query cuts by, coarse units first, each with its least number of words.
+LEVELS = (("paragraph", 1), ("line", 1), ("sentence", MIN_WORDS))
+BLANK = " \t\n\r\x0b\x0c"
 
 
 def units(text: str, unit: str = "sentence") -> list[tuple[int, int]]:
@@ -43,39 +53,72 @@ def digest(text: str, min_words: int) -> bytes | None:
     return hashlib.sha256(b" ".join(words)).digest()[:16] if len(words) >= min_words else None
 
 
-def occurrences(docs: DataFrame, unit: str, min_words: int, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, digest, starts, ends`` for each unit of a document."""
+def text_units(text: str, levels) -> list[tuple[bytes, int, int, int]]:
+    """digest, start, end and blanks before the first word of the units of all levels."""
+    out, seen, spans = [], set(), set()
+    for unit, min_words in levels:
+        for span in units(text, unit):
+            if span in spans:
+                continue
+            a, b = span
+            part = text[a:b]
+            if (d := digest(part, min_words)) is not None:
+                lead = len(part) - len(part.lstrip(BLANK))
+                if (d, a + lead) not in seen:
+                    seen.add((d, a + lead))
+                    spans.add(span)
+                    out.append((d, a, b, lead))
+    return out
+
+
+def occurrences(docs: DataFrame, levels, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, digest, start, stop, lead`` for each unit of a document."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for at in range(0, len(batch), 256):
                 rows = batch.slice(at, 256)
-                take, digests, starts, ends = [], [], [], []
+                take, found = [], []
                 for i, t in enumerate(rows.column(1).to_pylist()):
-                    for a, b in units(t or "", unit):
-                        if (d := digest(t[a:b], min_words)) is not None:
-                            take.append(i)
-                            digests.append(d)
-                            starts.append(a)
-                            ends.append(b)
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(take, pa.int64())), pa.array(digests, pa.binary()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["doc_id", "digest", "start", "stop"])
-
-    return small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, digest binary, start int, stop int")
-
-
-def removals(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, removed`` (array of start, stop in the order of the text) of the documents that lose something."""
-    found = materialise(occurrences(docs, unit, min_words, doc_id, text), "units")
-    first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    again = found.join(first, "digest").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
+                    mine = text_units(t or "", levels)
+                    take += [i] * len(mine)
+                    found += mine
+                digests, starts, ends, leads = zip(*found, strict=True) if found else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(take, pa.int64())), pa.array(digests, pa.binary()), *(pa.array(x, pa.int32()) for x in (starts, ends, leads))], ["doc_id", "digest", "start", "stop", "lead"])
+
+    return small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, digest binary, start int, stop int, lead int")
+
+
+@F.arrow_udf(ArrayType(StructType().add("start", IntegerType()).add("stop", IntegerType())))
+def without_overlaps(spans: pa.Array) -> pa.Array:
+    """Overlapping spans of a row made one; rows are sorted, and spans that only touch stay apart."""
+    flat = spans.flatten()
+    start, stop = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+    edges = np.append(0, np.cumsum(spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+    row = np.repeat(np.arange(len(spans)), np.diff(edges))
+    far = np.maximum.accumulate(stop + (row << 32)) if len(row) else stop
+    new = np.append(True, start[1:] + (row[1:] << 32) >= far[:-1])[: len(row)]
+    at = np.flatnonzero(new)
+    stop = (far - (row << 32))[np.append(at[1:] - 1, len(row) - 1)] if len(at) else stop
+    merged = pa.StructArray.from_arrays([pa.array(start[at], pa.int32()), pa.array(stop, pa.int32())], ["start", "stop"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(at, edges), pa.int32()), merged)
+
+
+def removals(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", levels=None) -> DataFrame:
+    """``doc_id, removed`` (array of start, stop in the order of the text) of the documents that lose something; ``levels`` stand in for unit and min_words."""
+    found = materialise(occurrences(docs, levels or ((unit, min_words),), doc_id, text), "units")
+    place = F.col("start") + F.col("lead")
+    first = found.groupBy("digest").agg(F.min(F.struct("doc_id", place.alias("place"))).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    again = found.join(first, "digest").where((F.col("doc_id") != F.col("first.doc_id")) | (place != F.col("first.place")))
     # at most a document's own units meet here
-    return again.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("removed"))
+    gone = again.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("removed"))
+    return gone.withColumn("removed", without_overlaps("removed")) if levels else gone
 
 
-def drop_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", levels=None) -> DataFrame:
     """docs with what remains of each text in ``text``, the removed spans in ``removed`` and a count of removed units."""
-    spans = removals(docs, unit, min_words, doc_id, text).select(F.col("doc_id").alias("__id"), "removed")
+    spans = removals(docs, unit, min_words, doc_id, text, levels).select(F.col("doc_id").alias("__id"), "removed")
     rows = docs.join(spans, F.col(doc_id) == F.col("__id"), "left").drop("__id")
     ends = F.concat(F.array(F.lit(0)), F.transform("removed", lambda x: x["stop"]))
     begins = F.concat(F.transform("removed", lambda x: x["start"]), F.array(F.length(text)))

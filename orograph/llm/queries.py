@@ -59,7 +59,7 @@ def op8_suffix_dedup(spark, sf_dir):
 
 def op9_line_dedup(spark, sf_dir):
     spans = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"].cast("string"), x["stop"].cast("string"))), ",")
-    left = line_dedup.drop_units(documents(spark, sf_dir))
+    left = line_dedup.drop_units(documents(spark, sf_dir), levels=line_dedup.LEVELS)
     return left.select("doc_id", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"), F.length("text").cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

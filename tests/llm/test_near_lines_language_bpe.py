@@ -137,6 +137,45 @@ def test_lines_match_brute_force(docs, unit):
     assert any(gone.values()) and line_dedup.drop_units(docs.limit(0), unit).count() == 0
 
 
+def test_repeated_lines_of_short_sentences_go_whole(spark, tmp_path):
+    """The registered query: a line or paragraph that is repeated goes whole, and long sentences also go from lines that stay."""
+    from orograph.llm import queries
+
+    long_ = "this sentence has more than five words."
+    texts = ["Yes. No.\n" + long_ + " So.\nend", "first\n yes.  NO.\n" + long_ + " Other.\n", "  \nend\n\nA b.\nC d.\n\nlast", "a b. c d.\nonce  only\n\n\n", " alone", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()}
+    left = {0: texts[0], 1: "first\nOther.\n", 2: "A b.\nC d.\n\nlast", 4: texts[4], 5: "", 6: ""}
+    assert {i: r.kept_sha256 for i, r in got.items() if i in left} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in left.items()}
+    assert got[1].n_removed == 2 and got[2].removed == "0:8" and got[3].removed == "0:10"
+
+
+def test_levels_match_brute_force(spark):
+    """Of each content the earliest unit of any level stays; what goes is the union of all later ones."""
+    r = random.Random(6)
+    said = ["yes.", "No!", "a b c d e f.", "one two three four five six?", "x", "q r s t u v w"]
+    table = [(i * 5 % 61, "".join(r.choice(said) + r.choice([" ", "  ", "\n", "\n", "\n\n", "\n \n  ", "\n\n\n"]) for _ in range(r.randint(0, 12)))) for i in range(60)]
+    first, at = {}, {}
+    for i, t in sorted(table):
+        at[i] = []
+        for unit, least in line_dedup.LEVELS:
+            for a, b in line_dedup.units(t, unit):
+                w = t[a:b].lower().split()
+                if len(w) >= least:
+                    place = a + len(t[a:b]) - len(t[a:b].lstrip())
+                    at[i].append((" ".join(w), place, a, b))
+                    first[" ".join(w)] = min(first.get(" ".join(w), (i, place)), (i, place))
+    got = {x.doc_id: x for x in line_dedup.drop_units(spark.createDataFrame(table, "doc_id long, text string").repartition(3), levels=line_dedup.LEVELS).collect()}
+    for i, t in table:
+        gone = {k for w, place, a, b in at[i] if first[w] != (i, place) for k in range(a, b)}
+        mine = got[i].removed
+        words = {k for k in range(len(t)) if not t[k].isspace()}
+        assert {k for x in mine for k in range(x.start, x.stop)} & words == gone & words
+        assert all(x.stop <= y.start for x, y in zip(mine, mine[1:], strict=False))
+        assert got[i].text == "".join(c for k, c in enumerate(t) if not any(x.start <= k < x.stop for x in mine))
+    assert any(x.removed for x in got.values())
+
+
 def test_units_cover_the_text():
     for _, text, *_ in rows():
         for unit in line_dedup.CUTS:
