@@ -363,14 +363,16 @@ def unplaned(x: np.ndarray) -> np.ndarray:
 
 def send_minimisers(doc: np.ndarray, least: np.ndarray, buckets: int):
     """(bucket, payload) rows of a block: each minimiser once, with its smallest doc_id; and, for those that several of the
-    block's documents have, all of these documents, as nothing more needs to be known of them."""
-    order = np.lexsort((doc, least))
-    doc, least = doc[order], least[order]
-    new = np.append(True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]))[: len(doc)]
-    doc, least = doc[new], least[new]
-    bucket = (least % np.uint64(buckets)).astype(np.int64)
-    least = least >> np.uint64(SHORT)  # the bucket knows the low bits
-    first = np.append(True, least[1:] != least[:-1])[: len(doc)]
+    block's documents have, all of these documents, as nothing more needs to be known of them. Minimisers that only differ in
+    the bits left out are one within a bucket, never across buckets: each must reach its own."""
+    bucket = (least % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+    least = least >> np.uint64(SHORT)
+    order = np.lexsort((doc, least, bucket))
+    doc, least, bucket = doc[order], least[order], bucket[order]
+    other = (least[1:] != least[:-1]) | (bucket[1:] != bucket[:-1])
+    new = np.append(True, other | (doc[1:] != doc[:-1]))[: len(doc)]
+    doc, least, bucket = doc[new], least[new], bucket[new]
+    first = np.append(True, (least[1:] != least[:-1]) | (bucket[1:] != bucket[:-1]))[: len(doc)]
     times = np.diff(np.append(np.flatnonzero(first), len(doc)))
     several = np.repeat(times > 1, times)
     known = np.flatnonzero(several)
@@ -379,8 +381,6 @@ def send_minimisers(doc: np.ndarray, least: np.ndarray, buckets: int):
         if len(part):
             yield int(doc[part[0]] % buckets), dump(doc[part], planes(least[part]))
     doc, least, bucket = doc[first], least[first], bucket[first]
-    order = np.argsort(bucket.astype(np.uint16), kind="stable")
-    doc, least, bucket = doc[order], least[order], bucket[order]
     edges = np.searchsorted(bucket, np.arange(buckets + 1))
     for b in np.flatnonzero(edges[1:] > edges[:-1]):
         i = slice(edges[b], edges[b + 1])

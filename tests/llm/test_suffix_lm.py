@@ -82,6 +82,20 @@ def test_buckets_match_brute_force(trial):
     assert all((got[i] == want[i]).all() for i, _ in texts)
 
 
+def test_minimisers_alike_in_high_bits_reach_their_buckets():
+    """Of three minimisers of a block that differ in the low bits only, each meets its like of another block in its own bucket."""
+    r = np.random.default_rng(2)
+    near = (r.integers(0, 1 << 40, 60).astype(np.uint64) << np.uint64(20))[:, None] + np.arange(3, dtype=np.uint64)
+    alone = near[np.arange(60), np.arange(60) % 3]
+    sent = defaultdict(list)
+    for doc, least in ((np.full(near.size, 7), near.reshape(-1)), (np.arange(100, 160), alone)):
+        for b, payload in suffix_dedup.send_minimisers(doc, least, 3):
+            sent[b].append(suffix_dedup.load(payload))
+    got = {x for p in sent.values() for x in zip(*(v.tolist() for v in suffix_dedup.shared_minimisers(p)), strict=True)}
+    high = (alone >> np.uint64(suffix_dedup.SHORT)).tolist()
+    assert got == {(7, h) for h in high} | set(zip(range(100, 160), high, strict=True))
+
+
 def test_transform_sorts_suffixes():
     r = random.Random(0)
     for _ in range(200):
