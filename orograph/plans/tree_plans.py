@@ -80,9 +80,20 @@ def geo11_dfs_order(spark, sf_dir):
 
 @query("SELECT p_partkey // 10 node_id, count(*) k, round(sum(p_retailprice), 2) bytes FROM part WHERE p_partkey >= 1000 GROUP BY 1")
 def geo14_level_rebuild(spark, sf_dir):
-    """Parents one level above the deepest, made from their children's bytes."""
+    """One level: the parents of parts from 1000 on, made from these children's own bytes, at any size of the table. The whole tree is ``geo14_tree_rebuild``."""
+    children = part_tree(spark, sf_dir).where("node_id >= 1000").select("parent_id", F.lit(1).cast("long").alias("k"), "bytes")
+    return _joined(children).select("node_id", "k", F.round("bytes", 2).alias("bytes"))
+
+
+def _joined(below):
+    return below.groupBy(F.col("parent_id").alias("node_id")).agg(F.sum("k").alias("k"), F.sum("bytes").alias("bytes"))
+
+
+@query(TREE + """, l AS (SELECT node_id, parent_id anc, bytes FROM d WHERE node_id NOT IN (SELECT parent_id FROM d WHERE parent_id IS NOT NULL) UNION ALL SELECT l.node_id, d.parent_id, l.bytes FROM l JOIN d ON l.anc = d.node_id WHERE d.parent_id IS NOT NULL)
+ SELECT anc node_id, CAST(count(*) AS BIGINT) k, round(sum(bytes), 2) bytes FROM l WHERE anc IS NOT NULL GROUP BY 1""")
+def geo14_tree_rebuild(spark, sf_dir):
+    """Every inner node, made level by level from the leaves below it: their number and bytes."""
     nodes = tiletree.depths(part_tree(spark, sf_dir))
-    leaf = nodes.where("node_id >= 1000").select("node_id", F.lit(1).cast("long").alias("k"), "bytes")
-    up = lambda below: below.groupBy(F.col("parent_id").alias("node_id")).agg(F.sum("k").alias("k"), F.sum("bytes").alias("bytes"))
-    made = tiletree.levels_bottom_up(nodes.where("node_id >= 100"), leaf, up)
-    return made.where("node_id < 1000").select("node_id", "k", F.round("bytes", 2).alias("bytes"))
+    leaf = tiletree.leaves(nodes).select("node_id", F.lit(1).cast("long").alias("k"), "bytes")
+    made = tiletree.levels_bottom_up(nodes, leaf, _joined)
+    return made.join(leaf.select("node_id"), "node_id", "left_anti").select("node_id", "k", F.round("bytes", 2).alias("bytes"))
