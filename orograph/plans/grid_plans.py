@@ -60,31 +60,56 @@ def geo04_fill_holes(spark, sf_dir):
     return footprint.fill_holes(footprint.dilate(grid(spark, sf_dir), 1)).select("ix", "iy")
 
 
-def triangles(spark, sf_dir):
-    """Two or three cells wide, one for each tenth line."""
+def triangles(lines, tid):
+    """Up to six cells wide and eight high, one for each row of lines."""
     k = F.col("l_orderkey")
     x, y = (k % 37) * 1.7, (k % 23) * 1.3
-    return table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(k.alias("tid"), F.lit("s").alias("slug"), x.alias("ax"), y.alias("ay"), (x + F.col("l_quantity") / 10).alias("bx"), (y + 0.3).alias("by"), (x + 0.4).alias("cx"), (y + F.col("l_quantity") / 8).alias("cy"))
+    return lines.select(tid.alias("tid"), F.lit("s").alias("slug"), x.alias("ax"), y.alias("ay"), (x + F.col("l_quantity") / 10).alias("bx"), (y + 0.3).alias("by"), (x + 0.4).alias("cx"), (y + F.col("l_quantity") / 8).alias("cy"))
 
 
 TRI = "t AS (SELECT l_orderkey tid, l_orderkey % 37 * 1.7::DOUBLE ax, l_orderkey % 23 * 1.3::DOUBLE ay, l_orderkey % 37 * 1.7::DOUBLE + l_quantity / 10 bx, l_orderkey % 23 * 1.3::DOUBLE + 0.3::DOUBLE \"by\", l_orderkey % 37 * 1.7::DOUBLE + 0.4::DOUBLE cx, l_orderkey % 23 * 1.3::DOUBLE + l_quantity / 8 cy FROM lineitem WHERE l_linenumber = 1)"
 
 
-@query(f"""WITH {TRI}, b AS (SELECT *, CAST(floor(least(ax, bx, cx)) AS INTEGER) x0, CAST(floor(greatest(ax, bx, cx)) AS INTEGER) x1, CAST(floor(least(ay, "by", cy)) AS INTEGER) y0, CAST(floor(greatest(ay, "by", cy)) AS INTEGER) y1 FROM t),
+TRI_WHOLE = TRI.replace("SELECT l_orderkey tid", "SELECT l_orderkey * 10 + l_linenumber tid").removesuffix(" WHERE l_linenumber = 1)") + ")"
+#: Cells and counts of the triangles t.
+COVERED = """, b AS (SELECT *, CAST(floor(least(ax, bx, cx)) AS INTEGER) x0, CAST(floor(greatest(ax, bx, cx)) AS INTEGER) x1, CAST(floor(least(ay, "by", cy)) AS INTEGER) y0, CAST(floor(greatest(ay, "by", cy)) AS INTEGER) y1 FROM t),
  s AS (SELECT x0 ix, y0 iy FROM b WHERE x0 = x1 AND y0 = y1), m AS (SELECT * FROM b WHERE NOT (x0 = x1 AND y0 = y1)),
  c AS (SELECT m.*, CAST(i AS INTEGER) ix, CAST(j AS INTEGER) iy, i + 0.5 px, j + 0.5 py FROM m, LATERAL (SELECT unnest(range(x0, x1 + 1)) i), LATERAL (SELECT unnest(range(y0, y1 + 1)) j)),
  d AS (SELECT ix, iy, (bx - ax) * (py - ay) - ("by" - ay) * (px - ax) s1, (cx - bx) * (py - "by") - (cy - "by") * (px - bx) s2, (ax - cx) * (py - cy) - (ay - cy) * (px - cx) s3 FROM c),
  k AS (SELECT * FROM s UNION ALL SELECT ix, iy FROM d WHERE (s1 >= 0 AND s2 >= 0 AND s3 >= 0) OR (s1 <= 0 AND s2 <= 0 AND s3 <= 0) UNION ALL SELECT CAST(floor(ax) AS INTEGER), CAST(floor(ay) AS INTEGER) FROM m UNION ALL SELECT CAST(floor(bx) AS INTEGER), CAST(floor("by") AS INTEGER) FROM m UNION ALL SELECT CAST(floor(cx) AS INTEGER), CAST(floor(cy) AS INTEGER) FROM m)
- SELECT ix, iy, count(*) n FROM k GROUP BY 1, 2""")
+ SELECT ix, iy, count(*) n FROM k GROUP BY 1, 2"""
+
+
+@query(f"WITH {TRI}{COVERED}")
 def geo01_rasterise(spark, sf_dir):
-    return footprint.cell_counts(footprint.covered_cells(triangles(spark, sf_dir), 1.0)).select("ix", "iy", "n")
+    """First lines of orders only; ``geo01_rasterise_whole`` takes all."""
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    return footprint.cell_counts(footprint.covered_cells(triangles(lines, F.col("l_orderkey")), 1.0)).select("ix", "iy", "n")
+
+
+@query(f"WITH {TRI_WHOLE}{COVERED}")
+def geo01_rasterise_whole(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    return footprint.cell_counts(footprint.covered_cells(triangles(lines, F.col("l_orderkey") * 10 + F.col("l_linenumber")), 1.0)).select("ix", "iy", "n")
 
 
 @query("WITH v AS (SELECT l_orderkey tid, l_partkey a, l_suppkey b FROM lineitem WHERE l_linenumber = 1), p AS (SELECT p_partkey vid, p_size * 1.0::DOUBLE x, p_retailprice y FROM part) SELECT tid, pa.x ax, pa.y ay, pb.x bx, pb.y \"by\" FROM v JOIN p pa ON v.a = pa.vid JOIN p pb ON v.b = pb.vid")
 def jn03_corners(spark, sf_dir):
-    """Lines as faces whose corners are parts: two of the three joins name different columns."""
+    """First lines of orders as faces whose corners are parts: two of the three joins name different columns. ``jn03_corners_whole`` takes all lines."""
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    return _corners(spark, sf_dir, lines, F.col("l_orderkey"), F.col("l_suppkey")).select("tid", "ax", "ay", "bx", "by")
+
+
+def _corners(spark, sf_dir, lines, tid, third):
     from orograph.operators.meshes import corners
 
     v = table(spark, sf_dir, "part").select(F.lit("t").alias("tile"), F.col("p_partkey").alias("vid"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
-    t = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.lit("t").alias("tile"), F.col("l_orderkey").alias("tid"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_suppkey").alias("c"))
-    return corners(t, v, ("x", "y")).select("tid", "ax", "ay", "bx", "by")
+    t = lines.select(F.lit("t").alias("tile"), tid.alias("tid"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), third.alias("c"))
+    return corners(t, v, ("x", "y"))
+
+
+@query("WITH v AS (SELECT l_orderkey * 10 + l_linenumber tid, l_partkey a, l_suppkey b, (l_partkey + 1) // 2 c FROM lineitem), p AS (SELECT p_partkey vid, p_size * 1.0::DOUBLE x, p_retailprice y FROM part) SELECT tid, pa.x ax, pa.y ay, pb.x bx, pb.y \"by\", pc.x cx, pc.y cy FROM v JOIN p pa ON v.a = pa.vid JOIN p pb ON v.b = pb.vid JOIN p pc ON v.c = pc.vid")
+def jn03_corners_whole(spark, sf_dir):
+    """All lines as faces with three corners of their own."""
+    tid, third = F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.floor((F.col("l_partkey") + 1) / 2)
+    return _corners(spark, sf_dir, table(spark, sf_dir, "lineitem"), tid, third).select("tid", "ax", "ay", "bx", "by", "cx", "cy")
