@@ -113,10 +113,21 @@ def sca12_matrix_product(spark, sf_dir):
 
 @query("SELECT o_orderkey, replace(replace(replace(format('{:,.2f}', floor(o_totalprice * 100 + 0.5) / 100), ',', '_'), '.', ','), '_', '.') t FROM orders WHERE floor(o_totalprice * 100 + 0.5) % 10 <> 0")
 def sca01_grouped_number(spark, sf_dir):
+    """Two decimals; ``sca01_grouped_number_whole`` takes all orders."""
+    cents = F.floor(F.col("o_totalprice") * 100 + 0.5)
+    return _grouped(table(spark, sf_dir, "orders").where(cents % 10 != 0))
+
+
+def _grouped(orders):
     from orograph.functions.quantiles import fixed
 
-    cents = F.floor(F.col("o_totalprice") * 100 + 0.5)
-    return table(spark, sf_dir, "orders").where(cents % 10 != 0).select("o_orderkey", T.grouped_number(fixed("o_totalprice", 2)).alias("t"))
+    return orders.select("o_orderkey", T.grouped_number(fixed("o_totalprice", 2)).alias("t"))
+
+
+@query("SELECT o_orderkey, regexp_replace(regexp_replace(replace(replace(replace(format('{:,.2f}', floor(o_totalprice * 100 + 0.5) / 100), ',', '_'), '.', ','), '_', '.'), '0+$', ''), ',$', '') t FROM orders")
+def sca01_grouped_number_whole(spark, sf_dir):
+    """Trailing zeros of the decimals aren't written, nor a comma before none."""
+    return _grouped(table(spark, sf_dir, "orders"))
 
 
 MONTHS = "['" + "','".join(T.MONTHS) + "']"
@@ -258,10 +269,22 @@ def jn07_point_in_ring(spark, sf_dir):
     ring = spark.range(1).select(F.col("id").alias("rid"), F.array(p(-74.2, 4.4), p(-73.8, 4.4), p(-73.8, 5.0), p(-74.2, 5.0), p(-74.2, 4.4)).alias("ring"))
     near = lambda c, v: F.abs(F.col(c) - v) < 1e-9
     pts = places(spark, sf_dir).where(~(near("lon", -74.2) | near("lon", -73.8) | near("lat", 4.4) | near("lat", 5.0)))
+    return _in_ring(pts, ring)
+
+
+def _in_ring(pts, ring):
     hits = spatial.points_in_rings(pts.select(F.col("id").alias("pid"), "lon", "lat"), ring, 0.1)
     return pts.join(hits.select(F.col("pid").alias("id"), F.lit(True).alias("hit")), "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("inside"))
 
 
+@query(PLACES + " SELECT id, lon >= -74.2 AND lon < -73.8 AND lat >= 4.4 AND lat < 5.0 inside FROM p")
+def jn07_point_in_ring_whole(spark, sf_dir):
+    """With points on the border: the left and the lower side are within, the others aren't."""
+    p = lambda x, y: F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat"))
+    ring = spark.range(1).select(F.col("id").alias("rid"), F.array(p(-74.2, 4.4), p(-73.8, 4.4), p(-73.8, 5.0), p(-74.2, 5.0), p(-74.2, 4.4)).alias("ring"))
+    return _in_ring(places(spark, sf_dir), ring)
+
+
 @query(PLACES + f" SELECT id, CASE WHEN lon > -74.2 AND lon < -73.8 AND lat > 4.4 AND lat < 5.0 THEN round(least(1, least(least((lon + 74.2), (-73.8 - lon)) * {PI} / 180 * 6378137.0 * cos(radians(lat)), least(lat - 4.4, 5.0 - lat) * {PI} / 180 * 6378137.0) / 5000), 4) ELSE 0 END w FROM p WHERE NOT (abs(lon + 74.2) < 1e-9 OR abs(lon + 73.8) < 1e-9 OR abs(lat - 4.4) < 1e-9 OR abs(lat - 5.0) < 1e-9)")
 def sca23_sink_weight(spark, sf_dir):
     p = lambda x, y: F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat"))
@@ -271,11 +294,30 @@ def sca23_sink_weight(spark, sf_dir):
     return pts.select("id", F.round(spatial.sink_weight(ring, F.col("lon"), F.col("lat"), 5000.0), 4).alias("w"))
 
 
+@query(PLACES + f" SELECT id, CASE WHEN lon > -74.2 AND lon < -73.8 AND lat > 4.4 AND lat < 5.0 THEN round(least(1, least(least((lon + 74.2), (-73.8 - lon)) * {PI} / 180 * 6378137.0 * cos(radians(lat)), least(lat - 4.4, 5.0 - lat) * {PI} / 180 * 6378137.0) / 5000), 4) ELSE 0 END w FROM p")
+def sca23_sink_weight_whole(spark, sf_dir):
+    """With points on the border, where the ramp begins with 0."""
+    p = lambda x, y: F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat"))
+    ring = F.array(p(-74.2, 4.4), p(-73.8, 4.4), p(-73.8, 5.0), p(-74.2, 5.0), p(-74.2, 4.4))
+    return places(spark, sf_dir).select("id", F.round(spatial.sink_weight(ring, F.col("lon"), F.col("lat"), 5000.0), 4).alias("w"))
+
+
 @query("SELECT c_custkey id, CASE WHEN c_custkey % 4 = 0 THEN 'buildings' WHEN c_custkey % 4 = 1 THEN 'names' END grp, CAST(CEIL((c_custkey % 50) / 4.0) * 4 AS INTEGER) four, CASE WHEN c_custkey % 900 < 640 THEN 600 WHEN c_custkey % 9 <= 4 THEN 1024 ELSE 1536 END mb FROM customer WHERE c_custkey % 50 <> 0")
 def sca40_41_prj18_small_rules(spark, sf_dir):
+    k = F.col("c_custkey")
+    return _small_rules(table(spark, sf_dir, "customer").where(k % 50 != 0))
+
+
+def _small_rules(customers):
     k = F.col("c_custkey")
     kind = F.when(k % 4 == 0, "fill-extrusion").when(k % 4 == 1, "symbol").otherwise("line")
-    return table(spark, sf_dir, "customer").where(k % 50 != 0).select(k.alias("id"), ME.layer_group(kind).alias("grp"), ME.multiple_of_four(k % 50).alias("four"), ME.cache_budget_mb(k % 900, k % 9).alias("mb"))
+    return customers.select(k.alias("id"), ME.layer_group(kind).alias("grp"), ME.multiple_of_four(k % 50).alias("four"), ME.cache_budget_mb(k % 900, k % 9).alias("mb"))
+
+
+@query("SELECT c_custkey id, CASE WHEN c_custkey % 4 = 0 THEN 'buildings' WHEN c_custkey % 4 = 1 THEN 'names' END grp, CAST(greatest(4, CEIL((c_custkey % 50) / 4.0) * 4) AS INTEGER) four, CASE WHEN c_custkey % 900 < 640 THEN 600 WHEN c_custkey % 9 <= 4 THEN 1024 ELSE 1536 END mb FROM customer")
+def sca40_41_prj18_small_rules_whole(spark, sf_dir):
+    """With a size of 0, which takes four."""
+    return _small_rules(table(spark, sf_dir, "customer"))
 
 
 @query("SELECT o_orderkey, x - 2 * floor(x / 2) + 0 d FROM (SELECT o_orderkey, o_orderkey % 7 x FROM orders)")

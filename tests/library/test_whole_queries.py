@@ -22,7 +22,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name,of", [("geo01_rasterise_whole", None), ("jn03_corners_whole", "lineitem")])
+@pytest.mark.parametrize("name,of", [("geo01_rasterise_whole", None), ("jn03_corners_whole", "lineitem"), ("sca01_grouped_number_whole", "orders"), ("sca40_41_prj18_small_rules_whole", "customer"), ("jn07_point_in_ring_whole", "customer"), ("sca23_sink_weight_whole", "customer")])
 def test_whole_tables_equal_their_sql(spark, duck, name, of):
     """And give a row for each of the table's, where the result isn't an aggregate."""
     out = entry.queries()[name](spark, SMALL)
