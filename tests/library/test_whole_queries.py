@@ -33,6 +33,13 @@ def test_whole_tables_equal_their_sql(spark, duck, name, of):
     assert got == want and sum(got.values()) == (duck.execute(f"SELECT count(*) FROM {of}").fetchone()[0] if of else sum(want.values()))
 
 
+def test_catalogue_order_is_numbered_in_many_tasks(spark, duck, capsys):
+    out = entry.queries()["srt01_catalogue_order"](spark, SMALL)
+    out.explain()
+    assert "SinglePartition" not in capsys.readouterr().out
+    assert {(r.o_orderkey, r.place) for r in out.collect()} == set(duck.execute(entry.oracle_sql()["srt01_catalogue_order"]).fetchall())
+
+
 def test_all_lines_are_rasterised(spark, tmp_path):
     """Second and third lines count: each of these triangles lies in one cell."""
     rows = [(37 * 23 * (i % 2 + 1), i, 1.0) for i in range(1, 4)]
