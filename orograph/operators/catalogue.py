@@ -52,9 +52,14 @@ def with_footprints(catalogue: DataFrame, footprints: DataFrame) -> DataFrame:
     return catalogue.join(footprints, "slug", "left")
 
 
-def in_order(catalogue: DataFrame) -> DataFrame:
+def order() -> list[Column]:
     """Dates as text, latest first and without a date last; then keys in the order of the alphabet."""
-    return catalogue.orderBy(F.coalesce("fecha", F.lit("")).desc(), F.collate(F.col("slug"), "UNICODE"))
+    return [F.coalesce("fecha", F.lit("")).desc(), F.collate(F.col("slug"), "UNICODE")]
+
+
+def in_order(catalogue: DataFrame) -> DataFrame:
+    """The catalogue by ``order``."""
+    return catalogue.orderBy(*order())
 
 
 def scene_of(base: str) -> Column:

@@ -1,9 +1,10 @@
 """Meshes as tables: ``vertex(tile, vid, x, y, z, u, v)`` and ``triangle(tile, tid, a, b, c)``."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orograph.functions import mesh as M
+from orograph.shared import numbered
 
 
 def corners(triangles: DataFrame, vertices: DataFrame, columns=("x", "y", "z"), first_id: int = 0) -> DataFrame:
@@ -65,9 +66,9 @@ def weld(vertices: DataFrame, keys=("x", "y", "z", "u", "v"), order="vid", by=("
     names = [f"__{k}" for k in keys]
     keyed = vertices.select("*", *((_bits(F.col(k)) if exact else F.col(k)).alias(n) for k, n in zip(keys, names, strict=True)))
     firsts = keyed.groupBy(*by, *names).agg(F.min(order).alias("__first"))
-    numbered = firsts.select(*(F.col(k).alias(f"__n{k}") for k in (*by, *names)), (F.row_number().over(Window.partitionBy(*by).orderBy("__first", *names)) - 1).alias("weld_id"))
+    ids = numbered(firsts, ["__first", *names], "weld_id", by).select(*(F.col(k).alias(f"__n{k}") for k in (*by, *names)), "weld_id")
     cond = [F.col(k).eqNullSafe(F.col(f"__n{k}")) for k in (*by, *names)]
-    return keyed.join(numbered, cond).select(*vertices.columns, "weld_id")
+    return keyed.join(ids, cond).select(*vertices.columns, "weld_id")
 
 
 def weld_rounded(vertices: DataFrame, step: float = 0.001, keys=("x", "y", "z")) -> DataFrame:
@@ -102,11 +103,10 @@ def clip_faces(faces: DataFrame, vertices: DataFrame, x0: float, y0: float, x1:
 
 
 def renumbered(faces: DataFrame, position="fid") -> DataFrame:
-    """Kept vertices numbered from 1 in the order in which faces first name them: ``vid, new_id``. The numbering is global, so
-    positions are ranked after an aggregation to one row a vertex."""
+    """Kept vertices numbered from 1 in the order in which faces first name them: ``vid, new_id``."""
     each = faces.select(F.col(position).alias("f"), F.posexplode("corners").alias("k", "vid"))
     first = each.groupBy("vid").agg(F.min(F.struct("f", "k")).alias("first"))
-    return first.withColumn("new_id", F.row_number().over(Window.orderBy("first"))).select("vid", "new_id")
+    return numbered(first, ["first"], "new_id").select("vid", (F.col("new_id") + 1).alias("new_id"))
 
 
 def fan(faces: DataFrame) -> DataFrame:

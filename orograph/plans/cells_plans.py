@@ -195,7 +195,7 @@ def agg19_totals(spark, sf_dir):
     return tiletree.totals(table(spark, sf_dir, "part"), "p_retailprice").select("files", F.round("bytes", 2).alias("bytes"), "mb")
 
 
-@query("WITH g AS (SELECT l_partkey a, l_suppkey b, min(l_orderkey * 10 + l_linenumber) f FROM lineitem GROUP BY 1, 2), n AS (SELECT a, b, row_number() OVER (ORDER BY f, CAST(a AS VARCHAR), CAST(b AS VARCHAR)) - 1 weld_id FROM g) SELECT l_orderkey * 10 + l_linenumber vid, CAST(min(weld_id) AS INTEGER) weld_id FROM lineitem JOIN n ON l_partkey = a AND l_suppkey = b GROUP BY 1, l_partkey, l_suppkey")
+@query("WITH g AS (SELECT l_partkey a, l_suppkey b, min(l_orderkey * 10 + l_linenumber) f FROM lineitem GROUP BY 1, 2), n AS (SELECT a, b, row_number() OVER (ORDER BY f, CAST(a AS VARCHAR), CAST(b AS VARCHAR)) - 1 weld_id FROM g) SELECT l_orderkey * 10 + l_linenumber vid, CAST(min(weld_id) AS BIGINT) weld_id FROM lineitem JOIN n ON l_partkey = a AND l_suppkey = b GROUP BY 1, l_partkey, l_suppkey")
 def agg22_weld(spark, sf_dir):
     """Equal (part, supplier) pairs of a supplier region weld; the numbering is over one tile."""
     v = table(spark, sf_dir, "lineitem").select(F.lit("t").alias("tile"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("vid"), F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y")).distinct()

@@ -9,6 +9,7 @@ from orograph.functions import text as T
 from orograph.functions import web
 from orograph.operators import catalogue, meshes, requests, spatial
 from orograph.plans.tables import query, table
+from orograph.shared import numbered
 from orograph.shared import settled
 
 PI = "3.141592653589793"
@@ -242,22 +243,11 @@ def prj08_requested_keys(spark, sf_dir):
     return catalogue.requested(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("slug")), known)
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END DESC, o_orderkey) place FROM orders")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END DESC, reverse(CAST(o_orderkey AS VARCHAR))) place FROM orders")
 def srt01_catalogue_order(spark, sf_dir):
-    """The place of each survey; keys are padded so that text order is the numbers' order."""
-    from pyspark.sql import Window
-
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("fecha"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("slug"))
-    order = (F.coalesce("fecha", F.lit("")).desc(), F.collate(F.col("slug"), "UNICODE"))
-    # ranges are numbered each by itself; the driver only adds up their sizes
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()).transform(settled)
-    before, sizes = 0, []
-    for part, n in sorted((r["part"], r["count"]) for r in rows.groupBy("part").count().collect()):
-        sizes.append((part, before))
-        before += n
-    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
-    return placed.join(F.broadcast(spark.createDataFrame(sizes, "part int, before long")), "part").select("o_orderkey", (F.col("before") + F.col("place")).alias("place"))
+    """The place of each survey by the order of ``catalogue.in_order``; keys are the order numbers' digits read backwards, which no sort by number gives."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("fecha"), F.reverse(F.col("o_orderkey").cast("string")).alias("slug"))
+    return numbered(rows, catalogue.order(), "place").select("o_orderkey", (F.col("place") + 1).alias("place"))
 
 
 @query("SELECT c_custkey id, round(3 * 4 / 2.0 * (c_custkey % 5 + 1), 6) area FROM customer")

@@ -1,14 +1,39 @@
-"""What iterating operators share."""
+"""What iterating and numbering operators share."""
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that driver and executors share (``spark.checkpoint.dir``); a folder of its own is set where
-    none is, as in tests."""
-    context = df.sparkSession.sparkContext
+    """Cuts the lineage in the folder that driver and executors share (``spark.checkpoint.dir``). Where that is unset, a folder is set: with a
+    local master a temp folder, else one in the warehouse, which all executors reach."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="orograph-"))
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            alone = context.master.startswith("local") and not context.master.startswith("local-cluster")
+            root = "file://" + tempfile.mkdtemp(prefix="orograph-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/orograph-scratch"
+        context.setCheckpointDir(root)
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, order, name: str = "number", by=()) -> DataFrame:
+    """Adds each row's place in the order of the whole table, or of its group ``by``, from 0.
+
+    Ranges of the order are numbered each by itself, then moved by the rows of the ranges before: no task sorts more than a range,
+    however large a group is."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(ranges, *by, *order).withColumn("__part", F.spark_partition_id()).transform(settled)
+    placed = rows.withColumn("__place", F.row_number().over(Window.partitionBy("__part", *by).orderBy(*order)))
+    # one row for each range of a group; without groups at most as many as there are ranges
+    sizes = rows.groupBy("__part", *by).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(F.col("__part").alias("__of"), F.coalesce(before, F.lit(0)).alias("__before"), *(F.col(c).alias(f"__of_{c}") for c in by))
+    met = placed["__part"] == sizes["__of"]
+    for c in by:
+        met = met & placed[c].eqNullSafe(sizes[f"__of_{c}"])
+    out = placed.join(sizes, met).withColumn(name, F.col("__before") + F.col("__place") - 1)
+    return out.drop("__part", "__place", "__before", "__of", *(f"__of_{c}" for c in by))
