@@ -5,7 +5,8 @@ is a chain of merges of ever earlier rank that reaches leftwards from the right,
 to the right matter: ``sufficient_lookahead`` computes that number. A piece longer than the window is merged window by
 window: tokens that end at least the lookahead before the window's end are emitted, and the window moves behind them. Memory is
 that of a window (and of a bounded cache of short pieces) however long the text is. Decoding feeds token bytes to an incremental
-UTF-8 decoder, which holds at most an unfinished character.
+UTF-8 decoder, which holds at most an unfinished character. ``round_trip`` feeds a text to both in slices and hashes tokens and
+characters as they come, so beside the text itself a task holds a slice's tokens.
 
 Defined results: a null text is the empty text and has no tokens. Equal texts have equal tokens. The special token's string
 in a text is the special token, as the tokenizer file says. Bytes that are no UTF-8 decode to U+FFFD. An empty table gives
@@ -24,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import materialise, own_names
 
 #: Fixed value: the pattern that cuts text into pieces before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -197,7 +198,8 @@ class Stream:
     def feed(self, part: str) -> list[int]:
         self.text += part
         out: list[int] = []
-        while self.model.cut and (m := self.model.cut.search(self.text)):
+        while self.model.cut and any(s in self.text for s in self.model.special):
+            m = self.model.cut.search(self.text)
             rest, self.text = self.text[m.end() :], self.text[: m.start()]
             out += self._advance(True)
             out.append(self.model.special[m[0]])
@@ -218,12 +220,12 @@ class Stream:
             out += self._continue(final)
             if self.run:
                 return out
-        at, n = 0, len(self.text)
-        for m in PATTERN.finditer(self.text):
-            if not final and m.end() > n - PEEK:
-                break
-            out += self.get(m[0])
-            at = m.end()
+        pieces, at = PATTERN.findall(self.text), len(self.text)  # the pieces are the whole text
+        if not final:
+            safe = at - PEEK
+            while pieces and at > safe:
+                at -= len(pieces.pop())
+        out += chain.from_iterable(map(self.get, pieces))
         self.text = self.text[at:]
         if not final and len(self.text) > self.model.window:
             first = self.text[1] if self.text[0] == " " and not self.text[1].isspace() else self.text[0]
@@ -279,7 +281,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([enc.encode(t or "") for t in rows.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
@@ -299,27 +301,32 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, keep=("doc_id",), text: str = "text", step: int = 1 << 14) -> DataFrame:
-    """The columns ``keep``, ``n_tokens, ids_sha256, decoded_sha256``: encodes each text and decodes its tokens, ``step`` at a time."""
+    """The columns ``keep``, ``n_tokens, ids_sha256, decoded_sha256``: streams each text through encoder and decoder, ``step`` characters at a time."""
     kept = docs.select(*keep)
     n = len(kept.columns)
 
     def run(batches):
         enc = encoder(path)
         number = [str(i) for i in range(len(enc.model.bytes))].__getitem__
+
+        def one(value: str):
+            stream, decoder, ids_sha, text_sha, count = enc.stream(), Decoder(enc.model), hashlib.sha256(), hashlib.sha256(), 0
+            for at in range(0, len(value) + 1, step):
+                part = stream.feed(value[at : at + step])
+                if at + step > len(value):
+                    part += stream.close()
+                if part:
+                    ids_sha.update((("," if count else "") + ",".join(map(number, part))).encode())
+                    text_sha.update(decoder.feed(part).encode())
+                    count += len(part)
+            text_sha.update(decoder.close().encode())
+            return count, ids_sha.hexdigest(), text_sha.hexdigest()
+
         for batch in batches:
-            counts, ids_sha, text_sha = [], [], []
-            for value in batch.column(n):
-                ids = enc.encode(value.as_py() or "")
-                a, b, d = hashlib.sha256(), hashlib.sha256(), Decoder(enc.model)
-                for at in range(0, len(ids), step):
-                    part = ids[at : at + step]
-                    a.update((("," if at else "") + ",".join(map(number, part))).encode())
-                    b.update(d.feed(part).encode())
-                b.update(d.close().encode())
-                counts.append(len(ids))
-                ids_sha.append(a.hexdigest())
-                text_sha.append(b.hexdigest())
+            found = [one(value.as_py() or "") for value in batch.column(n)]
+            counts, ids_sha, text_sha = ([x[i] for x in found] for i in range(3))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], [*batch.schema.names[:n], "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema) + "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return small_batches(docs).select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    rows = docs.select(*keep, F.col(text).alias(own_names(kept.columns, "text_of")[0]))
+    return materialise(rows.mapInArrow(run, schema), "round-trip")

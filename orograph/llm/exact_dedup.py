@@ -4,7 +4,7 @@ Every document sends one small event ``(digest, doc_id, locator)``. A Structured
 keeps, in the RocksDB state store and with neither watermark nor expiry, how many rows had the text, the largest id and the
 locator of that row. Spark merges events of a key before the shuffle, so a text that is a third of all rows reaches its
 state as one row from each task. On hits (a digest with two rows or more) the full bytes are compared with the
-keeper's, which the locator finds.
+keeper's, which the locator and the identifier find; where they differ, the digest's rows are grouped by their bytes instead.
 
 Defined results: a null text is the empty text, and empty texts are copies of each other. Of equal texts the largest id
 stays; where that id itself is repeated, every row with the id is reported and ``drop_copies`` keeps one of them. A null id
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .shared import each, scratch_dir, small_batches
+from .shared import each, materialise, own_names, scratch_dir, small_batches, with_verdicts
 
 STORE = "spark.sql.streaming.stateStore"
 #: Native memory of all state partitions on an executor together, however many there are; a partition's files are closed and go from the executor when
@@ -81,42 +81,64 @@ class DedupState:
             "digest", F.col("best.doc_id").alias("keep_id"), F.col("best.locator").alias("keep_locator"), "group_size")
 
 
-def dedup_decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", locator=None, folder: str | None = None) -> DataFrame:
+def dedup_decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", locator=None, folder: str | None = None, contents: DataFrame | None = None, digest=normal_digest) -> DataFrame:
     """``doc_id, locator, keep_id, keep_locator, group_size, kept, text_sha256`` for every row of docs.
 
     locator: a column that tells where a row's content lies (a file's path, say), by default the id.
-    folder: that of an earlier run to go on from; its texts then count as rows that came before."""
-    spark = small_batches(docs).sparkSession
-    events = docs.select(normal_digest(text).alias("digest"), F.col(doc_id).alias("doc_id"), (F.col(doc_id) if locator is None else locator).alias("locator"))
+    folder: that of an earlier run to go on from; its texts then count as rows that came before, and ``contents`` (doc_id, locator, text) is
+    where the bytes of keepers from there are read; a hit whose keeper isn't found stands by its digest."""
+    spark = docs.sparkSession
+    place = (F.col(doc_id) if locator is None else locator).alias("locator")
+    events = docs.select(digest(text).alias("digest"), F.col(doc_id).alias("doc_id"), place)
     state = DedupState(spark, folder)
     feed = f"{state.folder}/feed/{uuid.uuid4().hex}"
-    events.write.parquet(feed)
+    with small_batches(spark):
+        events.write.parquet(feed)
     schema = spark.read.parquet(feed).schema
     state.ingest(schema)
-    decided = spark.read.schema(schema).parquet(feed).join(state.table(schema), "digest").select(
-        "doc_id", "locator", "keep_id", "keep_locator", "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
-    if not (odd := differing(docs, decided, doc_id, text)).isEmpty():
-        raise ValueError(f"equal SHA-256 digests of different texts: {odd.first()}")
-    return decided
-
-
-def differing(docs: DataFrame, decided: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Hits whose full normalised bytes are not those of their keeper. Only the texts of groups get to the comparison; there
-    the copies of one text are the large side of a join, which Spark may split over several tasks."""
-    hits = decided.where("group_size > 1").select(F.col("doc_id").alias("hit_id"), "text_sha256", "kept")
-    texts = docs.select(F.col(doc_id).alias("hit_id"), F.col(text).alias("t"))
-    own = texts.join(hits.hint("shuffle_hash"), texts["hit_id"].eqNullSafe(hits["hit_id"])).select(hits["hit_id"], "text_sha256", "kept", normal_bytes("t").alias("t"))
-    own = own.where(F.sha2("t", 256) == F.col("text_sha256"))
-    keepers = own.where("kept").dropDuplicates(["text_sha256"]).select("text_sha256", F.col("t").alias("keeper_text"))
-    return own.where("not kept").join(keepers, "text_sha256").where("t != keeper_text").select("hit_id", "text_sha256")
+    table = materialise(state.table(schema), "state")
+    decided = with_verdicts(spark.read.schema(schema).parquet(feed), table, "digest", "group_size").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), place, F.col(text).alias("t"))
+    odd = materialise(differing(texts, decided, contents, digest).select("digest").distinct(), "clashes")
+    if not odd.isEmpty():
+        decided = decided.join(odd, "digest", "left_anti").unionByName(by_bytes(texts, odd, digest))
+    return decided.select("doc_id", "locator", "keep_id", "keep_locator", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def differing(texts: DataFrame, decided: DataFrame, contents: DataFrame | None = None, digest=normal_digest) -> DataFrame:
+    """``digest, doc_id`` of hits whose full normalised bytes are not those of their keeper. Only the texts of groups get to the comparison. A
+    group's copies are dealt over as many keys as its share of all rows asks for (1024 at most), and its keeper goes to each of them."""
+    hits = decided.where("group_size > 1").select(F.col("doc_id").alias("hit"), F.col("locator").alias("at"), F.col("digest").alias("of"), "kept", "group_size").distinct()
+    found = lambda rows: rows.join(hits.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(hits["hit"]) & rows["locator"].eqNullSafe(hits["at"])).where(digest("t") == F.col("of"))
+    own = found(texts).select("of", "hit", "kept", "group_size", normal_bytes("t").alias("t"))
+    total = decided.count() or 1
+    spread = F.greatest(F.lit(1), F.ceil(F.col("group_size") * 1024 / total)).cast("int")
+    keepers = own.where("kept").select("of", "t", "group_size")
+    if contents is not None:
+        earlier = decided.where("group_size > 1").select(F.col("keep_id").alias("k"), F.col("keep_locator").alias("l"), F.col("digest").alias("of"), "group_size").distinct()
+        known = contents.select("doc_id", "locator", F.col("text").alias("t"))
+        known = known.join(earlier, known["doc_id"].eqNullSafe(earlier["k"]) & known["locator"].eqNullSafe(earlier["l"])).where(digest("t") == F.col("of"))
+        keepers = keepers.unionByName(known.select("of", normal_bytes("t").alias("t"), "group_size"))
+    keepers = keepers.dropDuplicates(["of"]).select("of", F.col("t").alias("keeper_text"), F.explode(F.sequence(F.lit(0), spread - 1)).alias("part"))
+    copies = own.where("not kept").withColumn("part", F.pmod(F.xxhash64("hit"), spread).cast("int"))
+    return copies.join(keepers, ["of", "part"]).where("t != keeper_text").select(F.col("of").alias("digest"), F.col("hit").alias("doc_id"))
+
+
+def by_bytes(texts: DataFrame, odd: DataFrame, digest=normal_digest) -> DataFrame:
+    """Decisions for the rows of digests that stand for several texts, by the texts themselves."""
+    rows = texts.withColumn("digest", digest("t")).join(odd, "digest", "left_semi").select("digest", "doc_id", "locator", normal_bytes("t").alias("bytes"))
+    best = rows.groupBy("digest", "bytes").agg(F.max(F.struct("doc_id", "locator")).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    return rows.join(best, ["digest", "bytes"]).select(
+        "digest", "doc_id", "locator", F.col("best.doc_id").alias("keep_id"), F.col("best.locator").alias("keep_locator"), "group_size", F.col("doc_id").eqNullSafe(F.col("best.doc_id")).alias("kept"))
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; of a repeated row one stays."""
-    made = docs.withColumn("__sha", F.lower(F.hex(normal_digest(text))))
-    kept = dedup_decisions(docs, doc_id, text).where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__of")).agg(F.count(F.lit(1)).alias("__rows"))
-    rest = made.join(kept, made[doc_id].eqNullSafe(kept["__id"]) & (made["__sha"] == kept["__of"]))
-    if not kept.where("__rows > 1").isEmpty():
-        rest = rest.dropDuplicates(["__id", "__of"])
+    sha, name, of, n = own_names(docs.columns, "sha_of", "kept_id", "kept_sha", "rows_of")
+    made = docs.withColumn(sha, F.lower(F.hex(normal_digest(text))))
+    kept = dedup_decisions(docs, doc_id, text).where("kept").groupBy(F.col("doc_id").alias(name), F.col("text_sha256").alias(of)).agg(F.count(F.lit(1)).alias(n))
+    kept = materialise(kept, "keepers")
+    rest = made.join(kept, made[doc_id].eqNullSafe(kept[name]) & (made[sha] == kept[of]))
+    if not kept.where(F.col(n) > 1).isEmpty():
+        rest = rest.dropDuplicates([name, of])
     return rest.select(*(docs[c] for c in docs.columns))

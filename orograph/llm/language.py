@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import each, small_batches
+from .shared import each, materialise, own_names, small_batches
 
 SIZE, SAMPLE_ROWS, MAX_LANGUAGES = 300, 4000, 2000
 BITS = 21
@@ -76,7 +76,7 @@ class Profiles:
 
 def learn(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", size: int = SIZE, sample_rows: int = SAMPLE_ROWS) -> Profiles:
     """Profiles from the rows of docs that have a label. The driver gets ``size`` n-grams of each language."""
-    labelled = small_batches(docs).where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(key).alias("h"))
+    labelled = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(key).alias("h"))
     rows = labelled.groupBy("label").count().limit(MAX_LANGUAGES + 1).collect()
     if len(rows) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -98,7 +98,9 @@ def learn(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "
     sums = sample.mapInArrow(count, "label string, key long, n long").groupBy("label", "key").agg(F.sum("n").alias("n"))
     best = sums.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "key"))).where(F.col("rank") <= size)
     by: dict[str, list] = {}
-    for r in best.orderBy("label", "rank").collect():
+    with small_batches(docs.sparkSession):
+        rows = best.orderBy("label", "rank").collect()
+    for r in rows:
         by.setdefault(r["label"], []).append(r["key"])
     return Profiles({k: np.array(v, np.int64) for k, v in by.items()}, size)
 
@@ -114,4 +116,5 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text", keep=("doc_
             found = [profiles.nearest(t) for t in each(batch.column(n))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*batch.schema.names[:n], "lang_pred", "score"])
 
-    return small_batches(docs).select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    rows = docs.select(*keep, F.col(text).alias(own_names(kept.columns, "text_of")[0]))
+    return materialise(rows.mapInArrow(run, schema), "languages")

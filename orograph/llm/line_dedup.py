@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from .shared import materialise, small_batches
+from .shared import materialise, own_names
 
 CUTS = {"line": regex.compile(r"\n"), "paragraph": regex.compile(r"\n[ \t]*\n\s*"), "sentence": regex.compile(r"\n|(?<=[.!?])\s+")}
 MIN_WORDS = 5
@@ -87,7 +87,7 @@ def occurrences(docs: DataFrame, levels, doc_id: str, text: str) -> DataFrame:
                 digests, starts, ends, leads = zip(*found, strict=True) if found else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(take, pa.int64())), pa.array(digests, pa.binary()), *(pa.array(x, pa.int32()) for x in (starts, ends, leads))], ["doc_id", "digest", "start", "stop", "lead"])
 
-    return small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, digest binary, start int, stop int, lead int")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, digest binary, start int, stop int, lead int")
 
 
 @F.arrow_udf(ArrayType(StructType().add("start", IntegerType()).add("stop", IntegerType())))

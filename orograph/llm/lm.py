@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .elias_fano import Trie
-from .shared import materialise, small_batches
+from .shared import materialise
 from .suffix_dedup import dump, load
 
 U = np.uint64
@@ -213,7 +213,7 @@ def _answers(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _source(docs: DataFrame, learn, doc_id: str, text: str) -> DataFrame:
-    return small_batches(docs).where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("train"), F.col(text).alias("text"))
+    return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("train"), F.col(text).alias("text"))
 
 
 def word_pass(source: DataFrame, tasks: int):
@@ -275,7 +275,7 @@ def score(docs: DataFrame, learn, doc_id: str = "doc_id", text: str = "text") ->
                 found = dump(p[7], per_document(p, trie.lookup(p[0], p[1], children(p[2]))).astype(np.float32))
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([found], pa.binary())], ["block", "payload"])
 
-    second = packs(source, tasks, True, hot).mapInArrow(run, "block long, payload binary")
+    second = materialise(packs(source, tasks, True, hot).mapInArrow(run, "block long, payload binary"), "lm-pairs")
     words = _answers(first.repartition(tasks, "block"), 4).select("doc_id", *(F.col(f"v{i}").alias(x) for i, x in enumerate(("n", "known", "base", "prior"))))
     pairs = _answers(second.repartition(tasks, "block"), 1).withColumnRenamed("v0", "pair")
     scores = words.join(pairs, "doc_id").select(

@@ -5,8 +5,8 @@ target stops at ``max_epochs`` times its size and what it can't take is shared a
 target is above its cap. A target of e epochs takes every document floor(e) times whole, then walks the source in a seeded
 order and takes documents once more until the target is met; the document at the end of the walk is taken in part.
 
-The seeded order is that of md5(seed:doc_id). The walk is done over ``2**bits`` ranges of that order first, so that only the
-range where the target falls is walked by rows: no source, however large, is sorted in one task.
+The seeded order is that of md5(seed:doc_id). The walk is done over ``2**bits`` ranges of that order first, then over as many ranges of the one where
+the target falls, and only the last range is walked by rows: no source, however large, is sorted in one task.
 
 Defined results: a null text has no words; a null source is a source of its own, last in the order of sources. Rows with
 equal md5 keys (repeated ids) are walked in the order of size, and equal rows take the same amount each (the walk's, by rank among
@@ -17,7 +17,9 @@ null take nothing. Extra columns are carried by ``take_rows``.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from orograph.shared import numbered
+
+from .shared import materialise, own_names
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,11 +29,9 @@ def n_words(text):
 
 
 def cycling_weights(sources: DataFrame, weights=(5.0, 2.0, 1.0)) -> DataFrame:
-    """Gives the sources, in the order of their code points and null last, the weights in turn. One row per source is sorted
-    in one task; documents are not."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(order) - 1) % len(weights)
-    return sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int")))
+    """Gives the sources, in the order of their code points and null last, the weights in turn."""
+    turn = F.pmod(F.col("turn"), F.lit(len(weights))).cast("int")
+    return numbered(sources, [F.col("source").asc_nulls_last()], "turn").withColumn("weight", F.get(F.array(*map(F.lit, weights)), turn)).drop("turn")
 
 
 def water_fill(sources: DataFrame, ratio: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
@@ -59,33 +59,49 @@ def decide(docs: DataFrame, weigh=cycling_weights, ratio: float = 1.5, max_epoch
     """``doc_id, source, size, source_size, target, taken`` for each row of docs; weigh gives sources (source, source_size)
     a column weight."""
     key = order_key(F.col(doc_id), seed)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), key.alias("key"),
-                       F.conv(F.substring(key, 1, 4), 16, 10).cast("int").bitwiseAND((1 << 16) - 1).alias("cell"))
-    rows = materialise(rows.withColumn("cell", F.shiftright("cell", 16 - bits)), "sizes")
-    cells = materialise(rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size")), "cells")
+    digits = F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), key.alias("key"), digits.alias("digits"))
+    rows = rows.withColumns({f"cell{k}": F.shiftright("digits", 32 - (k + 1) * bits).bitwiseAND((1 << bits) - 1).cast("int") for k in range(2)}).drop("digits")
+    rows = materialise(rows, "sizes")
+    cells = materialise(rows.groupBy("source", "cell0").agg(F.sum("size").alias("cell_size")), "cells")
     sources = water_fill(weigh(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"))), ratio, max_epochs)
     # the words of the last, broken epoch
     sources = sources.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    sources = sources.withColumn("rest", (F.floor("target") - F.col("whole") * F.col("source_size")).cast("long"))
-    walk = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    sources = materialise(sources.withColumn("left", (F.floor("target") - F.col("whole") * F.col("source_size")).cast("long")), "sources")
+    of = [c for c in sources.columns if c != "source"]
+    # all cells of a source before the broken one go in whole, all behind it stay out; the broken one is walked in cells of its own, and
+    # of these the broken one row by row: a 2**(2 * bits)-th of the source
+    first = walked(rows, cells, sources, "cell0", of)
+    second = first.where("kind = 2").drop("kind", "more")
+    inner = second.groupBy("source", "cell1").agg(F.sum("size").alias("cell_size"))
+    broken = materialise(second.groupBy("source").agg(*(F.first(c).alias(c) for c in of)), "broken")
+    second = walked(second.drop(*of), inner, broken, "cell1", of)
+    within = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    last = second.where("kind = 2").withColumn("gone", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    last = last.withColumn("more", F.greatest(F.lit(0), F.least(F.col("left") - F.col("gone"), F.col("size"))).cast("long"))
+    columns = ["doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("more")).cast("long").alias("taken")]
+    return first.where("kind < 2").select(columns).union(second.where("kind < 2").select(columns)).union(last.select(columns))
+
+
+def walked(rows: DataFrame, cells: DataFrame, sources: DataFrame, cell: str, of: list[str]) -> DataFrame:
+    """rows with the columns ``of`` of their source, where ``left`` becomes what is left for the row's cell in the walk of the source's
+    cells (source, cell, cell_size), ``kind`` (0: nothing is left, 1: enough for all of it, 2: the broken one) and ``more``, the words taken where kind is 0 or 1."""
     # at most 2**bits cells for a source, so this window is bounded
+    walk = Window.partitionBy("source").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
     edges = cells.withColumn("before", F.coalesce(F.sum("cell_size").over(walk), F.lit(0)))
     edges = edges.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    left = F.greatest(F.lit(0), F.least(F.col("rest") - F.col("before"), F.col("cell_size"))).cast("long")
-    edges = edges.select(F.col("source").alias("s"), F.col("cell").alias("c"), "source_size", "target", "whole", left.alias("left"), "cell_size")
-    edges = edges.withColumn("kind", F.when(F.col("left") == 0, 0).when(F.col("left") == F.col("cell_size"), 1).otherwise(2))
-    known = rows.join(edges, rows["source"].eqNullSafe(edges["s"]) & (rows["cell"] == edges["c"])).drop("s", "c")
-    plain = known.where("kind < 2").withColumn("more", F.when(F.col("kind") == 1, F.col("size")).otherwise(F.lit(0)))
-    # one cell of each source
-    within = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    broken = known.where("kind = 2").withColumn("gone", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    broken = broken.withColumn("more", F.greatest(F.lit(0), F.least(F.col("left") - F.col("gone"), F.col("size"))).cast("long")).drop("gone")
-    return plain.unionByName(broken).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("more")).cast("long").alias("taken"))
+    left = F.greatest(F.lit(0), F.least(F.col("left") - F.col("before"), F.col("cell_size"))).cast("long")
+    kind = F.when(left == 0, 0).when(left == F.col("cell_size"), 1).otherwise(2)
+    edges = edges.select(F.col("source").alias("s"), F.col(cell).alias("c"), kind.alias("kind"), *(left.alias(c) if c == "left" else F.col(c) for c in of))
+    known = rows.join(edges, rows["source"].eqNullSafe(edges["s"]) & (rows[cell] == edges["c"])).drop("s", "c")
+    return known.withColumn("more", F.when(F.col("kind") == 1, F.col("size")).otherwise(F.lit(0)).cast("long"))
 
 
 def take_rows(docs: DataFrame, decided: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs as often as the mix takes them, with the columns of docs. A document taken in part is taken
-    once more if that part is half of it or more, so every row keeps its whole text. Ids must be unique."""
-    times = decided.select(F.col("doc_id").alias("__id"), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int").alias("__times")).where("__times > 0")
-    rows = docs.join(times, docs[doc_id].eqNullSafe(times["__id"]))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*(docs[c] for c in docs.columns))
+    once more if that part is half of it or more, so every row keeps its whole text. Rows that share an id are each taken as often as one of them."""
+    name, copy, times = own_names(docs.columns, "id_of", "copy_of", "times_of")
+    n = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+    found = decided.select(F.col("doc_id").alias(name), n.alias(times)).groupBy(name).agg(F.max(times).alias(times)).where(F.col(times) > 0)
+    rows = docs.join(found, docs[doc_id].eqNullSafe(found[name]))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(docs[c] for c in docs.columns))

@@ -22,6 +22,7 @@ whole; a very long text has a band of a ninth of both lengths.
 """
 
 import hashlib
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .graph import components
-from .shared import materialise, packed, small_batches, unpacked
+from .shared import materialise, own_names, packed, size_of, unpacked, with_verdicts
 
 SHINGLE, SIMILARITY = 5, 0.8
 SEEDS, LENGTH = 32, 4
@@ -44,14 +45,15 @@ PLACE = _random.integers(0, 1 << 64, LENGTH, np.uint64) | np.uint64(1)
 def shingles(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """Hashes of each row's shingles in the order of the text; data is lower-cased."""
     start, end, row = W.words(data, offsets)
-    hashes = W.span_hash(W.running(W.BYTE[data]), start, end)
+    hashes = W.word_hashes(data, start, end)
+    del start, end
     at, wide = W.windows(hashes, row, SHINGLE)
     n = len(offsets) - 1
     out = np.split(wide, np.searchsorted(row[at], np.arange(1, n)))
     few = np.bincount(row, minlength=n) if len(row) else np.zeros(n, int)
     for i in np.flatnonzero((few > 0) & (few < SHINGLE)):
         a = np.searchsorted(row, i)
-        out[i] = W.span_hash(W.running(hashes), np.array([a]), np.array([a + few[i]]))
+        out[i] = W.span_hash(W.running(hashes[a : a + few[i]]), np.array([0]), np.array([few[i]]))
     return out
 
 
@@ -69,9 +71,12 @@ def sketch(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order-preserving sketch (one hash an entry) and two words of one-bit minima."""
     items = labelled(own)
     k = min(LENGTH, len(items))
-    ranks = (items[None, :] ^ SALTS) * np.uint64(0x9FB21C651E98DF25)
-    ranks ^= ranks >> np.uint64(29)
-    least = np.argpartition(ranks, k - 1, axis=1)[:, :k] if k < len(items) else np.tile(np.arange(k), (SEEDS, 1))
+    least = np.empty((SEEDS, k), np.int64)
+    step = max(1, (1 << 20) // max(1, len(items)))  # of a long text a few hash functions at a time
+    for at in range(0, SEEDS, step):
+        ranks = (items[None, :] ^ SALTS[at : at + step]) * np.uint64(0x9FB21C651E98DF25)
+        ranks ^= ranks >> np.uint64(29)
+        least[at : at + step] = np.argpartition(ranks, k - 1, axis=1)[:, :k] if k < len(items) else np.arange(k)
     least.sort(axis=1)
     with np.errstate(over="ignore"):
         entries = W.mix((items[least] * PLACE[:k]).sum(1, dtype=np.uint64) ^ SALTS[:, 0])
@@ -101,20 +106,43 @@ def alike(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
         return True
     if need > min(len(a), len(b)) or np.isin(a, b).sum() < need:
         return False
-    # bit-parallel alignment over the rest: bit i is a's i-th shingle; only cells within the band may match
-    band = int(total * (1 - least) / (1 + least)) + 1
-    places: dict[int, int] = {}
-    for i, x in enumerate(a.tolist()):
-        places[x] = places.get(x, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row, width = full, (1 << (2 * band + 1)) - 1
-    for j, y in enumerate(b.tolist()):
-        hit = places.get(y, 0)
-        if hit:
-            hit &= width << (j - band) if j >= band else width >> (band - j)
+    return matched(a.tolist(), b.tolist(), int(total * (1 - least) / (1 + least)) + 1) >= need
+
+
+def matched(a: list, b: list, band: int) -> int:
+    """The most items that an alignment of a and b matches in order, none further than ``band`` places apart: bit-parallel over a window of a's places.
+
+    Bit i of ``row`` stands for place ``base + i`` of a; a zero is a match. Places that the window leaves behind can't change any more, so
+    their zeros are counted and dropped: memory is that of the band beside the two lists."""
+    places: dict = {}
+    for i, x in enumerate(a):
+        places.setdefault(x, []).append(i)
+    slack = max(64, band)
+    width = 2 * band + 1 + slack
+    full = (1 << width) - 1
+    row, base, done = full, 0, 0
+    for j, y in enumerate(b):
+        found = places.get(y)
+        if found is None:
+            continue
+        if j - band > base + slack:
+            shift = j - band - base
+            done += shift - (row & ((1 << shift) - 1)).bit_count() if shift < width else width - row.bit_count()
+            row = (row >> shift | full << max(0, width - shift)) & full
+            base += shift
+        lo, hi = bisect_left(found, j - band), bisect_right(found, j + band)
+        if hi - lo > 64:  # a shingle said very often: its bits at once
+            flags = np.zeros(width, np.uint8)
+            flags[np.array(found[lo:hi]) - base] = 1
+            hit = int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little") & row
+        else:
+            hit = 0
+            for i in found[lo:hi]:
+                hit |= 1 << (i - base)
             hit &= row
+        if hit:
             row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count() >= need
+    return done + width - row.bit_count()
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -148,18 +176,28 @@ def _near(a: str, b: str):
     return (small >= large * SIMILARITY) & (apart <= MOST_BITS)
 
 
+def by_size(batch: pa.RecordBatch, columns, most: int):
+    """Slices of a batch whose packed texts have about ``most`` bytes together when unpacked; a longer row is alone."""
+    sizes = sum(np.array([size_of(x.as_py()) for x in batch.column(c)], np.int64) for c in columns)
+    ends, at = np.cumsum(sizes), 0
+    while at < len(batch):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """For pairs (a, b), by their texts (id, t as ``packed``): whether they are ``alike``, and of b how many labelled shingles it
     has and which of them (``extra``) a lacks."""
 
     def run(batches):
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                rows = batch.slice(at, 256)
+            for rows in by_size(batch, (2, 3), 1 << 19):
                 sides = []
                 for c in (2, 3):
-                    _, data, offsets = next(W.chunks([pa.RecordBatch.from_arrays([pa.array(map(unpacked, rows.column(c).to_pylist()), pa.large_binary())], ["text"])], "text", 1 << 62))
-                    sides.append(shingles(W.LOWER[data], offsets))
+                    values = [unpacked(x) for x in rows.column(c).to_pylist()]
+                    data = np.frombuffer(b"".join(values), np.uint8)
+                    sides.append(shingles(W.LOWER[data], np.cumsum([0, *map(len, values)])))
                 good = [alike(x, y) for x, y in zip(*sides, strict=True)]
                 extra = [np.setdiff1d(labelled(y), labelled(x)).view(np.int64) for x, y in zip(*sides, strict=True)]
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(good, pa.bool_()), pa.array(extra, pa.list_(pa.int64()))], ["a", "b", "alike", "extra"])
@@ -202,10 +240,8 @@ def _unlinked(star: DataFrame, checked: DataFrame, part: DataFrame) -> DataFrame
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, class_id, n_links, kept`` for every row of docs. n_links: verified links of the text that stands for the row's
     copies."""
-    rows = materialise(sketches(small_batches(docs), doc_id, text), "sketch")
-    # written first, so that the joins below start from two plain shuffles and Spark may split a text that is very many rows
-    stands = materialise(rows.groupBy("same").agg(F.min("id").alias("rep")), "stands")
-    copies = rows.select("id", "same").join(stands, "same").select("id", "rep").distinct()
+    rows = materialise(sketches(docs, doc_id, text), "sketch")
+    stands = materialise(rows.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "stands")
     reps = rows.join(stands.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     each = reps.select("id", "n", "bits0", "bits1", F.explode("entries").alias("entry"))
     groups = each.groupBy("entry").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -227,18 +263,20 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         links = links.union(more).distinct()
         part = components(links, "a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    found = copies.join(part.select(F.col("id").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
-    found = found.select(F.col("id").alias("__id"), F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    verdict = stands.join(part.select(F.col("id").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
+    verdict = materialise(verdict.select("same", "copies", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "verdict")
+    found = with_verdicts(rows.select(F.col("id").alias("id_of"), "same"), verdict, "same", "copies").select("id_of", "class_id", "n_links").distinct()
     ids = docs.select(F.col(doc_id).alias("doc_id"))
-    out = ids.join(found, ids["doc_id"].eqNullSafe(found["__id"]), "left")
+    out = ids.join(found, ids["doc_id"].eqNullSafe(found["id_of"]), "left")
     out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs whose id stands for its class, with all their columns."""
-    gone = classes(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    name = own_names(docs.columns, "gone")[0]
+    gone = classes(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(doc_id) == F.col(name), "left_anti")
 
 
 __all__ = ["alike", "classes", "drop_near", "sketches"]

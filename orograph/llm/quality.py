@@ -18,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from . import words as W
-from .shared import small_batches
+from .shared import materialise, small_batches
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOL, UPPER, LOWER_, BANG = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b"#*$%&|<>", bytes(range(65, 91)), bytes(range(97, 123)), b"!"))
@@ -161,8 +162,10 @@ def order_rules(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: i
                 n = int(np.sum(rule.rejects(Batch(data, offsets))))
                 yield pa.RecordBatch.from_pydict({"rule": [i], "n": [len(offsets) - 1], "rejected": [n], "s": [time.perf_counter() - began]})
 
-    sample = small_batches(docs).select(F.col(text).alias("t")).limit(sample_rows)
-    rows = sample.mapInArrow(measure, "rule long, n long, rejected long, s double").groupBy("rule").agg(F.sum("n").alias("n"), F.sum("rejected").alias("r"), F.sum("s").alias("s")).collect()
+    sample = docs.select(F.col(text).alias("t")).limit(sample_rows)
+    sums = sample.mapInArrow(measure, "rule long, n long, rejected long, s double").groupBy("rule").agg(F.sum("n").alias("n"), F.sum("rejected").alias("r"), F.sum("s").alias("s"))
+    with small_batches(docs.sparkSession):
+        rows = sums.collect()
     # half a rejection more, so that of rules without one the cheaper goes first
     score = {r["rule"]: (r["r"] + 0.5) / max(r["s"], 1e-9) for r in rows}
     return [rules[i] for i in sorted(range(len(rules)), key=lambda i: (-score.get(i, 0.0), i))]
@@ -182,15 +185,16 @@ def judge(docs: DataFrame, rules=None, measures=("n_words",), doc_id: str = "doc
             kept, by = cascade(batch, rules)
             yield pa.RecordBatch.from_arrays([rows.column(0), *cols, pa.array(kept), pa.array(names[by], pa.string())], ["doc_id", *measures, "kept", "rejected_by"])
 
-    return small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return materialise(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema), "judged")
 
 
 def filter_quality(docs: DataFrame, rules=None, text: str = "text") -> DataFrame:
-    """The rows of docs that no rule rejects, with all their columns."""
+    """The rows of docs that no rule rejects, with all their columns. Python is sent the text and answers with a boolean; rows stay with Spark."""
     rules = order_rules(docs, text=text) if rules is None else list(rules)
 
-    def run(batches):
-        for rows, data, offsets in W.chunks(batches, text):
-            yield rows.filter(pa.array(cascade(Batch(data, offsets), rules)[0]))
+    @F.arrow_udf(BooleanType())
+    def passes(values: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([values], ["text"])
+        return pa.array(np.concatenate([np.zeros(0, bool), *(cascade(Batch(data, offsets), rules)[0] for _, data, offsets in W.chunks([batch]))]))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return docs.where(passes(F.col(text)))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import packed, small_batches, unpacked
+from .shared import materialise, packed, unpacked
 
 LENGTH, PART, FINE_PART = 50, 20, 32
 BLOCK, CHUNK, PARTS_PER_BUCKET = 12 << 20, 1 << 19, 16
@@ -486,7 +486,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = tasks
-    source = small_batches(docs).where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     shared = candidates(source, length, tasks, buckets)
     texts = source.select("doc_id", packed("text").alias("t")).join(shared, "doc_id").select("doc_id", "t", "found")
 
@@ -548,4 +548,4 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "stops", "kept"]
-    return rows.mapInArrow(apply, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<int>, stops array<int>, kept binary")
+    return materialise(rows.mapInArrow(apply, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<int>, stops array<int>, kept binary"), "cut")

@@ -94,6 +94,17 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """Hashes of words, taken for about ``most`` bytes at a time, so that a very long text needs 8 bytes a word and no running sums over all of it."""
+    out = np.empty(len(start), U)
+    at = 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + most, "right")))
+        out[at:to] = span_hash(running(BYTE[data[start[at] : end[to - 1]]]), start[at:to] - start[at], end[at:to] - start[at])
+        at = to
+    return out
+
+
 def windows(hashes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Place of the first word and hash of every n words in a row."""
     if len(hashes) < n:

@@ -2,8 +2,10 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from orograph.llm import exact_dedup, mixing, quality, secrets
 from orograph.llm.shared import scratch_dir
@@ -183,8 +185,24 @@ def test_exact_dedup_state_goes_on(spark, docs):
     assert got == {k: v for k, v in whole.items() if k % 2}
 
 
-def test_byte_check_finds_a_false_hit(spark):
-    docs = spark.createDataFrame([(1, "x"), (2, "x")], "doc_id long, text string")
-    decided = exact_dedup.dedup_decisions(docs)
-    assert exact_dedup.differing(docs, decided).count() == 0
-    assert SCHEMA.startswith("doc_id")
+@F.arrow_udf(BinaryType())
+def first_letter(text: pa.Array) -> pa.Array:
+    """A digest that different texts share."""
+    return pa.array([(x or b"")[:1].lower() for x in text.cast(pa.binary()).to_pylist()], pa.binary())
+
+
+def test_texts_of_one_digest_are_told_apart(spark):
+    table = [(1, "xa"), (2, "XA"), (3, "xb"), (4, "y"), (5, "xb"), (6, "Y"), (7, None)]
+    got = exact_dedup.dedup_decisions(spark.createDataFrame(table, "doc_id long, text string"), digest=first_letter)
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got.collect()} == {
+        1: (2, 2, False), 2: (2, 2, True), 3: (5, 2, False), 5: (5, 2, True), 4: (6, 2, False), 6: (6, 2, True), 7: (7, 1, True)}
+
+
+def test_keepers_of_an_earlier_run_are_read_by_locator(spark):
+    folder = scratch_dir(spark, "state")
+    early = spark.createDataFrame([(9, "same", "f1"), (8, "xb", "f1")], "doc_id long, text string, at string")
+    exact_dedup.dedup_decisions(early, locator=F.col("at"), folder=folder, digest=first_letter).count()
+    late = spark.createDataFrame([(1, "SAME", "f2"), (2, "xc", "f2")], "doc_id long, text string, at string")
+    seen = early.withColumnRenamed("at", "locator")
+    got = {r.doc_id: (r.keep_id, r.keep_locator, r.kept) for r in exact_dedup.dedup_decisions(late, locator=F.col("at"), folder=folder, contents=seen, digest=first_letter).collect()}
+    assert got == {1: (9, "f1", False), 2: (2, "f2", True)}
