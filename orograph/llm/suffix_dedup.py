@@ -20,8 +20,10 @@ Before either shuffle a task keeps of equal things only that of the smallest doc
 ids are removed there and then, as all their strings are in that document. So a passage that a third of all rows hold is sent once
 by each task. Equal fragments of several tasks are one row of the collection, by the same argument.
 
+There are as many buckets as shuffle partitions, and more where a bucket would get above ``BUCKET_BYTES`` of text; a task holds one bucket at a time.
+
 Defined results: a null text is empty. Texts under LENGTH bytes keep all. A row with a null doc_id keeps all and is no source of a match. Equal
-rows need different ids: ids must be unique. An empty table gives no rows. Extra columns are ignored.
+rows need different ids: ids must be unique, and may be of any type that has an order. An empty table gives no rows. Extra columns are ignored.
 """
 
 import hashlib
@@ -30,12 +32,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
+
+from orograph.shared import numbered
 
 from . import words as W
-from .shared import materialise, packed, unpacked
+from .shared import materialise, own_names, packed, unpacked
 
 LENGTH, PART, FINE_PART = 50, 20, 32
-BLOCK, CHUNK, PARTS_PER_BUCKET = 12 << 20, 1 << 19, 16
+BLOCK, CHUNK, PARTS_PER_BUCKET, BUCKET_BYTES = 12 << 20, 1 << 19, 16, 32 << 20
 #: Bits of a minimiser that are left out on its way; a chance meeting only makes a fragment a candidate.
 SHORT, SHORTER = 16, 32
 
@@ -124,10 +129,18 @@ def joined(start, stop, doc):
     """Spans in the order of (doc, start), those that touch within a document made one."""
     if not len(doc):
         return start, stop, doc
-    far = np.maximum.accumulate(stop + (np.cumsum(np.append(0, doc[1:] != doc[:-1])) << 40))
-    new = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] > (far[:-1] & ((1 << 40) - 1))))
+    # ends within a document, moved behind all ends of the documents before; the two numbers together stay below 2**63, as neither is above 2**31
+    start, stop = start.astype(np.int64), stop.astype(np.int64)
+    base = np.cumsum(np.append(0, doc[1:] != doc[:-1])) * (int(stop.max()) + 1)
+    far = np.maximum.accumulate(stop + base) - base
+    new = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] > far[:-1]))
     at = np.flatnonzero(new)
-    return start[at], far[np.append(at[1:] - 1, len(doc) - 1)] & ((1 << 40) - 1), doc[at]
+    return start[at], far[np.append(at[1:] - 1, len(doc) - 1)], doc[at]
+
+
+def number_kind(most: int):
+    """The smallest unsigned kind that holds ``most``."""
+    return next(k for k in (np.uint8, np.uint16, np.uint32) if most <= np.iinfo(k).max)
 
 
 class Block:
@@ -177,7 +190,7 @@ class Block:
             h, e = heads[edges[b] : edges[b + 1]], entry[cuts[b] : cuts[b + 1]]
             high = (least[h] >> np.uint64(32)).astype(np.uint32)
             # sorted by the whole minimiser, so differences are small
-            yield int(b), dump(np.diff(high, prepend=np.uint32(0)), size[h].astype(np.uint8), gather(data, start[h], size[h]),
+            yield int(b), dump(np.diff(high, prepend=np.uint32(0)), size[h].astype(number_kind(2 * self.length)), gather(data, start[h], size[h]),
                                np.diff(owner[e] - edges[b], prepend=0).astype(np.uint8), doc[e], place[e].astype(np.int32))
 
     def _removed(self, doc, place, size):
@@ -189,12 +202,13 @@ class Block:
 
 
 def column_wise(data: np.ndarray, start: np.ndarray, size: np.ndarray):
-    """The sorted suffixes of a collection: fragment, suffix length and common prefix with the one above (at most 255)."""
+    """The sorted suffixes of a collection: fragment, suffix length and common prefix with the one above."""
     n = len(start)
     end = start + size
     who = np.arange(n, dtype=np.int32)
-    long_ = np.zeros(n, np.uint8)
-    common = np.zeros(n, np.uint8)
+    kind = number_kind(int(size.max(initial=0)))
+    long_ = np.zeros(n, kind)
+    common = np.zeros(n, kind)
     before = data[end - 1].astype(np.int16) if n else np.zeros(0, np.int16)  # the transform; -1 where a fragment begins
     at = np.arange(n)  # place of each fragment's longest suffix
     live = np.arange(n)
@@ -211,17 +225,17 @@ def column_wise(data: np.ndarray, start: np.ndarray, size: np.ndarray):
         touched = np.flatnonzero(flag[: len(rank)])
         lower, upper = rank[touched], rank[touched - 1]
         same = (before[lower] == before[upper]) & (touched > ends)
-        value = np.zeros(len(touched), np.uint8)
+        value = np.zeros(len(touched), kind)
         if same.any():
             pairs = np.empty(2 * int(same.sum()), np.int64)
             pairs[::2], pairs[1::2] = upper[same] + 1, lower[same] + 1
-            value[same] = np.minimum.reduceat(np.append(common, np.uint8(0)), pairs)[::2] + 1
+            value[same] = np.minimum.reduceat(np.append(common, kind(0)), pairs)[::2] + 1
         shift = n - ends
         to += shift
         total = len(rank) - ends + n
         old = np.ones(total, bool)
         old[to] = False
-        grown = np.empty(total, np.int32), np.empty(total, np.uint8), np.empty(total, np.uint8), np.empty(total, np.int16)
+        grown = np.empty(total, np.int32), np.empty(total, kind), np.empty(total, kind), np.empty(total, np.int16)
         for new, was in zip(grown, (who, long_, common, before), strict=True):
             new[old] = was
         who, long_, common, before = grown
@@ -422,11 +436,11 @@ def sent_rows(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary())], ["bucket", "payload"])
 
 
-def dealt(doc: np.ndarray, tasks: int, *values: np.ndarray) -> pa.RecordBatch:
+def dealt(doc: np.ndarray, parts: int, *values: np.ndarray) -> pa.RecordBatch:
     """What a bucket has found, in one row for each part of the documents: ids and values in the order of the ids."""
-    part = (W.mix(doc.astype(np.uint64)) % np.uint64(tasks)).astype(np.int64)
+    part = (W.mix(doc.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
     order = np.lexsort((doc, part))
-    edges = np.searchsorted(part[order], np.arange(tasks + 1))
+    edges = np.searchsorted(part[order], np.arange(parts + 1))
     rows = [(p, order[edges[p] : edges[p + 1]]) for p in np.flatnonzero(edges[1:] > edges[:-1])]
     return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([dump(doc[i], *(v[i] for v in values)) for _, i in rows], pa.binary())], ["part", "payload"])
 
@@ -435,8 +449,7 @@ def gathered(found: DataFrame, tasks: int) -> DataFrame:
     """``doc_id, found``: one row a document with all that the buckets have found of it (arrays as ``dump`` packs them), from the rows of ``dealt``."""
 
     def gather_(batches):
-        parts = [load(x.as_py()) for batch in batches for x in batch.column(1)]
-        if parts:
+        for parts in by_bucket(batches):
             doc, *values = (np.concatenate(x) for x in zip(*parts, strict=True))
             ids, lists = by_document(doc, *values)
             kinds = [v.dtype for v in values]
@@ -445,7 +458,7 @@ def gathered(found: DataFrame, tasks: int) -> DataFrame:
                 packs = [dump(*(np.frombuffer(x, k) for x, k in zip(row, kinds, strict=True))) for row in zip(*(v[cut] for v in lists), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[cut], pa.int64()), pa.array(packs, pa.binary())], ["doc_id", "found"])
 
-    return found.repartition(tasks, "part").mapInArrow(gather_, "doc_id long, found binary")
+    return found.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(gather_, "doc_id long, found binary")
 
 
 def by_document(doc: np.ndarray, *values: np.ndarray):
@@ -475,18 +488,18 @@ def candidates(source: DataFrame, length: int, tasks: int, buckets: int) -> Data
     def share(batches):
         for payloads in by_bucket(batches):
             doc, least = shared_minimisers(payloads)
-            yield dealt(doc, tasks, (least >> np.uint64(SHORTER - SHORT)).astype(np.uint32))
+            yield dealt(doc, buckets, (least >> np.uint64(SHORTER - SHORT)).astype(np.uint32))
 
     sent = source.mapInArrow(anchors, "bucket int, payload binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
     return gathered(sent.mapInArrow(share, "part int, payload binary"), tasks)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, found`` (starts and sizes as ``dump`` packs them; they may overlap), a row for each document that loses bytes."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """``doc_id, found`` (starts and sizes as ``dump`` packs them; they may overlap), a row for each document that loses bytes. Ids are 64-bit numbers."""
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = tasks
     source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    buckets = max(tasks, -(-(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes))
     shared = candidates(source, length, tasks, buckets)
     texts = source.select("doc_id", packed("text").alias("t")).join(shared, "doc_id").select("doc_id", "t", "found")
 
@@ -518,7 +531,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
             doc, start, stop = bucket_removals(payloads, length)
             order = np.lexsort((start, doc))
             start, stop, doc = joined(start[order], stop[order], doc[order])
-            yield dealt(doc, tasks, start.astype(np.int32), (stop - start).astype(np.int32))
+            yield dealt(doc, buckets, start.astype(np.int32), (stop - start).astype(np.int32))
 
     sent = texts.mapInArrow(cut, "bucket int, payload binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
     return gathered(sent.mapInArrow(match, "part int, payload binary"), tasks)
@@ -526,6 +539,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", with_bytes: bool = True) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, stops`` and, if asked for, ``kept`` (the bytes that remain) of each row."""
+    if not isinstance(docs.schema[doc_id].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        # other ids are numbered in their order
+        number, own = own_names(docs.columns, "number_of", "id_of")
+        ids = numbered(docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias(own)).distinct(), [F.col(own)], number)
+        ids = materialise(ids, "numbers")
+        found = cut_repeats(docs.join(ids, docs[doc_id] == ids[own], "left"), length, number, text, with_bytes)
+        return found.join(ids, found["doc_id"] == ids[number], "left").select(F.col(own).alias("doc_id"), *found.columns[1:])
     spans = repeated_spans(docs, length, doc_id, text)
     rows = docs.select(F.col(doc_id).alias("id"), packed(text).alias("t")).join(spans, F.col("id") == F.col("doc_id"), "left").select("id", "t", "found")
     kind = docs.schema[doc_id].dataType.simpleString()
