@@ -1,17 +1,30 @@
 """Elias-Fano sequences and a two-level n-gram trie over one buffer.
 
-A sequence of n ascending numbers is split into low parts (whole bytes, at least log2(universe / n) bits) and high parts, written in unary
-into a bit vector. All arrays are views of the buffer they were read from: a memory-mapped file, or a column of an Arrow batch, is
-used in place. Queries are arrays: each call answers all of them."""
+A sequence of n ascending numbers is split into low parts of log2(universe / n) bits, one after the other, and high parts, written in unary
+into a bit vector. All arrays are views of the buffer they were read from, such as a memory map, and are used in place. Queries are arrays:
+each call answers all of them."""
+
+import mmap
+from collections.abc import Iterator
 
 import numpy as np
 
 U = np.uint64
 
 
+def packed_bits(values: np.ndarray, bits: int) -> np.ndarray:
+    """The lowest bits of each value one after the other in 64-bit words, and a word more."""
+    parts = []
+    for at in range(0, len(values) if bits else 0, 1 << 14):
+        own = np.ascontiguousarray(values[at : at + (1 << 14)].astype("<u8")).view(np.uint8).reshape(-1, 8)
+        parts.append(np.packbits(np.unpackbits(own, axis=1, bitorder="little")[:, :bits].reshape(-1), bitorder="little"))
+    raw = np.concatenate([*parts, np.zeros(0, np.uint8)])
+    return np.append(raw, np.zeros(16 - len(raw) % 8, np.uint8)).view(U)
+
+
 class EliasFano:
-    def __init__(self, n: int, bytes_: int, low: np.ndarray, words: np.ndarray):
-        self.n, self.bytes, self.low, self.words = n, bytes_, low.reshape(n, bytes_), words
+    def __init__(self, n: int, bits: int, low: np.ndarray, words: np.ndarray):
+        self.n, self.bits, self.low, self.words = n, bits, low, words
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words).astype(np.int64))])
         self.ones, self.zeros = ones, np.arange(len(ones), dtype=np.int64) * 64 - ones
 
@@ -20,16 +33,15 @@ class EliasFano:
         values = values.astype(U)
         n = len(values)
         universe = int(values[-1]) + 1 if n else 1
-        bytes_ = -(-max(0, (universe // max(n, 1)).bit_length() - 1) // 8)
-        low = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(n, 8)[:, :bytes_].copy()
-        high = (values >> U(8 * bytes_)).astype(np.int64) if bytes_ < 8 else np.zeros(n, np.int64)
+        bits = max(0, (universe // max(n, 1)).bit_length() - 1)
+        high = (values >> U(bits)).astype(np.int64)
         size = n + (int(high[-1]) if n else 0) + 1
-        bits = np.zeros(-(-size // 64) * 64, np.uint8)
-        bits[high + np.arange(n)] = 1
-        return cls(n, bytes_, low.reshape(-1), np.packbits(bits, bitorder="little").view(U))
+        unary = np.zeros(-(-size // 64) * 64, np.uint8)
+        unary[high + np.arange(n)] = 1
+        return cls(n, bits, packed_bits(values, bits), np.packbits(unary, bitorder="little").view(U))
 
     def arrays(self) -> list[np.ndarray]:
-        return [np.array([self.n, self.bytes], np.int64), self.low.reshape(-1), self.words]
+        return [np.array([self.n, self.bits], np.int64), self.low, self.words]
 
     @classmethod
     def from_arrays(cls, head: np.ndarray, low: np.ndarray, words: np.ndarray) -> "EliasFano":
@@ -44,9 +56,11 @@ class EliasFano:
         return word * 64 + (seen <= (k - before[word])[:, None].astype(np.uint8)).sum(1)
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(i), 8), np.uint8)
-        out[:, : self.bytes] = self.low[i]
-        return out.view("<u8").reshape(-1).astype(U)
+        place = i * self.bits
+        word, shift = place >> 6, (place & 63).astype(U)
+        # a part may go on in the next word; shifting by 63 and by one more is a shift by 64 where nothing does
+        both = (self.low[word] >> shift) | ((self.low[word + 1] << (U(63) - shift)) << U(1))
+        return both & U((1 << self.bits) - 1)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at places i."""
@@ -54,14 +68,14 @@ class EliasFano:
         if not len(i):
             return np.zeros(0, U)
         high = (self._select(i, True) - i).astype(U)
-        return self._lows(i) | (high << U(8 * self.bytes) if self.bytes < 8 else U(0))
+        return self._lows(i) | (high << U(self.bits))
 
     def successor(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first place in [lo, hi) with a value of x or more (hi if none), and whether it is x."""
         x = x.astype(U)
         if not len(x) or not self.n:
             return np.minimum(lo, hi), np.zeros(len(x), bool)
-        high = np.minimum(x >> U(8 * self.bytes) if self.bytes < 8 else np.zeros(len(x), U), U(self.zeros[-1])).astype(np.int64)
+        high = np.minimum(x >> U(self.bits), U(self.zeros[-1])).astype(np.int64)
         # a bucket holds the values with one high part; it ends at the zero of that number
         last = int(self.words.size * 64 - self.n)  # zeros there are, padding included
         end = np.full(len(x), self.n, np.int64)
@@ -72,7 +86,7 @@ class EliasFano:
         begin[mid] = np.minimum(self._select(high[mid] - 1, False) - (high[mid] - 1), self.n)
         a, b = np.clip(begin, lo, hi), np.clip(end, lo, hi)
         stop = b.copy()
-        want = x & U((1 << 8 * self.bytes) - 1) if self.bytes < 8 else x
+        want = x & U((1 << self.bits) - 1)
         open_ = np.flatnonzero(a < b)
         while len(open_):
             m = (a[open_] + b[open_]) >> 1
@@ -133,17 +147,28 @@ class Trie:
             result[a : a + step][found] = self._value(self.value2[place[found]])
         return result
 
-    def to_bytes(self) -> bytes:
+    def _pieces(self) -> Iterator[bytes]:
         arrays = [*self.words.arrays(), *self.pointers.arrays(), *self.children.arrays(), self.value1, self.value2, self.scale]
-        head = np.array([len(arrays), *(v for a in arrays for v in (len(a), a.itemsize))], np.int64).tobytes()
-        return head + b"".join(a.tobytes() + b"\0" * (-a.nbytes % 8) for a in arrays)
+        yield np.array([len(arrays), *(v for a in arrays for v in (len(a), a.itemsize))], np.int64).tobytes()
+        for a in arrays:
+            yield a.tobytes() + b"\0" * (-a.nbytes % 8)
+
+    def to_bytes(self) -> bytes:
+        return b"".join(self._pieces())
+
+    def mapped(self) -> "Trie":
+        """The same trie over one anonymous memory map."""
+        m = mmap.mmap(-1, sum(map(len, self._pieces())))
+        for piece in self._pieces():
+            m.write(piece)
+        return Trie.from_buffer(m)
 
     @classmethod
     def from_buffer(cls, buffer) -> "Trie":
         """Over a bytes-like object, such as a memory-mapped file; nothing is copied."""
         n = int(np.frombuffer(buffer, np.int64, 1)[0])
         sizes = np.frombuffer(buffer, np.int64, 2 * n, 8).reshape(n, 2)
-        kinds = [np.int64, np.uint8, U] * 3 + [np.uint16, np.uint16, np.float64]
+        kinds = [np.int64, U, U] * 3 + [np.uint16, np.uint16, np.float64]
         at, arrays = 8 + 16 * n, []
         for (size, _), kind in zip(sizes.tolist(), kinds, strict=True):
             arrays.append(np.frombuffer(buffer, kind, size, at))

@@ -12,9 +12,12 @@ every pack up, and answers with one partial sum for each document of a pack; the
 pass does this for words (counts, the base score, the terms of v), a second for pairs. Words that are more than a quarter of a
 shard's fair share (at most four times as many as shards) are dealt by v instead of w.
 
-Words are known by 63 bits of a hash, those before a word by 40. Defined results: a null text is empty and has the end alone. Repeated ids add
-up, so ids must be unique; a row with a null id gets nulls. With nothing to learn from, every word is unknown. An empty table gives no
-rows. Extra columns are ignored.
+A shard has about ``SHARD_BYTES`` of text at most, so there are more shards than tasks where the corpus asks for it, and a task holds
+one at a time; its trie lies in one memory map.
+
+Words are known by 63 bits of a hash, those before a word by 40. Defined results: a null text is empty and has the end alone. Rows are known by
+numbers of their own: each repeated row is scored, ids may be of any type, repeated or null. With nothing to learn from, every word is unknown.
+An empty table gives no rows. Extra columns are ignored.
 """
 
 from collections.abc import Iterator
@@ -32,7 +35,7 @@ from .suffix_dedup import dump, load
 
 U = np.uint64
 MU = 200.0
-BLOCK, CHUNK = 12 << 20, 1 << 19
+BLOCK, CHUNK, SHARD_BYTES = 12 << 20, 1 << 19, 64 << 20
 END, BEGIN = U(0x5BD1E995A3C59AC3 >> 1), U(0x27D4EB2F165667C5 >> 1)
 
 
@@ -79,7 +82,7 @@ def pack(doc, train, row, shard, word, child=None):
     """(shard, payload) rows: words, sizes and children (if asked for), training counts, the number of documents of each item,
     and the documents (as places in the pack's list of ids) with how often they hold it."""
     order = np.argsort(word, kind="stable") if child is None else np.lexsort((child, word))
-    order = order[np.argsort(shard[order].astype(np.uint16), kind="stable")]
+    order = order[np.argsort(shard[order].astype(np.uint32), kind="stable")]
     word, row, shard = word[order], row[order], shard[order]
     child = None if child is None else child[order]
     new = np.append(True, word[1:] != word[:-1])
@@ -118,16 +121,16 @@ def per_document(p: list[np.ndarray], values: np.ndarray) -> np.ndarray:
     return np.bincount(p[5], np.repeat(values, p[4]) * p[6], len(p[7]))
 
 
-def packs(docs: DataFrame, tasks: int, pairs: bool, hot: np.ndarray) -> DataFrame:
+def packs(docs: DataFrame, tasks: int, shards: int, pairs: bool, hot: np.ndarray) -> DataFrame:
     def run(batches):
         for k, (doc, train, ids, row, prior) in enumerate(blocks(batches)):
             block = (TaskContext.get().partitionId() << 20) + k
             if pairs:
                 child = short(prior)
-                shard = np.where(np.isin(ids, hot), child, ids) % U(tasks)
+                shard = np.where(np.isin(ids, hot), child, ids) % U(shards)
                 rows = list(pack(doc, train, row, shard, ids, child))
             else:
-                rows = list(pack(doc, train, row, ids % U(tasks), ids))
+                rows = list(pack(doc, train, row, ids % U(shards), ids))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([x[1] for x in rows], pa.binary())], ["shard", "block", "payload"])
 
     return docs.mapInArrow(run, "shard int, block long, payload binary").repartition(tasks, "shard").sortWithinPartitions("shard", "block")
@@ -187,7 +190,7 @@ def pair_trie(values: list[bytes], total: int, distinct: int, hot: np.ndarray, h
 
 
 def _answers(docs: DataFrame, n: int) -> DataFrame:
-    """Sums of the answers (block, payload of doc_id and n value arrays) by document."""
+    """Sums of the answers (block, payload of row numbers and n value arrays) by row."""
     names = [f"v{i}" for i in range(n)]
 
     def run(batches):
@@ -197,7 +200,7 @@ def _answers(docs: DataFrame, n: int) -> DataFrame:
             ids = np.concatenate([p[0] for p in held])
             keys, place = np.unique(ids, return_inverse=True)
             sums = [np.bincount(place, np.concatenate([p[1 + i] for p in held]), len(keys)) for i in range(n)]
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(s, pa.float64()) for s in sums)], ["doc_id", *names])
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(s, pa.float64()) for s in sums)], ["row", *names])
 
         for batch in batches:
             for value in batch.column(1):
@@ -209,14 +212,19 @@ def _answers(docs: DataFrame, n: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{x} double" for x in names)).groupBy("doc_id").agg(*(F.sum(x).alias(x) for x in names))
+    return docs.mapInArrow(run, "row long, " + ", ".join(f"{x} double" for x in names)).groupBy("row").agg(*(F.sum(x).alias(x) for x in names))
 
 
-def _source(docs: DataFrame, learn, doc_id: str, text: str) -> DataFrame:
-    return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("train"), F.col(text).alias("text"))
+def _source(docs: DataFrame, learn, doc_id: str, text: str) -> tuple[DataFrame, int, int]:
+    """Rows with a number each, written so that both passes see the same, and how many tasks and shards they ask for."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(learn, F.lit(False)).alias("train"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
+    rows = materialise(rows, "lm-rows")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return rows, tasks, max(tasks, -(-size // SHARD_BYTES))
 
 
-def word_pass(source: DataFrame, tasks: int):
+def word_pass(source: DataFrame, tasks: int, shards: int):
     """Answers of the first pass, the numbers of training tokens and words, and the hot words with their counts."""
 
     def run(batches):
@@ -229,57 +237,60 @@ def word_pass(source: DataFrame, tasks: int):
                 i = np.minimum(np.searchsorted(keys, p[0]), max(0, len(keys) - 1))
                 c = np.where(keys[i] == p[0], counts[i], 0) if len(keys) else np.zeros(len(p[0]), np.int64)
                 sums = [per_document(p, x) for x in (np.ones(len(c)), c > 0, np.log10(c + 1.0), np.log10(c + MU))]
-                yield row(shard, b, dump(p[7], sums[0].astype(np.uint32), sums[1].astype(np.uint32), sums[2], sums[3].astype(np.float32)))
+                yield row(shard, b, dump(p[7], sums[0].astype(np.uint32), sums[1].astype(np.uint32), sums[2], sums[3]))
 
     def row(shard, b, value):
         return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([b], pa.int64()), pa.array([value], pa.binary())], ["shard", "block", "payload"])
 
-    out = materialise(packs(source, tasks, False, np.zeros(0, U)).mapInArrow(run, "shard int, block long, payload binary"), "lm-words")
-    total = distinct = 0
-    hot: dict[int, int] = {}
-    for r in out.where("block < 0").select("payload").toLocalIterator():  # one row a shard
-        (n, v), keys, counts = load(bytes(r[0]))
-        total, distinct = total + int(n), distinct + int(v)
-        hot.update(zip(keys.tolist(), counts.tolist(), strict=True))
-    hot = {k: c for k, c in hot.items() if c * 4 * tasks > total}
-    keys = np.array(sorted(hot), U)
-    return out.where("block >= 0").select("block", "payload"), total, distinct, keys, np.array([hot[k] for k in keys.tolist()], np.int64)
+    def often(batches):
+        for batch in batches:
+            for value in batch.column(0):
+                (n, v), keys, counts = load(value.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([v]), pa.array([keys.view(np.int64)], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))], ["n", "v", "words", "counts"])
+
+    plain = source.select("row", "train", "text")
+    out = materialise(packs(plain, tasks, shards, False, np.zeros(0, U)).mapInArrow(run, "shard int, block long, payload binary"), "lm-words")
+    per_shard = materialise(out.where("block < 0").select("payload").mapInArrow(often, "n long, v long, words array<long>, counts array<long>"), "lm-shards")
+    total, distinct = (x or 0 for x in per_shard.agg(F.sum("n"), F.sum("v")).first())
+    # fewer than four times as many as there are shards
+    hot = per_shard.select(F.explode(F.arrays_zip("words", "counts")).alias("z")).select("z.*").where(F.col("counts") * (4 * shards) > total).collect()
+    hot = sorted((int(np.int64(r[0]).view(U)), r[1]) for r in hot)
+    return out.where("block >= 0").select("block", "payload"), total, distinct, np.array([k for k, _ in hot], U), np.array([c for _, c in hot], np.int64)
 
 
 def train(docs: DataFrame, learn=None, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict]:
     """The pair tries as rows ``shard, trie`` (write them where they are to stay), and what scoring needs beside them."""
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    source = _source(docs, F.lit(True) if learn is None else learn, doc_id, text).where("train")
-    _, total, distinct, hot, hot_counts = word_pass(source, tasks)
+    source, tasks, shards = _source(docs, F.lit(True) if learn is None else learn, doc_id, text)
+    source = source.where("train")
+    _, total, distinct, hot, hot_counts = word_pass(source, tasks, shards)
 
     def run(batches):
         for shard, _, values in by_shard(batches):
             trie = pair_trie(values, total, distinct, hot, hot_counts).to_bytes()
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([trie], pa.binary())], ["shard", "trie"])
 
-    return packs(source, tasks, True, hot).mapInArrow(run, "shard int, trie binary"), {"tasks": tasks, "total": total, "distinct": distinct, "hot": hot}
+    tries = packs(source.select("row", "train", "text"), tasks, shards, True, hot).mapInArrow(run, "shard int, trie binary")
+    return tries, {"shards": shards, "total": total, "distinct": distinct, "hot": hot}
 
 
 def score(docs: DataFrame, learn, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row; the model learns from the rows where ``learn`` is
     true. base_score: the add-one unigram model's log10 probability; score: the pair model's."""
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    source = _source(docs, learn, doc_id, text)
-    first, total, distinct, hot, hot_counts = word_pass(source, tasks)
+    source, tasks, shards = _source(docs, learn, doc_id, text)
+    first, total, distinct, hot, hot_counts = word_pass(source, tasks, shards)
 
     def run(batches):
         for _, block, values in by_shard(batches):
-            trie = Trie.from_buffer(memoryview(pair_trie(values, total, distinct, hot, hot_counts).to_bytes()))
+            trie = pair_trie(values, total, distinct, hot, hot_counts).mapped()
             for b, v in zip(block, values, strict=True):
                 p = load(v)
-                found = dump(p[7], per_document(p, trie.lookup(p[0], p[1], children(p[2]))).astype(np.float32))
+                found = dump(p[7], per_document(p, trie.lookup(p[0], p[1], children(p[2]))))
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([found], pa.binary())], ["block", "payload"])
 
-    second = materialise(packs(source, tasks, True, hot).mapInArrow(run, "block long, payload binary"), "lm-pairs")
-    words = _answers(first.repartition(tasks, "block"), 4).select("doc_id", *(F.col(f"v{i}").alias(x) for i, x in enumerate(("n", "known", "base", "prior"))))
+    second = materialise(packs(source.select("row", "train", "text"), tasks, shards, True, hot).mapInArrow(run, "block long, payload binary"), "lm-pairs")
+    words = _answers(first.repartition(tasks, "block"), 4).select("row", *(F.col(f"v{i}").alias(x) for i, x in enumerate(("n", "known", "base", "prior"))))
     pairs = _answers(second.repartition(tasks, "block"), 1).withColumnRenamed("v0", "pair")
-    scores = words.join(pairs, "doc_id").select(
-        F.col("doc_id").alias("__id"), F.col("n").cast("long").alias("n_tokens"), F.col("known").cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+    scores = words.join(pairs, "row").select(
+        "row", F.col("n").cast("long").alias("n_tokens"), F.col("known").cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n") * float(np.log10(total + distinct + 1))).alias("base_score"), (F.col("pair") - F.col("prior")).alias("score"))
-    ids = docs.select(F.col(doc_id).alias("doc_id"))
-    return ids.join(scores, ids["doc_id"] == scores["__id"], "left").drop("__id")
+    return source.select("row", "doc_id").join(scores, "row", "left").drop("row")
