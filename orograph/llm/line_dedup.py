@@ -14,8 +14,8 @@ often as there are tasks. Digests met once are dropped there; the occurrences of
 
 ``removed`` tells the offsets (code points, end exclusive) of what went in the original text; of several levels, spans that overlap
 are one. Defined results: a null text has no
-units and stays null. Equal rows under one id compare by place only, so such ids must be unique. Extra columns
-are carried by ``drop_units``. An empty table gives no rows; a very long text is cut whole.
+units and stays null. Rows under one id compare by place only: equal rows lose the same, and other ids must be unique. Extra columns
+are carried by ``drop_units`` whatever their names (where one is called ``removed``, the spans are in ``removed_``). An empty table gives no rows; a very long text is cut whole.
 """
 
 import hashlib
@@ -25,11 +25,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from .shared import materialise, own_names
+from .shared import each, materialise, own_names
 
-CUTS = {"line": regex.compile(r"\n"), "paragraph": regex.compile(r"\n[ \t]*\n\s*"), "sentence": regex.compile(r"\n|(?<=[.!?])\s+")}
+#: White space is that of ASCII.
+WS = r"[ \t\n\r\x0b\x0c]"
+CUTS = {"line": regex.compile(r"\n"), "paragraph": regex.compile(rf"\n[ \t]*\n{WS}*"), "sentence": regex.compile(rf"\n|(?<=[.!?]){WS}+")}
 MIN_WORDS = 5
 #: What the registered query cuts by, coarse units first, each with its least number of words.
 LEVELS = (("paragraph", 1), ("line", 1), ("sentence", MIN_WORDS))
@@ -116,11 +118,22 @@ def removals(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS
     return gone.withColumn("removed", without_overlaps("removed")) if levels else gone
 
 
+@F.arrow_udf(StringType())
+def without_spans(text: pa.Array, spans: pa.Array) -> pa.Array:
+    """Each text without its spans, which are sorted and don't overlap."""
+    out = []
+    for t, gone in zip(each(text), each(spans), strict=True):
+        if t is not None and gone:
+            ends, begins = [0, *(x["stop"] for x in gone)], [*(x["start"] for x in gone), len(t)]
+            t = "".join(t[a:b] for a, b in zip(ends, begins, strict=True))
+        out.append(t)
+    return pa.array(out, pa.string())
+
+
 def drop_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", levels=None) -> DataFrame:
-    """docs with what remains of each text in ``text``, the removed spans in ``removed`` and a count of removed units."""
-    spans = removals(docs, unit, min_words, doc_id, text, levels).select(F.col("doc_id").alias("__id"), "removed")
-    rows = docs.join(spans, F.col(doc_id) == F.col("__id"), "left").drop("__id")
-    ends = F.concat(F.array(F.lit(0)), F.transform("removed", lambda x: x["stop"]))
-    begins = F.concat(F.transform("removed", lambda x: x["start"]), F.array(F.length(text)))
-    kept = F.array_join(F.zip_with(ends, begins, lambda a, b: F.substring(F.col(text), a + 1, b - a)), "")
-    return rows.withColumn(text, F.when(F.col("removed").isNull(), F.col(text)).otherwise(kept)).withColumn("removed", F.coalesce("removed", F.array().cast("array<struct<start:int,stop:int>>")))
+    """docs with what remains of each text in ``text``, and the removed spans in ``removed``."""
+    name, removed = own_names(docs.columns, "id_of", "removed")
+    spans = removals(docs, unit, min_words, doc_id, text, levels).select(F.col("doc_id").alias(name), F.col("removed").alias(removed))
+    rows = docs.join(spans, docs[doc_id] == spans[name], "left").drop(name)
+    kept = F.when(F.col(removed).isNull(), F.col(text)).otherwise(without_spans(F.col(text), F.col(removed)))
+    return rows.withColumn(text, kept).withColumn(removed, F.coalesce(removed, F.array().cast("array<struct<start:int,stop:int>>")))

@@ -1,6 +1,6 @@
 """DuckDB SQL for the operators' queries that SQL can express over the same tables."""
 
-from . import mixing, quality, secrets, suffix_dedup
+from . import line_dedup, mixing, quality, secrets, suffix_dedup
 
 SPACE = r"\x20\x09-\x0D"
 T = "coalesce(text, '')"
@@ -62,4 +62,28 @@ FROM d LEFT JOIN q ON d.doc_id = q.doc_id"""
 OP10 = f"""WITH d AS (SELECT doc_id, translate({T}, {LETTERS}) t FROM documents)
 SELECT doc_id, max(doc_id) OVER w keep_id, count(*) OVER w group_size, doc_id = max(doc_id) OVER w kept, sha256(t) text_sha256 FROM d WINDOW w AS (PARTITION BY t)"""
 
-SQL = {"op1_secret_scan": OP1, "op2_source_mix": OP2, "op5_quality_rules": OP5, "op8_suffix_dedup": OP8, "op10_exact_dedup": OP10}
+WS = line_dedup.WS
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+#: What ends a unit of each level; a mark put behind it cuts the text. At a line end in front of other white space a sentence ends once.
+ENDS = {"paragraph": rf"(\n[ \t]*\n{WS}*)", "line": r"(\n)", "sentence": rf"(\n|[.!?][ \t\r\x0b\x0c]{WS}*)"}
+MARK = "chr(57344)"
+
+
+def _units(unit: str, min_words: int, rank: int) -> str:
+    return f"""SELECT doc_id, {rank} rank, start, start + length(u) stop, start + length(u) - length(ltrim(u, {BLANKS})) place, n FROM (
+ SELECT doc_id, u, CAST(coalesce(sum(length(u)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) start, regexp_replace(trim(translate(u, {LETTERS}), {BLANKS}), '{WS}+', ' ', 'g') n FROM (
+ SELECT doc_id, unnest(p) u, unnest(range(len(p))) i FROM (SELECT doc_id, string_split(regexp_replace({T}, '{ENDS[unit]}', '\\1' || {MARK}, 'g'), {MARK}) p FROM documents))) WHERE n <> '' AND length(n) - length(replace(n, ' ', '')) + 1 >= {min_words}"""
+
+
+OP9 = "WITH a AS (" + " UNION ALL ".join(_units(unit, least, k) for k, (unit, least) in enumerate(line_dedup.LEVELS)) + """),
+ o AS (SELECT doc_id, start, stop, place, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, n, place ORDER BY rank) k FROM a) WHERE k = 1),
+ g AS (SELECT doc_id, start, stop FROM (SELECT *, first_value(struct_pack(d := doc_id, p := place)) OVER (PARTITION BY n ORDER BY doc_id, place) f FROM o) WHERE f.d <> doc_id OR f.p <> place),
+ e AS (SELECT *, coalesce(start >= max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) new FROM g),
+ r AS (SELECT doc_id, start, stop, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) k FROM e),
+ s AS (SELECT doc_id, k, min(start) a, max(stop) b FROM r GROUP BY 1, 2),
+ c AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY k), 0) before FROM s),
+ q AS (SELECT doc_id, count(*) n, string_agg(a || ':' || b, ',' ORDER BY k) removed, max(b) tail, list(struct_pack(x := before, y := a) ORDER BY k) gaps FROM c GROUP BY 1),
+ t AS (SELECT d.doc_id, coalesce(n, 0) n, coalesce(removed, '') removed, """ + f"""CASE WHEN q.doc_id IS NULL THEN text ELSE array_to_string(list_transform(gaps, lambda g: substr({T}, g.x + 1, g.y - g.x)), '') || substr({T}, tail + 1) END text FROM documents d LEFT JOIN q ON d.doc_id = q.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) n_removed, removed, CAST(length(text) AS BIGINT) kept_chars, sha256({T}) kept_sha256 FROM t"""
+
+SQL = {"op1_secret_scan": OP1, "op2_source_mix": OP2, "op5_quality_rules": OP5, "op8_suffix_dedup": OP8, "op9_line_dedup": OP9, "op10_exact_dedup": OP10}
