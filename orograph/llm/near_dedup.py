@@ -4,13 +4,13 @@ A document is the sequence of its five-word shingles (words lower-cased in A-Z),
 shingle it is. For each of ``SEEDS`` hash functions the sketch takes the ``LENGTH`` labelled shingles of smallest hash and keeps
 them in the order of the text; two documents are candidates if one of their sketch entries is equal. The chance of that for one
 entry is about ``s**LENGTH`` at similarity s and falls when shared shingles stand in another order; at s = 0.8 all 32
-entries differ once in 10**7 pairs. A candidate pair is verified by aligning the two shingle sequences within the band that the
+entries differ once in 10**7 pairs of long texts, once in 10**5 of nine shingles, and of fewer all that are alike are candidates. A candidate pair is verified by aligning the two shingle sequences within the band that the
 threshold allows: with ``m`` shingles matched in order, the similarity is ``m / (n1 + n2 - m)``, and 0.8 or more is a link.
 Classes are the connected components of links.
 
 Documents with the same words in the same order form one class before any sketching. Of the rest, first every member of a
 sketch group is compared with the group's hub. Then, where several components are left around a hub, pairs between components
-are compared too, but for those that what was learned about either and the hub rules out (see ``_unlinked``). So a large
+are compared too, but for those that what was learned about either and the hub rules out (see ``_sharing`` and ``_by_pivots``). So a large
 group of near copies costs about as many comparisons as it has members, and no candidate pair that could be alike is left out. A pair
 between components also needs sizes that allow 0.8 and one-bit sketches of 128 bits that differ in 32 at most (expected 13 at
 0.8, deviation 3.4).
@@ -18,7 +18,7 @@ between components also needs sizes that allow 0.8 and one-bit sketches of 128 b
 Defined results: a text without words (null, empty, blank) is a class of its own. A text of one to four words is one shingle.
 The class id is the smallest doc_id; that document stays. Ids must be unique; rows that repeat an id and its words count once
 in comparisons and each get the class. Extra columns are carried by ``drop_near``. An empty table gives no rows. Texts are read
-whole; a very long text has a band of a ninth of both lengths.
+whole; a very long text has a band of a ninth of both lengths, and its alignment the memory of that.
 """
 
 import hashlib
@@ -37,6 +37,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 SEEDS, LENGTH = 32, 4
 MOST_BITS = 32
 RARE = 16
+#: Up to so many shingles, sequences that are alike are the same but for one item.
+FEW = 8
+#: Rounds of pivots around a hub, and pairs for each member from which on a round is made.
+ROUNDS, MANY = 8, 16
 _random = np.random.Generator(np.random.PCG64(977))
 SALTS = _random.integers(0, 1 << 64, SEEDS, np.uint64)[:, None]
 PLACE = _random.integers(0, 1 << 64, LENGTH, np.uint64) | np.uint64(1)
@@ -67,6 +71,16 @@ def labelled(own: np.ndarray) -> np.ndarray:
     return W.mix(own + number * np.uint64(0xA24BAED4963EE407))
 
 
+def one_less(own: np.ndarray) -> np.ndarray:
+    """Hashes of a short sequence and of the sequence without each of its items: of so few items two that are alike differ by one at most."""
+    n = len(own)
+    rest = [own, *(np.delete(own, i) for i in range(n))] if n > 1 else [own]
+    flat = np.concatenate(rest)
+    size = np.array([len(x) for x in rest])
+    end = np.cumsum(size)
+    return W.span_hash(W.running(flat), end - size, end) ^ np.uint64(0x6C62272E07BB0142)
+
+
 def sketch(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order-preserving sketch (one hash an entry) and two words of one-bit minima."""
     items = labelled(own)
@@ -80,6 +94,8 @@ def sketch(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     least.sort(axis=1)
     with np.errstate(over="ignore"):
         entries = W.mix((items[least] * PLACE[:k]).sum(1, dtype=np.uint64) ^ SALTS[:, 0])
+    if len(own) <= FEW:
+        entries = np.append(entries, one_less(own))
     by = np.sort(items)
     bins, first = np.unique(by >> np.uint64(57), return_index=True)
     bits = np.zeros(128, np.uint8)
@@ -208,8 +224,9 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}, alike boolean, extra array<long>")
 
 
-def _unlinked(star: DataFrame, checked: DataFrame, part: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one star that may be alike and are in different components.
+def _sharing(star: DataFrame, checked: DataFrame, part: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of one star that share a rare shingle, may be alike and are in different components; and the members whose
+    common shingles may be enough for the threshold.
 
     star: hub, id, n, bits; checked: what ``verify`` said of hubs and members; part: id, component.
     Shingles that a star's hub lacks and at most ``RARE`` of its members have are rare there. Two members that share a rare
@@ -225,16 +242,61 @@ def _unlinked(star: DataFrame, checked: DataFrame, part: DataFrame) -> DataFrame
     each = materialise(each.join(rare, ["hub", "shingle"]), "rare")
     x, y = each.where("k > 1").alias("x"), each.where("k > 1").alias("y")
     apart = F.col("x.component") != F.col("y.component")
-    pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
-    sharing = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & apart & _near("x", "y")).select(*pair)
+    sharing = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & apart & _near("x", "y")).select(*_pair())
     # a member's common shingles bound the size of what it can be alike to without a rare one
-    common = near.drop("extra").join(each.groupBy("hub", "id").agg(F.count(F.lit(1)).alias("rare")), ["hub", "id"], "left")
-    common = common.withColumn("most", F.floor((F.col("n") - F.coalesce("rare", F.lit(0))) * ((1 + SIMILARITY) / SIMILARITY) + 1e-9) - F.col("n")).where(F.col("most") >= F.greatest("least_n", F.ceil(F.col("n") * SIMILARITY - 1e-9)))
-    sizes = common.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("hub").agg(F.max(F.struct("k", "component")).alias("major"))
-    common = materialise(common.join(sizes.select("hub", F.col("major.component").alias("major")), "hub"), "common")
-    x, y = common.where("component != major").alias("x"), common.alias("y")
-    plain = x.join(y, (F.col("x.hub") == F.col("y.hub")) & apart & (F.col("x.most") >= F.col("y.n")) & (F.col("y.most") >= F.col("x.n")) & _near("x", "y")).select(*pair)
-    return sharing.union(plain).distinct()
+    common = near.withColumn("lacks", F.size("extra")).drop("extra", "component").join(each.groupBy("hub", "id").agg(F.count(F.lit(1)).alias("rare")), ["hub", "id"], "left")
+    common = common.withColumn("most", F.floor((F.col("n") - F.coalesce("rare", F.lit(0))) * ((1 + SIMILARITY) / SIMILARITY) + 1e-9) - F.col("n"))
+    common = common.where(F.col("most") >= F.greatest("least_n", F.ceil(F.col("n") * SIMILARITY - 1e-9)))
+    return sharing.distinct(), materialise(common.drop("rare", "least_n"), "common")
+
+
+def _pair():
+    return F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
+
+
+def _cells(rows: DataFrame, around: bool) -> DataFrame:
+    """rows with ``band``, of their size, and ``cell``, of how far they are from their hub, for equal joins; around: with the neighbours of both.
+
+    In shingles regardless of order, twice what a member has and the hub lacks, less the member's size, is its distance from the hub
+    but for a constant. That is a metric, so what is alike, which leaves at most a ninth of both sizes unmatched, is as near as that here. Bands grow
+    by a quarter, and a band's cells are as wide as a ninth of the largest two sizes that meet in it."""
+    near = lambda x: F.explode(F.array(x - 1, x, x + 1)) if around else x
+    rows = rows.withColumn("band", near(F.floor(F.log("n") / float(np.log(1 / SIMILARITY)) + 1e-9)))
+    wide = F.pow(F.lit(1 / SIMILARITY), F.col("band") + 1) * ((1 + 1 / SIMILARITY) * (1 - SIMILARITY) / (1 + SIMILARITY))
+    return rows.withColumn("cell", near(F.floor((2 * F.col("lacks") - F.col("n")) / wide)))
+
+
+def _by_pivots(common: DataFrame, links: DataFrame, part: DataFrame, texts: DataFrame) -> DataFrame:
+    """links with those that are missing between members of a star without a rare shingle in common.
+
+    A star's largest component needs no comparisons within. While the pairs of members of different components that are near enough are
+    many, a round compares one pivot of each cell with all that is near it: what is like the pivot becomes one component, and the pivot is done. So a large
+    group of near copies takes one round. The pairs that are left are compared."""
+    for turn in range(ROUNDS + 1):
+        of = common.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        sizes = of.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("hub").agg(F.max(F.struct("k", "component")).alias("major"))
+        of = materialise(of.join(sizes.select("hub", F.col("major.component").alias("major")), "hub"), "members")
+        x, y = _cells(of.where("component != major"), False), _cells(of, True)
+        key = ["hub", "band", "cell"]
+        met = x.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("nx")).join(y.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("ny")), [*key, "component"], "full")
+        met = met.groupBy(*key).agg(F.sum("nx").alias("nx"), F.sum("ny").alias("ny"), F.sum(F.col("nx") * F.col("ny")).alias("same"))
+        pairs = met.agg(F.sum(F.col("nx") * F.col("ny") - F.coalesce("same", F.lit(0)))).first()[0] or 0
+        if not pairs:
+            return links
+        last = turn == ROUNDS or pairs <= MANY * common.count() + 100_000
+        if not last:
+            pivots = materialise(x.groupBy(*key).agg(F.min(F.struct("id", *(c for c in x.columns if c not in (*key, "id")))).alias("p")).select(*key, "p.*"), "pivots")
+            x = pivots
+        x, y = x.alias("x"), y.alias("y")
+        equal = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.component") != F.col("y.component"))
+        enough = (F.col("x.most") >= F.col("y.n")) & (F.col("y.most") >= F.col("x.n")) & _near("x", "y")
+        found = verify(x.join(y, equal & enough).select(*_pair()).distinct(), texts).where("alike").select("a", "b")
+        links = materialise(links.union(found).distinct(), "links")
+        if last:
+            return links
+        part = materialise(components(links, "a", "b"), "part")
+        common = materialise(common.join(pivots.select("hub", "id"), ["hub", "id"], "left_anti"), "common")
+    return links
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -257,11 +319,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     links = checked.where("alike").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     part = materialise(components(links, "a", "b"), "part")
     star = member.select(F.col("hub.id").alias("hub"), "id", "n", "bits0", "bits1").distinct()
-    more = verify(_unlinked(star, checked, part), texts).where("alike").select("a", "b")
-    more = materialise(more, "links")
-    if not more.isEmpty():
-        links = links.union(more).distinct()
-        part = components(links, "a", "b")
+    sharing, common = _sharing(star, checked, part)
+    links = materialise(links.union(verify(sharing, texts).where("alike").select("a", "b")).distinct(), "links")
+    part = materialise(components(links, "a", "b"), "part")
+    more = _by_pivots(common, links, part, texts)
+    if more is not links:
+        links, part = more, components(more, "a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     verdict = stands.join(part.select(F.col("id").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
     verdict = materialise(verdict.select("same", "copies", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "verdict")
