@@ -5,7 +5,8 @@ for whatever stands between words, and never go over a blank. A text's language
 text's own by the out-of-place distance: the sum over the text's n-grams of how far apart the two ranks are, ``size`` for an
 n-gram that the language lacks. The score is 1 minus the distance's share of the largest possible one.
 
-Profiles are learned from a bounded sample: about ``sample_rows`` labelled rows of each language, chosen by a hash of the id.
+Profiles are learned from a bounded sample: about ``sample_rows`` labelled rows of each language, chosen by a hash of the id. More than
+``MAX_LANGUAGES`` labels are an error, as profiles go to every task.
 
 Defined results: a null text and one without letters are ``und`` with score 0, and so is every text if nothing was learned. Ties
 between n-grams go to the smaller code points, between languages to the first by code points. Rows without a label
@@ -30,16 +31,24 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
+def pieces(text: str, step: int = 1 << 16):
+    """All n-grams as numbers, those that end in some thousand characters at a time: 21 bits for a character, the last one lowest."""
+    text, held = text.lower(), np.array([32], np.int64)
+    for at in range(0, len(text) + 1, step):
+        codes = np.frombuffer(text[at : at + step].encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.where(letters()[codes], codes, 32).astype(np.int64)
+        if at + step > len(text):
+            codes = np.append(codes, 32)
+        codes = codes[(codes != 32) | (np.append(held[-1], codes[:-1]) != 32)] if len(codes) else codes
+        h, codes = len(held), np.concatenate([held, codes])
+        two = (codes[:-1] << BITS) | codes[1:]
+        three = (two[:-1] << BITS) | codes[2:]
+        yield np.concatenate([codes[h:][codes[h:] != 32], two[h - 1 :], three[max(h, 2) - 2 :][codes[max(h, 2) - 1 : -1] != 32]])
+        held = codes[-2:]
+
+
 def ngrams(text: str) -> np.ndarray:
-    """All n-grams as numbers: 21 bits for a character, the last one lowest."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.where(letters()[codes], codes, 32).astype(np.int64)
-    codes = np.concatenate([[32], codes, [32]])
-    codes = codes[np.concatenate([[True], (codes[1:] != 32) | (codes[:-1] != 32)])]
-    blank = codes == 32
-    two = (codes[:-1] << BITS) | codes[1:]
-    three = (two[:-1] << BITS) | codes[2:]
-    return np.concatenate([codes[~blank], two, three[~blank[1:-1]]])
+    return np.concatenate(list(pieces(text)))
 
 
 def top(keys: np.ndarray, counts: np.ndarray, size: int = SIZE) -> np.ndarray:
@@ -48,7 +57,18 @@ def top(keys: np.ndarray, counts: np.ndarray, size: int = SIZE) -> np.ndarray:
 
 
 def profile(text: str, size: int = SIZE) -> np.ndarray:
-    return top(*np.unique(ngrams(text), return_counts=True), size)
+    """The text's own profile. Of a long text only the counts of distinct n-grams are held."""
+    keys = counts = np.zeros(0, np.int64)
+    for part in pieces(text):
+        more, n = np.unique(part, return_counts=True)
+        keys, counts = (more, n) if not len(keys) else merged(np.append(keys, more), np.append(counts, n))
+    return top(keys, counts, size)
+
+
+def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, with the sum of its counts."""
+    keys, place = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(place, counts, len(keys)).astype(np.int64)
 
 
 class Profiles:
@@ -90,9 +110,10 @@ def learn(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "
         for batch in (b.slice(at, 500) for b in batches for at in range(0, len(b), 500)):
             by: dict[str, list] = {}
             for name, value in zip(batch.column(0).to_pylist(), each(batch.column(1)), strict=True):
-                by.setdefault(name, []).append(ngrams(value))
+                for part in pieces(value):
+                    by.setdefault(name, []).append(np.unique(part, return_counts=True))
             for name, found in by.items():
-                keys, counts = np.unique(np.concatenate(found), return_counts=True)
+                keys, counts = merged(*(np.concatenate(x) for x in zip(*found, strict=True)))
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys), pa.array(counts.astype(np.int64))], ["label", "key", "n"])
 
     sums = sample.mapInArrow(count, "label string, key long, n long").groupBy("label", "key").agg(F.sum("n").alias("n"))
