@@ -77,7 +77,9 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     schema = f"blob binary, rules array<string>, findings array<{SPAN}>"
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:  # no scan was made yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # no scan was made yet
+            raise
         return spark.createDataFrame([], schema)
 
 
