@@ -82,6 +82,47 @@ def test_buckets_match_brute_force(trial):
     assert all((got[i] == want[i]).all() for i, _ in texts)
 
 
+@pytest.mark.parametrize("length", [60, 128, 150, 300, 1000])
+def test_long_strings(spark, length):
+    r = random.Random(length)
+    common = "".join(r.choice("abcdefgh") for _ in range(1500))
+    table = [(i, "".join(r.choice("abcdefgh") for _ in range(200)) + common[i : 1500 - i] + "xyz") for i in range(6)]
+    want = brute_removed([(i, t.encode()) for i, t in table], length)
+    for buckets in (1 << 30, 500):
+        spans = suffix_dedup.repeated_spans(spark.createDataFrame(table, "doc_id long, text string"), length, bucket_bytes=buckets)
+        gone = {i: np.zeros(len(t), bool) for i, t in table}
+        for x in spans.collect():
+            for a, n in zip(*suffix_dedup.load(bytes(x.found)), strict=True):
+                gone[x.doc_id][a : a + n] = True
+        assert all((gone[i] == want[i]).all() for i in gone)
+
+
+def test_string_ids_in_their_order(spark):
+    t = "abcdefghij" * 7
+    table = spark.createDataFrame([("b", t, 1), (None, t, 2), ("a", t, 3), ("c", "x" + t, 4)], "doc_id string, text string, number_of long")
+    got = suffix_dedup.cut_repeats(table).select("doc_id", "n_removed").collect()
+    assert sorted((r[0] or "", r[1]) for r in got) == [("", 0), ("a", 0), ("b", 70), ("c", 70)]
+
+
+def test_spans_of_very_many_documents():
+    doc = np.repeat(np.arange(9_000_000), 2)
+    start = np.tile(np.array([5, 1000]), 9_000_000)
+    a, b, d = suffix_dedup.joined(start, start + 60, doc)
+    assert len(a) == len(doc) and (b - a == 60).all() and (d == doc).all()
+    a, b, d = suffix_dedup.joined(np.tile(np.array([5, 50]), 9_000_000), start + 60, doc)
+    assert len(a) == 9_000_000 and (a == 5).all() and (b == 1060).all()
+
+
+def test_minimisers_of_very_many_buckets():
+    r = np.random.default_rng(5)
+    least = np.unique(r.integers(0, 1 << 63, 20_000, np.uint64) << np.uint64(1))
+    sent = defaultdict(list)
+    for doc in (1, 2):
+        for b, payload in suffix_dedup.send_minimisers(np.full(len(least), doc), least, 200_000):
+            sent[b].append(suffix_dedup.load(payload))
+    assert sum(len(suffix_dedup.shared_minimisers(p)[0]) for p in sent.values()) == 2 * len(least)
+
+
 def test_minimisers_alike_in_high_bits_reach_their_buckets():
     """Of three minimisers of a block that differ in the low bits only, each meets its like of another block in its own bucket."""
     r = np.random.default_rng(2)
@@ -198,4 +239,18 @@ def test_lm_empty_nulls_and_nothing_learned(spark, docs):
     assert all(x.train_tokens == 0 and x.n_known == 0 and x.base_score == 0 for x in r)
     t = spark.createDataFrame([(None, "a b"), (1, None)], "doc_id long, text string")
     got = {x.doc_id: x for x in lm.score(t, F.lit(True)).collect()}
-    assert got[None].score is None and got[1].n_tokens == 1
+    assert got[None].n_tokens == 3 and got[None].score < 0 and got[1].n_tokens == 1
+
+
+def test_lm_repeated_rows_and_other_ids(spark):
+    table = [("b", "x y z"), ("a", "x y"), ("a", "x y"), (None, "y y"), (None, "y y")]
+    got = lm.score(spark.createDataFrame(table, "doc_id string, text string"), F.lit(True)).collect()
+    want = brute_scores([(i, t) for i, (_, t) in enumerate(table)], lambda i: True)
+    assert sorted((r.doc_id or "", r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == sorted((table[i][0] or "", w[0], w[1], round(w[3], 6)) for i, w in want.items())
+
+
+def test_more_shards_than_tasks(docs, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_BYTES", 2000)
+    got = {r.doc_id: r for r in lm.score(docs, F.lit(True)).collect()}
+    for i, want in brute_scores([(i, t) for i, t, *_ in rows()], lambda i: True).items():
+        assert got[i].n_tokens == want[0] and got[i].score == pytest.approx(want[4], rel=2e-4, abs=2e-3)
