@@ -164,7 +164,7 @@ def convergence_and_scale(lon, lat, meridian: float, k0: float = K0) -> tuple[Co
     d, la = F.radians(_c(lon) - meridian), F.radians(_c(lat))
     s, c = F.sin(la), F.cos(la)
     w = E2 / (1 - E2) * c * c
-    return F.degrees(d * s * (1 + d * d * c * c / 3 * (1 + 3 * w + 2 * w * w))), k0 * (1 + d * d * c * c / 2 * (1 + w))
+    return F.degrees(F.atan(F.tan(d) * s) * (1 + d * d * c * c / 3 * (1 + 3 * w))), k0 * (1 + d * d * c * c / 2 * (1 + w))
 
 
 def anchor_altitude(base, adjust, ground, terrain_on, margin: float = 1.5) -> Column:

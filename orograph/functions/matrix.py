@@ -50,9 +50,9 @@ def trs(translation=(0, 0, 0), rotation=(0, 0, 0, 1), scale=(1, 1, 1)) -> list[f
 
 
 def tilt(east: float, north: float) -> list[float]:
-    """The turn that levels a plane of these slopes: about the horizontal axis between its normal and the vertical (Rodrigues); the identity if
-    they are the same."""
-    normal = np.array([-east, -north, 1.0])
+    """The turn that takes the normal (east, north, 1) to the vertical, about the horizontal axis between them (Rodrigues); the identity if
+    they are the same. The two numbers are the residual plane's (terrain less mesh), so they are the negative of the mesh's own slopes, and the turn levels it."""
+    normal = np.array([east, north, 1.0])
     normal /= np.linalg.norm(normal)
     axis = np.cross(normal, [0.0, 0.0, 1.0])
     sine = float(np.linalg.norm(axis))
@@ -65,10 +65,10 @@ def tilt(east: float, north: float) -> list[float]:
 
 
 def georeference(frame, up_axis, spin_degrees: float, scale: float, offset, slopes, pivot: float) -> list[float]:
-    """A model's root matrix: its axes to z up, the offset, levelled about the pivot height, the grid's convergence and scale, then the frame."""
+    """A model's root matrix: its axes to z up, levelled about the pivot height, the offset, the grid's scale and convergence, then the frame."""
     move = lambda x, y, z: as_numpy(trs((x, y, z)))
     a = math.radians(spin_degrees) / 2
     spin = as_numpy(trs(rotation=(0, 0, math.sin(a), math.cos(a))))
     level = move(0, 0, pivot) @ as_numpy(tilt(*slopes)) @ move(0, 0, -pivot)
-    chain = as_numpy(frame) @ spin @ as_numpy(trs(scale=(scale, scale, 1))) @ level @ move(*offset)
+    chain = as_numpy(frame) @ spin @ as_numpy(trs(scale=(scale, scale, 1))) @ move(*offset) @ level
     return as_list(chain @ as_numpy([1, 0, 0, 0, 0, 0, 1, 0, 0, -1, 0, 0, 0, 0, 0, 1] if up_axis == "y" else IDENTITY))

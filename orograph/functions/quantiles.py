@@ -11,11 +11,12 @@ The definitions differ in which order statistic they take; picking the wrong one
 ``median``             mean of the two middle values
 =====================  ==========================================================================
 
-All are aggregates over non-null values; NaN and nulls are left out; an empty group gives null. The rank-based ones are exact and
-hold a group's values in one row, as ``percentile`` holds its distinct values: bound groups by cells or keys.
+All are aggregates over non-null values; NaN and nulls are left out; an empty group gives null. The rank-based Column builders are exact and
+hold a group's values in one row, as ``percentile`` holds its distinct values: they are for groups that cells or keys keep small. ``ranks`` gives
+the same for groups of any size.
 """
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -55,6 +56,28 @@ def upper_median(x) -> Column:
     return _ranked(x, lambda n: F.floor(n / 2))
 
 
+NEAREST, FLOOR, UPPER = (lambda q, n: F.floor(q * (n - 1) + 0.5)), (lambda q, n: F.floor(q * (n - 1))), (lambda q, n: F.floor(n / 2))
+
+
+def ranks(df: DataFrame, value, wanted: dict, by=()) -> DataFrame:
+    """A row for each group ``by`` with the order statistics ``wanted``: name to (NEAREST, FLOOR or UPPER, q). Values are put in order by ranges over
+    the cluster and the wanted places picked, so no group is held in one row or task."""
+    from orograph.shared import numbered
+
+    rows = df.select(*by, finite(value).alias("__v")).where("__v is not null")
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    placed = numbered(rows, [F.col("__v")], "__k", by)
+    met = [placed[c].eqNullSafe(sizes[c]) for c in by]
+    placed = placed.join(sizes, met).select(*(placed[c] for c in by), "__v", "__k", "__n") if by else placed.crossJoin(F.broadcast(sizes))
+    pick = lambda rule, q: F.max(F.when(F.col("__k") == F.least(F.greatest(rule(F.lit(float(q)), F.col("__n")), F.lit(0)), F.col("__n") - 1), F.col("__v")))
+    found = placed.groupBy(*by).agg(*(pick(*w).alias(name) for name, w in wanted.items()))
+    if not by:
+        return found
+    groups = df.select(*by).distinct()
+    met = [groups[c].eqNullSafe(found[c]) for c in by]
+    return groups.join(found, met, "left").select(*(groups[c] for c in by), *wanted)
+
+
 def round_half_up(x) -> Column:
     """Halves go towards positive infinity: -2.5 gives -2."""
     return F.floor(_col(x) + 0.5)

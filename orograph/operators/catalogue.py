@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orograph.functions import text as T
+from orograph.shared import numbered
 
 #: The documents' own field names.
 SCHEMA = """slug string, title string, lugar string, municipio string, fecha string, lat double, lon double, coordenadas_aprox boolean,
@@ -137,6 +138,11 @@ def priority(selected, highlighted, has_model: Column) -> Column:
     return F.when(F.col("slug") == selected, 0).when(F.col("slug") == highlighted, 1).when(has_model, 2).otherwise(3)
 
 
+def by_priority(df: DataFrame, selected, highlighted, has_model: Column, position) -> DataFrame:
+    """Adds ``place`` (from 1) by ``priority``; within one by position."""
+    return numbered(df, [priority(selected, highlighted, has_model), F.col(position)], "place").withColumn("place", F.col("place") + 1)
+
+
 def sitemap(catalogue: DataFrame, base: str) -> DataFrame:
     """The root and one address a survey, in the catalogue's order, as one XML text."""
     at = F.when(F.coalesce("fecha", F.lit("")) == "", "").otherwise(F.col("fecha"))

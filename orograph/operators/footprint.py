@@ -8,7 +8,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orograph.shared import settled
@@ -75,19 +75,21 @@ def closing(cells: DataFrame, radius: int = 3, by=("slug",)) -> DataFrame:
 def components(cells: DataFrame, by=("slug",)) -> DataFrame:
     """Adds ``label``: the first cell, by rows from the smallest iy, of a cell's 4-connected component.
 
-    Horizontal runs come first (a window numbers them), so what is iterated has a row for each run, not each cell; runs
-    that touch pass on the smaller label until none changes, jumping to the label of their label each round."""
-    from pyspark.sql import Window
-
+    Horizontal runs come first (a window numbers them), so what is iterated has a row for each run, not each cell."""
     w = Window.partitionBy(*by, "iy").orderBy("ix")
-    numbered = cells.select(*by, *CELL).distinct().withColumn("__k", F.col("ix") - F.row_number().over(w))
-    runs = numbered.groupBy(*by, "iy", "__k").agg(F.min("ix").alias("x0"), F.max("ix").alias("x1"))
+    placed = cells.select(*by, *CELL).distinct().withColumn("__k", F.col("ix") - F.row_number().over(w))
+    runs = placed.groupBy(*by, "iy", "__k").agg(F.min("ix").alias("x0"), F.max("ix").alias("x1"))
+    return placed.join(run_components(runs, by).select(*by, "iy", "__k", "label"), [*by, "iy", "__k"]).select(*by, *CELL, "label")
+
+
+def run_components(runs: DataFrame, by=("slug",)) -> DataFrame:
+    """Adds ``label`` to runs (iy, x0, x1): the first cell of a run's component. Runs that touch pass on the smaller label until none changes,
+    jumping to the label of their label each round."""
     runs = settled(runs.withColumn("node", F.struct("iy", F.col("x0").alias("ix"))))
     a, b = runs.alias("a"), runs.alias("b")
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by]
     cond = (F.col("b.iy") == F.col("a.iy") + 1) & (F.col("a.x0") <= F.col("b.x1")) & (F.col("b.x0") <= F.col("a.x1"))
-    for c in same:
-        cond = cond & c
+    for k in by:
+        cond = cond & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
     touch = a.join(b, cond).select(*(F.col(f"a.{k}").alias(k) for k in by), F.col("a.node").alias("u"), F.col("b.node").alias("v"))
     edges = settled(touch.union(touch.select(*by, "v", "u")))
     label = settled(runs.select(*by, "node", F.col("node").alias("label")))
@@ -100,18 +102,29 @@ def components(cells: DataFrame, by=("slug",)) -> DataFrame:
         changed = new.join(old, [*by, "node"]).where("label != was").limit(1).count()
         label = new
         if not changed:
-            break
-    return numbered.join(runs.select(*by, "iy", "__k", "node"), [*by, "iy", "__k"]).join(label, [*by, "node"]).select(*by, *CELL, "label")
+            return runs.join(label, [*by, "node"]).drop("node")
 
 
 def fill_holes(cells: DataFrame, by=("slug",)) -> DataFrame:
-    """Adds the empty cells that are not reachable from outside a survey's box."""
-    box = cells.groupBy(*by).agg(F.min("ix").alias("x0"), F.max("ix").alias("x1"), F.min("iy").alias("y0"), F.max("iy").alias("y1"))
-    frame = box.withColumn("ix", F.explode(F.sequence(F.col("x0") - 1, F.col("x1") + 1))).withColumn("iy", F.explode(F.sequence(F.col("y0") - 1, F.col("y1") + 1)))
-    empty = frame.join(cells.select(*by, *CELL), [*by, *CELL], "left_anti")
-    parts = components(empty.select(*by, *CELL), by)
-    outside = box.select(*by, F.struct((F.col("y0") - 1).alias("iy"), (F.col("x0") - 1).alias("ix")).alias("label"))
-    return cells.select(*by, *CELL).distinct().unionByName(parts.join(outside, [*by, "label"], "left_anti").select(*by, *CELL))
+    """Adds the empty cells that are not reachable from outside.
+
+    Works on the gaps between the runs of each row that has cells, so a stray cell far away costs nothing. What lies left and right of
+    a row's cells is outside, as is a gap beside a row without cells; only the cells of true holes become rows."""
+    own = settled(cells.select(*by, *CELL).distinct())
+    w = Window.partitionBy(*by, "iy").orderBy("ix")
+    gaps = own.withColumn("__next", F.lead("ix").over(w)).where(F.col("__next") > F.col("ix") + 1).select(*by, "iy", (F.col("ix") + 1).alias("x0"), (F.col("__next") - 1).alias("x1"), F.lit(False).alias("out"))
+    rows = own.groupBy(*by, "iy").agg(F.min("ix").alias("lo"), F.max("ix").alias("hi"))
+    far = (1 << 31) - 1
+    side = F.explode(F.array(F.struct(F.lit(-far).alias("x0"), (F.col("lo") - 1).alias("x1")), F.struct((F.col("hi") + 1).alias("x0"), F.lit(far).alias("x1"))))
+    sides = rows.select(*by, "iy", side.alias("s")).select(*by, "iy", "s.x0", "s.x1", F.lit(True).alias("out"))
+    # how many of the two rows beside a row have cells
+    beside = rows.select(*by, F.explode(F.array(F.col("iy") - 1, F.col("iy") + 1)).alias("iy")).groupBy(*by, "iy").agg(F.count(F.lit(1)).alias("beside"))
+    runs = gaps.unionByName(sides).join(beside, [*by, "iy"], "left").withColumn("out", F.col("out") | (F.coalesce("beside", F.lit(0)) < 2)).drop("beside")
+    parts = settled(run_components(runs, by))
+    outside = parts.groupBy(*by, "label").agg(F.bool_or("out").alias("outside")).where("outside").select(*by, "label")
+    holes = parts.join(outside, [*by, "label"], "left_anti")
+    found = holes.select(*by, F.explode(F.sequence("x0", "x1")).alias("ix"), "iy")
+    return own.unionByName(found.withColumn("ix", F.col("ix").cast(own.schema["ix"].dataType)).select(*own.columns))
 
 
 def largest_component(cells: DataFrame, by=("slug",)) -> DataFrame:
@@ -132,21 +145,20 @@ def outline_edges(cells: DataFrame, by=("slug",)) -> DataFrame:
     return each.groupBy(*by, F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).agg(F.count(F.lit(1)).alias("k"), F.first(F.struct("x0", "y0", "x1", "y1")).alias("e")).where("k = 1").select(*by, "e.*")
 
 
-def chain(edges: np.ndarray) -> np.ndarray:
-    """The ring that starts at the first corner by rows (iy, then ix), left turns first where two edges leave a corner."""
-    leaving: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for x0, y0, x1, y1 in sorted(map(tuple, edges.tolist()), key=lambda e: (e[1], e[0], e[3], e[2])):
-        leaving.setdefault((x0, y0), []).append((x1, y1))
-    at = start = min(leaving, key=lambda p: (p[1], p[0]))
-    ring, heading = [], (1, 0)
+def chain(edges: np.ndarray) -> tuple[np.ndarray, int]:
+    """The ring that starts at the first cell by rows, and how many edges it leaves out.
+
+    At a corner where two cells meet diagonally two edges leave; the edge of the cell in the higher row is taken and the other is
+    dropped, so what hangs on such a corner alone may be left out. Callers should tell of left edges."""
+    owner = lambda e: (e[1] if e[2] > e[0] or e[3] > e[1] else min(e[1], e[3]) - (e[1] == e[3]), e[0])
+    leaving = {(x0, y0): (x1, y1) for x0, y0, x1, y1 in sorted(map(tuple, edges.tolist()), key=owner)}
+    at = start = min(((x0, y0) for x0, y0, x1, y1 in edges.tolist() if x1 > x0), key=lambda p: (p[1], p[0]))
+    ring = []
     while True:
         ring.append(at)
-        out = leaving[at]
-        nxt = max(out, key=lambda p: (heading[0] * (p[1] - at[1]) - heading[1] * (p[0] - at[0]), p[0] - at[0])) if len(out) > 1 else out[0]
-        out.remove(nxt)
-        heading, at = (nxt[0] - at[0], nxt[1] - at[1]), nxt
-        if at == start or not leaving.get(at):
-            return np.array(ring, float)
+        at = leaving.pop(at)
+        if at == start or at not in leaving:
+            return np.array(ring, float), len(leaving)
 
 
 def simplify_line(points: np.ndarray, tolerance: float) -> np.ndarray:
@@ -190,23 +202,24 @@ RING = "array<struct<lon:double,lat:double>>"
 
 
 def polygons(cells: DataFrame, origins: DataFrame, cell: float = 2.0, most: int = 96, greatest: float = 3.0) -> DataFrame:
-    """``slug, ring, vertices, area_m2, tolerance`` of each survey: counter-clockwise, closed, 7 decimals. origins: slug, lon0, lat0 of the
-    metres' origin. Takes one component a survey."""
+    """``slug, ring, vertices, area_m2, tolerance, left_edges`` of each survey: counter-clockwise, closed, 7 decimals; left_edges above 0 warn of diagonal
+    corners (see ``chain``). origins: slug, lon0, lat0 of the metres' origin. Takes one component a survey."""
     area = cells.groupBy("slug").agg((F.count(F.lit(1)) * cell * cell).cast("long").alias("area_m2"))
-    edges = outline_edges(cells).join(F.broadcast(origins), "slug").join(area, "slug")
+    edges = outline_edges(cells).join(origins, "slug").join(area, "slug")
 
     def trace(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
-        ring, tolerance = simplify_ring(chain(pdf[["x0", "y0", "x1", "y1"]].to_numpy()) * cell, cell, most, greatest)
+        ring, left = chain(pdf[["x0", "y0", "x1", "y1"]].to_numpy())
+        ring, tolerance = simplify_ring(ring * cell, cell, most, greatest)
         if signed_area(ring) < 0:
             ring = ring[::-1]
         k = 180 / math.pi / 6378137.0
         lon = np.round(first.lon0 + ring[:, 0] * k / math.cos(math.radians(first.lat0)), 7)
         lat = np.round(first.lat0 + ring[:, 1] * k, 7)
         points = [{"lon": float(a), "lat": float(b)} for a, b in zip(lon, lat, strict=True)]
-        return pd.DataFrame([{"slug": first.slug, "ring": [*points, points[0]], "vertices": len(points), "area_m2": first.area_m2, "tolerance": tolerance}])
+        return pd.DataFrame([{"slug": first.slug, "ring": [*points, points[0]], "vertices": len(points), "area_m2": first.area_m2, "tolerance": tolerance, "left_edges": left}])
 
-    return edges.groupBy("slug").applyInPandas(trace, f"slug string, ring {RING}, vertices int, area_m2 long, tolerance double")
+    return edges.groupBy("slug").applyInPandas(trace, f"slug string, ring {RING}, vertices int, area_m2 long, tolerance double, left_edges int")
 
 
 def footprints(triangles: DataFrame, origins: DataFrame, cell: float = 2.0, close: int = 3, open_: int = 1, least: int = 1, most: int = 96, greatest: float = 3.0) -> DataFrame:

@@ -91,7 +91,19 @@ def stride_for(n: int, most: int = 3_000_000) -> int:
 
 def seeded_sample(df: DataFrame, n: int, seed: int = 1, key="vid") -> DataFrame:
     """n rows without replacement, the same for a seed whatever the partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
+
+
+def sample_with_extremes(df: DataFrame, n: int, columns, seed: int = 1, key="vid") -> DataFrame:
+    """A seeded sample and, of each column, the rows with its least and greatest value (of equal ones the first by key); no row twice."""
+    found = seeded_sample(df, n, seed, key)
+    ends = df.agg(*(f(F.struct(v.alias("v"), F.col(key).alias("k"))).alias(f"{name}{i}") for i, c in enumerate(columns) for name, f, v in (("lo", F.min, F.col(c)), ("hi", F.min, -F.col(c)))))
+    keys = ends.select(F.explode(F.array(*(F.col(c)["k"] for c in ends.columns))).alias(key)).distinct()
+    return found.unionByName(df.join(F.broadcast(keys), key, "left_semi").select(*df.columns)).dropDuplicates([key])
+
+
+def distinct_textures(primitives: DataFrame) -> DataFrame:
+    return primitives.select("texture").distinct()
 
 
 def clip_faces(faces: DataFrame, vertices: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
@@ -132,10 +144,11 @@ def count_differences(a: Column, b: Column) -> Column:
 
 def lowest_hit(triangles: DataFrame, points: DataFrame, cell: float) -> DataFrame:
     """For each point (pid, x, y) the lowest z at which a vertical ray meets a triangle; null if none. Triangles and points meet by grid cell."""
-    from orograph.operators.footprint import covered_cells
-
-    tri = covered_cells(triangles, cell)
-    p = points.withColumns({"ix": F.floor(F.col("x") / cell).cast("int"), "iy": F.floor(F.col("y") / cell).cast("int")})
+    idx = lambda v: F.floor(v / cell).cast("int")
+    reach = lambda k: F.sequence(idx(F.least(*(F.col(c + k) for c in "abc"))), idx(F.greatest(*(F.col(c + k) for c in "abc"))))
+    # every cell of a triangle's box: one that it only touches may hold a point too
+    tri = triangles.withColumn("ix", F.explode(reach("x"))).withColumn("iy", F.explode(reach("y")))
+    p = points.withColumns({"ix": idx(F.col("x")), "iy": idx(F.col("y"))})
     j = p.select("pid", F.col("x").alias("px"), F.col("y").alias("py"), "ix", "iy").join(tri, ["ix", "iy"])
     d = (F.col("by") - F.col("cy")) * (F.col("ax") - F.col("cx")) + (F.col("cx") - F.col("bx")) * (F.col("ay") - F.col("cy"))
     s = ((F.col("by") - F.col("cy")) * (F.col("px") - F.col("cx")) + (F.col("cx") - F.col("bx")) * (F.col("py") - F.col("cy"))) / d

@@ -23,9 +23,11 @@ def edge_cache(answers: DataFrame, order="req_id") -> DataFrame:
     is not kept. HEAD asks but does not store."""
     kept = web.is_versioned("path") & F.col("range_header").isNull() & F.col("status").isin(200, 304)
     stores = kept & (F.col("method") == "GET") & (F.col("status") == 200)
-    w = Window.partitionBy("path").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return answers.withColumn("__stored", F.coalesce(F.max(stores.cast("int")).over(w), F.lit(0))).withColumn(
-        "x_cache", F.when(kept & (F.col("__stored") == 1), "HIT").when((F.col("method") == "GET") & F.col("status").isin(200, 206), "MISS")).drop("__stored")
+    # the first store of each path decides, so a busy path is reduced before it moves and no task sorts its requests
+    first = answers.where(stores).groupBy(F.col("path").alias("__path")).agg(F.min(order).alias("__first"))
+    rows = answers.join(first, F.col("path") == F.col("__path"), "left")
+    hit = kept & F.coalesce(F.col(order) > F.col("__first"), F.lit(False))
+    return rows.withColumn("x_cache", F.when(hit, "HIT").when((F.col("method") == "GET") & F.col("status").isin(200, 206), "MISS")).drop("__path", "__first")
 
 
 def get_object(objects: DataFrame) -> DataFrame:

@@ -140,44 +140,41 @@ def ground_at_ring(heights: DataFrame, fallback: DataFrame, by="slug") -> DataFr
     return fallback.join(found, by, "left").select(by, F.coalesce("ground", "lowest").alias("ground"))
 
 
-def clip_to_rectangle(ring: list[tuple[float, float]], x0: float, y0: float, x1: float, y1: float) -> list[tuple[float, float]]:
-    """The part of a polygon within a rectangle, side by side of the rectangle."""
-    out = list(ring)
-    for axis, edge, keep_less in ((0, x0, False), (0, x1, True), (1, y0, False), (1, y1, True)):
-        points, out = out, []
-        for i, b in enumerate(points):
-            a = points[i - 1]
-            ia, ib = (a[axis] <= edge, b[axis] <= edge) if keep_less else (a[axis] >= edge, b[axis] >= edge)
-            if ia != ib:
-                t = (edge - a[axis]) / (b[axis] - a[axis])
-                out.append(tuple(edge if k == axis else a[k] + t * (b[k] - a[k]) for k in (0, 1)))
-            if ib:
-                out.append(b)
-    return out
-
-
-def circle_ring(x: float, y: float, radius: float, sides: int = 16) -> list[tuple[float, float]]:
-    """What stands for a survey without a footprint."""
-    return [(x + radius * math.cos(2 * math.pi * k / sides), y + radius * math.sin(2 * math.pi * k / sides)) for k in range(sides)]
-
+def _clipped(points: Column, axis: str, edge: float, less: bool) -> Column:
+    """Corners of the part of a polygon on one side of a line along the other axis (Sutherland-Hodgman)."""
+    other = "lat" if axis == "lon" else "lon"
+    inside = lambda p: p[axis] <= edge if less else p[axis] >= edge
 
-def visible_fraction(rings: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
-    """``rid, fraction``: the share of a ring's area within the view; rings are in view coordinates (lon, lat fields)."""
-    import pandas as pd
+    def step(a, b):
+        across = a[other] + (b[other] - a[other]) * (F.lit(edge) - a[axis]) / (b[axis] - a[axis])
+        at = {axis: F.lit(float(edge)), other: across}
+        cut = F.struct(at["lon"].alias("lon"), at["lat"].alias("lat"))
+        return F.filter(F.array(F.when(inside(a), a), F.when(inside(a) != inside(b), cut)), lambda p: p.isNotNull())
 
-    def area(p):
-        return abs(sum(p[i - 1][0] * q[1] - q[0] * p[i - 1][1] for i, q in enumerate(p))) / 2
+    return F.flatten(F.zip_with(points, F.concat(F.slice(points, 2, F.size(points)), F.slice(points, 1, 1)), step))
 
-    @F.pandas_udf("double")
-    def share(ring: pd.Series) -> pd.Series:
-        def one(r):
-            points = [(p["lon"], p["lat"]) for p in r]
-            whole = area(points)
-            return area(clip_to_rectangle(points, x0, y0, x1, y1)) / whole if whole else 0.0
 
-        return ring.map(one)
-
-    return rings.select("rid", share("ring").alias("fraction"))
+def circle_ring(x: Column, y: Column, radius: Column, sides: int = 16) -> Column:
+    """What stands for a survey without a footprint."""
+    turn = lambda f, k: f(k * (2 * math.pi / sides))
+    return F.transform(F.sequence(F.lit(0), F.lit(sides - 1)), lambda k: F.struct((x + radius * turn(F.cos, k)).alias("lon"), (y + radius * turn(F.sin, k)).alias("lat")))
+
+
+def visible_fraction(rings: DataFrame, x0: float, y0: float, x1: float, y1: float, margin: float = 0.0) -> DataFrame:
+    """``rid, fraction``: the share of a view's area that a ring takes, in view coordinates (lon, lat fields); margin widens the view by that
+    share of its sides. Where the ring is null a circle about (x, y) with ``radius`` stands for it. A view without area gives 0."""
+    mx, my = (x1 - x0) * margin, (y1 - y0) * margin
+    x0, x1, y0, y1 = x0 - mx, x1 + mx, y0 - my, y1 + my
+    if x1 <= x0 or y1 <= y0:
+        return rings.select("rid", F.lit(0.0).alias("fraction"))
+    ring = F.coalesce("ring", circle_ring(F.col("x"), F.col("y"), F.col("radius"))) if "radius" in rings.columns else F.col("ring")
+    out = rings.select("rid", ring.alias("__p"))
+    for axis, edge, less in (("lon", x0, False), ("lon", x1, True), ("lat", y0, False), ("lat", y1, True)):
+        out = out.select("rid", _clipped(F.col("__p"), axis, edge, less).alias("__p"))
+    p = F.col("__p")
+    turned = F.concat(F.slice(p, 2, F.size(p)), F.slice(p, 1, 1))
+    twice = F.aggregate(F.zip_with(p, turned, lambda a, b: a["lon"] * b["lat"] - b["lon"] * a["lat"]), F.lit(0.0), lambda s, v: s + v)
+    return out.select("rid", F.when(F.size(p) < 3, 0.0).otherwise(F.abs(twice) / 2 / ((x1 - x0) * (y1 - y0))).alias("fraction"))
 
 
 def proximity_groups(points: DataFrame, view="view", radius: float = 30.0) -> DataFrame:
@@ -201,9 +198,12 @@ def proximity_groups(points: DataFrame, view="view", radius: float = 30.0) -> Da
 
 
 def place_labels(marks: DataFrame, view="view", width="view_width") -> DataFrame:
-    """A side for each mark's label (view, pid, priority, x, y, label_px): right, else left, else hidden, by what stands already; ``side``."""
+    """A side for each mark's label (view, pid, priority, x, y, label_px): right, else left, else hidden, by what stands already; ``side``. Marks
+    beyond the view (0 to ``width`` and, if there is such a column, to ``view_height``) are outside and block nothing. One view is one small group."""
     kind, vkind = (marks.schema[c].dataType.simpleString() for c in ("pid", view))
+    #: Half a mark's side, and the gaps on its side and behind its label, in pixels.
     half, near, far = 13, 15, 21
+    height = [c for c in ("view_height",) if c in marks.columns]
 
     def run(pdf):
         import pandas as pd
@@ -211,6 +211,9 @@ def place_labels(marks: DataFrame, view="view", width="view_width") -> DataFrame
         put, out = [], []
         free = lambda q: all(q[0] >= o[1] or q[1] <= o[0] or q[2] >= o[3] or q[3] <= o[2] for o in put)
         for r in pdf.sort_values(["priority", "pid"]).itertuples():
+            if r.x < 0 or r.y < 0 or r.x > getattr(r, width) or (height and r.y > r.view_height):
+                out.append((getattr(r, view), r.pid, "outside"))
+                continue
             y = (r.y - half, r.y + half)
             right, left = (r.x + near, r.x + far + r.label_px, *y), (r.x - far - r.label_px, r.x - near, *y)
             side = "right" if free(right) and right[1] < getattr(r, width) else "left" if free(left) and left[0] > 0 else "hidden"
@@ -219,7 +222,7 @@ def place_labels(marks: DataFrame, view="view", width="view_width") -> DataFrame
             out.append((getattr(r, view), r.pid, side))
         return pd.DataFrame(out, columns=[view, "pid", "side"])
 
-    return marks.select(view, "pid", "priority", "x", "y", "label_px", width).groupBy(view).applyInPandas(run, f"{view} {vkind}, pid {kind}, side string")
+    return marks.select(view, "pid", "priority", "x", "y", "label_px", width, *height).groupBy(view).applyInPandas(run, f"{view} {vkind}, pid {kind}, side string")
 
 
 def shelf_pack(items: DataFrame, by="atlas", width: int = 2048) -> DataFrame:

@@ -1,19 +1,25 @@
 """Rules that remember, over a key's events in order (columns ``key, ts, seq``): batch folds. ``streaming.rules`` has the same rules for streams.
 
-A fold runs inside ``applyInPandas`` on one key's events only where each step needs the last one's outcome; the others are windows or array folds. A
-key that holds much of the data is cut into sessions first by ``with_sessions``: a rule starts anew behind a long silence."""
+Most rules are windows. Where each step needs the last one's outcome, a fold walks through one session of a key's events, cut where the
+rule provably starts anew, or on blocks of bounded size whose effects are then put together; no key is held whole."""
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orograph.shared import numbered
+
 ON_PX, OFF_PX, LIVE_BONUS = 12.0, 8.0, 1.25
+#: Events of a key that are folded in one task.
+BLOCK = 4096
 
 
-def with_sessions(events: DataFrame, gap: float, key="key", ts="ts") -> DataFrame:
-    w = Window.partitionBy(key).orderBy(ts, "seq")
-    new = (F.col(ts) - F.lag(ts).over(w) > gap).cast("int")
-    return events.withColumn("session", F.sum(F.coalesce(new, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def with_sessions(events: DataFrame, gap: float, key="key", order=("ts", "seq"), also: Column | None = None) -> DataFrame:
+    """Adds ``session``: a number that goes up at an event ``gap`` or more behind the one before (and for which ``also`` holds)."""
+    w = Window.partitionBy(key).orderBy(*order)
+    new = F.col(order[0]) - F.lag(order[0]).over(w) >= gap
+    new = new if also is None else new & also
+    return events.withColumn("session", F.sum(F.coalesce(new.cast("int"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def hysteresis(events: DataFrame, on: float = ON_PX, off: float = OFF_PX, key="key", value="radius_px", order=("ts", "seq")) -> DataFrame:
@@ -35,30 +41,79 @@ def top_models(state: DataFrame, k: int, group="view", radius="radius_px") -> Da
 
 
 def throttle(events: DataFrame, least: float, key="key", order=("ts", "seq")) -> DataFrame:
-    """Keeps an event if the last kept one is ``least`` or more before it."""
-    at = F.array_sort(F.collect_list(F.struct(*order)))
-    start = F.struct(F.lit(None).cast(events.schema[order[0]].dataType).alias("last"), F.array().cast(f"array<struct<{order[0]}:{events.schema[order[0]].dataType.simpleString()},{order[1]}:{events.schema[order[1]].dataType.simpleString()}>>").alias("kept"))
-
-    def step(s, e):
-        ok = s["last"].isNull() | (e[order[0]] - s["last"] >= least)
-        return F.struct(F.when(ok, e[order[0]]).otherwise(s["last"]).alias("last"), F.when(ok, F.concat(s["kept"], F.array(e))).otherwise(s["kept"]).alias("kept"))
-
-    kept = events.groupBy(key).agg(F.aggregate(at, start, step, lambda s: s["kept"]).alias("kept"))
-    return events.join(kept.select(key, F.explode("kept").alias("k")).select(key, "k.*"), [key, *order], "left_semi")
-
-
-def moving_average(events: DataFrame, value: str, weight: float = 0.4, key="key", order=("ts", "seq"), name: str = "ema") -> DataFrame:
-    """Adds ``v = (1 - weight) v + weight x`` from 0 on: a fold over the key's ordered values, one array in one row out."""
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("__x"))))
-    start = F.struct(F.lit(0.0).alias("v"), F.array().cast("array<double>").alias("all"))
-
-    def step(s, e):
-        v = s["v"] * (1 - weight) + e["__x"] * weight
-        return F.struct(v.alias("v"), F.concat(s["all"], F.array(v)).alias("all"))
-
-    folded = events.groupBy(key).agg(items.alias("__i")).withColumn("__v", F.aggregate("__i", start, step, lambda s: s["all"]))
-    rows = folded.select(key, F.explode(F.arrays_zip("__i", "__v")).alias("z")).select(key, *(F.col(f"z.__i.{c}").alias(c) for c in order), F.col("z.__v").alias(name))
-    return events.join(rows, [key, *order])
+    """Keeps an event if the last kept one is ``least`` or more before it. An event that is so far behind the one before is kept whatever was kept, so
+    it starts a session."""
+    def start():
+        last = None
+
+        def step(row):
+            nonlocal last
+            if last is None or row[1] - last >= least:
+                last = row[1]
+                yield row
+
+        return step
+
+    kinds = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in (key, *order))
+    cut = with_sessions(events.select(key, *order), least, key, order)
+    return events.join(_in_sessions(cut, key, order, (key, *order), start, kinds), [key, *order], "left_semi")
+
+
+def _in_sessions(cut: DataFrame, key, order, columns, start, schema: str) -> DataFrame:
+    """What a fold gives for the rows of each session in order: ``start()`` makes the fold of one session, a function from a row's columns to rows. Sessions
+    are dealt over the tasks, each task walks through its sorted rows batch by batch and holds one session's state."""
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    at = len(columns)
+
+    def run(frames):
+        now = step = None
+        for f in frames:
+            out = []
+            for row in f.itertuples(index=False, name=None):
+                if row[at:] != now:
+                    now, step = row[at:], start()
+                out += step(row[:at])
+            yield pd.DataFrame(out, columns=names)
+
+    rows = cut.repartition(key, "session").sortWithinPartitions(key, "session", *order)
+    return rows.select(*columns, F.col(key).alias("__key"), "session").mapInPandas(run, schema)
+
+
+def moving_average(events: DataFrame, value: str, weight: float = 0.4, key="key", order=("ts", "seq"), name: str = "ema", per: str | None = None, block: int = BLOCK) -> DataFrame:
+    """Adds ``v = (1 - weight) v + weight x`` from 0 on; per: a column whose growth since the event before (1 at least) divides x, as a change divides by its time.
+
+    Blocks of so many events are folded from 0 first; a block's start then follows from the ends of those before, as a fold from
+    v is one from 0 and what is left of v."""
+    rows = numbered(events, [F.col(c) for c in order], "__k", (key,)).withColumn("__b", F.floor(F.col("__k") / block))
+    x = F.col(value).cast("double")
+    if per is not None:
+        w = Window.partitionBy(key).orderBy("__k")
+        x = x / F.greatest(F.coalesce(F.col(per) - F.lag(per).over(w), F.lit(1.0)), F.lit(1.0))
+    rows = rows.withColumn("__x", x)
+    fold = lambda items, start: F.aggregate(items, start, lambda v, i: v * (1 - weight) + i["x"] * weight)
+    blocks = rows.groupBy(key, "__b").agg(F.array_sort(F.collect_list(F.struct(F.col("__k").alias("k"), F.col("__x").alias("x")))).alias("items"))
+    ends = blocks.select(key, F.struct(F.col("__b").alias("b"), F.pow(F.lit(1 - weight), F.size("items")).alias("left"), fold(F.col("items"), F.lit(0.0)).alias("v")).alias("e"))
+    # one entry for each block of a key
+    starts = ends.groupBy(F.col(key).alias("__key")).agg(F.array_sort(F.collect_list("e")).alias("e"))
+    state = F.struct(F.lit(0.0).alias("v"), F.array().cast("array<struct<b:bigint,v:double>>").alias("all"))
+    step = lambda s, e: F.struct((s["v"] * e["left"] + e["v"]).alias("v"), F.concat(s["all"], F.array(F.struct(e["b"].alias("b"), s["v"].alias("v")))).alias("all"))
+    starts = starts.select("__key", F.explode(F.aggregate("e", state, step, lambda s: s["all"])).alias("s"))
+    met = blocks.join(starts, blocks[key].eqNullSafe(starts["__key"]) & (blocks["__b"] == starts["s.b"]))
+
+    @F.pandas_udf("array<double>")
+    def folded(values: pd.Series, start: pd.Series) -> pd.Series:
+        def one(xs, v):
+            out = []
+            for x in xs:
+                v = v * (1 - weight) + x * weight
+                out.append(v)
+            return out
+
+        return pd.Series([one(xs, v) for xs, v in zip(values, start, strict=True)])
+
+    found = met.select(F.col(key).alias("__key"), F.transform("items", lambda i: i["k"]).alias("k"), folded(F.transform("items", lambda i: i["x"]), F.col("s.v")).alias("v"))
+    found = found.select("__key", F.explode(F.arrays_zip("k", "v")).alias("z")).select("__key", F.col("z.k").alias("__of"), F.col("z.v").alias(name))
+    return rows.join(found, rows[key].eqNullSafe(found["__key"]) & (rows["__k"] == found["__of"])).drop("__k", "__b", "__x", "__key", "__of")
 
 
 def decay(v: float, frame_ms: float = 16.0, time_ms: float = 180.0, least: float = 0.02, most: int = 10_000):
@@ -109,22 +164,25 @@ def retry_schedule(rounds: int = 8, first_s: float = 1.0, most_s: float = 30.0)
 def retries(events: DataFrame, most: int = 8, key="key", order=("ts", "seq"), failed="failed", first_ms: float = 1000.0, most_ms: float = 30000.0) -> DataFrame:
     """``key, ts, wait_ms, due_ms, round``: a retry for a failure if none is pending and fewer than ``most`` were made in a row; waits double. An event
     that isn't a failure, when all before it have been retried, starts the count anew."""
-    kind = events.schema[key].dataType.simpleString()
+    def start():
+        round_, due = 0, float("-inf")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, round_, due = [], 0, float("-inf")
-        for r in pdf.sort_values(list(order)).itertuples():
-            t = float(getattr(r, order[0]))
-            if not getattr(r, failed):
+        def step(row):
+            nonlocal round_, due
+            k, t, bad = row
+            if not bad:
                 if t >= due:
                     round_ = 0
             elif t >= due and round_ < most:
                 wait = min(most_ms, first_ms * 2**round_)
                 round_, due = round_ + 1, t + wait
-                out.append((getattr(r, key), t, wait, due, round_))
-        return pd.DataFrame(out, columns=[key, "ts", "wait_ms", "due_ms", "round"])
+                yield k, float(t), wait, due, round_
+
+        return step
 
-    return events.select(key, *order, failed).groupBy(key).applyInPandas(run, f"{key} {kind}, ts double, wait_ms double, due_ms double, round int")
+    # an event that isn't a failure, as far behind the one before as the longest wait, finds nothing pending: the count starts anew there
+    cut = with_sessions(events.select(key, *order, failed), most_ms, key, order, also=~F.col(failed))
+    return _in_sessions(cut, key, order, (key, order[0], failed), start, f"{key} {events.schema[key].dataType.simpleString()}, ts double, wait_ms double, due_ms double, round int")
 
 
 def loading_notices(changes: DataFrame, wait_ms: float = 1200.0, key="key", ts="ts") -> DataFrame:
@@ -132,3 +190,8 @@ def loading_notices(changes: DataFrame, wait_ms: float = 1200.0, key="key", ts="
     w = Window.partitionBy(key).orderBy(ts)
     rows = changes.withColumn("__end", F.lead(ts).over(w)).where("loading")
     return rows.where(F.col("__end").isNull() | (F.col("__end") - F.col(ts) > wait_ms)).select(key, (F.col(ts) + wait_ms).alias("notice_at"), F.col("__end").alias("until"))
+
+
+def last_failures(events: DataFrame, n: int = 5, failed="failed", order=("ts", "seq")) -> DataFrame:
+    """The last n failures, latest first."""
+    return events.where(F.col(failed)).orderBy(*(F.col(c).desc() for c in order)).limit(n)

@@ -54,3 +54,14 @@ def georeference_errors(vertices: DataFrame, root, zone: int, geoid: float) -> D
 def rewritten_tiles(tiles: DataFrame, touched: DataFrame) -> DataFrame:
     """Only tiles that a footprint touches are worked on; others keep their bytes: adds ``is_touched`` by a join on (z, x, y)."""
     return tiles.join(touched.select("z", "x", "y").distinct().withColumn("is_touched", F.lit(True)), ["z", "x", "y"], "left").withColumn("is_touched", F.coalesce("is_touched", F.lit(False)))
+
+
+def mapped_tiles(tiles: DataFrame, function, returns: str, heights: str = "heights", name: str = "mapped") -> DataFrame:
+    """A user's function on the heights (a numpy array) of each tile, in Arrow batches: adds its result, of the Spark type ``returns``."""
+    import pandas as pd
+
+    @F.pandas_udf(returns)
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(function)
+
+    return tiles.withColumn(name, run(F.col(heights)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from orograph.functions import matrix
 from orograph.functions import quantiles as Q
 from orograph.functions.mesh import box_of, box_range, tile_error
-from orograph.shared import settled
+from orograph.shared import numbered, settled
 
 
 def leaves(nodes: DataFrame) -> DataFrame:
@@ -70,11 +70,14 @@ def rounded(tiles: DataFrame) -> DataFrame:
 
 def level_statistics(tiles: DataFrame, level="depth") -> DataFrame:
     """Tiles, triangles, MB, least and greatest error, the upper median of finite texels (cm) and the kind of texture by level."""
-    return tiles.groupBy(level).agg(
+    sums = tiles.groupBy(level).agg(
         F.count(F.lit(1)).alias("tiles"), F.sum(F.coalesce("tris", F.lit(0))).alias("tris"), Q.fixed(F.sum("bytes") / 1e6, 2).alias("mb"),
         Q.fixed(F.min("error"), 3).alias("error_min"), Q.fixed(F.max("error"), 3).alias("error_max"),
-        Q.fixed(Q.upper_median(F.when(F.col("texel") != 0, F.col("texel") * 100)), 2).alias("texel_cm"),
         F.when(F.bool_or("ktx"), "ktx2").when(F.count("tex_w") > 0, "jpeg").otherwise("-").alias("texture"))
+    texel = Q.ranks(tiles.select(level, F.when(F.col("texel") != 0, F.col("texel") * 100).alias("cm")), "cm", {"cm": (Q.UPPER, 0.5)}, (level,))
+    found = texel.select(F.col(level).alias("__level"), Q.fixed("cm", 2).alias("texel_cm"))
+    out = sums.join(found, sums[level].eqNullSafe(found["__level"]), "left").drop("__level")
+    return out.select(*(c for c in out.columns if c not in ("texel_cm", "texture")), "texel_cm", "texture")
 
 
 def level_weights(tiles: DataFrame, level="depth", gpu_bytes_per_pixel: float = 5.33) -> DataFrame:
@@ -163,3 +166,17 @@ def dfs_order(nodes: DataFrame, separator: str = "/") -> DataFrame:
     return done
 
 
+
+
+def by_size(files: DataFrame, largest_first: bool = True, size="bytes", path="path") -> DataFrame:
+    """Adds ``place`` (from 1): files by size, of equal ones by path. Smallest first is the order in which jobs are started."""
+    order = [F.col(size).desc() if largest_first else F.col(size).asc(), F.col(path)]
+    return numbered(files, order, "place").withColumn("place", F.col("place") + 1)
+
+
+def concatenated(*pages: DataFrame) -> DataFrame:
+    """All rows of all pages, by column names; columns that a page lacks are null."""
+    out = pages[0]
+    for p in pages[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out

@@ -1,24 +1,29 @@
 """Weighted medians and densities of textures."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orograph.functions.mesh import texel_size
+from orograph.shared import running
 
 
 def running_weight(df: DataFrame, value, weight, by=()) -> DataFrame:
     """Adds ``running``: the sum of weights up to a row in the order of values. Equal values are one step: rows are
-    reduced to one for each value first, so a window holds distinct values only."""
+    reduced to one for each value first, and the order is cut into ranges, so no task holds a group."""
     steps = df.groupBy(*by, value).agg(F.sum(weight).alias("w"))
-    order = Window.partitionBy(*by).orderBy(value)
-    return steps.withColumn("running", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return running(steps, [F.col(value)], F.col("w"), "running", by)
 
 
 def weighted_median(df: DataFrame, value, weight, by=()) -> DataFrame:
     """The first value whose running weight is half of the total or more; rows without weight don't count."""
-    steps = running_weight(df.where((F.col(weight) > 0) & F.col(value).isNotNull()), value, weight, by)
-    total = F.sum("w").over(Window.partitionBy(*by))
-    return steps.withColumn("total", total).where(F.col("running") * 2 >= F.col("total")).groupBy(*by).agg(F.min(value).alias("weighted_median"), F.max("total").alias("total_weight"))
+    rows = df.where((F.col(weight) > 0) & F.col(value).isNotNull())
+    steps = running_weight(rows, value, weight, by)
+    total = rows.groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(F.sum(weight).alias("total"))
+    met = F.lit(True)
+    for c in by:
+        met = met & steps[c].eqNullSafe(total[f"__{c}"])
+    found = steps.join(total, met).where(F.col("running") * 2 >= F.col("total"))
+    return found.groupBy(*by).agg(F.min(value).alias("weighted_median"), F.max("total").alias("total_weight"))
 
 
 def texel_medians(triangles: DataFrame, by=("tile",), density="density", area="area") -> DataFrame:

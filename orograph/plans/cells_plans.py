@@ -101,17 +101,17 @@ RANKS = "WITH v AS (SELECT o_orderpriority k, list_sort(list(o_totalprice)) l, c
 
 @query(RANKS + "l[CAST(floor(0.05 * (n - 1) + 0.5) AS BIGINT) + 1] p5, l[CAST(floor(0.95 * (n - 1) + 0.5) AS BIGINT) + 1] p95 FROM v")
 def q2_nearest_rank(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("k")).agg(Q.nearest_rank("o_totalprice", 0.05).alias("p5"), Q.nearest_rank("o_totalprice", 0.95).alias("p95"))
+    return table(spark, sf_dir, "orders").transform(lambda d: Q.ranks(d.withColumnRenamed("o_orderpriority", "k"), "o_totalprice", {"p5": (Q.NEAREST, 0.05), "p95": (Q.NEAREST, 0.95)}, ("k",)))
 
 
 @query(RANKS + "l[CAST(floor(0.1 * (n - 1)) AS BIGINT) + 1] p10, l[CAST(floor(0.9 * (n - 1)) AS BIGINT) + 1] p90 FROM v")
 def q3_floor_rank(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("k")).agg(Q.floor_rank("o_totalprice", 0.1).alias("p10"), Q.floor_rank("o_totalprice", 0.9).alias("p90"))
+    return table(spark, sf_dir, "orders").transform(lambda d: Q.ranks(d.withColumnRenamed("o_orderpriority", "k"), "o_totalprice", {"p10": (Q.FLOOR, 0.1), "p90": (Q.FLOOR, 0.9)}, ("k",)))
 
 
 @query(RANKS + "l[n // 2 + 1] upper_median FROM v")
 def q4_upper_median(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("k")).agg(Q.upper_median("o_totalprice").alias("upper_median"))
+    return table(spark, sf_dir, "orders").transform(lambda d: Q.ranks(d.withColumnRenamed("o_orderpriority", "k"), "o_totalprice", {"upper_median": (Q.UPPER, 0.5)}, ("k",)))
 
 
 @query("SELECT o_orderpriority k, round(quantile_cont(o_totalprice, 0.25), 4) q1, round(median(o_totalprice), 4) med, floor(avg(o_totalprice) * 100 + 0.5) / 100 fixed2, floor(avg(o_totalprice) / 10 + 0.5) * 10 digits5 FROM orders GROUP BY 1")

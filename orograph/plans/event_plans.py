@@ -35,7 +35,14 @@ def str05_in_flight(spark, sf_dir):
 @query("WITH RECURSIVE " + E + f", n AS (SELECT k, seq, v, row_number() OVER ({ORDER}) i FROM e), f AS (SELECT k, i, seq, coalesce(v, 0) * 0.4::DOUBLE m FROM n WHERE i = 1 UNION ALL SELECT n.k, n.i, n.seq, f.m * 0.6::DOUBLE + coalesce(n.v, 0) * 0.4::DOUBLE FROM f JOIN n ON n.k = f.k AND n.i = f.i + 1) SELECT seq, round(m, 6) ema FROM f")
 def win05_moving_average(spark, sf_dir):
     rows = keyed_events(spark, sf_dir).withColumn("radius_px", F.coalesce("radius_px", F.lit(0.0)))
-    return stateful.moving_average(rows, "radius_px").select("seq", F.round("ema", 6).alias("ema"))
+    return stateful.moving_average(rows, "radius_px", block=16).select("seq", F.round("ema", 6).alias("ema"))
+
+
+@query("WITH RECURSIVE " + E + f", n AS (SELECT k, seq, v, ts, row_number() OVER ({ORDER}) i FROM e), f AS (SELECT k, i, seq, ts, coalesce(v, 0) * 0.4::DOUBLE m FROM n WHERE i = 1 UNION ALL SELECT n.k, n.i, n.seq, n.ts, f.m * 0.6::DOUBLE + coalesce(n.v, 0) / greatest(n.ts - f.ts, 1) * 0.4::DOUBLE FROM f JOIN n ON n.k = f.k AND n.i = f.i + 1) SELECT seq, round(m, 9) ema FROM f")
+def win05_speed(spark, sf_dir):
+    """Changes by the time they took."""
+    rows = keyed_events(spark, sf_dir).withColumn("radius_px", F.coalesce("radius_px", F.lit(0.0)))
+    return stateful.moving_average(rows, "radius_px", per="ts").select("seq", F.round("ema", 9).alias("ema"))
 
 
 @query("WITH " + E + f" SELECT seq, max(v) OVER ({ORDER} ROWS UNBOUNDED PRECEDING) peak FROM e")
@@ -66,9 +73,16 @@ def srt03_top_models(spark, sf_dir):
     return stateful.top_models(state, 5).select(F.col("view").alias("g"), "seq", "place")
 
 
-@query()
+RETRIES = "WITH RECURSIVE " + E + f""", n AS (SELECT k, ts, seq % 3 = 0 bad, row_number() OVER ({ORDER}) i FROM e),
+ f AS (SELECT k, i, ts, CASE WHEN bad THEN 1 ELSE 0 END r, CASE WHEN bad THEN ts + 1000 ELSE '-inf'::DOUBLE END due, bad made, 1000.0::DOUBLE wait FROM n WHERE i = 1
+ UNION ALL SELECT n.k, n.i, n.ts, CASE WHEN NOT bad AND n.ts >= f.due THEN 0 WHEN bad AND n.ts >= f.due AND f.r < 8 THEN f.r + 1 ELSE f.r END, CASE WHEN bad AND n.ts >= f.due AND f.r < 8 THEN n.ts + least(30000.0, 1000 * pow(2, f.r)) ELSE f.due END,
+ bad AND n.ts >= f.due AND f.r < 8, least(30000.0, 1000 * pow(2, f.r))::DOUBLE FROM f JOIN n ON n.k = f.k AND n.i = f.i + 1)
+ SELECT k "key", ts, wait wait_ms, due due_ms, CAST(r AS INTEGER) round FROM f WHERE made"""
+
+
+@query(RETRIES)
 def str02_retries(spark, sf_dir):
-    """Retries of failing keys; compared with a simulation in the tests."""
+    """Retries of failing keys."""
     return stateful.retries(keyed_events(spark, sf_dir).withColumn("failed", F.col("seq") % 3 == 0))
 
 

@@ -21,19 +21,32 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, order, name: str = "number", by=()) -> DataFrame:
-    """Adds each row's place in the order of the whole table, or of its group ``by``, from 0.
+    """Adds each row's place in the order of the whole table, or of its group ``by``, from 0."""
+    return running(df, order, F.lit(1), name, by).withColumn(name, F.col(name) - 1)
 
-    Ranges of the order are numbered each by itself, then moved by the rows of the ranges before: no task sorts more than a range,
+
+def running(df: DataFrame, order, weight, name: str = "running", by=()) -> DataFrame:
+    """Adds the sum of weights up to each row in the order of the whole table, or of its group ``by``; rows that are equal by order come in any order.
+
+    Ranges of the order are added up each by itself, then moved by the sums of the ranges before: no task sorts more than a range,
     however large a group is."""
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartitionByRange(ranges, *by, *order).withColumn("__part", F.spark_partition_id()).transform(settled)
-    placed = rows.withColumn("__place", F.row_number().over(Window.partitionBy("__part", *by).orderBy(*order)))
-    # one row for each range of a group; without groups at most as many as there are ranges
-    sizes = rows.groupBy("__part", *by).agg(F.count(F.lit(1)).alias("__n"))
+    rows = df.withColumn("__w", weight).repartitionByRange(ranges, *by, *order).withColumn("__part", F.spark_partition_id()).transform(settled)
+    up_to = Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("__sum", F.sum("__w").over(up_to))
+    # one row for each range of a group; without groups the driver adds up as many numbers as there are ranges
+    sizes = rows.groupBy("__part", *by).agg(F.sum("__w").alias("__n"))
+    if not by:
+        kind, total, starts = sizes.schema["__n"].dataType.simpleString(), 0, []
+        for part, n in sorted((r[0], r[1]) for r in sizes.collect()):
+            starts.append((part, total))
+            total += n or 0
+        starts = df.sparkSession.createDataFrame([(p, type(total)(n)) for p, n in starts], f"__part int, __before {kind}")
+        return placed.join(F.broadcast(starts), "__part").withColumn(name, F.col("__before") + F.col("__sum")).drop("__part", "__w", "__sum", "__before")
     before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select(F.col("__part").alias("__of"), F.coalesce(before, F.lit(0)).alias("__before"), *(F.col(c).alias(f"__of_{c}") for c in by))
     met = placed["__part"] == sizes["__of"]
     for c in by:
         met = met & placed[c].eqNullSafe(sizes[f"__of_{c}"])
-    out = placed.join(sizes, met).withColumn(name, F.col("__before") + F.col("__place") - 1)
-    return out.drop("__part", "__place", "__before", "__of", *(f"__of_{c}" for c in by))
+    out = placed.join(sizes, met).withColumn(name, F.col("__before") + F.col("__sum"))
+    return out.drop("__part", "__w", "__sum", "__before", "__of", *(f"__of_{c}" for c in by))

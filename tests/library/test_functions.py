@@ -80,8 +80,11 @@ def test_matrices(spark):
     assert np.allclose(M.as_numpy(got), M.as_numpy(a) @ M.as_numpy(b))
     assert M.tilt(0, 0) == M.IDENTITY
     t = M.as_numpy(M.tilt(0.02, -0.01))
-    n = t[:3, :3] @ (np.array([-0.02, 0.01, 1]) / np.linalg.norm([-0.02, 0.01, 1]))
+    n = t[:3, :3] @ (np.array([0.02, -0.01, 1]) / np.linalg.norm([0.02, -0.01, 1]))
     assert np.allclose(n, [0, 0, 1])
+    # the offset comes after the levelling, so the pivot moves by exactly the offset
+    level = M.as_numpy(M.georeference(M.IDENTITY, "z", 0.0, 1.0, (1, 2, 3), (0.02, 0.05), 30.0))
+    assert np.allclose(level @ [0, 0, 30, 1], [1, 2, 33, 1])
     chain = M.as_numpy(M.georeference(M.IDENTITY, "z", 0.0, 1.0, (1, 2, 3), (0.0, 0.0), 9.0))
     assert np.allclose(chain @ [0, 0, 0, 1], [1, 2, 3, 1])
     assert one(spark, *M.y_up_to_z_up(F.lit(1.0), F.lit(2.0), F.lit(3.0))) == (1.0, -3.0, 2.0)

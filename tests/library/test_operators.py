@@ -198,8 +198,11 @@ def test_spatial(spark):
     b = spark.createDataFrame([(7, 1.0, 1.0, 2.0, 6.0), (8, 8.5, 0.0, 8.6, 8.0)], "id int, x0 double, y0 double, x1 double, y1 double")
     assert {(r.a_id, r.b_id) for r in spatial.boxes_touching(a, b, 2.0).collect()} == {(1, 7), (2, 8)}
     f = {r.rid: r.fraction for r in spatial.visible_fraction(rings, 0, 0, 2, 4).collect()}
-    assert f[1] == pytest.approx(0.5) and f[2] == pytest.approx(8 / 12)
-    assert len(spatial.circle_ring(0, 0, 1)) == 16
+    assert f[1] == pytest.approx(1.0)
+    assert {r.rid: r.fraction for r in spatial.visible_fraction(rings, 0, 0, 2, 4, 0.5).collect()}[1] == pytest.approx(3 * 4 / 32)
+    none = rings.where("rid = 1").select("rid", F.lit(None).cast(rings.schema["ring"].dataType).alias("ring"), F.lit(5.0).alias("x"), F.lit(5.0).alias("y"), F.lit(2.0).alias("radius"))
+    assert spatial.visible_fraction(none, 0, 0, 10, 10).first().fraction == pytest.approx(16 * 2 * math.sin(math.pi / 8) / 100)
+    assert spatial.visible_fraction(none, 20, 20, 30, 30).first().fraction == 0 and spatial.visible_fraction(none, 5, 0, 5, 9).first().fraction == 0
 
 
 def test_greedy_steps(spark):
@@ -295,3 +298,37 @@ def test_stateful_rules(spark):
     assert [r.peak for r in stateful.running_peak(p, "v", reset="read").orderBy("seq").collect()] == [3, 3, 2, 5, 5]
     n = stateful.loading_notices(spark.createDataFrame([("a", 0.0, True), ("a", 1000.0, False), ("a", 2000.0, True), ("a", 5000.0, False)], "key string, ts double, loading boolean")).collect()
     assert [(r.notice_at, r.until) for r in n] == [(3200.0, 5000.0)]
+
+
+def test_contour_at_diagonal_corners():
+    """Of two edges that leave a corner that of the higher row is taken; what hangs on the corner alone is left out and told of."""
+    edges = lambda cells: np.array([e for x, y in cells for e in ((x, y, x + 1, y), (x + 1, y, x + 1, y + 1), (x + 1, y + 1, x, y + 1), (x, y + 1, x, y)) if (((x, y - 1), (x + 1, y), (x, y + 1), (x - 1, y))[((x, y, x + 1, y), (x + 1, y, x + 1, y + 1), (x + 1, y + 1, x, y + 1), (x, y + 1, x, y)).index(e)] not in cells)])
+    ring, left = footprint.chain(edges([(0, 0), (1, 0), (1, 1)]))
+    assert left == 0 and ring.tolist() == [[0, 0], [1, 0], [2, 0], [2, 1], [2, 2], [1, 2], [1, 1], [0, 1]]
+    ring, left = footprint.chain(edges([(0, 0), (1, 1), (2, 1), (2, 0)]))
+    assert ring[0].tolist() == [0, 0] and left >= 0 and len(ring) >= 4
+
+
+def test_marks_outside_block_nothing(spark):
+    m = spark.createDataFrame([("v", 1, 0, -5.0, 20.0, 50.0, 500.0, 300.0), ("v", 2, 1, 20.0, 20.0, 50.0, 500.0, 300.0), ("v", 3, 2, 20.0, 400.0, 50.0, 500.0, 300.0)], "view string, pid int, priority int, x double, y double, label_px double, view_width double, view_height double")
+    assert {r.pid: r.side for r in spatial.place_labels(m).collect()} == {1: "outside", 2: "right", 3: "outside"}
+
+
+def test_holes_of_far_cells(spark):
+    ring = [(x, y) for x in range(4) for y in range(4) if (x, y) not in ((1, 1), (1, 2), (2, 2))] + [(10**8, 3), (5, 10**8), (2, -7)]
+    cells = spark.createDataFrame([("s", x, y) for x, y in ring], "slug string, ix int, iy int")
+    got = {(r.ix, r.iy) for r in footprint.fill_holes(cells).collect()}
+    assert got == set(ring) | {(1, 1), (1, 2), (2, 2)}
+
+
+def test_running_sums_and_ranks_by_ranges(spark):
+    from orograph.functions import quantiles as Q
+    from orograph.shared import numbered, running
+
+    rows = [(g, v, v % 5 + 1) for g in ("a", None, "b") for v in (range(40) if g != "b" else range(3))]
+    df = spark.createDataFrame(rows, "g string, v int, w int")
+    got = {(r.g, r.v): (r.s, r.k) for r in numbered(running(df, [F.col("v")], F.col("w"), "s", ("g",)), [F.col("v")], "k", ("g",)).collect()}
+    assert got == {(g, v): (sum(x % 5 + 1 for x in range(v + 1)), v) for g, v, _ in rows}
+    r = {x.g: (x.p, x.u) for x in Q.ranks(df, "v", {"p": (Q.NEAREST, 0.5), "u": (Q.UPPER, 0.5)}, ("g",)).collect()}
+    assert r == {"a": (20.0, 20.0), None: (20.0, 20.0), "b": (1.0, 1.0)}
+    assert Q.ranks(df, "v", {"p": (Q.FLOOR, 0.9)}).first().p == float(sorted(v for _, v, _ in rows)[int(0.9 * (len(rows) - 1))])
