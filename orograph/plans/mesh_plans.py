@@ -79,9 +79,9 @@ def part_vertices(spark, sf_dir):
 FACES = "WITH f AS (SELECT o_orderkey fid, [o_orderkey % 200 + 1, o_orderkey * 7 % 200 + 1, o_orderkey * 13 % 199 + 1] c FROM orders), v AS (SELECT p_partkey vid, p_size * 1.0::DOUBLE x, p_retailprice / 100 y FROM part)"
 
 
-@query(FACES + " SELECT fid FROM f, LATERAL (SELECT unnest(c) vid) u JOIN v USING (vid) WHERE x BETWEEN 10 AND 45 AND y BETWEEN 9.2 AND 9.8 GROUP BY 1 HAVING count(*) = 3")
+@query(FACES + " SELECT fid FROM f, LATERAL (SELECT unnest(c) vid) u JOIN v USING (vid) WHERE x BETWEEN 10 AND 45 AND y BETWEEN 9.02 AND 9.15 GROUP BY 1 HAVING count(*) = 3")
 def prj13_clipped_faces(spark, sf_dir):
-    return meshes.clip_faces(faces(spark, sf_dir), part_vertices(spark, sf_dir), 10.0, 9.2, 45.0, 9.8).select("fid")
+    return meshes.clip_faces(faces(spark, sf_dir), part_vertices(spark, sf_dir), 10.0, 9.02, 45.0, 9.15).select("fid")
 
 
 @query(FACES + ", u AS (SELECT fid, unnest(c) vid, unnest(range(3)) k FROM f), m AS (SELECT vid, min(struct_pack(f := fid, k := k)) first FROM u GROUP BY 1) SELECT vid, row_number() OVER (ORDER BY first) new_id FROM m")
