@@ -39,8 +39,8 @@ MOST_BITS = 32
 RARE = 16
 #: Up to so many shingles, sequences that are alike are the same but for one item.
 FEW = 8
-#: Rounds of pivots around a hub, and pairs for each member from which on a round is made.
-ROUNDS, MANY = 8, 16
+#: Rounds of pivots around a hub, and pairs for each member, beside some anyway, from which on a round is made.
+ROUNDS, MANY, ANYWAY = 8, 16, 100_000
 _random = np.random.Generator(np.random.PCG64(977))
 SALTS = _random.integers(0, 1 << 64, SEEDS, np.uint64)[:, None]
 PLACE = _random.integers(0, 1 << 64, LENGTH, np.uint64) | np.uint64(1)
@@ -283,7 +283,7 @@ def _by_pivots(common: DataFrame, links: DataFrame, part: DataFrame, texts: Data
         pairs = met.agg(F.sum(F.col("nx") * F.col("ny") - F.coalesce("same", F.lit(0)))).first()[0] or 0
         if not pairs:
             return links
-        last = turn == ROUNDS or pairs <= MANY * common.count() + 100_000
+        last = turn == ROUNDS or pairs <= MANY * common.count() + ANYWAY
         if not last:
             pivots = materialise(x.groupBy(*key).agg(F.min(F.struct("id", *(c for c in x.columns if c not in (*key, "id")))).alias("p")).select(*key, "p.*"), "pivots")
             x = pivots

@@ -10,7 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from orograph.llm import bpe, exact_dedup, language, line_dedup, lm, mixing, near_dedup, quality, secrets, suffix_dedup
-from orograph.llm.shared import ARROW, scratch_dir
+from orograph.llm.graph import components
+from orograph.llm.shared import ARROW, packed, scratch_dir
+
+from .test_near_lines_language_bpe import brute_classes
 
 EXTRA = ("id", "key", "n", "rep", "same", "gone", "removed", "copy_of", "times_of", "id_of", "__id", "__sha", "__times", "__copy", "__text", "digest", "row", "train", "found",
          "number", "number_of", "text_of", "kept", "kept_id", "size", "label", "blob", "copy", "t", "locator", "component", "taken", "cell", "hub", "entry")
@@ -95,6 +98,45 @@ def test_recall_of_pairs_just_above_the_threshold():
     assert met >= 599 and close == 600
 
 
+@pytest.mark.parametrize("anyway", [0, near_dedup.ANYWAY])
+def test_pivots_find_what_all_pairs_find(spark, monkeypatch, anyway):
+    """Three clusters of near copies around one boilerplate, with single texts between them: rounds of pivots, and all pairs at once."""
+    monkeypatch.setattr(near_dedup, "MANY", 0 if not anyway else near_dedup.MANY)
+    monkeypatch.setattr(near_dedup, "ANYWAY", anyway)
+    r = random.Random(9)
+    word = lambda: f"w{r.randrange(10**6)}"
+    shared = [word() for _ in range(70)]
+    table = []
+    for _ in range(3):
+        own = [word() for _ in range(50)]
+        for _ in range(24):
+            t = shared + own
+            for k in r.sample(range(len(t)), r.choice([0, 1, 2, 3])):
+                t[k] = word()
+            table.append((r.randrange(10**9), " ".join(t)))
+    table += [(r.randrange(10**9), " ".join(shared + [word() for _ in range(50)])) for _ in range(6)]
+    want = brute_classes(table)
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    assert {x.doc_id: x.class_id for x in near_dedup.classes(docs).collect()} == want and len(set(want.values())) >= 9
+    # the rounds alone: all texts are members of one star of which no link is known yet
+    members, hub = [], near_dedup.labelled(shingled(table[-1][1]))
+    for i, t in table[:-1]:
+        own = shingled(t)
+        bits = near_dedup.sketch(own)[1].tolist()
+        members.append((table[-1][0], i, len(own), *bits, len(np.setdiff1d(near_dedup.labelled(own), hub)), 9 * len(own)))
+    common = spark.createDataFrame(members, "hub long, id long, n long, bits0 long, bits1 long, lacks int, most long")
+    none = lambda schema: spark.createDataFrame([], schema)
+    texts = docs.select(F.col("doc_id").alias("id"), packed("text").alias("t"))
+    links = near_dedup._by_pivots(common, none("a long, b long"), none("id long, component long"), texts)
+    found = {r.id: r.component for r in components(links).collect()}
+    assert {i: found.get(i, i) for i, _ in table} == want
+
+
+def shingled(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return near_dedup.shingles(data, np.array([0, len(data)]))[0]
+
+
 def test_short_texts_that_differ_by_one_shingle_are_candidates():
     r = np.random.default_rng(3)
     for n in range(2, near_dedup.FEW + 1):
