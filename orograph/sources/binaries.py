@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from orograph.sources import meshopt
+
 #: Fixed values of the formats.
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
 COMPONENTS = {5120: np.int8, 5121: np.uint8, 5122: np.int16, 5123: np.uint16, 5125: np.uint32, 5126: np.float32}
@@ -63,13 +65,18 @@ def glb_parts(data: bytes) -> tuple[dict, bytes]:
 
 
 def glb_accessor(j: dict, blob: bytes, index: int) -> np.ndarray:
-    """An accessor's numbers as (count, components); normalised integers become fractions. Compressed views raise."""
+    """An accessor's numbers as (count, components); normalised integers become fractions. Compressed views are decoded."""
     a = j["accessors"][index]
     view = j["bufferViews"][a["bufferView"]]
-    if any("meshopt" in e.lower() for e in view.get("extensions", {})):
-        raise ValueError("compressed buffer views are not supported")
     kind, k = np.dtype(COMPONENTS[a["componentType"]]), SHAPES[a["type"]]
-    start, step = view.get("byteOffset", 0) + a.get("byteOffset", 0), view.get("byteStride") or kind.itemsize * k
+    packed = view.get("extensions", {}).get("EXT_meshopt_compression")
+    if packed:
+        blob, start, stride = meshopt.view(packed, blob), 0, packed["byteStride"]
+    else:
+        start, stride = view.get("byteOffset", 0), view.get("byteStride")
+    start, step = start + a.get("byteOffset", 0), stride or kind.itemsize * k
+    if a["count"] and start + (a["count"] - 1) * step + kind.itemsize * k > len(blob):
+        raise ValueError("an accessor reaches beyond its buffer")
     raw = np.lib.stride_tricks.as_strided(np.frombuffer(blob, np.uint8)[start:], (a["count"], kind.itemsize * k), (step, 1))
     out = np.ascontiguousarray(raw).view(kind).reshape(-1, k).astype(float)
     return np.maximum(out / np.iinfo(kind).max, -1) if a.get("normalized") else out
