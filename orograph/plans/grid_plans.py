@@ -67,10 +67,7 @@ def triangles(lines, tid):
     return lines.select(tid.alias("tid"), F.lit("s").alias("slug"), x.alias("ax"), y.alias("ay"), (x + F.col("l_quantity") / 10).alias("bx"), (y + 0.3).alias("by"), (x + 0.4).alias("cx"), (y + F.col("l_quantity") / 8).alias("cy"))
 
 
-TRI = "t AS (SELECT l_orderkey tid, l_orderkey % 37 * 1.7::DOUBLE ax, l_orderkey % 23 * 1.3::DOUBLE ay, l_orderkey % 37 * 1.7::DOUBLE + l_quantity / 10 bx, l_orderkey % 23 * 1.3::DOUBLE + 0.3::DOUBLE \"by\", l_orderkey % 37 * 1.7::DOUBLE + 0.4::DOUBLE cx, l_orderkey % 23 * 1.3::DOUBLE + l_quantity / 8 cy FROM lineitem WHERE l_linenumber = 1)"
-
-
-TRI_WHOLE = TRI.replace("SELECT l_orderkey tid", "SELECT l_orderkey * 10 + l_linenumber tid").removesuffix(" WHERE l_linenumber = 1)") + ")"
+TRI = "t AS (SELECT l_orderkey * 10 + l_linenumber tid, l_orderkey % 37 * 1.7::DOUBLE ax, l_orderkey % 23 * 1.3::DOUBLE ay, l_orderkey % 37 * 1.7::DOUBLE + l_quantity / 10 bx, l_orderkey % 23 * 1.3::DOUBLE + 0.3::DOUBLE \"by\", l_orderkey % 37 * 1.7::DOUBLE + 0.4::DOUBLE cx, l_orderkey % 23 * 1.3::DOUBLE + l_quantity / 8 cy FROM lineitem)"
 #: Cells and counts of the triangles t.
 COVERED = """, b AS (SELECT *, CAST(floor(least(ax, bx, cx)) AS INTEGER) x0, CAST(floor(greatest(ax, bx, cx)) AS INTEGER) x1, CAST(floor(least(ay, "by", cy)) AS INTEGER) y0, CAST(floor(greatest(ay, "by", cy)) AS INTEGER) y1 FROM t),
  s AS (SELECT x0 ix, y0 iy FROM b WHERE x0 = x1 AND y0 = y1), m AS (SELECT * FROM b WHERE NOT (x0 = x1 AND y0 = y1)),
@@ -82,24 +79,10 @@ COVERED = """, b AS (SELECT *, CAST(floor(least(ax, bx, cx)) AS INTEGER) x0, CAS
 
 @query(f"WITH {TRI}{COVERED}")
 def geo01_rasterise(spark, sf_dir):
-    """First lines of orders only; ``geo01_rasterise_whole`` takes all."""
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    return footprint.cell_counts(footprint.covered_cells(triangles(lines, F.col("l_orderkey")), 1.0)).select("ix", "iy", "n")
-
-
-@query(f"WITH {TRI_WHOLE}{COVERED}")
-def geo01_rasterise_whole(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     return footprint.cell_counts(footprint.covered_cells(triangles(lines, F.col("l_orderkey") * 10 + F.col("l_linenumber")), 1.0)).select("ix", "iy", "n")
 
 
-@query("WITH v AS (SELECT l_orderkey tid, l_partkey a, l_suppkey b FROM lineitem WHERE l_linenumber = 1), p AS (SELECT p_partkey vid, p_size * 1.0::DOUBLE x, p_retailprice y FROM part) SELECT tid, pa.x ax, pa.y ay, pb.x bx, pb.y \"by\" FROM v JOIN p pa ON v.a = pa.vid JOIN p pb ON v.b = pb.vid")
-def jn03_corners(spark, sf_dir):
-    """First lines of orders as faces whose corners are parts: two of the three joins name different columns. ``jn03_corners_whole`` takes all lines."""
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    return _corners(spark, sf_dir, lines, F.col("l_orderkey"), F.col("l_suppkey")).select("tid", "ax", "ay", "bx", "by")
-
-
 def _corners(spark, sf_dir, lines, tid, third):
     from orograph.operators.meshes import corners
 
@@ -109,7 +92,7 @@ def _corners(spark, sf_dir, lines, tid, third):
 
 
 @query("WITH v AS (SELECT l_orderkey * 10 + l_linenumber tid, l_partkey a, l_suppkey b, (l_partkey + 1) // 2 c FROM lineitem), p AS (SELECT p_partkey vid, p_size * 1.0::DOUBLE x, p_retailprice y FROM part) SELECT tid, pa.x ax, pa.y ay, pb.x bx, pb.y \"by\", pc.x cx, pc.y cy FROM v JOIN p pa ON v.a = pa.vid JOIN p pb ON v.b = pb.vid JOIN p pc ON v.c = pc.vid")
-def jn03_corners_whole(spark, sf_dir):
+def jn03_corners(spark, sf_dir):
     """All lines as faces with three corners of their own."""
     tid, third = F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.floor((F.col("l_partkey") + 1) / 2)
     return _corners(spark, sf_dir, table(spark, sf_dir, "lineitem"), tid, third).select("tid", "ax", "ay", "bx", "by", "cx", "cy")

@@ -1,12 +1,14 @@
 """ZIP and ZIP64 archives as a Spark data source: ``spark.read.format("zip_entries").load(path)`` gives ``name, method, size, content``.
 
 The driver reads the archive's directory by offsets only; each partition then reads its own range of entries. Stored and deflated entries are
-supported; ``.gz`` members are opened too unless ``gunzip`` is false. Files must be where executors can open them (a shared mount)."""
+supported; ``.gz`` members are opened too unless ``gunzip`` is false. The path is a local one or a URI that pyarrow's file systems open for reading by
+offsets (``file:``, ``hdfs:``, ``s3:``, ``gs:``, ``abfs:``); executors open it themselves."""
 
 import gzip
 import struct
 import zlib
 
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "name string, method int, size bigint, content binary"
@@ -15,6 +17,16 @@ END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07
 TAIL = 65_557
 
 
+def opened(path: str):
+    """A file that can be read at any offset."""
+    if "://" not in path and not path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file(path)
+    if path.startswith("file:"):  # file:/a, file:///a
+        path = "file:///" + path.removeprefix("file:").lstrip("/")
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inner)
+
+
 def directory(f) -> list[tuple[str, int, int, int, int]]:
     """(name, method, packed size, size, offset of the local header) of every entry of an open file."""
     f.seek(0, 2)
@@ -84,7 +96,7 @@ class ZipReader(DataSourceReader):
         self.prefix, self.bytes = options.get("prefix", ""), int(options.get("partitionbytes", 64 << 20))
 
     def partitions(self):
-        with open(self.path.removeprefix("file://"), "rb") as f:
+        with opened(self.path) as f:
             entries = [e for e in directory(f) if not e[0].endswith("/") and e[0].startswith(self.prefix)]
         groups, size = [[]], 0
         for e in sorted(entries, key=lambda e: e[4]):
@@ -96,7 +108,7 @@ class ZipReader(DataSourceReader):
         return [Entries(g) for g in groups]
 
     def read(self, partition):
-        with open(self.path.removeprefix("file://"), "rb") as f:
+        with opened(self.path) as f:
             for e in partition.entries:
                 data = content(f, e, self.gunzip)
                 yield e[0], e[1], len(data), data

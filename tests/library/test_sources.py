@@ -26,6 +26,8 @@ def test_zip_source(spark, tmp_path):
     got = {r.name: bytes(r.content) for r in df.collect()}
     assert got["stored.bin"] == b"abc" and got["packed.bin"] == b"x" * 5000 and got["g.json.gz"] == b'{"a": 1}' and len(got) == 4
     assert df.rdd.getNumPartitions() > 1
+    for uri in (f"file://{path}", f"file:{path}"):
+        assert {r.name for r in spark.read.format("zip_entries").load(uri).collect()} == set(got)
     nodes = binaries.node_pages(df)
     assert {(r.node_id, r.vertex_count) for r in nodes.collect()} == {(0, None), (1, 3)}
     assert {(r.node_id, r.parent_id) for r in binaries.parents_of(nodes).collect()} == {(0, None), (1, 0)}
