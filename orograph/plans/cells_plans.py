@@ -58,9 +58,9 @@ def agg04_residual_summary(spark, sf_dir):
     return cells.residual_summaries(residuals(spark, sf_dir), dispersion=DISPERSION)
 
 
-@query(CELLS + f" SELECT ix, iy, floor(res * 10000 + 0.5) / 10000 res FROM res WHERE disp < {DISPERSION}")
+@query(CELLS + f" SELECT ix, iy, round(res, 6) res FROM res WHERE disp < {DISPERSION}")
 def prj11_open_ground(spark, sf_dir):
-    return residuals(spark, sf_dir).where(cells.is_open(DISPERSION)).select("ix", "iy", (F.floor(F.col("res") * 10000 + 0.5) / 10000).alias("res"))
+    return residuals(spark, sf_dir).where(cells.is_open(DISPERSION)).select("ix", "iy", F.round("res", 6).alias("res"))
 
 
 @query(CELLS + """ SELECT CASE WHEN x > 0 AND y > 0 THEN 'NE' WHEN x < 0 AND y > 0 THEN 'NO' WHEN x > 0 AND y < 0 THEN 'SE' ELSE 'SO' END quadrant, count(*) AS cells, floor(median(res) * 100 + 0.5) / 100 AS median, floor(quantile_cont(res, 0.25) * 100 + 0.5) / 100 AS q1, floor(quantile_cont(res, 0.75) * 100 + 0.5) / 100 AS q3, floor((quantile_cont(res, 0.75) - quantile_cont(res, 0.25)) * 100 + 0.5) / 100 AS iqr

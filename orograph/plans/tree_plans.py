@@ -88,10 +88,10 @@ def geo11_dfs_order(spark, sf_dir):
     return tiletree.dfs_order(tiletree.depths(part_tree(spark, sf_dir))).select("node_id", "dfs")
 
 
-@query("SELECT p_partkey // 10 node_id, count(*) k, round(sum(p_retailprice), 2) bytes FROM part WHERE p_partkey >= 1000 GROUP BY 1")
+@query("SELECT p_partkey // 10 node_id, count(*) k, round(sum(p_retailprice), 2) bytes FROM part WHERE p_partkey > 0 GROUP BY 1")
 def geo14_level_rebuild(spark, sf_dir):
-    """One level: the parents of parts from 1000 on, made from these children's own bytes, at any size of the table. The whole tree is ``geo14_tree_rebuild``."""
-    children = part_tree(spark, sf_dir).where("node_id >= 1000").select("parent_id", F.lit(1).cast("long").alias("k"), "bytes")
+    """One step: every node that has children, made from the children's own bytes. Node 0 is the root and no child. Level by level it is ``geo14_tree_rebuild``."""
+    children = part_tree(spark, sf_dir).where("parent_id IS NOT NULL").select("parent_id", F.lit(1).cast("long").alias("k"), "bytes")
     return _joined(children).select("node_id", "k", F.round("bytes", 2).alias("bytes"))
 
 
