@@ -1,8 +1,10 @@
 """The registered queries of this subpackage, with production parameters, and their SQL where SQL can express them."""
 
+import zlib
+
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, line_dedup, lm, mixing, near_dedup, quality, secrets, sql, suffix_dedup
+from . import bpe, exact_dedup, language, line_dedup, lm, mixing, near_dedup, periodic, quality, secrets, sql, suffix_dedup, top_k, whitening
 from .shared import scratch_dir
 
 
@@ -69,8 +71,40 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.dedup_decisions(docs, locator=F.col("_metadata.file_path")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def embeddings(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_top_k_search(spark, sf_dir):
+    return top_k.search(embeddings(spark, sf_dir), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(embeddings(spark, sf_dir), k=8)
+
+
+def with_period(doc_id, words):
+    """The words of every tenth document by checksum from some word on repeat a stretch of themselves; a row without an id stays."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    stretch = words[a : a + p]
+    return words[:a] + (stretch * (-(-(n - a) // p)))[: n - a]
+
+
+def op13_periodic_runs(spark, sf_dir):
+    found = periodic.find_runs(documents(spark, sf_dir), with_text=False, rewrite=with_period)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    top = found.withColumn("top", periodic.strongest_column(F.col("runs")))
+    milli = F.expr("1000 * top.length div top.period")
+    return top.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period", milli.alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), "collapsed_sha256")
+
+
 def queries():
-    return {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_language_id, op4_near_dedup, op5_quality_rules, op6_lm_score, op7_bpe_round_trip, op8_suffix_dedup, op9_line_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_language_id, op4_near_dedup, op5_quality_rules, op6_lm_score, op7_bpe_round_trip, op8_suffix_dedup, op9_line_dedup, op10_exact_dedup, op11_top_k_search, op12_whitening, op13_periodic_runs)}
 
 
 def oracle_sql():

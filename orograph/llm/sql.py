@@ -86,4 +86,30 @@ OP9 = "WITH a AS (" + " UNION ALL ".join(_units(unit, least, k) for k, (unit, le
  t AS (SELECT d.doc_id, coalesce(n, 0) n, coalesce(removed, '') removed, """ + f"""CASE WHEN q.doc_id IS NULL THEN text ELSE array_to_string(list_transform(gaps, lambda g: substr({T}, g.x + 1, g.y - g.x)), '') || substr({T}, tail + 1) END text FROM documents d LEFT JOIN q ON d.doc_id = q.doc_id)
 SELECT doc_id, CAST(n AS BIGINT) n_removed, removed, CAST(length(text) AS BIGINT) kept_chars, sha256({T}) kept_sha256 FROM t"""
 
-SQL = {"op1_secret_scan": OP1, "op2_source_mix": OP2, "op5_quality_rules": OP5, "op8_suffix_dedup": OP8, "op9_line_dedup": OP9, "op10_exact_dedup": OP10}
+#: Scores are whole numbers below 2**53, so a sum of doubles is exact.
+OP11 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT q.vec_id query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) score FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) k FROM s)
+SELECT query_id, CAST(k AS INTEGER) "rank", vec_id, score FROM r WHERE k <= 20"""
+
+#: CRC-32 of a number's decimal digits, bit by bit.
+CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+ lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(i AS BIGINT) FOR i IN range(8)]), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)), 4294967295)"""
+
+#: In a run of at least 24 words and three periods, windows of 8 words are found again a period on; stretches of such windows are runs.
+OP13 = f"""WITH d AS (SELECT doc_id, regexp_extract_all({T}, '[^{SPACE}]+') w, {CRC} h FROM documents),
+ e AS (SELECT *, len(w) n, h // 10 g FROM d), f AS (SELECT *, g % greatest(n, 1) a FROM e), q AS (SELECT *, 1 + (n - a) // (3 + g % 8) p FROM f),
+ t AS (SELECT doc_id, n, i, w[CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END + 1] word FROM (SELECT *, unnest(range(n)) i FROM q)),
+ x AS (SELECT doc_id, n, i, string_agg(word, ' ') OVER o s, count(*) OVER o k FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+ m AS (SELECT doc_id, n, i, s FROM x WHERE k = 8),
+ b AS (SELECT l.doc_id, l.i, r.i - l.i q FROM m l JOIN m r ON l.doc_id = r.doc_id AND l.s = r.s AND l.i < r.i AND 3 * (r.i - l.i) <= l.n),
+ y AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) z FROM b),
+ z AS (SELECT doc_id, q, min(i) a, count(*) + 7 + q l FROM y GROUP BY doc_id, q, z),
+ r AS (SELECT doc_id, a, l, min(q) q FROM z WHERE l >= greatest(24, 3 * q) GROUP BY doc_id, a, l),
+ u AS (SELECT doc_id, count(*) n_runs, first(struct_pack(a := a, l := l, q := q) ORDER BY l / q DESC, a, q) top, string_agg(a || ',' || l || ',' || q || chr(10), '' ORDER BY a, q) s FROM r GROUP BY 1),
+ g AS (SELECT DISTINCT doc_id, unnest(range(a + q, a + l)) i FROM r),
+ k AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.i) s FROM t LEFT JOIN g ON t.doc_id = g.doc_id AND t.i = g.i WHERE g.i IS NULL GROUP BY 1)
+SELECT d.doc_id, coalesce(n_runs, 0) n_runs, CAST(top.a AS BIGINT) AS "start", CAST(top.l AS BIGINT) "length", CAST(top.q AS BIGINT) period, CAST(1000 * top.l // top.q AS BIGINT) exponent_milli, sha256(coalesce(u.s, '')) runs_sha256, sha256(coalesce(k.s, '')) collapsed_sha256
+FROM d LEFT JOIN u ON d.doc_id = u.doc_id LEFT JOIN k ON d.doc_id = k.doc_id"""
+
+SQL = {"op1_secret_scan": OP1, "op2_source_mix": OP2, "op5_quality_rules": OP5, "op8_suffix_dedup": OP8, "op9_line_dedup": OP9, "op10_exact_dedup": OP10, "op11_top_k_search": OP11, "op13_periodic_runs": OP13}
