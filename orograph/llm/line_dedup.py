@@ -3,7 +3,7 @@ r"""Removal of repeated lines (or paragraphs, or sentences within lines) by hash
 A text is cut into units: ``line`` at line ends, ``paragraph`` at blank lines, ``sentence`` at line ends and behind a full stop,
 question or exclamation mark that white space follows. A unit is normalised (A-Z lower-cased, white space runs one blank,
 ends trimmed) and known by the first 16 bytes of its SHA-256. Over all documents, a unit's earliest occurrence by
-(doc_id, place) stays and all others go, within a document too. Units of fewer than ``min_words`` words always stay.
+(doc_id, place) stays and all others go, within a document too; rows without an id come after all others. Units of fewer than ``min_words`` words always stay.
 
 Several levels can be cut at once, as in ``LEVELS``: paragraphs and lines go whole from one word on, whatever their sentences'
 lengths, and sentences of ``MIN_WORDS`` or more also within lines that aren't repeated. All levels share the digests: a unit's place is
@@ -14,7 +14,7 @@ often as there are tasks. Digests met once are dropped there; the occurrences of
 
 ``removed`` tells the offsets (code points, end exclusive) of what went in the original text; of several levels, spans that overlap
 are one. Defined results: a null text has no
-units and stays null. Rows under one id compare by place only: equal rows lose the same, and other ids must be unique. Extra columns
+units and stays null. Rows under one id, or none, are told apart by their texts (a 64-bit hash, within the id only) and ranked by place; equal rows lose the same. Extra columns
 are carried by ``drop_units`` whatever their names (where one is called ``removed``, the spans are in ``removed_``). An empty table gives no rows; a very long text is cut whole.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from .shared import each, materialise, own_names
+from .shared import each, materialise, own_names, with_verdicts
 
 #: White space is that of ASCII.
 WS = r"[ \t\n\r\x0b\x0c]"
@@ -74,7 +74,7 @@ def text_units(text: str, levels) -> list[tuple[bytes, int, int, int]]:
 
 
 def occurrences(docs: DataFrame, levels, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, digest, start, stop, lead`` for each unit of a document."""
+    """``doc_id, mark, digest, start, stop, lead`` for each unit of a document; the mark tells rows under one id apart by their texts."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
@@ -82,14 +82,14 @@ def occurrences(docs: DataFrame, levels, doc_id: str, text: str) -> DataFrame:
             for at in range(0, len(batch), 256):
                 rows = batch.slice(at, 256)
                 take, found = [], []
-                for i, t in enumerate(rows.column(1).to_pylist()):
+                for i, t in enumerate(rows.column(2).to_pylist()):
                     mine = text_units(t or "", levels)
                     take += [i] * len(mine)
                     found += mine
                 digests, starts, ends, leads = zip(*found, strict=True) if found else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(take, pa.int64())), pa.array(digests, pa.binary()), *(pa.array(x, pa.int32()) for x in (starts, ends, leads))], ["doc_id", "digest", "start", "stop", "lead"])
+                yield pa.RecordBatch.from_arrays([*(rows.column(c).take(pa.array(take, pa.int64())) for c in (0, 1)), pa.array(digests, pa.binary()), *(pa.array(x, pa.int32()) for x in (starts, ends, leads))], ["doc_id", "mark", "digest", "start", "stop", "lead"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, digest binary, start int, stop int, lead int")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, mark long, digest binary, start int, stop int, lead int")
 
 
 @F.arrow_udf(ArrayType(StructType().add("start", IntegerType()).add("stop", IntegerType())))
@@ -108,13 +108,15 @@ def without_overlaps(spans: pa.Array) -> pa.Array:
 
 
 def removals(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", levels=None) -> DataFrame:
-    """``doc_id, removed`` (array of start, stop in the order of the text) of the documents that lose something; ``levels`` stand in for unit and min_words."""
+    """``doc_id, mark, removed`` (array of start, stop in the order of the text) of the documents that lose something; ``levels`` stand in for unit and min_words."""
     found = materialise(occurrences(docs, levels or ((unit, min_words),), doc_id, text), "units")
     place = F.col("start") + F.col("lead")
-    first = found.groupBy("digest").agg(F.min(F.struct("doc_id", place.alias("place"))).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    again = found.join(first, "digest").where((F.col("doc_id") != F.col("first.doc_id")) | (place != F.col("first.place")))
+    # rows without an id come last
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", place.alias("place"), "mark")
+    first = materialise(found.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "first")
+    again = with_verdicts(found, first, "digest", "n").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (place == F.col("first.place")) & (F.col("mark") == F.col("first.mark"))))
     # at most a document's own units meet here
-    gone = again.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("removed"))
+    gone = again.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("removed"))
     return gone.withColumn("removed", without_overlaps("removed")) if levels else gone
 
 
@@ -132,8 +134,8 @@ def without_spans(text: pa.Array, spans: pa.Array) -> pa.Array:
 
 def drop_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", levels=None) -> DataFrame:
     """docs with what remains of each text in ``text``, and the removed spans in ``removed``."""
-    name, removed = own_names(docs.columns, "id_of", "removed")
-    spans = removals(docs, unit, min_words, doc_id, text, levels).select(F.col("doc_id").alias(name), F.col("removed").alias(removed))
-    rows = docs.join(spans, docs[doc_id] == spans[name], "left").drop(name)
+    name, mark, removed = own_names(docs.columns, "id_of", "mark_of", "removed")
+    spans = removals(docs, unit, min_words, doc_id, text, levels).select(F.col("doc_id").alias(name), F.col("mark").alias(mark), F.col("removed").alias(removed))
+    rows = docs.join(spans, docs[doc_id].eqNullSafe(spans[name]) & (F.xxhash64(docs[text]) == spans[mark]), "left").drop(name, mark)
     kept = F.when(F.col(removed).isNull(), F.col(text)).otherwise(without_spans(F.col(text), F.col(removed)))
     return rows.withColumn(text, kept).withColumn(removed, F.coalesce(removed, F.array().cast("array<struct<start:int,stop:int>>")))

@@ -15,7 +15,7 @@ shard's fair share (at most four times as many as shards) are dealt by v instead
 A shard has about ``SHARD_BYTES`` of text at most, so there are more shards than tasks where the corpus asks for it, and a task holds
 one at a time; its trie lies in one memory map.
 
-Words are known by 63 bits of a hash, those before a word by 40. Defined results: a null text is empty and has the end alone. Rows are known by
+Words are known by 63 bits of a hash (of a digest, if they are long), those before a word by 40. Defined results: a null text is empty and has the end alone. Rows are known by
 numbers of their own: each repeated row is scored, ids may be of any type, repeated or null. With nothing to learn from, every word is unknown.
 An empty table gives no rows. Extra columns are ignored.
 """
@@ -43,7 +43,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Ids and rows of all tokens in the order of the texts, each text's end last."""
     data = W.LOWER[data]
     start, end, row = W.words(data, offsets)
-    ids = W.span_hash(W.running(W.BYTE[data]), start, end) >> U(1)
+    ids = W.word_hashes(data, start, end) >> U(1)
     n = len(offsets) - 1
     at = np.concatenate([row, np.arange(n)])
     order = np.argsort(at, kind="stable")

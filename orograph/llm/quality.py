@@ -7,7 +7,7 @@ a document is kept if no rule rejects it, whatever the order.
 
 Defined results: a null text has no words and, as any text under ``MIN_WORDS`` words, fails. Repeated rows get the same
 verdict each. An empty table gives no rows and the rules stay in the given order. Extra columns are carried by
-``filter_quality``. A very long text is measured whole.
+``filter_quality``. A very long text is measured whole. Lines and windows of words are equal if their bytes are.
 """
 
 import time
@@ -86,17 +86,18 @@ def word_chars(b: Batch) -> np.ndarray:
 
 def n_dup_lines(b: Batch) -> np.ndarray:
     start, end, row = b.lines()
-    key = W.keyed(row, W.span_hash(b.sums(), start, end))
-    first = np.unique(key, return_index=True)[1]
+    number = W.exact(b.data, start, end, W.span_hash(b.sums(), start, end))
+    first = np.unique(row * (2 * len(row)) + number, return_index=True)[1]
     return W.per_row(row, b.n) - W.per_row(row[first], b.n)
 
 
 def n_repeat_words(b: Batch) -> np.ndarray:
     start, end, row = b.words()
-    at, hashes = W.windows(W.span_hash(b.sums(), start, end), row, WINDOW)
+    at = np.flatnonzero(row[: len(row) - WINDOW + 1] == row[WINDOW - 1 :]) if len(row) >= WINDOW else row[:0]
     if not len(at):
         return np.zeros(b.n, np.int64)
-    _, which, times = np.unique(W.keyed(row[at], hashes), return_inverse=True, return_counts=True)
+    number = W.exact_windows(W.exact(b.data, start, end, W.word_hashes(b.data, start, end)), at, WINDOW)
+    _, which, times = np.unique(row[at] * (int(number.max()) + 1) + number, return_inverse=True, return_counts=True)
     found = at[times[which] > 1]
     cover = np.zeros(len(row) + 1, np.int32)
     np.add.at(cover, found, 1)

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPAN = "struct<kind:string,start:int,end:int>"
+#: Matches that are folded together.
+FOLD = 128
 
 
 @dataclass(frozen=True)
@@ -54,19 +56,33 @@ RULES = BASE_RULES + MORE_RULES
 
 
 def find(text: Column, rule: Rule) -> Column:
-    """array<SPAN> of a rule's findings. The pieces between matches and the matches themselves tell where each one lies."""
+    """array<SPAN> of a rule's findings. The pieces between matches and the matches themselves tell where each one lies.
+
+    Lengths are added up in blocks of ``FOLD`` matches, and the blocks are moved by what comes before them: an array that grows by a fold is never
+    longer than a block or the number of blocks, so a text with very many findings takes time in proportion."""
     pieces = F.split(text, rule.pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.part))
     each = F.arrays_zip(F.transform(pieces, F.length).alias("gap"), F.transform(whole, F.length).alias("n"), F.transform(part, F.length).alias("part"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
+    none, no_numbers = F.array().cast(f"array<{SPAN}>"), F.array().cast("array<int>")
 
     def step(acc, x):
         at = acc["at"] + x["gap"]
         span = F.struct(F.lit(rule.kind).alias("kind"), at.alias("start"), (at + x["n"]).alias("end"))
         return F.struct((at + F.coalesce(x["n"], F.lit(0))).alias("at"), F.when(x["part"] >= rule.least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(each, start, step, lambda acc: acc["found"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+    def folded(each):
+        blocks = F.transform(F.sequence(F.lit(1), F.size(each), F.lit(FOLD)), lambda i: F.aggregate(F.slice(each, i, F.lit(FOLD)), F.struct(F.lit(0).alias("at"), none.alias("found")), step))
+        return F.transform(F.array(blocks), placed)[0]
+
+    def placed(blocks):
+        start = F.struct(F.lit(0).alias("at"), no_numbers.alias("all"))
+        before = F.aggregate(blocks, start, lambda s, b: F.struct((s["at"] + b["at"]).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
+        moved = lambda b, by: F.transform(b["found"], lambda x: F.struct(x["kind"].alias("kind"), (x["start"] + by).alias("start"), (x["end"] + by).alias("end")))
+        return F.flatten(F.zip_with(blocks, before, moved))
+
+    # an array of one is how an expression gets a name, so that it is worked out once
+    return F.when(text.rlike(rule.pattern), F.transform(F.array(each), folded)[0]).otherwise(none)
 
 
 def blob_of(text: str = "text") -> Column:

@@ -16,13 +16,15 @@ ARROW = "spark.sql.execution.arrow"
 
 
 def scratch_dir(spark: SparkSession, what: str) -> str:
-    """A new path below ``spark.checkpoint.dir``. Where that is unset the setting is made: with a local master a temp folder, else one in
-    the warehouse, which all executors reach."""
+    """A new path below ``spark.checkpoint.dir``. Where that is unset, a local master gets a temp folder; a cluster gets an error, as no other
+    folder is known to be shared."""
     root = spark.conf.get(CHECKPOINTS, None)
     if not root:
         master = spark.sparkContext.master
         alone = master.startswith("local") and not master.startswith("local-cluster")
-        root = "file://" + tempfile.mkdtemp(prefix="orograph-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/orograph-scratch"
+        if not alone:
+            raise RuntimeError(f"set {CHECKPOINTS} to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="orograph-")
         spark.conf.set(CHECKPOINTS, root)
     return f"{root}/{what}-{uuid.uuid4().hex}"
 

@@ -1,9 +1,12 @@
 """Words and their hashes for whole Arrow batches, with numpy inside a task.
 
 Words are runs of bytes other than space and 0x09-0x0D; in UTF-8 such bytes are never part of a longer character, so byte
-runs are character runs. Hashes are 64-bit polynomials over a table of random bytes, differences of one running sum."""
+runs are character runs. Hashes are 64-bit polynomials over a table of random bytes, differences of one running sum. Modulo a power of two such
+polynomials have pairs that collide whatever the table and the radix, from about a thousand terms on: so words over ``LONG`` bytes are known
+by a digest instead, and where equal hashes must mean equal bytes, ``exact`` compares these."""
 
 import ctypes
+import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -18,6 +21,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Bytes of a word from which on its hash is a digest.
+LONG = 256
 
 
 def trim() -> None:
@@ -100,11 +105,55 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, most: int
     at = 0
     while at < len(start):
         to = max(at + 1, int(np.searchsorted(end, start[at] + most, "right")))
-        out[at:to] = span_hash(running(BYTE[data[start[at] : end[to - 1]]]), start[at:to] - start[at], end[at:to] - start[at])
+        if end[at] - start[at] <= most:  # else one word, and a long one
+            out[at:to] = span_hash(running(BYTE[data[start[at] : end[to - 1]]]), start[at:to] - start[at], end[at:to] - start[at])
         at = to
+    for i in np.flatnonzero(end - start > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 
+def exact(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray, most: int = 1 << 18) -> np.ndarray:
+    """Numbers below ``2 * len(start)`` that are equal just where the spans' bytes are, given hashes that are equal for equal bytes.
+
+    Each span is compared with the first of its hash, about ``most`` bytes at a time. Spans that differ from it are numbered anew by their bytes."""
+    first, number = np.unique(hashes, return_index=True, return_inverse=True)[1:]
+    size, lead = end - start, first[number]
+    differs = size != size[lead]
+    rest = np.flatnonzero((lead != np.arange(len(start))) & ~differs & (size > 0))
+    sums = np.concatenate([[0], np.cumsum(size[rest])])
+    at = 0
+    while at < len(rest):
+        to = max(at + 1, int(np.searchsorted(sums, sums[at] + most, "right")) - 1)
+        part = rest[at:to]
+        if to == at + 1:
+            i, j = part[0], lead[part[0]]
+            differs[i] = not np.array_equal(data[start[i] : end[i]], data[start[j] : end[j]])
+        else:
+            n = size[part]
+            inner = np.arange(sums[to] - sums[at]) - np.repeat(sums[at:to] - sums[at], n)
+            unlike = data[np.repeat(start[part], n) + inner] != data[np.repeat(start[lead[part]], n) + inner]
+            differs[part] = np.add.reduceat(unlike, sums[at:to] - sums[at]) > 0
+        at = to
+    if differs.any():
+        number, known = number.copy(), {}
+        for i in np.flatnonzero(differs):
+            number[i] = known.setdefault((number[i], data[start[i] : end[i]].tobytes()), len(first) + len(known))
+    return number
+
+
+def exact_windows(numbers: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Numbers that are equal just where the n numbers from each place ``at`` on are; n is a power of two, and all windows lie within."""
+    width = 1
+    while width < n:
+        if len(numbers) <= width:
+            return np.zeros(0, np.int64)
+        pairs = numbers[:-width] * (int(numbers.max()) + 1) + numbers[width:]
+        numbers = np.unique(pairs, return_inverse=True)[1]
+        width *= 2
+    return numbers[at]
+
+
 def windows(hashes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Place of the first word and hash of every n words in a row."""
     if len(hashes) < n:
