@@ -284,10 +284,11 @@ def str04_loading_notices(spark, sf_dir):
     return stateful.loading_notices(changes).select(F.col("key").alias("k"), "notice_at", "until")
 
 
-@query("SELECT CAST(i AS INTEGER) i, round(5 * exp(-i * 16.0 / 180.0), 9) v FROM range(1, 1000) t(i) WHERE 5 * exp(-i * 16.0 / 180.0) >= 0.02")
+@query("WITH " + E + " SELECT seq, CAST(i AS INTEGER) i, round(v / 100.0::DOUBLE * exp(-i * 16.0::DOUBLE / 180.0::DOUBLE), 9) v FROM e, range(1, 1000) t(i) WHERE abs(v / 100.0::DOUBLE * exp(-i * 16.0::DOUBLE / 180.0::DOUBLE)) >= 0.02")
 def win06_decay(spark, sf_dir):
-    v = spark.range(1).select(F.posexplode(stateful.decay(5.0, most=1000)).alias("i", "v"))
-    return v.select((F.col("i") + 1).alias("i"), F.round("v", 9).alias("v"))
+    """A motion runs out from the speed of each event."""
+    rows = keyed_events(spark, sf_dir).select("seq", F.posexplode(stateful.decay(F.col("radius_px") / 100, most=999)).alias("i", "v"))
+    return rows.select("seq", (F.col("i") + 1).alias("i"), F.round("v", 9).alias("v"))
 
 
 @query("SELECT o_orderkey id, 'o' kind FROM orders UNION ALL SELECT l_orderkey, 'l' FROM lineitem UNION ALL SELECT c_custkey, 'c' FROM customer")

@@ -1,25 +1,121 @@
-"""What iterating and numbering operators share."""
+"""What iterating and numbering operators share: checkpoints, and scans of an order that is cut into ranges."""
 
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
+
+#: Columns of a frame that ``ranged`` has made.
+RANGE, TIE = "__range", "__tie"
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that driver and executors share (``spark.checkpoint.dir``). Where that is unset, a folder is set: with a
-    local master a temp folder, else one in the warehouse, which all executors reach."""
+    """Cuts the lineage in the folder that driver and executors share (``spark.checkpoint.dir``). Where that is unset, a local master gets a temp
+    folder; a cluster gets an error, as no other folder is known to be shared."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
-            alone = context.master.startswith("local") and not context.master.startswith("local-cluster")
-            root = "file://" + tempfile.mkdtemp(prefix="orograph-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/orograph-scratch"
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            root = "file://" + tempfile.mkdtemp(prefix="orograph-")
         context.setCheckpointDir(root)
     return df.checkpoint()
 
 
+def up_to(w: WindowSpec) -> WindowSpec:
+    return w.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A table of a proven bound by way of the driver, so that a plan that uses it doesn't make it again."""
+    return F.broadcast(df.sparkSession.createDataFrame(df.toArrow(), df.schema))
+
+
+def _columns(order) -> list[Column]:
+    return [F.col(c) if isinstance(c, str) else c for c in order]
+
+
+class Ranges:
+    """A frame in order (within groups ``by``), cut into as many ranges as Spark has shuffle partitions, for any number of scans.
+
+    Each row has the number of its range, and a hash of all its columns that tells rows apart which are equal by order; so only rows that are
+    equal in all columns have to be in one range. A group is in several ranges only where ranges meet: what must be known of other
+    ranges is a table of two rows for each range at most, which is broadcast, and no row moves for it. Give it the columns that are needed, as
+    all are written once."""
+
+    def __init__(self, df: DataFrame, order, by=()):
+        self.order, self.by = _columns(order), list(by)
+        ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        hashed = [f.name for f in df.schema.fields if not isinstance(f.dataType, MapType)]
+        rows = df.withColumn(TIE, F.xxhash64(*(F.col(f"`{c}`") for c in hashed)))
+        self.rows = settled(rows.repartitionByRange(ranges, *self.by, *self.order, TIE).withColumn(RANGE, F.spark_partition_id()))
+        #: The rows of groups that are in several ranges.
+        self.shared = self.rows
+        if self.by:
+            group, met = F.struct(*self.by), Window.orderBy(RANGE)
+            edges = self.rows.groupBy(RANGE).agg(F.min(group).alias("lo"), F.max(group).alias("hi"))
+            first, last = (F.when(F.col(c).eqNullSafe(f(o).over(met)), F.col(c)) for c, f, o in (("lo", F.lag, "hi"), ("hi", F.lead, "lo")))
+            edges = edges.select(F.col(RANGE).alias("__of"), F.array(first, last).alias("g")).select("__of", F.explode("g").alias("g")).where("g is not null").distinct()
+            edges = small(edges.select("__of", *(F.col(f"g.`{c}`").alias(f"__of_{c}") for c in self.by)))
+            self.shared = self.rows.join(edges, self._same(self.rows, edges), "left_semi")
+
+    def _same(self, rows: DataFrame, table: DataFrame) -> Column:
+        same = rows[RANGE] == table["__of"]
+        for c in self.by:
+            same = same & rows[c].eqNullSafe(table[f"__of_{c}"])
+        return same
+
+    def within(self) -> WindowSpec:
+        """A range's rows of a group in order."""
+        return Window.partitionBy(RANGE, *self.by).orderBy(*self.order, TIE)
+
+    def add(self, **columns: Column) -> "Ranges":
+        """With columns that a row has by itself, or by windows over ``within``."""
+        self.rows, self.shared = self.rows.withColumns(columns), self.shared.withColumns(columns)
+        return self
+
+    def drop(self, *names: str) -> "Ranges":
+        self.rows, self.shared = self.rows.drop(*names), self.shared.drop(*names)
+        return self
+
+    def carried(self, ends: dict[str, Column], carry: Callable[[WindowSpec], dict[str, Column]]) -> "Ranges":
+        """With what is known before a row's range. ends: aggregates that tell what a whole range of a group does. carry(w): columns by windows over the
+        group's ranges up to the one before; null in its first."""
+        known = self.shared.groupBy(RANGE, *self.by).agg(*(c.alias(n) for n, c in ends.items()))
+        before = carry(Window.partitionBy(*self.by).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1))
+        known = small(known.select(F.col(RANGE).alias("__of"), *(F.col(c).alias(f"__of_{c}") for c in self.by), *(c.alias(n) for n, c in before.items())))
+        names = ["__of", *(f"__of_{c}" for c in self.by)]
+        self.rows, self.shared = (x.join(known, self._same(x, known), "left").drop(*names) for x in (self.rows, self.shared))
+        return self
+
+    def total(self, value: Column, name: str) -> "Ranges":
+        """With the sum of values up to each row; nulls don't count."""
+        self.add(__scan_v=value).add(__scan_sum=F.sum("__scan_v").over(up_to(self.within())))
+        self.carried({"__scan_end": F.sum("__scan_v")}, lambda w: {"__scan_before": F.sum("__scan_end").over(w)})
+        none = F.lit(0).cast(self.rows.schema["__scan_sum"].dataType)
+        return self.add(**{name: F.coalesce("__scan_before", none) + F.coalesce("__scan_sum", none)}).drop("__scan_v", "__scan_sum", "__scan_before")
+
+    def latest(self, value: Column, name: str, before: bool = False) -> "Ranges":
+        """With the last value up to each row that isn't null; before: up to the row before it."""
+        w = self.within()
+        self.add(__scan_v=value).add(__scan_last=F.last("__scan_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1 if before else 0)), __scan_k=F.row_number().over(w))
+        self.carried({"__scan_end": F.max(F.when(F.col("__scan_v").isNotNull(), F.struct("__scan_k", "__scan_v")))["__scan_v"]}, lambda w: {"__scan_before": F.last("__scan_end", ignorenulls=True).over(w)})
+        return self.add(**{name: F.coalesce("__scan_last", "__scan_before")}).drop("__scan_v", "__scan_last", "__scan_k", "__scan_before")
+
+    def peak(self, value: Column, name: str) -> "Ranges":
+        """With the greatest value up to each row; nulls don't count."""
+        self.add(__scan_v=value).add(__scan_best=F.max("__scan_v").over(up_to(self.within())))
+        self.carried({"__scan_end": F.max("__scan_v")}, lambda w: {"__scan_before": F.max("__scan_end").over(w)})
+        return self.add(**{name: F.greatest("__scan_best", "__scan_before")}).drop("__scan_v", "__scan_best", "__scan_before")
+
+    def frame(self) -> DataFrame:
+        return self.rows.drop(RANGE, TIE)
+
+
 def numbered(df: DataFrame, order, name: str = "number", by=()) -> DataFrame:
     """Adds each row's place in the order of the whole table, or of its group ``by``, from 0."""
     return running(df, order, F.lit(1), name, by).withColumn(name, F.col(name) - 1)
@@ -30,23 +126,4 @@ def running(df: DataFrame, order, weight, name: str = "running", by=()) -> DataF
 
     Ranges of the order are added up each by itself, then moved by the sums of the ranges before: no task sorts more than a range,
     however large a group is."""
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.withColumn("__w", weight).repartitionByRange(ranges, *by, *order).withColumn("__part", F.spark_partition_id()).transform(settled)
-    up_to = Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("__sum", F.sum("__w").over(up_to))
-    # one row for each range of a group; without groups the driver adds up as many numbers as there are ranges
-    sizes = rows.groupBy("__part", *by).agg(F.sum("__w").alias("__n"))
-    if not by:
-        kind, total, starts = sizes.schema["__n"].dataType.simpleString(), 0, []
-        for part, n in sorted((r[0], r[1]) for r in sizes.collect()):
-            starts.append((part, total))
-            total += n or 0
-        starts = df.sparkSession.createDataFrame([(p, type(total)(n)) for p, n in starts], f"__part int, __before {kind}")
-        return placed.join(F.broadcast(starts), "__part").withColumn(name, F.col("__before") + F.col("__sum")).drop("__part", "__w", "__sum", "__before")
-    before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select(F.col("__part").alias("__of"), F.coalesce(before, F.lit(0)).alias("__before"), *(F.col(c).alias(f"__of_{c}") for c in by))
-    met = placed["__part"] == sizes["__of"]
-    for c in by:
-        met = met & placed[c].eqNullSafe(sizes[f"__of_{c}"])
-    out = placed.join(sizes, met).withColumn(name, F.col("__before") + F.col("__sum"))
-    return out.drop("__part", "__w", "__sum", "__before", "__of", *(f"__of_{c}" for c in by))
+    return Ranges(df, order, by).total(weight, name).frame()
