@@ -31,7 +31,18 @@ def covered_cells(triangles: DataFrame, cell: float) -> DataFrame:
     drop = ["__x0", "__x1", "__y0", "__y1"]
     single = boxed.where(one).withColumns({"ix": F.col("__x0"), "iy": F.col("__y0")}).drop(*drop)
     many = boxed.where(~one)
-    centres = many.withColumn("ix", F.explode(F.sequence("__x0", "__x1"))).withColumn("iy", F.explode(F.sequence("__y0", "__y1"))).where(inside).drop(*drop)
+    # row by row of cells, those between the places where the row's middle line enters and leaves the triangle; one more on each side for rounding
+    rows = many.withColumn("iy", F.explode(F.sequence("__y0", "__y1")))
+
+    def crossing(p, q):
+        dy = F.col(q + "y") - F.col(p + "y")
+        return F.when(py.between(F.least(F.col(p + "y"), F.col(q + "y")), F.greatest(F.col(p + "y"), F.col(q + "y"))) & (dy != 0), F.col(p + "x") + (F.col(q + "x") - F.col(p + "x")) * (py - F.col(p + "y")) / dy)
+
+    at = [crossing(p, q) for p, q in ("ab", "bc", "ca")]
+    first, last = F.greatest(idx(F.least(*at)) - 1, F.col("__x0")), F.least(idx(F.greatest(*at)) + 1, F.col("__x1"))
+    # where the line doesn't meet the triangle, nulls leave the row of the box to the test
+    rows = rows.withColumns({"__x0": first, "__x1": last}).where("__x0 <= __x1")
+    centres = rows.withColumn("ix", F.explode(F.sequence("__x0", "__x1"))).where(inside).drop(*drop)
     ends = F.array(*(F.struct(idx(F.col(c + "x")).alias("ix"), idx(F.col(c + "y")).alias("iy")) for c in "abc"))
     corner = many.withColumn("__e", F.explode(ends)).withColumns({"ix": F.col("__e.ix"), "iy": F.col("__e.iy")}).drop("__e", *drop)
     return single.unionByName(centres.select(*single.columns)).unionByName(corner.select(*single.columns))

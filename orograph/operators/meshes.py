@@ -4,7 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orograph.functions import mesh as M
-from orograph.shared import numbered
+from orograph.operators import cover
+from orograph.shared import Ranges, numbered
 
 
 def corners(triangles: DataFrame, vertices: DataFrame, columns=("x", "y", "z"), first_id: int = 0) -> DataFrame:
@@ -132,9 +133,12 @@ def with_material_size(triangles: DataFrame, sizes: DataFrame, key="material") -
     return triangles.join(sizes, key)
 
 
-def users_of_textures(primitives: DataFrame) -> DataFrame:
-    """Texture to its primitives in order."""
-    return primitives.groupBy("texture").agg(F.array_sort(F.collect_list("primitive")).alias("primitives"))
+def users_of_textures(primitives: DataFrame, chunk: int = 100_000) -> DataFrame:
+    """Texture to its primitives in order: ``texture, part, primitives``, ``chunk`` primitives in a part at most (the first part is 0), so that no
+    texture's users have to fit in a row. Primitives are numbered by ranges."""
+    rows = Ranges(primitives.select("texture", "primitive"), ["primitive"], ["texture"]).total(F.lit(1).cast("long"), "k").frame()
+    parts = rows.groupBy("texture", F.floor((F.col("k") - 1) / chunk).alias("part"))
+    return parts.agg(F.array_sort(F.collect_list("primitive")).alias("primitives"))
 
 
 def count_differences(a: Column, b: Column) -> Column:
@@ -143,13 +147,11 @@ def count_differences(a: Column, b: Column) -> Column:
 
 
 def lowest_hit(triangles: DataFrame, points: DataFrame, cell: float) -> DataFrame:
-    """For each point (pid, x, y) the lowest z at which a vertical ray meets a triangle; null if none. Triangles and points meet by grid cell."""
-    idx = lambda v: F.floor(v / cell).cast("int")
-    reach = lambda k: F.sequence(idx(F.least(*(F.col(c + k) for c in "abc"))), idx(F.greatest(*(F.col(c + k) for c in "abc"))))
-    # every cell of a triangle's box: one that it only touches may hold a point too
-    tri = triangles.withColumn("ix", F.explode(reach("x"))).withColumn("iy", F.explode(reach("y")))
-    p = points.withColumns({"ix": idx(F.col("x")), "iy": idx(F.col("y"))})
-    j = p.select("pid", F.col("x").alias("px"), F.col("y").alias("py"), "ix", "iy").join(tri, ["ix", "iy"])
+    """For each point (pid, x, y) the lowest z at which a vertical ray meets a triangle; null if none. Triangles and points meet by the cells of ``cover``."""
+    lo, hi = ([f(*(F.col(c + k) for c in "abc")) for k in "xy"] for f in (F.least, F.greatest))
+    used = cover.levels(triangles, *lo, *hi, cell)
+    p = cover.with_point_cells(points.select("pid", F.col("x").alias("px"), F.col("y").alias("py")), F.col("px"), F.col("py"), used, cell)
+    j = p.join(cover.with_box_cells(triangles, *lo, *hi, cell), cover.CELL)
     d = (F.col("by") - F.col("cy")) * (F.col("ax") - F.col("cx")) + (F.col("cx") - F.col("bx")) * (F.col("ay") - F.col("cy"))
     s = ((F.col("by") - F.col("cy")) * (F.col("px") - F.col("cx")) + (F.col("cx") - F.col("bx")) * (F.col("py") - F.col("cy"))) / d
     t = ((F.col("cy") - F.col("ay")) * (F.col("px") - F.col("cx")) + (F.col("ax") - F.col("cx")) * (F.col("py") - F.col("cy"))) / d

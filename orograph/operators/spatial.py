@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orograph.functions import geodesy as G
 from orograph.functions import quantiles as Q
+from orograph.operators import cover
 
 
 def edges(ring: Column) -> Column:
@@ -63,45 +64,38 @@ def sunk_height(height: Column, weight: Column, zoom: Column, depth: float = 12.
     return F.when(zoom >= least_zoom, height - depth * F.coalesce(weight, F.lit(0.0))).otherwise(height)
 
 
-def _cells_of(box: Column, size: float, margin: float = 0.0) -> Column:
-    idx = lambda v: F.floor(v / size).cast("int")
-    xs, ys = F.sequence(idx(box["x0"] - margin), idx(box["x1"] + margin)), F.sequence(idx(box["y0"] - margin), idx(box["y1"] + margin))
-    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
+def boxes_touching(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
+    """Pairs (a_id, b_id) of boxes that overlap or touch; both have x0, y0, x1, y1 and id. cell: the side of the finest cells, about that of the
+    smaller boxes; larger ones lie in coarser cells (``cover``)."""
+    return cover.touching(a, b, cell)
 
 
-def boxes_touching(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
-    """Pairs (a_id, b_id) of boxes that overlap or touch; both have x0, y0, x1, y1 and id. Equal cells first, then the comparison; the cell
-    of the overlap's lower corner reports a pair, so none comes twice."""
-    box = F.struct("x0", "y0", "x1", "y1")
-    l = a.select(F.col("id").alias("a_id"), box.alias("p"), F.explode(_cells_of(box, cell)).alias("c"))
-    r = b.select(F.col("id").alias("b_id"), box.alias("q"), F.explode(_cells_of(box, cell)).alias("c"))
-    j = l.join(r, "c").where("p.x0 <= q.x1 and q.x0 <= p.x1 and p.y0 <= q.y1 and q.y0 <= p.y1")
-    own = (F.floor(F.greatest("p.x0", "q.x0") / cell) == F.col("c.cx")) & (F.floor(F.greatest("p.y0", "q.y0") / cell) == F.col("c.cy"))
-    return j.where(own).select("a_id", "b_id")
+def _met(points: DataFrame, rings: DataFrame, cell: float, margin: float = 0.0) -> DataFrame:
+    """Points (pid, lon, lat) with the rings (rid, ring) in whose box, widened by a margin, they may be."""
+    box = ring_box(F.col("ring"))
+    sides = (box["x0"] - margin, box["y0"] - margin, box["x1"] + margin, box["y1"] + margin)
+    kept = rings.select(*(c for c in ("rid", "ring") if c in rings.columns))
+    used = cover.levels(kept, *sides, cell)
+    p = cover.with_point_cells(points.select("pid", "lon", "lat"), F.col("lon"), F.col("lat"), used, cell)
+    return p.join(cover.with_box_cells(kept, *sides, cell), cover.CELL)
 
 
 def points_in_rings(points: DataFrame, rings: DataFrame, cell: float) -> DataFrame:
     """Pairs (pid, rid) of points (pid, lon, lat) within rings (rid, ring)."""
-    r = rings.select("rid", "ring", F.explode(_cells_of(ring_box(F.col("ring")), cell)).alias("c"))
-    p = points.select("pid", "lon", "lat", F.struct(F.floor(F.col("lon") / cell).cast("int").alias("cx"), F.floor(F.col("lat") / cell).cast("int").alias("cy")).alias("c"))
-    return p.join(r, "c").where(contains(F.col("ring"), F.col("lon"), F.col("lat"))).select("pid", "rid")
+    return _met(points, rings, cell).where(contains(F.col("ring"), F.col("lon"), F.col("lat"))).select("pid", "rid")
 
 
 def weights(points: DataFrame, rings: DataFrame, cell: float, ramp: float) -> DataFrame:
     """The greatest sink weight of each point over all rings; 0 where none has it."""
-    r = rings.select("rid", "ring", F.explode(_cells_of(ring_box(F.col("ring")), cell)).alias("c"))
-    p = points.select("pid", "lon", "lat", F.struct(F.floor(F.col("lon") / cell).cast("int").alias("cx"), F.floor(F.col("lat") / cell).cast("int").alias("cy")).alias("c"))
-    w = p.join(r, "c").groupBy("pid").agg(F.max(sink_weight(F.col("ring"), F.col("lon"), F.col("lat"), ramp)).alias("weight"))
+    w = _met(points, rings, cell).groupBy("pid").agg(F.max(sink_weight(F.col("ring"), F.col("lon"), F.col("lat"), ramp)).alias("weight"))
     return points.join(w, "pid", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
 
 
 def outside_rings(points: DataFrame, rings: DataFrame, cell: float, margin_m: float) -> DataFrame:
     """The points that are neither within a ring nor nearer than ``margin_m`` to one."""
     degrees = margin_m / 111_000 / 0.5  # wide enough up to 60 degrees of latitude
-    r = rings.select("ring", F.explode(_cells_of(ring_box(F.col("ring")), cell, degrees)).alias("c"))
-    p = points.select("pid", "lon", "lat", F.struct(F.floor(F.col("lon") / cell).cast("int").alias("cx"), F.floor(F.col("lat") / cell).cast("int").alias("cy")).alias("c"))
-    hit = p.join(r, "c").where(contains(F.col("ring"), F.col("lon"), F.col("lat")) | (edge_distance(F.col("ring"), F.col("lon"), F.col("lat")) <= margin_m)).select("pid").distinct()
-    return points.join(hit, "pid", "left_anti")
+    near = contains(F.col("ring"), F.col("lon"), F.col("lat")) | (edge_distance(F.col("ring"), F.col("lon"), F.col("lat")) <= margin_m)
+    return points.join(_met(points, rings, cell, degrees).where(near).select("pid").distinct(), "pid", "left_anti")
 
 
 def enclosing_circle(ring: Column, least: float = 60.0) -> Column:
@@ -131,12 +125,16 @@ def edge_points(rings: DataFrame, step: float, inward: float = 0.0) -> DataFrame
 
 
 def border_quantiles(samples: DataFrame, residual="res", by=("rid",)) -> DataFrame:
-    return samples.groupBy(*by).agg(F.count(Q.finite(residual)).alias("n"), *(Q.floor_rank(residual, q / 100).alias(f"p{q}") for q in (10, 25, 50, 75, 90)))
+    """``n`` and five floor-rank quantiles of each ring's samples. Samples are ranked by ranges, so a ring may have any number of them."""
+    found = Q.ranks(samples, residual, {f"p{q}": (Q.FLOOR, q / 100) for q in (10, 25, 50, 75, 90)}, by)
+    sizes = samples.groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(F.count(Q.finite(residual)).alias("n"))
+    met = [found[c].eqNullSafe(sizes[f"__{c}"]) for c in by]
+    return found.join(sizes, met).select(*by, "n", *(f"p{q}" for q in (10, 25, 50, 75, 90)))
 
 
 def ground_at_ring(heights: DataFrame, fallback: DataFrame, by="slug") -> DataFrame:
     """The upper median of terrain heights at a ring's points; the mesh's lowest point where none is known."""
-    found = heights.groupBy(by).agg(Q.upper_median("height").alias("ground"))
+    found = Q.ranks(heights, "height", {"ground": (Q.UPPER, 0.5)}, (by,))
     return fallback.join(found, by, "left").select(by, F.coalesce("ground", "lowest").alias("ground"))
 
 

@@ -102,11 +102,12 @@ def jn12_texture_sizes(spark, sf_dir):
     return meshes.with_material_size(t, sizes).select("tid", "tex_w")
 
 
-@query("SELECT l_suppkey texture, count(*) n, md5(string_agg(CAST(l_orderkey * 10 + l_linenumber AS VARCHAR), ',' ORDER BY l_orderkey * 10 + l_linenumber)) primitives FROM lineitem GROUP BY 1")
+@query("SELECT texture, (k - 1) // 500 part, count(*) n, md5(string_agg(CAST(p AS VARCHAR), ',' ORDER BY p)) primitives FROM (SELECT l_suppkey texture, l_orderkey * 10 + l_linenumber p, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) k FROM lineitem) GROUP BY 1, 2")
 def jn16_users_of_textures(spark, sf_dir):
+    """Parts of five hundred."""
     p = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("texture"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("primitive"))
-    u = meshes.users_of_textures(p)
-    return u.select("texture", F.size("primitives").cast("long").alias("n"), F.md5(F.array_join(F.transform("primitives", lambda x: x.cast("string")), ",")).alias("primitives"))
+    u = meshes.users_of_textures(p, 500)
+    return u.select("texture", "part", F.size("primitives").cast("long").alias("n"), F.md5(F.array_join(F.transform("primitives", lambda x: x.cast("string")), ",")).alias("primitives"))
 
 
 @query(T + """, p AS (SELECT c_custkey pid, c_custkey % 61 * 1.03::DOUBLE x, c_custkey % 29 * 1.01::DOUBLE y FROM customer),

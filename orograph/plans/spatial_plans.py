@@ -124,6 +124,32 @@ def jn06_boxes_touching(spark, sf_dir):
     return spatial.boxes_touching(_boxes(table(spark, sf_dir, "customer"), "c_custkey"), _boxes(table(spark, sf_dir, "supplier"), "s_suppkey"), 3.0)
 
 
+#: Sides from a thousandth of a cell to some thousand cells.
+SIZED = "SELECT {k} id, {k} * 7919 % 10007 * 1.0::DOUBLE x0, {k} * 104729 % 9973 * 1.0::DOUBLE y0, {k} * 7919 % 10007 + 0.003::DOUBLE * pow(2, {k} % 21) x1, {k} * 104729 % 9973 + 0.003::DOUBLE * pow(2, {k} * 5 % 21) y1 FROM {t}"
+
+
+def _sized_boxes(df, key):
+    k = F.col(key)
+    x0, y0 = k * 7919 % 10007 * 1.0, k * 104729 % 9973 * 1.0
+    return df.select(k.alias("id"), x0.alias("x0"), y0.alias("y0"), (x0 + 0.003 * F.pow(F.lit(2.0), k % 21)).alias("x1"), (y0 + 0.003 * F.pow(F.lit(2.0), k * 5 % 21)).alias("y1"))
+
+
+@query("WITH a AS (" + SIZED.format(k="c_custkey", t="customer") + "), b AS (" + SIZED.format(k="s_suppkey", t="supplier") + ") SELECT a.id a_id, b.id b_id FROM a JOIN b ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1")
+def jn06_boxes_of_all_sizes(spark, sf_dir):
+    """Boxes whose sides differ by a factor of a million, in one hierarchy of cells."""
+    return spatial.boxes_touching(_sized_boxes(table(spark, sf_dir, "customer"), "c_custkey"), _sized_boxes(table(spark, sf_dir, "supplier"), "s_suppkey"), 1.0)
+
+
+@query(PLACES + ", s AS (SELECT s_suppkey rid, s_suppkey % 20 / 20.0::DOUBLE - 74.5::DOUBLE x0, s_suppkey % 14 / 10.0::DOUBLE + 4.0::DOUBLE y0, 0.0004::DOUBLE * pow(3, s_suppkey % 9) r FROM supplier), " + EDGES
+       + """ SELECT id pid, rid FROM p, e GROUP BY 1, 2 HAVING sum(CASE WHEN (ay > lat) <> ("by" > lat) AND lon < (bx - ax) * (lat - ay) / ("by" - ay) + ax THEN 1 ELSE 0 END) % 2 = 1""")
+def jn07_rings_of_all_sizes(spark, sf_dir):
+    """Rings from a few tens of metres to a few hundred kilometres."""
+    k = F.col("s_suppkey")
+    lon, lat, r = k % 20 / 20.0 - 74.5, k % 14 / 10.0 + 4.0, 0.0004 * F.pow(F.lit(3.0), k % 9)
+    points = [F.struct((lon + r * cx).alias("lon"), (lat + r * cy).alias("lat")) for cx, cy in CORNERS]
+    return spatial.points_in_rings(survey_points(spark, sf_dir), table(spark, sf_dir, "supplier").select(k.alias("rid"), _closed(points).alias("ring")), 0.001)
+
+
 VIEW = (300.0, 1200.0, 200.0, 900.0)
 
 
