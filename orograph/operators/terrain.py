@@ -1,6 +1,6 @@
 """Height tiles ``(z, x, y, heights array of size*size)`` under points and cells."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orograph.functions import geodesy as G
@@ -23,18 +23,49 @@ def tiles_from_pixels(pixels: DataFrame, size: int = 256) -> DataFrame:
     return pixels.groupBy("z", "x", "y").agg(F.transform(F.array_sort(F.collect_list(at)), lambda p: p["h"]).alias("heights"))
 
 
-def sample_grid(points: DataFrame, grid: DataFrame, lon="lon", lat="lat", name: str = "geoid") -> DataFrame:
-    """Points with a value of one small regular grid (west, north, step, width, values row by row from the north), bilinear. The grid is one row."""
-    g = points.crossJoin(F.broadcast(grid.limit(1)))
-    px, py = (F.col(lon) - F.col("west")) / F.col("step"), (F.col("north") - F.col(lat)) / F.col("step")
-    rows = F.size("values") / F.col("width")
-    px = F.least(F.greatest(px, F.lit(0.0)), F.col("width") - 1.001)
-    py = F.least(F.greatest(py, F.lit(0.0)), rows - 1.001)
-    c, r = F.floor(px).cast("int"), F.floor(py).cast("int")
-    u, v = px - c, py - r
-    at = lambda dr, dc: F.get("values", (r + dr) * F.col("width") + c + dc)
-    value = at(0, 0) * (1 - u) * (1 - v) + at(0, 1) * u * (1 - v) + at(1, 0) * (1 - u) * v + at(1, 1) * u * v
-    return g.withColumn(name, value).select(*points.columns, name)
+def tiled_grid(grid: DataFrame, tile: int = 64) -> DataFrame:
+    """Tiles (``tx, ty, west, north, step, heights``, ``tile + 1`` values wide and high) of regular grids (west, north, step, width, values row by row from
+    the north). A tile's last row and column are the first of its neighbours (at the grid's edge its own once more), so sampling never needs two tiles."""
+    rows = (F.size("values") / F.col("width")).cast("int")
+    tiles = lambda n: F.sequence(F.lit(0), F.greatest(F.ceil((n - 1) / tile) - 1, F.lit(0)).cast("int"))
+    at = grid.withColumn("__rows", rows).withColumn("tx", F.explode(tiles(F.col("width")))).withColumn("ty", F.explode(tiles(F.col("__rows"))))
+    side = F.sequence(F.lit(0), F.lit(tile))
+    r = lambda i: F.least(F.col("ty") * tile + i, F.col("__rows") - 1)
+    c = lambda j: F.least(F.col("tx") * tile + j, F.col("width") - 1)
+    heights = F.flatten(F.transform(side, lambda i: F.transform(side, lambda j: F.get("values", (r(i) * F.col("width") + c(j)).cast("int")))))
+    return at.select("tx", "ty", "west", "north", "step", F.col("width"), F.col("__rows").alias("rows"), heights.alias("heights"))
+
+
+def sample_tiles(points: DataFrame, tiles: DataFrame, west: float, north: float, step: float, width: int, rows: int, lon="lon", lat="lat", name: str = "geoid", tile: int = 64) -> DataFrame:
+    """Points with a value of a grid in tiles (``tiled_grid``), bilinear; beyond the grid its border holds. An equal join on the tile: the grid may be of
+    any size, and a busy tile's points are Spark's to split."""
+    px = F.least(F.greatest((F.col(lon) - west) / step, F.lit(0.0)), F.lit(width - 1.001))
+    py = F.least(F.greatest((north - F.col(lat)) / step, F.lit(0.0)), F.lit(rows - 1.001))
+    at = points.withColumns({"__px": px, "__py": py}).withColumns({"__tx": F.floor(F.col("__px") / tile).cast("int"), "__ty": F.floor(F.col("__py") / tile).cast("int")})
+    met = at.join(tiles.select(F.col("tx").alias("__tx"), F.col("ty").alias("__ty"), F.col("heights").alias("__h")), ["__tx", "__ty"], "left")
+    x, y = F.col("__px") - F.col("__tx") * tile, F.col("__py") - F.col("__ty") * tile
+    c, r = F.floor(x).cast("int"), F.floor(y).cast("int")
+    h = lambda dr, dc: F.get("__h", (r + dr) * (tile + 1) + c + dc)
+    u, v = x - c, y - r
+    value = h(0, 0) * (1 - u) * (1 - v) + h(0, 1) * u * (1 - v) + h(1, 0) * (1 - u) * v + h(1, 1) * u * v
+    return met.withColumn(name, value).select(*points.columns, name)
+
+
+def sample_grid(points: DataFrame, grid: DataFrame, lon="lon", lat="lat", name: str = "geoid", tile: int = 64) -> DataFrame:
+    """Points with a value of one regular grid (a row: west, north, step, width, values row by row from the north), bilinear. The grid is cut into tiles
+    that points meet by an equal join; only its size and corner go through the driver."""
+    g = grid.select("west", "north", "step", "width", (F.size("values") / F.col("width")).cast("int").alias("rows")).first()
+    if g is None:
+        return points.withColumn(name, F.lit(None).cast("double"))
+    return sample_tiles(points, tiled_grid(grid.limit(1), tile), *g, lon=lon, lat=lat, name=name, tile=tile)
+
+
+def read_offsets(spark: SparkSession, folder: str, name: str = "offset.json") -> DataFrame:
+    """``slug, offset, transform`` from a JSON document in each survey's folder; missing fields are null."""
+    rows = spark.read.option("recursiveFileLookup", True).option("wholetext", True).option("pathGlobFilter", name).text(folder)
+    doc = F.from_json("value", "offset array<double>, transform array<double>")
+    slug = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return rows.select(slug.alias("slug"), doc.alias("d")).select("slug", "d.offset", "d.transform")
 
 
 def cell_residuals(cells: DataFrame, tiles: DataFrame, z: int, size: int = 256) -> DataFrame:

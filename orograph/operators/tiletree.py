@@ -111,8 +111,13 @@ def extensions(files: DataFrame, path="path") -> DataFrame:
     return files.agg(F.array_sort(F.collect_set(F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)))).alias("extensions"))
 
 
-def totals(files: DataFrame, size="bytes") -> DataFrame:
-    return files.agg(F.count(F.lit(1)).alias("files"), F.sum(size).alias("bytes"), Q.fixed(F.sum(size) / 1e6, 1).alias("mb"))
+def totals(files: DataFrame, size="bytes", first: DataFrame | None = None, path="path") -> DataFrame:
+    """Number of files, bytes and MB; with ``first`` (column ``uri``: the tiles that are met first, see ``first_view``) also their ``first_bytes``."""
+    sums = files.agg(F.count(F.lit(1)).alias("files"), F.sum(size).alias("bytes"), Q.fixed(F.sum(size) / 1e6, 1).alias("mb"))
+    if first is None:
+        return sums
+    shown = files.join(first.select(F.col("uri").alias(path)).distinct(), path, "left_semi").agg(F.coalesce(F.sum(size), F.lit(0)).alias("first_bytes"))
+    return sums.crossJoin(F.broadcast(shown))
 
 
 def first_view(nodes: DataFrame) -> DataFrame:
@@ -148,16 +153,20 @@ def levels_bottom_up(nodes: DataFrame, leaf_table: DataFrame, combine) -> DataFr
     parent_id); what it makes of one level is written before the next starts."""
     ids = nodes.select("node_id", "parent_id", "depth")
     deepest = ids.agg(F.max("depth")).first()[0] or 0
-    done = leaf_table.join(ids, "node_id").transform(settled)
+    leaves_ = leaf_table.join(ids, "node_id").transform(settled)
+    done = leaves_
+    level = leaves_.where(F.col("depth") == deepest)
     for d in range(deepest, 0, -1):
-        made = combine(done.where(F.col("depth") == d)).join(ids, "node_id")
-        done = done.unionByName(made.select(*done.columns)).transform(settled)
+        made = combine(level).join(ids, "node_id").select(*leaves_.columns).transform(settled)
+        done = done.unionByName(made)
+        # what combine makes is one level up; leaves of that level join it
+        level = leaves_.where(F.col("depth") == d - 1).unionByName(made)
     return done
 
 
 def dfs_order(nodes: DataFrame, separator: str = "/") -> DataFrame:
-    """Adds ``dfs``: a text that sorts as a depth-first walk by ``ord``."""
-    key = F.lpad(F.col("ord").cast("string"), 6, "0")
+    """Adds ``dfs``: a text that sorts as a depth-first walk by ``ord`` (a whole number of any size, 0 or more)."""
+    key = F.lpad(F.col("ord").cast("string"), 19, "0")
     done = level = nodes.where("depth = 0").withColumn("dfs", key)
     for d in range(1, (nodes.agg(F.max("depth")).first()[0] or 0) + 1):
         up = level.select(F.col("node_id").alias("parent_id"), F.col("dfs").alias("__up"))
@@ -166,8 +175,6 @@ def dfs_order(nodes: DataFrame, separator: str = "/") -> DataFrame:
     return done
 
 
-
-
 def by_size(files: DataFrame, largest_first: bool = True, size="bytes", path="path") -> DataFrame:
     """Adds ``place`` (from 1): files by size, of equal ones by path. Smallest first is the order in which jobs are started."""
     order = [F.col(size).desc() if largest_first else F.col(size).asc(), F.col(path)]

@@ -61,12 +61,15 @@ def geo13_fold_errors(spark, sf_dir):
     return tiletree.rounded(tiletree.fold(tiletree.depths(t.withColumns({"lo": p, "hi": p})))).select("node_id", "parent_id", "error", "is_leaf")
 
 
-@query(TREE + " SELECT node_id, CAST(CASE WHEN node_id = 0 THEN 0 ELSE depth END AS DOUBLE) x FROM d")
+@query(TREE + ", w AS (SELECT node_id, 0.0::DOUBLE x, 0.0::DOUBLE y, 0.0::DOUBLE a FROM d WHERE parent_id IS NULL UNION ALL SELECT d.node_id, w.x + cos(w.a), w.y + sin(w.a), w.a + d.node_id % 10 * 0.3::DOUBLE FROM d JOIN w ON d.parent_id = w.node_id) SELECT node_id, round(x, 9) x, round(y, 9) y, round(cos(a), 9) turn FROM w")
 def geo12_transforms(spark, sf_dir):
-    """Every node moves one to the right of its parent, so its place is its depth."""
-    move = F.when(F.col("parent_id").isNotNull(), matrix.literal(matrix.trs((1, 0, 0))))
+    """Every node stands one before its parent, in its parent's direction, and turns by its place among its siblings."""
+    a = F.col("ord") * 0.3
+    rows = ((F.cos(a), F.sin(a), 0, 0), (-F.sin(a), F.cos(a), 0, 0), (0, 0, 1, 0), (1, 0, 0, 1))
+    move = F.when(F.col("parent_id").isNotNull(), F.array(*(v if not isinstance(v, int) else F.lit(float(v)) for r in rows for v in r)))
     t = tiletree.transforms(tiletree.depths(part_tree(spark, sf_dir)).withColumn("transform", move))
-    return t.select("node_id", F.get("world", F.lit(12)).alias("x"))
+    at = lambda i: F.round(F.get("world", F.lit(i)), 9)
+    return t.select("node_id", at(12).alias("x"), at(13).alias("y"), at(0).alias("turn"))
 
 
 @query(TREE + """, w AS (SELECT depth, count(*) wide FROM d GROUP BY 1), c AS (SELECT min(depth) FILTER (WHERE depth >= 2 AND wide >= 32) cut, sum(wide) n FROM w),
@@ -83,7 +86,18 @@ def geo16_first_view(spark, sf_dir):
     return tiletree.first_view(nodes).select(F.col("root").cast("int").alias("root"), "node_id")
 
 
-@query(TREE + ", o AS (SELECT node_id, lpad('0', 6, '0') dfs FROM d WHERE parent_id IS NULL UNION ALL SELECT d.node_id, o.dfs || '/' || lpad(CAST(d.node_id % 10 AS VARCHAR), 6, '0') FROM d JOIN o ON d.parent_id = o.node_id) SELECT node_id, dfs FROM o")
+@query("SELECT s_suppkey * 10 root, s_suppkey * 10 + s_suppkey % 4 node_id, CASE WHEN s_suppkey % 3 <> 0 THEN 'u' || s_suppkey END uri FROM supplier")
+def geo16_only_children(spark, sf_dir):
+    """A tree for each supplier: some only children one below the other, then one with content, or one without that has two children."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").withColumn("n", k % 4)
+    chain = s.select((k * 10).alias("root"), "n", k.alias("k"), F.explode(F.sequence(F.lit(0).cast("long"), "n")).alias("i"))
+    chain = chain.select((F.col("root") + F.col("i")).alias("node_id"), F.when(F.col("i") > 0, F.col("root") + F.col("i") - 1).alias("parent_id"), F.when((F.col("i") == F.col("n")) & (F.col("k") % 3 != 0), F.concat(F.lit("u"), F.col("k").cast("string"))).alias("uri"))
+    two = s.where(k % 3 == 0).select(F.explode(F.array(k * 10 + 8, k * 10 + 9)).alias("node_id"), (k * 10 + F.col("n")).alias("parent_id"), F.lit("x").alias("uri"))
+    return tiletree.first_view(tiletree.depths(chain.unionByName(two))).select("root", "node_id", "uri")
+
+
+@query(TREE + ", o AS (SELECT node_id, lpad('0', 19, '0') dfs FROM d WHERE parent_id IS NULL UNION ALL SELECT d.node_id, o.dfs || '/' || lpad(CAST(d.node_id % 10 AS VARCHAR), 19, '0') FROM d JOIN o ON d.parent_id = o.node_id) SELECT node_id, dfs FROM o")
 def geo11_dfs_order(spark, sf_dir):
     return tiletree.dfs_order(tiletree.depths(part_tree(spark, sf_dir))).select("node_id", "dfs")
 

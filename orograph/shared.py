@@ -1,9 +1,10 @@
 """What iterating and numbering operators share: checkpoints, and scans of an order that is cut into ranges."""
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
@@ -11,18 +12,29 @@ from pyspark.sql.types import MapType
 RANGE, TIE = "__range", "__tie"
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Where that is unset, a local master gets a temp folder; a cluster gets
+    an error, as no other folder is known to be shared."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="orograph-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that driver and executors share (``spark.checkpoint.dir``). Where that is unset, a local master gets a temp
-    folder; a cluster gets an error, as no other folder is known to be shared."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Cuts the lineage in the shared folder."""
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-            root = "file://" + tempfile.mkdtemp(prefix="orograph-")
-        context.setCheckpointDir(root)
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
 
 

@@ -1,7 +1,9 @@
-"""ZIP and ZIP64 archives as a Spark data source: ``spark.read.format("zip_entries").load(path)`` gives ``name, method, size, content``.
+"""ZIP and ZIP64 archives as a Spark data source: ``spark.read.format("zip_entries").load(path)`` gives ``name, method, size, content, archive`` of the
+entries of an archive, or of all archives (``*.zip``) below a folder. ``write_archives`` is the way back.
 
 The driver reads the archive's directory by offsets only; each partition then reads its own range of entries. Stored and deflated entries are
-supported; ``.gz`` members are opened too unless ``gunzip`` is false. The path is a local one or a URI that pyarrow's file systems open for reading by
+supported; ``.gz`` members are opened too unless ``gunzip`` is false. Entries whose name doesn't begin with the option ``prefix`` are not read, and a filter on
+the name or the archive goes to the directory. The path is a local one or a URI that pyarrow's file systems open for reading by
 offsets (``file:``, ``hdfs:``, ``s3:``, ``gs:``, ``abfs:``); executors open it themselves."""
 
 import gzip
@@ -9,9 +11,11 @@ import struct
 import zlib
 
 from pyarrow import fs
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, StringEndsWith, StringStartsWith
 
-SCHEMA = "name string, method int, size bigint, content binary"
+from orograph.sources.files import located, write_files
+
+SCHEMA = "name string, method int, size bigint, content binary, archive string"
 #: Fixed values of the format.
 END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 TAIL = 65_557
@@ -19,11 +23,7 @@ TAIL = 65_557
 
 def opened(path: str):
     """A file that can be read at any offset."""
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem().open_input_file(path)
-    if path.startswith("file:"):  # file:/a, file:///a
-        path = "file:///" + path.removeprefix("file:").lstrip("/")
-    system, inner = fs.FileSystem.from_uri(path)
+    system, inner = located(path)
     return system.open_input_file(inner)
 
 
@@ -85,33 +85,62 @@ def content(f, entry, gunzip: bool = True) -> bytes:
 
 
 class Entries(InputPartition):
-    def __init__(self, entries):
+    def __init__(self, archive, entries):
         super().__init__(0)
-        self.entries = entries
+        self.archive, self.entries = archive, entries
+
+
+#: Filters on text columns that the directory can answer.
+TESTS = {EqualTo: lambda v, w: v == w, StringStartsWith: lambda v, w: v.startswith(w), StringEndsWith: lambda v, w: v.endswith(w), In: lambda v, w: v in w}
 
 
 class ZipReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.gunzip = options["path"], options.get("gunzip", "true").lower() == "true"
         self.prefix, self.bytes = options.get("prefix", ""), int(options.get("partitionbytes", 64 << 20))
+        self.tests = []
+
+    def pushFilters(self, filters):
+        for f in filters:
+            column, test = getattr(f, "attribute", ()), TESTS.get(type(f))
+            if test and column in (("name",), ("archive",)):
+                self.tests.append((column[0], test, f.value))
+            else:
+                yield f
+
+    def archives(self):
+        system, root = located(self.path)
+        if system.get_file_info(root).type != fs.FileType.Directory:
+            return [self.path]
+        found = system.get_file_info(fs.FileSelector(root, recursive=True))
+        # paths on the same file system; a URI keeps what stands before its path
+        before = self.path[: len(self.path.rstrip("/")) - len(root)] if self.path.rstrip("/").endswith(root) else ""
+        return sorted(before + f.path for f in found if f.type == fs.FileType.File and f.path.endswith(".zip"))
 
     def partitions(self):
-        with opened(self.path) as f:
-            entries = [e for e in directory(f) if not e[0].endswith("/") and e[0].startswith(self.prefix)]
-        groups, size = [[]], 0
-        for e in sorted(entries, key=lambda e: e[4]):
-            if groups[-1] and size + e[2] > self.bytes:
-                groups.append([])
-                size = 0
-            groups[-1].append(e)
-            size += e[2]
-        return [Entries(g) for g in groups]
+        parts = []
+        for archive in self.archives():
+            wanted = lambda e, a=archive: e[0].startswith(self.prefix) and all(test({"name": e[0], "archive": a}[c], v) for c, test, v in self.tests)
+            with opened(archive) as f:
+                entries = [e for e in directory(f) if not e[0].endswith("/") and wanted(e)]
+            group, size = [], 0
+            for e in sorted(entries, key=lambda e: e[4]):
+                if group and size + e[2] > self.bytes:
+                    parts.append(Entries(archive, group))
+                    group, size = [], 0
+                group.append(e)
+                size += e[2]
+            if group:
+                parts.append(Entries(archive, group))
+        return parts or [Entries(self.path, [])]
 
     def read(self, partition):
-        with opened(self.path) as f:
+        if not partition.entries:
+            return
+        with opened(partition.archive) as f:
             for e in partition.entries:
                 data = content(f, e, self.gunzip)
-                yield e[0], e[1], len(data), data
+                yield e[0], e[1], len(data), data, partition.archive
 
 
 class ZipEntries(DataSource):
@@ -127,4 +156,23 @@ class ZipEntries(DataSource):
 
 
 def register(spark) -> None:
+    # a reader with pushFilters needs Spark's consent
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ZipEntries)
+
+
+def write_archives(entries, folder: str, packed: bool = True) -> None:
+    """Writes entries (archive, name, content) as one ZIP each archive (a path below the folder). An archive is one file and so one task's work."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED if packed else zipfile.ZIP_STORED) as z:
+            for name, data in sorted(zip(pdf.name, pdf.content, strict=True)):
+                z.writestr(zipfile.ZipInfo(name), bytes(data), zipfile.ZIP_DEFLATED if packed else zipfile.ZIP_STORED)
+        return pd.DataFrame({"path": [pdf.archive.iloc[0]], "content": [out.getvalue()]})
+
+    write_files(entries.select("archive", "name", "content").groupBy("archive").applyInPandas(build, "path string, content binary"), folder)

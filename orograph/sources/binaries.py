@@ -36,6 +36,11 @@ def geometry(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, "<f4", 3 * n, 8).reshape(n, 3).astype(float), np.frombuffer(data, "<f4", 2 * n, 8 + 12 * n).reshape(n, 2).astype(float)
 
 
+def geometry_of(xyz: np.ndarray, uv: np.ndarray) -> bytes:
+    """The buffer of positions (n, 3) and texture coordinates (n, 2), as ``geometry`` reads it."""
+    return struct.pack("<II", len(xyz), 1) + np.asarray(xyz, "<f4").tobytes() + np.asarray(uv, "<f4").tobytes()
+
+
 def vertices(content_frame, name="name", content="content"):
     """``tile, vid, x, y, z, u, v`` of geometry buffers (name, content)."""
 
@@ -118,6 +123,28 @@ def glb_of_b3dm(data: bytes) -> bytes:
     return data[28 + sum(sizes) :]
 
 
+def glb_of(xyz: np.ndarray, triangles: np.ndarray, translation=(0.0, 0.0, 0.0)) -> bytes:
+    """A plain glb of one mesh: positions as floats, triangles as 32-bit indices, one node that is moved by ``translation``."""
+    p, t = np.asarray(xyz, "<f4"), np.asarray(triangles, "<u4").reshape(-1)
+    blob = p.tobytes() + t.tobytes()
+    j = {
+        "asset": {"version": "2.0"}, "scene": 0, "scenes": [{"nodes": [0]}], "nodes": [{"mesh": 0, "translation": [float(x) for x in translation]}], "buffers": [{"byteLength": len(blob)}],
+        "meshes": [{"primitives": [{"attributes": {"POSITION": 0}, "indices": 1}]}], "bufferViews": [{"buffer": 0, "byteLength": p.nbytes}, {"buffer": 0, "byteOffset": p.nbytes, "byteLength": t.nbytes}],
+        "accessors": [{"bufferView": 0, "componentType": 5126, "count": len(p), "type": "VEC3", "min": p.min(0).tolist(), "max": p.max(0).tolist()}, {"bufferView": 1, "componentType": 5125, "count": len(t), "type": "SCALAR"}],
+    }
+    text = json.dumps(j).encode()
+    text += b" " * (-len(text) % 4)
+    blob += b"\0" * (-len(blob) % 4)
+    return b"glTF" + struct.pack("<II", 2, 28 + len(text) + len(blob)) + struct.pack("<I4s", len(text), b"JSON") + text + struct.pack("<I4s", len(blob), b"BIN\0") + blob
+
+
+def b3dm_of(glb: bytes, batch: int = 0) -> bytes:
+    """A glb behind the header of a b3dm with a feature table that has the batch's length."""
+    table = json.dumps({"BATCH_LENGTH": batch}).encode()
+    table += b" " * (-(28 + len(table)) % 8)
+    return b"b3dm" + struct.pack("<2I", 1, 28 + len(table) + len(glb)) + struct.pack("<4I", len(table), 0, 0, 0) + table + glb
+
+
 def png_pixels(data: bytes) -> np.ndarray | None:
     """(height, width, 3) of an 8-bit PNG without interlacing; null for other kinds."""
     if data[:8] != PNG_SIGNATURE:

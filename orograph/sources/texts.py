@@ -1,63 +1,91 @@
-"""Line formats: OBJ and MTL files, tile trees in JSON, progress logs, job lists and manifests. Files are read by Spark; a line's place in its file
-comes from its byte order within the file as ``line``."""
+"""Line formats: OBJ and MTL files, tile trees in JSON, progress logs, job lists and manifests. Files are read by Spark, which cuts large ones at line
+ends: a line's place in its file is (``block``, ``at``), the start of its split and its number within. What depends on the lines before (ids,
+the material in force) is a scan over ranges, so one large file is many tasks from end to end."""
 
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orograph.shared import Ranges
+from orograph.sources.files import write_files
+
+PLACE = ("block", "at")
+
+
+def _one() -> Column:
+    return F.lit(1).cast("long")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, block, at, value`` of text files, in as many tasks as they have splits."""
+    found = F.col("_metadata")
+    return spark.read.text(path).select(found["file_path"].alias("file"), found["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, line, value``, lines counted from 0 in each file. A file is one row until it is cut: lines have no numbers of their own in
-    split files. For files beyond some hundred MB give Spark a table with line numbers instead."""
-    whole = spark.read.option("wholetext", True).text(path)
-    return whole.select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    """``file, line, value``, lines counted from 0 in each file."""
+    rows = Ranges(read_lines(spark, path), PLACE, ["file"]).total(_one(), "line").frame()
+    return rows.select("file", (F.col("line") - 1).alias("line"), "value")
+
+
+def _place(lines: DataFrame) -> tuple[str, ...]:
+    return ("line",) if "line" in lines.columns else PLACE
+
+
+def _numbers(p: Column, i: int) -> Column:
+    return F.get(p, F.lit(i)).try_cast("double")
+
+
+def _from(p: Column, at: int) -> Column:
+    """The parts from a place (0 is the first) on."""
+    return F.slice(p, at + 1, F.greatest(F.size(p) - at, F.lit(0)))
 
 
 def obj_vertices(lines: DataFrame) -> DataFrame:
-    """``file, vid, x, y, z, rest``: lines ``v x y z [rest]``, ids from 1 in file order."""
-    rows = lines.where(F.col("value").startswith("v "))
+    """``file, vid, x, y, z, rest`` and the place: lines ``v x y z [rest]``, ids from 1 in file order."""
     p = F.split(F.trim("value"), r"\s+")
-    w = Window.partitionBy("file").orderBy("line")
-    at = lambda i: F.get(p, F.lit(i)).try_cast("double")
-    return rows.select("file", F.row_number().over(w).alias("vid"), at(1).alias("x"), at(2).alias("y"), at(3).alias("z"), F.array_join(F.slice(p, 5, 100), " ").alias("rest"), "line")
+    rows = lines.where(F.col("value").startswith("v ")).select("file", *_place(lines), *(_numbers(p, i + 1).alias(c) for i, c in enumerate("xyz")), F.array_join(_from(p, 4), " ").alias("rest"))
+    return Ranges(rows, _place(lines), ["file"]).total(_one(), "vid").frame().select("file", "vid", "x", "y", "z", "rest", *_place(lines))
 
 
 def obj_texture_vertices(lines: DataFrame) -> DataFrame:
-    rows = lines.where(F.col("value").startswith("vt "))
     p = F.split(F.trim("value"), r"\s+")
-    return rows.select("file", F.row_number().over(Window.partitionBy("file").orderBy("line")).alias("tid"), F.get(p, F.lit(1)).try_cast("double").alias("u"), F.get(p, F.lit(2)).try_cast("double").alias("v"))
+    rows = lines.where(F.col("value").startswith("vt ")).select("file", *_place(lines), _numbers(p, 1).alias("u"), _numbers(p, 2).alias("v"))
+    return Ranges(rows, _place(lines), ["file"]).total(_one(), "tid").frame().select("file", "tid", "u", "v")
+
+
+def _named(word: str) -> Column:
+    return F.when(F.col("value").startswith(word + " "), F.trim(F.expr(f"substring(value, {len(word) + 2})")))
 
 
 def obj_faces(lines: DataFrame) -> DataFrame:
     """``file, fid, material, corners, textures``: polygons with the material in force (carried down the lines)."""
-    kept = lines.where(F.col("value").startswith("f ") | F.col("value").startswith("usemtl "))
-    named = F.when(F.col("value").startswith("usemtl "), F.trim(F.substring("value", 8, 1 << 20)))
-    w = Window.partitionBy("file").orderBy("line")
-    rows = kept.withColumn("material", F.last(named, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("value").startswith("f "))
-    parts = F.slice(F.split(F.trim("value"), r"\s+"), 2, 1000)
+    face = F.col("value").startswith("f ")
+    kept = lines.where(face | F.col("value").startswith("usemtl ")).select("file", *_place(lines), "value")
+    rows = Ranges(kept, _place(lines), ["file"]).latest(_named("usemtl"), "material").total(face.cast("long"), "fid").frame().where(face)
+    parts = _from(F.split(F.trim("value"), r"\s+"), 1)
     id_ = lambda i: F.transform(parts, lambda c: F.get(F.split(c, "/"), F.lit(i)).try_cast("int"))
-    return rows.select("file", F.row_number().over(w).alias("fid"), "material", id_(0).alias("corners"), id_(1).alias("textures"))
+    return rows.select("file", "fid", "material", id_(0).alias("corners"), id_(1).alias("textures"))
 
 
 def obj_libraries(lines: DataFrame) -> DataFrame:
-    return lines.where(F.col("value").startswith("mtllib ")).select("file", F.trim(F.substring("value", 8, 1 << 20)).alias("library"))
+    return lines.where(F.col("value").startswith("mtllib ")).select("file", _named("mtllib").alias("library"))
 
 
 def mtl_textures(lines: DataFrame) -> DataFrame:
     """``file, material, texture``."""
-    kept = lines.withColumn("value", F.trim("value")).where(F.col("value").rlike("^(newmtl|map_Kd) "))
-    named = F.when(F.col("value").startswith("newmtl "), F.trim(F.substring("value", 8, 1 << 20)))
-    w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    return kept.withColumn("material", F.last(named, ignorenulls=True).over(w)).where(F.col("value").startswith("map_Kd ")).select("file", "material", F.trim(F.substring("value", 8, 1 << 20)).alias("texture"))
+    kept = lines.withColumn("value", F.trim("value")).where(F.col("value").rlike("^(newmtl|map_Kd) ")).select("file", *_place(lines), "value")
+    rows = Ranges(kept, _place(lines), ["file"]).latest(_named("newmtl"), "material").frame()
+    return rows.where(F.col("value").startswith("map_Kd ")).select("file", "material", _named("map_Kd").alias("texture"))
 
 
 def shifted_obj(lines: DataFrame, dx: float, dy: float, dz: float) -> DataFrame:
     """The lines with vertices moved by exact decimals and written with four places; other lines and further columns stay."""
     p = F.split(F.trim("value"), r"\s+")
     part = lambda i, d: (F.get(p, F.lit(i)).try_cast("decimal(20,8)") - F.lit(str(d)).cast("decimal(20,8)")).cast("decimal(20,4)").cast("string")
-    moved = F.concat_ws(" ", F.lit("v"), part(1, dx), part(2, dy), part(3, dz), F.nullif(F.array_join(F.slice(p, 5, 100), " "), F.lit("")))
+    moved = F.concat_ws(" ", F.lit("v"), part(1, dx), part(2, dy), part(3, dz), F.nullif(F.array_join(_from(p, 4), " "), F.lit("")))
     return lines.withColumn("value", F.when(F.col("value").startswith("v "), moved).otherwise(F.col("value")))
 
 
@@ -141,12 +169,33 @@ def file_sizes(spark: SparkSession, path: str, without: str = r"\.temp$") -> Dat
     return rows.select("path", F.col("length").alias("bytes")).where(~F.col("path").rlike(without) & ~F.substring_index("path", "/", -1).startswith("."))
 
 
-def write_footprints(polygons: DataFrame, path: str) -> None:
-    """A GeoJSON collection a line, one directory a survey."""
+def _feature_collection() -> Column:
     ring = F.transform("ring", lambda p: F.array(p["lon"], p["lat"]))
     props = F.struct("vertices", "area_m2", F.col("tolerance").alias("tolerance_m"))
     feature = F.struct(F.lit("Feature").alias("type"), props.alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
-    polygons.select("slug", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))).alias("value")).write.mode("overwrite").partitionBy("slug").text(path)
+    return F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features")))
+
+
+def write_footprints(polygons: DataFrame, path: str) -> None:
+    """A GeoJSON collection a line, one directory a survey."""
+    polygons.select("slug", _feature_collection().alias("value")).write.mode("overwrite").partitionBy("slug").text(path)
+
+
+def write_footprint_files(polygons: DataFrame, folder: str, suffix: str = ".huella.geojson") -> None:
+    """A GeoJSON file for each survey, ``<slug><suffix>``, all at once or none; what stood in the folder is kept beside it."""
+    write_files(polygons.select(F.concat("slug", F.lit(suffix)).alias("path"), _feature_collection().cast("binary").alias("content")), folder)
+
+
+def prune_documents(spark: SparkSession, folder: str) -> None:
+    """Writes all JSON documents below a folder again without null keys; the folder as it was stays as ``<folder>.backup``."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(folder)
+    name = F.element_at(F.split("path", F.lit("/" + folder.rstrip("/").rpartition("/")[2] + "/")), -1)
+
+    @F.pandas_udf("binary")
+    def pruned(content: pd.Series) -> pd.Series:
+        return content.map(lambda b: json.dumps(pruned_nulls(json.loads(bytes(b))), ensure_ascii=False, separators=(",", ":")).encode())
+
+    write_files(found.select(name.alias("path"), pruned("content").alias("content")), folder)
 
 
 def write_report(report: DataFrame, path: str) -> None:
