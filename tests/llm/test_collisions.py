@@ -104,4 +104,4 @@ def test_lines_of_rows_without_ids(spark):
     rows = [(7, f"seven\n{line}\n"), (None, f"{line}\nnone\n"), (5, f"five\n{line}"), (None, f"other none\n{line}"), (None, f"{line}\nnone\n"), (5, f"five again\n{line}\n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id or 99, r.text) for r in line_dedup.drop_units(docs, levels=line_dedup.LEVELS).collect()))
-    assert got == [(5, "five again\n"), (5, f"five\n{line}"), (7, "seven\n"), (99, "none\n"), (99, "none\n"), (99, "other none\n")]
+    assert got == [(5, f"five\n{line}"), (5, "five again\n"), (7, "seven\n"), (99, "none\n"), (99, "none\n"), (99, "other none\n")]
