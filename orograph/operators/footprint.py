@@ -1,16 +1,14 @@
 """Footprints: triangles to grid cells, morphology, components, then one polygon for each survey.
 
 The grid is sparse (only taken cells are rows), keyed by ``slug, ix, iy``. Rasterising, morphology and components are joins and
-aggregations. Only the outline of the largest component, a few thousand edges for a survey, is chained and simplified in a
-pandas group: ordering a ring is sequential, and its size follows a survey's perimeter, not the corpus."""
+aggregations; the outline is followed by pointers that double their reach, and simplified by rounds that split all stretches at once."""
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orograph.operators import links
 from orograph.shared import settled
 
 CELL = ["ix", "iy"]
@@ -156,57 +154,69 @@ def outline_edges(cells: DataFrame, by=("slug",)) -> DataFrame:
     return each.groupBy(*by, F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).agg(F.count(F.lit(1)).alias("k"), F.first(F.struct("x0", "y0", "x1", "y1")).alias("e")).where("k = 1").select(*by, "e.*")
 
 
-def chain(edges: np.ndarray) -> tuple[np.ndarray, int]:
-    """The ring that starts at the first cell by rows, and how many edges it leaves out.
-
-    At a corner where two cells meet diagonally two edges leave; the edge of the cell in the higher row is taken and the other is
-    dropped, so what hangs on such a corner alone may be left out. Callers should tell of left edges."""
-    owner = lambda e: (e[1] if e[2] > e[0] or e[3] > e[1] else min(e[1], e[3]) - (e[1] == e[3]), e[0])
-    leaving = {(x0, y0): (x1, y1) for x0, y0, x1, y1 in sorted(map(tuple, edges.tolist()), key=owner)}
-    at = start = min(((x0, y0) for x0, y0, x1, y1 in edges.tolist() if x1 > x0), key=lambda p: (p[1], p[0]))
-    ring = []
-    while True:
-        ring.append(at)
-        at = leaving.pop(at)
-        if at == start or at not in leaving:
-            return np.array(ring, float), len(leaving)
-
-
-def simplify_line(points: np.ndarray, tolerance: float) -> np.ndarray:
-    """Douglas-Peucker by distance to the whole line through the ends; a loop over a stack, so a long line needs no deep calls."""
-    keep = np.zeros(len(points), bool)
-    if len(points):
-        keep[[0, -1]] = True
-    todo = [(0, len(points) - 1)]
-    while todo:
-        i, j = todo.pop()
-        if j - i < 2:
-            continue
-        a, d = points[i], points[j] - points[i]
-        far = np.abs(d[0] * (a[1] - points[i + 1 : j, 1]) - (a[0] - points[i + 1 : j, 0]) * d[1]) / (math.hypot(*d) or 1e-9)
-        k = int(np.argmax(far))
-        if far[k] > tolerance:
-            keep[i + 1 + k] = True
-            todo += [(i, i + 1 + k), (i + 1 + k, j)]
-    return points[keep]
-
-
-def simplify_ring(ring: np.ndarray, cell: float, most: int = 96, greatest: float = 3.0) -> tuple[np.ndarray, float]:
-    """The ring cut at the point farthest from its first, both halves simplified; the tolerance starts at half a cell and grows by a quarter until
-    ``most`` points are left, but never beyond ``greatest``."""
-    far = int(np.argmax(np.hypot(*(ring - ring[0]).T)))
-    tolerance = cell / 2
-    while True:
-        a, b = simplify_line(ring[: far + 1], tolerance), simplify_line(np.vstack([ring[far:], ring[:1]]), tolerance)
-        out = np.vstack([a[:-1], b[:-1]])
-        if len(out) <= most or tolerance * 1.25 > greatest:
-            return out, tolerance
-        tolerance *= 1.25
-
-
-def signed_area(ring: np.ndarray) -> float:
-    x, y = ring.T
-    return float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum() / 2)
+def outline(cells: DataFrame, by=("slug",)) -> DataFrame:
+    """The ring around each group's cells: ``by, step, x, y, left_edges``, corners from the first cell by rows on, with the cells on the left.
+
+    At a corner where two cells meet diagonally two edges leave; the edge of the cell in the higher row is taken and the other is dropped, so
+    what hangs on such a corner alone may be left out: ``left_edges`` tells how many corners were. Each corner points to the next; the ring is what is
+    reached from its start, in as many rounds as the logarithm of its length."""
+    by = list(by)
+    edges = outline_edges(cells, by)
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    # the row of the cell that has the edge: only a left or upper edge lies at a corner of the row above
+    row = F.when((x1 > x0) | (y1 > y0), y0).when(y0 == y1, y0 - 1).otherwise(y1)
+    node = F.struct(y0.alias("y"), x0.alias("x"))
+    nexts = edges.groupBy(*by, node.alias("node")).agg(F.max_by(F.struct(y1.alias("y"), x1.alias("x")), F.struct(row, x0)).alias("next")).transform(settled)
+    starts = edges.where(x1 > x0).groupBy(*by).agg(F.min(node).alias("node"))
+    ring = links.reached(nexts, starts, by)
+    here = nexts.groupBy(*by).agg(F.count(F.lit(1)).alias("__all")).join(ring.groupBy(*by).agg(F.count(F.lit(1)).alias("__met")), by)
+    return ring.join(here, by).select(*by, "step", F.col("node.x").alias("x"), F.col("node.y").alias("y"), (F.col("__all") - F.col("__met")).cast("int").alias("left_edges"))
+
+
+def significance(points: DataFrame, tolerance: float, by=("slug",), step="step") -> DataFrame:
+    """``by, step, sig`` of the points (by, step, x, y) of closed rings that Douglas-Peucker keeps for some tolerance not below the given one: a point is
+    kept for every tolerance less than ``sig``. A ring is cut at the point farthest from its first; these two are always kept (infinite).
+
+    A split of a stretch is its point farthest from the line through the stretch's ends (of equal ones the first), and it holds for the tolerances below both its
+    own distance and those of all splits around it. A round splits all open stretches of all rings, so a ring of any length takes as many rounds as splits nest."""
+    by, x, y = list(by), F.col("x"), F.col("y")
+    rows = points.select(*by, F.col(step).alias("step"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+    first = rows.where("step = 0").select(*by, x.alias("__x"), y.alias("__y"))
+    sizes = rows.groupBy(*by).agg((F.max("step") + 1).alias("__n"))
+    far = rows.join(first, by).groupBy(*by).agg(F.max(F.struct(F.hypot(x - F.col("__x"), y - F.col("__y")).alias("d"), (-F.col("step")).alias("s"), x.alias("x"), y.alias("y"))).alias("f")).select(*by, (-F.col("f.s")).alias("__k"), F.col("f.x").alias("__fx"), F.col("f.y").alias("__fy"))
+    all_ = rows.join(first, by).join(sizes, by).join(far, by)
+    upper = F.col("step") > F.col("__k")
+    ends = [(F.when(upper, b).otherwise(a)).alias(n) for n, a, b in (("a", F.lit(0).cast("long"), F.col("__k")), ("b", F.col("__k"), F.col("__n")), ("ax", F.col("__x"), F.col("__fx")), ("ay", F.col("__y"), F.col("__fy")), ("bx", F.col("__fx"), F.col("__x")), ("by", F.col("__fy"), F.col("__y")))]
+    endless = F.lit(float("inf"))
+    found = rows.join(far, by).where("step = 0 or step = __k").select(*by, "step", endless.alias("sig"))
+    open_ = all_.where("step <> 0 and step <> __k").select(*by, "step", "x", "y", *ends, endless.alias("around")).transform(settled)
+    while open_.limit(1).count():
+        dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+        length = F.hypot(dx, dy)
+        d = F.abs(dx * (F.col("ay") - y) - (F.col("ax") - x) * dy) / F.when(length == 0, 1e-9).otherwise(length)
+        best = open_.withColumn("__d", d).groupBy(*by, "a").agg(F.max(F.struct(F.col("__d").alias("d"), (-F.col("step")).alias("s"), x.alias("x"), y.alias("y"))).alias("m"))
+        best = best.where(F.col("m.d") > tolerance).select(*by, "a", (-F.col("m.s")).alias("__k"), F.col("m.d").alias("__d"), F.col("m.x").alias("__mx"), F.col("m.y").alias("__my"))
+        cut = open_.join(best, [*by, "a"]).withColumn("around", F.least("around", "__d")).transform(settled)
+        found = found.unionByName(cut.where("step = __k").select(*by, "step", F.col("around").alias("sig")))
+        upper = F.col("step") > F.col("__k")
+        side = lambda n, lower, higher: F.when(upper, higher).otherwise(lower).alias(n)
+        open_ = cut.where("step <> __k").select(
+            *by, "step", "x", "y", side("a", F.col("a"), F.col("__k")), side("b", F.col("__k"), F.col("b")), side("ax", F.col("ax"), F.col("__mx")), side("ay", F.col("ay"), F.col("__my")),
+            side("bx", F.col("__mx"), F.col("bx")), side("by", F.col("__my"), F.col("by")), "around").transform(settled)
+    return found
+
+
+def simplified(points: DataFrame, cell: float, most: int = 96, greatest: float = 3.0, by=("slug",)) -> DataFrame:
+    """``by, step, x, y, tolerance`` of the kept points of closed rings. A ring's tolerance starts at half a cell and grows by a quarter until ``most`` points are left,
+    but never beyond ``greatest``: as each point's significance is known, points are counted for all tolerances at once."""
+    by, steps = list(by), [cell / 2]
+    while steps[-1] * 1.25 <= greatest:
+        steps.append(steps[-1] * 1.25)
+    sig = significance(points, steps[0], by).transform(settled)
+    counts = sig.groupBy(*by).agg(*(F.count(F.when(F.col("sig") > t, 1)).alias(f"__n{i}") for i, t in enumerate(steps)))
+    chosen = F.coalesce(*(F.when(F.col(f"__n{i}") <= most, t) for i, t in enumerate(steps)), F.lit(steps[-1]))
+    kept = sig.join(counts.select(*by, chosen.alias("tolerance")), by).where(F.col("sig") > F.col("tolerance")).select(*by, "step", "tolerance")
+    return points.join(kept, [*by, "step"]).select(*by, "step", "x", "y", "tolerance")
 
 
 RING = "array<struct<lon:double,lat:double>>"
@@ -214,23 +224,20 @@ RING = "array<struct<lon:double,lat:double>>"
 
 def polygons(cells: DataFrame, origins: DataFrame, cell: float = 2.0, most: int = 96, greatest: float = 3.0) -> DataFrame:
     """``slug, ring, vertices, area_m2, tolerance, left_edges`` of each survey: counter-clockwise, closed, 7 decimals; left_edges above 0 warn of diagonal
-    corners (see ``chain``). origins: slug, lon0, lat0 of the metres' origin. Takes one component a survey."""
+    corners (see ``outline``). origins: slug, lon0, lat0 of the metres' origin. Takes one component a survey. Only the points that are kept meet in one row."""
     area = cells.groupBy("slug").agg((F.count(F.lit(1)) * cell * cell).cast("long").alias("area_m2"))
-    edges = outline_edges(cells).join(origins, "slug").join(area, "slug")
-
-    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        ring, left = chain(pdf[["x0", "y0", "x1", "y1"]].to_numpy())
-        ring, tolerance = simplify_ring(ring * cell, cell, most, greatest)
-        if signed_area(ring) < 0:
-            ring = ring[::-1]
-        k = 180 / math.pi / 6378137.0
-        lon = np.round(first.lon0 + ring[:, 0] * k / math.cos(math.radians(first.lat0)), 7)
-        lat = np.round(first.lat0 + ring[:, 1] * k, 7)
-        points = [{"lon": float(a), "lat": float(b)} for a, b in zip(lon, lat, strict=True)]
-        return pd.DataFrame([{"slug": first.slug, "ring": [*points, points[0]], "vertices": len(points), "area_m2": first.area_m2, "tolerance": tolerance, "left_edges": left}])
-
-    return edges.groupBy("slug").applyInPandas(trace, f"slug string, ring {RING}, vertices int, area_m2 long, tolerance double, left_edges int")
+    ring = outline(cells).transform(settled)
+    metres = ring.select("slug", "step", (F.col("x") * float(cell)).alias("x"), (F.col("y") * float(cell)).alias("y"))
+    kept = simplified(metres, cell, most, greatest)
+    k = 180 / math.pi / 6378137.0
+    points = kept.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("step", "x", "y"))).alias("p"), F.max("tolerance").alias("tolerance"))
+    turned = F.concat(F.slice("p", 2, F.size("p")), F.slice("p", 1, 1))
+    twice = F.aggregate(F.zip_with("p", turned, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda s, v: s + v)
+    points = points.withColumn("p", F.when(twice < 0, F.reverse("p")).otherwise(F.col("p"))).join(origins, "slug").join(area, "slug")
+    points = points.join(ring.groupBy("slug").agg(F.max("left_edges").alias("left_edges")), "slug")
+    place = lambda p: F.struct(F.round(F.col("lon0") + p["x"] * k / F.cos(F.radians("lat0")), 7).alias("lon"), F.round(F.col("lat0") + p["y"] * k, 7).alias("lat"))
+    closed = F.concat(F.transform("p", place), F.array(place(F.get("p", F.lit(0)))))
+    return points.select("slug", closed.alias("ring"), F.size("p").alias("vertices"), "area_m2", "tolerance", "left_edges")
 
 
 def footprints(triangles: DataFrame, origins: DataFrame, cell: float = 2.0, close: int = 3, open_: int = 1, least: int = 1, most: int = 96, greatest: float = 3.0) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from orograph.functions import geodesy as G
 from orograph.functions import quantiles as Q
-from orograph.operators import cover
+from orograph.functions.mesh import multiple_of_four
+from orograph.operators import cover, links
+from orograph.shared import Ranges, settled
 
 
 def edges(ring: Column) -> Column:
@@ -176,23 +178,33 @@ def visible_fraction(rings: DataFrame, x0: float, y0: float, x1: float, y1: floa
 
 
 def proximity_groups(points: DataFrame, view="view", radius: float = 30.0) -> DataFrame:
-    """Greedy groups within a view (view, pid, priority, x, y): each point, by priority, joins the first group whose first point is nearer than
-    ``radius``: ``leader``. The markers of one view are one small group."""
-    kind = points.schema["pid"].dataType.simpleString()
-    vkind = points.schema[view].dataType.simpleString()
-
-    def run(pdf):
-        heads, out = [], []
-        for r in pdf.sort_values(["priority", "pid"]).itertuples():
-            head = next((h for h in heads if math.hypot(h.x - r.x, h.y - r.y) < radius), None)
-            if head is None:
-                heads.append(r)
-            out.append((getattr(r, view), r.pid, (head or r).pid))
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=[view, "pid", "leader"])
-
-    return points.select(view, "pid", "priority", "x", "y").groupBy(view).applyInPandas(run, f"{view} {vkind}, pid {kind}, leader {kind}")
+    """Greedy groups within a view (view, pid, priority, x, y): each point, by priority and pid, joins the first group whose first point is nearer than
+    ``radius``, else it founds one: ``view, pid, leader``.
+
+    Exact without a walk. In cells so small that all points of one are within the radius, at most one point founds a group. A round looks at each
+    cell's first undecided point: it founds a group if it comes before those of all cells in reach, since then no undecided point can forestall it. What
+    is within the radius of a founder is decided. Each view may have any number of points; a cell's neighbours are 24."""
+    side = radius * 0.7
+    rows = Ranges(points.select(view, "pid", "priority", "x", "y"), ["priority", "pid"], [view]).total(F.lit(1).cast("long"), "rank").frame()
+    cell = [F.floor(F.col(c) / side).alias(n) for c, n in (("x", "cx"), ("y", "cy"))]
+    rows = rows.select(view, "pid", "x", "y", "rank", *cell).transform(settled)
+    reach = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)))
+
+    def spread(t: DataFrame, *columns) -> DataFrame:
+        return t.withColumn("__d", F.explode(reach)).select(view, (F.col("cx") + F.col("__d.i")).alias("cx"), (F.col("cy") + F.col("__d.j")).alias("cy"), *columns)
+
+    key, open_, founders = [view, "cx", "cy"], rows, None
+    while open_.limit(1).count():
+        heads = open_.groupBy(*key).agg(F.min(F.struct("rank", "pid", "x", "y")).alias("h"))
+        least = spread(heads, F.col("h.rank").alias("r")).groupBy(*key).agg(F.min("r").alias("least"))
+        new = heads.join(least, key).where(F.col("h.rank") == F.col("least")).select(*key, F.col("h.pid").alias("leader"), F.col("h.rank").alias("lrank"), F.col("h.x").alias("lx"), F.col("h.y").alias("ly")).transform(settled)
+        founders = new if founders is None else founders.unionByName(new)
+        near = open_.join(spread(new, "lx", "ly"), key).where(F.hypot(F.col("x") - F.col("lx"), F.col("y") - F.col("ly")) < radius)
+        open_ = open_.join(near.select(view, "rank").distinct(), [view, "rank"], "left_anti").transform(settled)
+    if founders is None:
+        return rows.select(view, "pid", F.col("pid").alias("leader"))
+    met = rows.join(spread(founders, "leader", "lrank", "lx", "ly"), key).where((F.hypot(F.col("x") - F.col("lx"), F.col("y") - F.col("ly")) < radius) & (F.col("lrank") <= F.col("rank")))
+    return met.groupBy(view, "pid", "rank").agg(F.min_by("leader", "lrank").alias("leader")).select(view, "pid", "leader")
 
 
 def place_labels(marks: DataFrame, view="view", width="view_width") -> DataFrame:
@@ -223,20 +235,23 @@ def place_labels(marks: DataFrame, view="view", width="view_width") -> DataFrame
     return marks.select(view, "pid", "priority", "x", "y", "label_px", width, *height).groupBy(view).applyInPandas(run, f"{view} {vkind}, pid {kind}, side string")
 
 
-def shelf_pack(items: DataFrame, by="atlas", width: int = 2048) -> DataFrame:
-    """Places of rectangles (by, item, w, h) on shelves of an atlas, tallest first: ``x, y``. One atlas is one group."""
-    kind, bkind = (items.schema[c].dataType.simpleString() for c in ("item", by))
-
-    def run(pdf):
-        import pandas as pd
-
-        x = y = shelf = 0
-        out = []
-        for r in pdf.sort_values(["h", "w", "item"], ascending=[False, False, True]).itertuples():
-            if x and x + r.w > width:
-                x, y, shelf = 0, y + shelf, 0
-            out.append((getattr(r, by), r.item, x, y))
-            x, shelf = x + r.w, max(shelf, r.h)
-        return pd.DataFrame(out, columns=[by, "item", "x", "y"])
-
-    return items.select(by, "item", "w", "h").groupBy(by).applyInPandas(run, f"{by} {bkind}, item {kind}, x int, y int")
+def shelf_pack(items: DataFrame, by="atlas", width: int | None = None) -> DataFrame:
+    """Places of rectangles (by, item, w, h; whole numbers) on shelves of an atlas: ``by, item, x, y``. Tallest first, of equal heights by item; a shelf ends where
+    the next rectangle would pass the width, and is as high as its first. Without a width it is the side of a square of 1.15 times the atlas's area, or the widest
+    rectangle, rounded to a multiple of four.
+
+    The first item of the shelf behind the one that would start at an item follows from running widths; which of these shelves there are, from
+    ``links.reached``. An atlas may have any number of items."""
+    sides = items.groupBy(by).agg(F.sum(F.col("w") * F.col("h")).alias("__area"), F.max("w").alias("__most"))
+    own = F.lit(width).cast("long") if width is not None else multiple_of_four(F.greatest(F.col("__most").cast("double"), F.sqrt(F.col("__area") * 1.15))).cast("long")
+    order = [F.col("h").desc(), F.col("item")]
+    rows = Ranges(items.select(by, "item", "w", "h"), order, [by]).total(F.lit(1).cast("long"), "node").total(F.col("w").cast("long"), "value").frame().transform(settled)
+    wide = rows.join(sides.select(by, own.alias("__width")), by)
+    probes = wide.select(by, F.col("node").alias("probe"), (F.col("value") - F.col("w") + F.col("__width") + 1).alias("bound"))
+    nexts = links.first_at_least(rows.select(by, "node", "value"), probes, [by]).select(by, F.col("probe").alias("node"), F.col("node").alias("next"))
+    starts = links.reached(nexts, rows.groupBy(by).agg(F.min("node").alias("node")), [by]).select(by, "node", F.lit(True).alias("__new"))
+    shelf = F.col("__new").isNotNull()
+    placed = Ranges(rows.join(starts, [by, "node"], "left"), ["node"], [by])
+    placed.latest(F.when(shelf, F.col("value") - F.col("w")), "__from").latest(F.when(shelf, F.col("h")), "__high").total(F.when(shelf, F.col("h")).otherwise(0), "__top")
+    found = placed.frame()
+    return found.select(by, "item", (F.col("value") - F.col("w") - F.col("__from")).cast("int").alias("x"), (F.col("__top") - F.col("__high")).cast("int").alias("y"))

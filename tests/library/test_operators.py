@@ -147,14 +147,36 @@ def one_area(spark, ring):
     return spark.createDataFrame([(ring,)], f"ring {footprint.RING}").select(spatial.ring_area(F.col("ring"))).first()[0]
 
 
-def test_simplify_keeps_within_tolerance():
+def kept_by_hand(points, tolerance):
+    """Douglas-Peucker of an open line, by recursion."""
+    if len(points) < 3:
+        return [0, len(points) - 1][: len(points)]
+    (ax, ay), (bx, by) = points[0], points[-1]
+    size = math.hypot(bx - ax, by - ay) or 1e-9
+    far = [abs((bx - ax) * (ay - y) - (ax - x) * (by - ay)) / size for x, y in points[1:-1]]
+    k = far.index(max(far)) + 1
+    if far[k - 1] <= tolerance:
+        return [0, len(points) - 1]
+    return kept_by_hand(points[: k + 1], tolerance) + [i + k for i in kept_by_hand(points[k:], tolerance)[1:]]
+
+
+def test_simplified_equals_recursion(spark):
     r = np.random.default_rng(4)
-    t = np.linspace(0, 2 * math.pi, 300, endpoint=False)
-    ring = np.stack([50 * np.cos(t), 30 * np.sin(t)], 1) + r.normal(0, 0.3, (300, 2))
-    out, tolerance = footprint.simplify_ring(ring, 2.0, 40, 3.0)
-    assert len(out) <= 300 and tolerance <= 3.0 and {tuple(p) for p in out} <= {tuple(p) for p in ring}
-    line = footprint.simplify_line(np.array([[0.0, 0], [1, 0.1], [2, 0], [3, 5], [4, 0]]), 0.5)
-    assert line.tolist() == [[0, 0], [2, 0], [3, 5], [4, 0]]
+    t = np.linspace(0, 2 * math.pi, 160, endpoint=False)
+    rings = {"a": np.stack([50 * np.cos(t), 30 * np.sin(t)], 1) + r.normal(0, 0.8, (160, 2)), "b": np.array([[0.0, 0], [4, 0], [4, 4], [0, 4]]), "c": np.round(r.normal(0, 3, (40, 2)))}
+    rows = [(s, i, float(x), float(y)) for s, ring in rings.items() for i, (x, y) in enumerate(ring)]
+    got = footprint.simplified(spark.createDataFrame(rows, "slug string, step long, x double, y double"), 2.0, 40, 3.0).collect()
+    for s, ring in rings.items():
+        points = [tuple(p) for p in ring.tolist()]
+        far = max(range(len(points)), key=lambda i: (math.dist(points[i], points[0]), -i))
+        tolerance = 1.0
+        while True:
+            kept = kept_by_hand(points[: far + 1], tolerance)[:-1] + [far + i for i in kept_by_hand([*points[far:], points[0]], tolerance)[:-1]]
+            if len(kept) <= 40 or tolerance * 1.25 > 3.0:
+                break
+            tolerance *= 1.25
+        mine = sorted((x.step, x.tolerance) for x in got if x.slug == s)
+        assert [k for k, _ in mine] == sorted(kept) and {x for _, x in mine} == {tolerance}
 
 
 def test_components_brute_force(spark):
@@ -300,13 +322,52 @@ def test_stateful_rules(spark):
     assert [(r.notice_at, r.until) for r in n] == [(3200.0, 5000.0)]
 
 
-def test_contour_at_diagonal_corners():
+def test_outline_at_diagonal_corners(spark):
     """Of two edges that leave a corner that of the higher row is taken; what hangs on the corner alone is left out and told of."""
-    edges = lambda cells: np.array([e for x, y in cells for e in ((x, y, x + 1, y), (x + 1, y, x + 1, y + 1), (x + 1, y + 1, x, y + 1), (x, y + 1, x, y)) if (((x, y - 1), (x + 1, y), (x, y + 1), (x - 1, y))[((x, y, x + 1, y), (x + 1, y, x + 1, y + 1), (x + 1, y + 1, x, y + 1), (x, y + 1, x, y)).index(e)] not in cells)])
-    ring, left = footprint.chain(edges([(0, 0), (1, 0), (1, 1)]))
-    assert left == 0 and ring.tolist() == [[0, 0], [1, 0], [2, 0], [2, 1], [2, 2], [1, 2], [1, 1], [0, 1]]
-    ring, left = footprint.chain(edges([(0, 0), (1, 1), (2, 1), (2, 0)]))
-    assert ring[0].tolist() == [0, 0] and left >= 0 and len(ring) >= 4
+
+    def ring(*cells):
+        got = footprint.outline(spark.createDataFrame([("s", x, y) for x, y in cells], "slug string, ix int, iy int")).orderBy("step").collect()
+        return [(p.x, p.y) for p in got], got[0].left_edges
+
+    assert ring((0, 0), (1, 0), (1, 1)) == ([(0, 0), (1, 0), (2, 0), (2, 1), (2, 2), (1, 2), (1, 1), (0, 1)], 0)
+    r = random.Random(6)
+    for _ in range(12):
+        cells = {(r.randrange(5), r.randrange(5)) for _ in range(12)}
+        leaving = {}
+        for y, x in sorted((y, x) for x, y in cells):
+            for a, b, c, d, beside in ((x, y, x + 1, y, (x, y - 1)), (x + 1, y, x + 1, y + 1, (x + 1, y)), (x + 1, y + 1, x, y + 1, (x, y + 1)), (x, y + 1, x, y, (x - 1, y))):
+                if beside not in cells:
+                    leaving[a, b] = (c, d)
+        start = at = min(((x, y) for x, y in cells if (x, y - 1) not in cells), key=lambda p: (p[1], p[0]))
+        want = []
+        while at in leaving:
+            want.append(at)
+            at = leaving.pop(at)
+        assert ring(*cells) == (want, len(leaving)) and want[0] == start
+
+
+def test_groups_and_shelves_equal_the_walk(spark):
+    r = random.Random(2)
+    rows = [(v, i, r.randint(0, 9), r.uniform(0, 200), r.uniform(0, 200)) for v in "ab" for i in range(120)]
+    got = {(x.view, x.pid): x.leader for x in spatial.proximity_groups(spark.createDataFrame(rows, "view string, pid int, priority int, x double, y double")).collect()}
+    for v in "ab":
+        heads = []
+        for _, i, _, x, y in sorted((q for q in rows if q[0] == v), key=lambda q: (q[2], q[1])):
+            head = next((h for h in heads if math.hypot(h[1] - x, h[2] - y) < 30), None)
+            if head is None:
+                heads.append(head := (i, x, y))
+            assert got[v, i] == head[0]
+    items = [(a, i, r.randint(1, 90), r.randint(1, 60)) for a in "xy" for i in range(80)]
+    placed = {(p.atlas, p.item): (p.x, p.y) for p in spatial.shelf_pack(spark.createDataFrame(items, "atlas string, item int, w int, h int")).collect()}
+    for a in "xy":
+        mine = sorted((q for q in items if q[0] == a), key=lambda q: (-q[3], q[1]))
+        width = 4 * math.ceil(max(max(q[2] for q in mine), math.sqrt(sum(q[2] * q[3] for q in mine) * 1.15)) / 4)
+        x = y = high = 0
+        for _, i, w, h in mine:
+            if x + w > width:
+                x, y, high = 0, y + high, 0
+            assert placed[a, i] == (x, y)
+            x, high = x + w, max(high, h)
 
 
 def test_marks_outside_block_nothing(spark):
