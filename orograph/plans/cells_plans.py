@@ -190,9 +190,12 @@ def agg18_extensions(spark, sf_dir):
     return tiletree.extensions(table(spark, sf_dir, "pages"), "url").select(F.array_join("extensions", ",").alias("extensions"))
 
 
-@query("SELECT count(*) files, round(sum(p_retailprice), 2) bytes, floor(sum(p_retailprice) / 1e6 * 10 + 0.5) / 10 mb FROM part")
+@query("SELECT count(*) files, round(sum(p_retailprice), 2) bytes, floor(sum(p_retailprice) / 1e6 * 10 + 0.5) / 10 mb, round(coalesce(sum(p_retailprice) FILTER (WHERE p_partkey % 7 = 3), 0), 2) first_bytes FROM part")
 def agg19_totals(spark, sf_dir):
-    return tiletree.totals(table(spark, sf_dir, "part"), "p_retailprice").select("files", F.round("bytes", 2).alias("bytes"), "mb")
+    """All files, and those of a first view."""
+    files = table(spark, sf_dir, "part").withColumn("path", F.col("p_partkey").cast("string"))
+    first = files.where("p_partkey % 7 = 3").select(F.col("path").alias("uri"))
+    return tiletree.totals(files, "p_retailprice", first).select("files", F.round("bytes", 2).alias("bytes"), "mb", F.round("first_bytes", 2).alias("first_bytes"))
 
 
 @query("WITH g AS (SELECT l_partkey a, l_suppkey b, min(l_orderkey * 10 + l_linenumber) f FROM lineitem GROUP BY 1, 2), n AS (SELECT a, b, row_number() OVER (ORDER BY f, CAST(a AS VARCHAR), CAST(b AS VARCHAR)) - 1 weld_id FROM g) SELECT l_orderkey * 10 + l_linenumber vid, CAST(min(weld_id) AS BIGINT) weld_id FROM lineitem JOIN n ON l_partkey = a AND l_suppkey = b GROUP BY 1, l_partkey, l_suppkey")

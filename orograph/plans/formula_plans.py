@@ -185,12 +185,12 @@ def jn04_with_terrain(spark, sf_dir):
     return terrain.with_terrain(places(spark, sf_dir), tiles, 5, size=4).select("id", F.round("terrain", 6).alias("terrain"))
 
 
-@query("SELECT (c_custkey % 7)::INTEGER ix, count(*) n FROM customer GROUP BY 1")
+@query("SELECT (c_custkey % 7)::INTEGER ix, round(sum(c_custkey * sqrt(c_custkey)) / sum(c_custkey), 6) n FROM customer GROUP BY 1")
 def udf02_user_function_over_tiles(spark, sf_dir):
-    """A user's function on the heights of each tile, here their number."""
+    """A user's function on the heights of each tile: the mean of their roots, weighted by the heights."""
     k = F.col("c_custkey")
     tiles = table(spark, sf_dir, "customer").groupBy((k % 7).cast("int").alias("ix")).agg(F.collect_list(k.cast("double")).alias("heights"))
-    return terrain.mapped_tiles(tiles, lambda h: len(h), "long", name="n").select("ix", "n")
+    return terrain.mapped_tiles(tiles, lambda h: float((h * h**0.5).sum() / h.sum()), "double", name="n").select("ix", F.round("n", 6).alias("n"))
 
 
 SURVEYS = "WITH s AS (SELECT n_nationkey k, n_name slug, CASE WHEN n_nationkey % 4 <> 0 THEN strftime(DATE '2024-01-01' + CAST(n_nationkey * 9 % 50 AS INTEGER), '%Y-%m-%d') END fecha, CASE WHEN n_nationkey % 3 = 0 THEN 'publicado' ELSE 'en proceso' END estado, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE 'm' || n_regionkey END municipio, 'l' || n_nationkey lugar FROM nation)"
@@ -222,9 +222,10 @@ def srt06_active_key(spark, sf_dir):
     return catalogue.active_key(surveys(spark, sf_dir), F.col("estado") == "publicado")
 
 
-@query(SURVEYS + " SELECT '-' \"key\"")
+@query(SURVEYS + " SELECT coalesce(string_agg(slug, '+' ORDER BY slug), '-') \"key\" FROM s WHERE estado = 'borrado'")
 def srt06_no_active_key(spark, sf_dir):
-    return catalogue.active_key(surveys(spark, sf_dir), F.lit(False))
+    """A state that no survey has."""
+    return catalogue.active_key(surveys(spark, sf_dir), F.col("estado") == "borrado")
 
 
 @query(SURVEYS + ", e AS (SELECT 0 part, '' d, '' slug, 'https://a.example/' loc UNION ALL SELECT 1, coalesce(fecha, ''), slug, 'https://a.example/vuelos/' || slug FROM s) SELECT '<?xml version=\"1.0\" encoding=\"UTF-8\"?><urlset xmlns=\"http://www.sitemaps.org/schemas/sitemap/0.9\">' || string_agg('<url><loc>' || loc || '</loc></url>', '' ORDER BY part, d DESC, slug) || '</urlset>' xml FROM e")

@@ -96,3 +96,16 @@ def jn03_corners(spark, sf_dir):
     """All lines as faces with three corners of their own."""
     tid, third = F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.floor((F.col("l_partkey") + 1) / 2)
     return _corners(spark, sf_dir, table(spark, sf_dir, "lineitem"), tid, third).select("tid", "ax", "ay", "bx", "by", "cx", "cy")
+
+
+#: The corners of the cells d that an edge leaves: of two, the edge of the cell in the higher row. Then the way from the first cell by rows.
+RING = """, b AS (SELECT d.ix, d.iy, s.* FROM d, (VALUES (0, 0, 1, 0, 0, -1), (1, 0, 1, 1, 1, 0), (1, 1, 0, 1, 0, 1), (0, 1, 0, 0, -1, 0)) s(ax, ay, bx, "by", ox, oy) WHERE NOT EXISTS (SELECT 1 FROM d o WHERE o.ix = d.ix + ox AND o.iy = d.iy + oy)),
+ l AS (SELECT ix + ax x, iy + ay y, ix + bx nx, iy + "by" ny, row_number() OVER (PARTITION BY ix + ax, iy + ay ORDER BY iy DESC, ix DESC) k, ix, iy, ay, "by" FROM b),
+ n AS (SELECT x, y, nx, ny FROM l WHERE k = 1), s AS (SELECT x, y FROM l WHERE ay = 0 AND "by" = 0 ORDER BY y, x LIMIT 1),
+ w AS (SELECT 0 step, x, y, [x * 100000 + y] seen FROM s UNION ALL SELECT step + 1, nx, ny, list_append(seen, nx * 100000 + ny) FROM w JOIN n USING (x, y) WHERE NOT list_contains(seen, nx * 100000 + ny))"""
+
+
+@query(f"WITH RECURSIVE {G}, d AS ({_dilate('g', 1)}){RING} SELECT CAST(step AS BIGINT) step, x, y, CAST((SELECT count(*) FROM n) - (SELECT count(*) FROM w) AS INTEGER) left_edges FROM w")
+def geo06_outline(spark, sf_dir):
+    """The ring around the grid, corner by corner."""
+    return footprint.outline(footprint.dilate(grid(spark, sf_dir), 1)).select("step", "x", "y", "left_edges")

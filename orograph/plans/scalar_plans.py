@@ -77,11 +77,11 @@ def sca18_tile_and_pixel(spark, sf_dir):
     return places(spark, sf_dir).select("id", tx.alias("tx"), ty.alias("ty"), F.round(px, 4).alias("px"), F.round(py, 4).alias("py"))
 
 
-@query("SELECT c_custkey id, round(c_custkey % 512 / 512.0::DOUBLE * 360 - 180, 8) west, round(degrees(atan((exp(a) - exp(-a)) / 2)), 8) south, round((c_custkey % 512 + 1) / 512.0::DOUBLE * 360 - 180, 8) east FROM (SELECT c_custkey, " + PI + " * (1 - 2 * (c_custkey % 300 + 1) / 512.0::DOUBLE) a FROM customer)")
+@query("SELECT c_custkey id, round(c_custkey % 512 / 512.0::DOUBLE * 360 - 180, 8) west, round(degrees(atan((exp(a) - exp(-a)) / 2)), 8) south, round((c_custkey % 512 + 1) / 512.0::DOUBLE * 360 - 180, 8) east, round(degrees(atan((exp(b) - exp(-b)) / 2)), 8) north FROM (SELECT c_custkey, " + PI + " * (1 - 2 * (c_custkey % 300 + 1) / 512.0::DOUBLE) a, " + PI + " * (1 - 2 * (c_custkey % 300) / 512.0::DOUBLE) b FROM customer)")
 def sca19_tile_bounds(spark, sf_dir):
     k = F.col("c_custkey")
-    w, s, e, _ = G.tile_bounds(k % 512, k % 300, F.lit(9))
-    return table(spark, sf_dir, "customer").select(k.alias("id"), F.round(w, 8).alias("west"), F.round(s, 8).alias("south"), F.round(e, 8).alias("east"))
+    w, s, e, n = G.tile_bounds(k % 512, k % 300, F.lit(9))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), F.round(w, 8).alias("west"), F.round(s, 8).alias("south"), F.round(e, 8).alias("east"), F.round(n, 8).alias("north"))
 
 
 @query("SELECT l_orderkey, l_linenumber, (l_partkey >> 16 & 255) * 256.0 + (l_partkey >> 8 & 255) + (l_partkey & 255) / 256.0::DOUBLE - 32768.0 h FROM lineitem")
@@ -243,13 +243,14 @@ def srt01_catalogue_order(spark, sf_dir):
     return numbered(rows, catalogue.order(), "place").select("o_orderkey", (F.col("place") + 1).alias("place"))
 
 
-@query("SELECT c_custkey id, round(3 * 4 / 2.0 * (c_custkey % 5 + 1), 6) area FROM customer")
+@query("SELECT c_custkey id, round(((x1 * y2 - x2 * y1) + (x2 * y3 - x3 * y2) + (x3 * y1 - x1 * y3)) / 2, 6) area FROM (SELECT c_custkey, c_acctbal / 100 x1, c_nationkey * 1.0::DOUBLE y1, c_custkey % 17 * 1.5::DOUBLE x2, c_acctbal / 50 y2, c_custkey % 5 - 9.0::DOUBLE x3, c_custkey % 11 * 2.0::DOUBLE y3 FROM customer)")
 def agg25_ring_area(spark, sf_dir):
-    k = (F.col("c_custkey") % 5 + 1).cast("double")
+    """Triangles of either direction, closed."""
+    k, b = F.col("c_custkey"), F.col("c_acctbal")
     p = lambda x, y: F.struct(x.alias("lon"), y.alias("lat"))
-    z = F.lit(0.0)
-    ring = F.array(p(z, z), p(k * 3, z), p(z, F.lit(4.0)), p(z, z))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.round(spatial.ring_area(ring), 6).alias("area"))
+    first = p(b / 100, F.col("c_nationkey") * 1.0)
+    ring = F.array(first, p(k % 17 * 1.5, b / 50), p(k % 5 - 9.0, k % 11 * 2.0), first)
+    return table(spark, sf_dir, "customer").select(k.alias("id"), F.round(spatial.ring_area(ring), 6).alias("area"))
 
 
 BOX = "lon BETWEEN -74.2 AND -73.8 AND lat BETWEEN 4.4 AND 5.0"
