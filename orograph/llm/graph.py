@@ -14,7 +14,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Ends when the edges no longer change, after about as many rounds as the logarithm of the longest path."""
     now = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u != v").distinct()
     now = materialise(now, "edges")
-    seen = None
+    # no round has more than twice the edges of the last
+    count, seen = now.count(), None
     while True:
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).union(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
@@ -23,9 +24,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v")
         now = small.select(F.col("m").alias("u"), F.col("u").alias("v")).union(small.select(F.col("m").alias("u"), "v")).where("u != v").distinct()
-        now = materialise(now, "edges")
+        now = materialise(now, "edges", 2 * count)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
-        seen = state
+        count, seen = state[0], state
     return now.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("component")).union(now.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct())

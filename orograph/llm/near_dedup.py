@@ -224,18 +224,18 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}, alike boolean, extra array<long>")
 
 
-def _sharing(star: DataFrame, checked: DataFrame, part: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _sharing(star: DataFrame, checked: DataFrame, part: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of one star that share a rare shingle, may be alike and are in different components; and the members whose
     common shingles may be enough for the threshold.
 
-    star: hub, id, n, bits; checked: what ``verify`` said of hubs and members; part: id, component.
+    star: hub, id, n, bits, at most ``count`` rows; checked: what ``verify`` said of hubs and members; part: id, component.
     Shingles that a star's hub lacks and at most ``RARE`` of its members have are rare there. Two members that share a rare
     shingle are a pair (at most RARE for each). Two that share none have no more shingles in common than either has common ones,
     so unless those are enough for the threshold the pair is out, and needs no comparison."""
     of = star.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = of.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least_n")).where("lo != hi").select("hub", "least_n")
     info = checked.select(F.col("a").alias("hub"), F.col("b").alias("id"), "extra")
-    of = materialise(of.join(several, "hub").join(info, ["hub", "id"], "left"), "star")
+    of = materialise(of.join(several, "hub").join(info, ["hub", "id"], "left"), "star", count)
     near = of.where(F.col("extra").isNotNull())  # all but the hub
     each = near.select("hub", "id", "n", "bits0", "bits1", "component", F.explode("extra").alias("shingle"))
     rare = each.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= RARE)
@@ -247,7 +247,7 @@ def _sharing(star: DataFrame, checked: DataFrame, part: DataFrame) -> tuple[Data
     common = near.withColumn("lacks", F.size("extra")).drop("extra", "component").join(each.groupBy("hub", "id").agg(F.count(F.lit(1)).alias("rare")), ["hub", "id"], "left")
     common = common.withColumn("most", F.floor((F.col("n") - F.coalesce("rare", F.lit(0))) * ((1 + SIMILARITY) / SIMILARITY) + 1e-9) - F.col("n"))
     common = common.where(F.col("most") >= F.greatest("least_n", F.ceil(F.col("n") * SIMILARITY - 1e-9)))
-    return sharing.distinct(), materialise(common.drop("rare", "least_n"), "common")
+    return sharing.distinct(), materialise(common.drop("rare", "least_n"), "common", count)
 
 
 def _pair():
@@ -272,10 +272,11 @@ def _by_pivots(common: DataFrame, links: DataFrame, part: DataFrame, texts: Data
     A star's largest component needs no comparisons within. While the pairs of members of different components that are near enough are
     many, a round compares one pivot of each cell with all that is near it: what is like the pivot becomes one component, and the pivot is done. So a large
     group of near copies takes one round. The pairs that are left are compared."""
+    count = common.count()
     for turn in range(ROUNDS + 1):
         of = common.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
         sizes = of.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("hub").agg(F.max(F.struct("k", "component")).alias("major"))
-        of = materialise(of.join(sizes.select("hub", F.col("major.component").alias("major")), "hub"), "members")
+        of = materialise(of.join(sizes.select("hub", F.col("major.component").alias("major")), "hub"), "members", count)
         x, y = _cells(of.where("component != major"), False), _cells(of, True)
         key = ["hub", "band", "cell"]
         met = x.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("nx")).join(y.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("ny")), [*key, "component"], "full")
@@ -283,9 +284,9 @@ def _by_pivots(common: DataFrame, links: DataFrame, part: DataFrame, texts: Data
         pairs = met.agg(F.sum(F.col("nx") * F.col("ny") - F.coalesce("same", F.lit(0)))).first()[0] or 0
         if not pairs:
             return links
-        last = turn == ROUNDS or pairs <= MANY * common.count() + ANYWAY
+        last = turn == ROUNDS or pairs <= MANY * count + ANYWAY
         if not last:
-            pivots = materialise(x.groupBy(*key).agg(F.min(F.struct("id", *(c for c in x.columns if c not in (*key, "id")))).alias("p")).select(*key, "p.*"), "pivots")
+            pivots = materialise(x.groupBy(*key).agg(F.min(F.struct("id", *(c for c in x.columns if c not in (*key, "id")))).alias("p")).select(*key, "p.*"), "pivots", count)
             x = pivots
         x, y = x.alias("x"), y.alias("y")
         equal = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.component") != F.col("y.component"))
@@ -294,8 +295,9 @@ def _by_pivots(common: DataFrame, links: DataFrame, part: DataFrame, texts: Data
         links = materialise(links.union(found).distinct(), "links")
         if last:
             return links
-        part = materialise(components(links, "a", "b"), "part")
-        common = materialise(common.join(pivots.select("hub", "id"), ["hub", "id"], "left_anti"), "common")
+        part = materialise(components(links, "a", "b"), "part", links.count())
+        common = materialise(common.join(pivots.select("hub", "id"), ["hub", "id"], "left_anti"), "common", count)
+        count = common.count()
     return links
 
 
@@ -312,16 +314,17 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     company = each.groupBy("id").agg((-F.sum("size")).alias("company"))
     hubs = each.join(company, "id").groupBy("entry").agg(F.min(F.struct("company", "id", "n", "bits0", "bits1")).alias("hub"))
     member = materialise(each.drop("size").join(hubs, "entry"), "members")
+    count = member.count()  # of pairs of a hub and a member there are no more
     texts = docs.select(F.col(doc_id).alias("id"), packed(text).alias("t"))
     texts = materialise(texts.join(member.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]), "texts")
     first = member.where(F.col("hub.id") != F.col("id")).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
     checked = materialise(verify(first, texts), "checked")
     links = checked.where("alike").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    part = materialise(components(links, "a", "b"), "part")
+    part = materialise(components(links, "a", "b"), "part", count)
     star = member.select(F.col("hub.id").alias("hub"), "id", "n", "bits0", "bits1").distinct()
-    sharing, common = _sharing(star, checked, part)
+    sharing, common = _sharing(star, checked, part, count)
     links = materialise(links.union(verify(sharing, texts).where("alike").select("a", "b")).distinct(), "links")
-    part = materialise(components(links, "a", "b"), "part")
+    part = materialise(components(links, "a", "b"), "part", count)
     more = _by_pivots(common, links, part, texts)
     if more is not links:
         links, part = more, components(more, "a", "b")

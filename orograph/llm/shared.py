@@ -13,6 +13,8 @@ from .words import trim
 
 CHECKPOINTS = "spark.checkpoint.dir"
 ARROW = "spark.sql.execution.arrow"
+#: Narrow rows that one task writes.
+TASK_ROWS = 50_000
 
 
 def scratch_dir(spark: SparkSession, what: str) -> str:
@@ -44,10 +46,13 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20):
             spark.conf.set(k, v)
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: lineage is cut, and a lost executor loses nothing."""
+def materialise(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it again: lineage is cut, and a lost executor loses nothing. rows: about how many there are at most, where
+    that is known; a small table then is a few files and tasks, of ``TASK_ROWS`` each, and not as many as shuffles have partitions."""
     spark = df.sparkSession
     path = scratch_dir(spark, what)
+    if rows is not None and (tasks := max(1, -(-rows // TASK_ROWS))) < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(tasks)
     with small_batches(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
