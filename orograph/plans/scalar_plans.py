@@ -303,3 +303,15 @@ def sca30_42_quantise_and_parse(spark, sf_dir):
     k = F.col("c_custkey")
     text = F.concat(F.lit(" "), k % 60, F.lit(",5 "))
     return table(spark, sf_dir, "customer").select(k.alias("id"), F.round(T.quantised(k % 100 * 0.037), 6).alias("q"), T.parsed_decimal(text).alias("parsed"))
+
+
+@query("SELECT p_partkey id, kind = 'symbol' AND layer <> 'poi' AND NOT regexp_matches(layer, 'shield|one_way') AND NOT starts_with(layer, 'poi') place, CASE kind WHEN 'fill-extrusion' THEN 'buildings' WHEN 'symbol' THEN 'names' END layer_group FROM (SELECT p_partkey, ['symbol', 'line', 'fill-extrusion'][CAST(p_partkey % 3 + 1 AS INTEGER)] kind, ['poi', 'poi_z14', 'road_shield', 'one_way_arrow', 'town'][CAST(p_partkey % 5 + 1 AS INTEGER)] || CASE WHEN p_partkey % 2 = 0 AND p_partkey % 5 > 0 THEN '-' || p_brand ELSE '' END layer FROM part)")
+def prj19_place_labels(spark, sf_dir):
+    """Which layers of a style are labels of places."""
+    from orograph.functions import mesh as M
+
+    k = F.col("p_partkey")
+    kinds, names = F.array(*map(F.lit, ("symbol", "line", "fill-extrusion"))), F.array(*map(F.lit, ("poi", "poi_z14", "road_shield", "one_way_arrow", "town")))
+    layer = F.concat(F.get(names, (k % 5).cast("int")), F.when((k % 2 == 0) & (k % 5 > 0), F.concat(F.lit("-"), "p_brand")).otherwise(""))
+    rows = table(spark, sf_dir, "part").select(k.alias("id"), F.get(kinds, (k % 3).cast("int")).alias("kind"), layer.alias("layer"))
+    return rows.select("id", M.is_place_label(F.col("kind"), F.col("layer")).alias("place"), M.layer_group(F.col("kind")).alias("layer_group"))

@@ -171,3 +171,26 @@ def geo10_visible_fraction(spark, sf_dir):
     """The share of a view that each survey takes; a circle of 16 sides stands for a missing ring."""
     x0, x1, y0, y1 = VIEW
     return spatial.visible_fraction(flat_rings(spark, sf_dir), x0, y0, x1, y1).select("rid", F.round("fraction", 9).alias("fraction"))
+
+
+@query("""WITH RECURSIVE m AS (SELECT c_nationkey g, c_custkey pid, c_custkey * 7919 % 400 * 1.25::DOUBLE x, c_custkey * 104729 % 300 * 1.5::DOUBLE y, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 5, c_custkey) i FROM customer),
+ w AS (SELECT g, i, pid, pid leader, [struct_pack(p := pid, x := x, y := y)] heads FROM m WHERE i = 1
+  UNION ALL SELECT m.g, m.i, m.pid, coalesce(list_filter(heads, lambda h: sqrt((h.x - m.x) * (h.x - m.x) + (h.y - m.y) * (h.y - m.y)) < 30)[1].p, m.pid),
+   CASE WHEN len(list_filter(heads, lambda h: sqrt((h.x - m.x) * (h.x - m.x) + (h.y - m.y) * (h.y - m.y)) < 30)) > 0 THEN heads ELSE list_append(heads, struct_pack(p := m.pid, x := m.x, y := m.y)) END FROM w JOIN m ON m.g = w.g AND m.i = w.i + 1)
+ SELECT pid, leader FROM w""")
+def jn10_proximity_groups(spark, sf_dir):
+    """Markers within thirty pixels of a group's first one, in a view for each nation."""
+    k = F.col("c_custkey")
+    marks = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("view"), k.alias("pid"), (k % 5).alias("priority"), (k * 7919 % 400 * 1.25).alias("x"), (k * 104729 % 300 * 1.5).alias("y"))
+    return spatial.proximity_groups(marks).select("pid", "leader")
+
+
+@query("""WITH RECURSIVE t AS (SELECT p_partkey % 3 a, p_partkey item, p_partkey * 31 % 57 + 4 w, p_size * 2 h FROM part), b AS (SELECT a, CAST(4 * ceil(greatest(max(w), sqrt(sum(w * h) * 1.15)) / 4) AS BIGINT) width FROM t GROUP BY 1),
+ n AS (SELECT t.*, width, row_number() OVER (PARTITION BY t.a ORDER BY h DESC, item) i FROM t JOIN b ON t.a = b.a),
+ s AS (SELECT a, i, item, CAST(0 AS BIGINT) x, CAST(0 AS BIGINT) y, CAST(w AS BIGINT) far, CAST(h AS BIGINT) high FROM n WHERE i = 1
+  UNION ALL SELECT n.a, n.i, n.item, CASE WHEN far + w > width THEN 0 ELSE far END, CASE WHEN far + w > width THEN y + high ELSE y END, CASE WHEN far + w > width THEN w ELSE far + w END, CASE WHEN far + w > width THEN h ELSE greatest(high, h) END FROM s JOIN n ON n.a = s.a AND n.i = s.i + 1)
+ SELECT item, CAST(x AS INTEGER) x, CAST(y AS INTEGER) y FROM s""")
+def win04_shelf_pack(spark, sf_dir):
+    """Three atlases of textures on shelves."""
+    k = F.col("p_partkey")
+    return spatial.shelf_pack(table(spark, sf_dir, "part").select((k % 3).alias("atlas"), k.alias("item"), (k * 31 % 57 + 4).alias("w"), (F.col("p_size") * 2).cast("long").alias("h"))).select("item", "x", "y")
