@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 from orograph.shared import Ranges, settled
 
 
+def _beside(a: DataFrame, b: DataFrame, by, name: str) -> DataFrame:
+    """a joined with b's other columns where the groups (nulls are one, too) and the named column are equal."""
+    of = {c: f"__of_{c}" for c in (*by, name)}
+    b = b.withColumnsRenamed(of)
+    same = a[name] == b[of[name]]
+    for c in by:
+        same = same & a[c].eqNullSafe(b[of[c]])
+    return a.join(b, same).drop(*of.values())
+
+
 def reached(links: DataFrame, starts: DataFrame, by=()) -> DataFrame:
     """``by, node, step``: the nodes that are met on the way from each start, and after how many steps first (0 for the start).
 
@@ -20,13 +30,13 @@ def reached(links: DataFrame, starts: DataFrame, by=()) -> DataFrame:
     size, have = 1, known.count()
     while have:
         # what a jump of this size leads to from all that is known
-        ahead = known.join(jump, [*by, "node"]).select(*by, F.col("next").alias("node"), (F.col("step") + size).alias("step"))
+        ahead = _beside(known, jump, by, "node").select(*by, F.col("next").alias("node"), (F.col("step") + size).alias("step"))
         known = known.unionByName(ahead).groupBy(*by, "node").agg(F.min("step").alias("step")).transform(settled)
         now = known.count()
         if now == have:
             break
         further = jump.select(*by, F.col("node").alias("next"), F.col("next").alias("__far"))
-        jump = jump.join(further, [*by, "next"]).select(*by, "node", F.col("__far").alias("next")).transform(settled)
+        jump = _beside(jump, further, by, "next").select(*by, "node", F.col("__far").alias("next")).transform(settled)
         size, have = size * 2, now
     return known
 

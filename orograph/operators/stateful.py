@@ -8,8 +8,11 @@ exists (``throttle``, ``retries``), a fold walks through one session of a key, c
 import math
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from orograph.shared import RANGE, TIE, Ranges, up_to
 
@@ -59,27 +62,31 @@ def throttle(events: DataFrame, least: float, key="key", order=("ts", "seq")) ->
 
     kinds = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in (key, *order))
     cut = with_sessions(events.select(key, *order), least, key, order)
-    return events.join(_in_sessions(cut, key, order, (key, *order), start, kinds), [key, *order], "left_semi")
+    kept = _in_sessions(cut, key, order, (key, *order), start, kinds).withColumnsRenamed({c: f"__{c}" for c in (key, *order)})
+    same = F.lit(True)
+    for c in (key, *order):
+        same = same & events[c].eqNullSafe(kept[f"__{c}"])
+    return events.join(kept, same, "left_semi")
 
 
 def _in_sessions(cut: DataFrame, key, order, columns, start, schema: str) -> DataFrame:
     """What a fold gives for the rows of each session in order: ``start()`` makes the fold of one session, a function from a row's columns to rows. Sessions
     are dealt over the tasks, each task walks through its sorted rows batch by batch and holds one session's state."""
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    typed = to_arrow_schema(_parse_datatype_string(schema))
     at = len(columns)
 
-    def run(frames):
+    def run(batches):
         now = step = None
-        for f in frames:
+        for batch in batches:
             out = []
-            for row in f.itertuples(index=False, name=None):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[at:] != now:
                     now, step = row[at:], start()
                 out += step(row[:at])
-            yield pd.DataFrame(out, columns=names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True) if out else [()] * len(typed), typed, strict=True)], schema=typed)
 
     rows = cut.repartition(key, "session").sortWithinPartitions(key, "session", *order)
-    return rows.select(*columns, F.col(key).alias("__key"), "session").mapInPandas(run, schema)
+    return rows.select(*columns, F.col(key).alias("__key"), "session").mapInArrow(run, schema)
 
 
 def moving_average(events: DataFrame, value: str, weight: float = 0.4, key="key", order=("ts", "seq"), name: str = "ema", per: str | None = None, block: int = BLOCK) -> DataFrame:

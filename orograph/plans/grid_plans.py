@@ -116,20 +116,20 @@ def geo06_outline(spark, sf_dir):
 SPLIT = """, z AS (SELECT count(*) n FROM w), o AS (SELECT x, y FROM w WHERE step = 0),
  m AS (SELECT max(struct_pack(d := sqrt((w.x - o.x) * (w.x - o.x) + (w.y - o.y) * (w.y - o.y)), s := -step)) m FROM w, o),
  q AS (SELECT CAST(step AS BIGINT) step, CAST(x AS DOUBLE) x, CAST(y AS DOUBLE) y FROM w UNION ALL SELECT n, o.x, o.y FROM o, z),
- g AS (SELECT unnest([0, CAST(-m.s AS BIGINT)]) a, unnest([CAST(-m.s AS BIGINT), n]) b FROM m, z
+ gg AS (SELECT unnest([0, CAST(-m.s AS BIGINT)]) a, unnest([CAST(-m.s AS BIGINT), n]) b FROM m, z
   UNION ALL SELECT unnest([a, k]) a, unnest([k, b]) b FROM (SELECT a, b, -max(c).s k, max(c).d d FROM (
-   SELECT g.a, g.b, struct_pack(d := abs((v.x - u.x) * (u.y - p.y) - (u.x - p.x) * (v.y - u.y)) / greatest(sqrt((v.x - u.x) * (v.x - u.x) + (v.y - u.y) * (v.y - u.y)), 1e-9), s := -p.step) c
-   FROM g JOIN q u ON u.step = g.a JOIN q v ON v.step = g.b JOIN q p ON p.step > g.a AND p.step < g.b) GROUP BY a, b) WHERE d > 0.5)"""
+   SELECT gg.a, gg.b, struct_pack(d := abs((v.x - u.x) * (u.y - p.y) - (u.x - p.x) * (v.y - u.y)) / greatest(sqrt((v.x - u.x) * (v.x - u.x) + (v.y - u.y) * (v.y - u.y)), 1e-9), s := -p.step) c
+   FROM gg JOIN q u ON u.step = gg.a JOIN q v ON v.step = gg.b JOIN q p ON p.step > gg.a AND p.step < gg.b) GROUP BY a, b) WHERE d > 0.5)"""
 
 
-@query(f"WITH RECURSIVE {G}, d AS ({_dilate('g', 1)}){RING}{SPLIT} SELECT DISTINCT step, x, y, 0.5::DOUBLE tolerance FROM g JOIN q ON step = a")
+@query(f"WITH RECURSIVE {G}, d AS ({_dilate('g', 1)}){RING}{SPLIT} SELECT DISTINCT step, x, y, 0.5::DOUBLE tolerance FROM gg JOIN q ON step = a")
 def geo07_simplified(spark, sf_dir):
     """The outline's points that half a cell of tolerance keeps."""
     ring = footprint.outline(footprint.dilate(grid(spark, sf_dir), 1)).select("slug", "step", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     return footprint.simplified(settled(ring), 1.0, most=1_000_000).select("step", "x", "y", "tolerance")
 
 
-@query(f"WITH RECURSIVE {G}, d AS ({_dilate('g', 1)}){RING}{SPLIT}, k AS (SELECT DISTINCT step, x, y FROM g JOIN q ON step = a) SELECT count(*) vertices, (SELECT CAST(count(*) AS BIGINT) FROM d) area_m2, 0.5::DOUBLE tolerance, round(min(4.5::DOUBLE + y * 180 / pi() / 6378137.0::DOUBLE), 7) south, round(max(-74.0::DOUBLE + x * 180 / pi() / 6378137.0::DOUBLE / cos(radians(4.5::DOUBLE))), 7) east, true ccw FROM k")
+@query(f"WITH RECURSIVE {G}, d AS ({_dilate('g', 1)}){RING}{SPLIT}, k AS (SELECT DISTINCT step, x, y FROM gg JOIN q ON step = a) SELECT count(*) vertices, (SELECT CAST(count(*) AS BIGINT) FROM d) area_m2, 0.5::DOUBLE tolerance, round(min(4.5::DOUBLE + y * 180 / pi() / 6378137.0::DOUBLE), 7) south, round(max(-74.0::DOUBLE + x * 180 / pi() / 6378137.0::DOUBLE / cos(radians(4.5::DOUBLE))), 7) east, true ccw FROM k")
 def geo09_polygon(spark, sf_dir):
     """The closed polygon of the grid in degrees, counter-clockwise (GEO-08: its tolerance is the first of the search)."""
     origin = table(spark, sf_dir, "region").limit(1).select(F.lit("s").alias("slug"), F.lit(-74.0).alias("lon0"), F.lit(4.5).alias("lat0"))
