@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructType
 
 from orograph.functions import geodesy as G
 from orograph.functions import mesh as M
@@ -170,7 +171,7 @@ def _order_points(spark, sf_dir):
     return l.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(point)).alias("p"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _geometry(points: pd.Series) -> pd.Series:
     return points.map(lambda p: binaries.geometry_of([[q["x"], q["y"], q["z"]] for q in p], [[q["x"] / 2, q["z"]] for q in p]))
 
@@ -188,7 +189,7 @@ def src08_geometry(spark, sf_dir):
     return binaries.vertices(spark.read.format("zip_entries").load(path))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _b3dm(points: pd.Series, key: pd.Series) -> pd.Series:
     def one(p, k):
         n = len(p)
@@ -198,7 +199,7 @@ def _b3dm(points: pd.Series, key: pd.Series) -> pd.Series:
     return pd.Series([one(p, k) for p, k in zip(points, key, strict=True)])
 
 
-@F.pandas_udf("array<struct<tid:int,x:double,y:double,z:double>>")
+@F.pandas_udf(ArrayType(StructType().add("tid", IntegerType()).add("x", DoubleType()).add("y", DoubleType()).add("z", DoubleType())))
 def _corners(content: pd.Series) -> pd.Series:
     def one(b):
         ((xyz, tri),) = binaries.glb_meshes(binaries.glb_of_b3dm(bytes(b)))
@@ -224,7 +225,7 @@ def src13_glb_meshes(spark, sf_dir):
 SIDE = 16
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _png(heights: pd.Series) -> pd.Series:
     return heights.map(lambda h: binaries.png_of_heights(np.resize(np.array(h, float), (SIDE, SIDE))))
 
@@ -240,7 +241,7 @@ def src15_png_heights(spark, sf_dir):
     return heights.select("u", "p", "h")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _jpeg(width: pd.Series, height: pd.Series, factor: pd.Series) -> pd.Series:
     """The headers of a JPEG whose quantisation table is the standard one's by a factor."""
     table_ = np.array(binaries.LUMINANCE)
