@@ -1,4 +1,4 @@
-"""All ten operators over one awkward table and over an empty one: nulls in any column, empty and very long texts, ties, repeated rows, ids
+"""All operators on documents over one awkward table and over an empty one: nulls in any column, empty and very long texts, ties, repeated rows, ids
 that aren't numbers, and extra columns that are called like columns of the operators' own."""
 
 import random
@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orograph.llm import bpe, exact_dedup, language, line_dedup, lm, mixing, near_dedup, quality, secrets, suffix_dedup
+from orograph.llm import bpe, exact_dedup, language, line_dedup, lm, mixing, near_dedup, periodic, quality, secrets, suffix_dedup
 from orograph.llm.graph import components
 from orograph.llm.shared import ARROW, packed, scratch_dir
 
@@ -43,6 +43,7 @@ WHOLE = {
     "suffix": suffix_dedup.cut_repeats,
     "lines": lambda d: line_dedup.drop_units(d, levels=line_dedup.LEVELS),
     "exact": exact_dedup.dedup_decisions,
+    "periodic": periodic.find_runs,
 }
 #: These give rows of the table, with its columns.
 KEEP = {"near": near_dedup.drop_near, "quality": quality.filter_quality, "mixing": lambda d: mixing.take_rows(d, mixing.decide(d)), "exact": exact_dedup.drop_copies}
