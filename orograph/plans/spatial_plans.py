@@ -194,3 +194,21 @@ def win04_shelf_pack(spark, sf_dir):
     """Three atlases of textures on shelves."""
     k = F.col("p_partkey")
     return spatial.shelf_pack(table(spark, sf_dir, "part").select((k % 3).alias("atlas"), k.alias("item"), (k * 31 % 57 + 4).alias("w"), (F.col("p_size") * 2).cast("long").alias("h"))).select("item", "x", "y")
+
+
+FREE = "len(list_filter(put, lambda o: NOT ({q}.x0 >= o.x1 OR {q}.x1 <= o.x0 OR {q}.y0 >= o.y1 OR {q}.y1 <= o.y0))) = 0"
+
+
+@query("""WITH RECURSIVE m AS (SELECT c_nationkey g, c_custkey pid, c_custkey * 7919 % 1300 - 40.0::DOUBLE x, c_custkey * 104729 % 950 - 20.0::DOUBLE y, 20.0::DOUBLE + c_custkey % 9 * 12 px, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 5, c_custkey) i FROM customer),
+ b AS (SELECT *, x < 0 OR y < 0 OR x > 1200 OR y > 900 gone, {'x0': x - 13, 'x1': x + 13, 'y0': y - 13, 'y1': y + 13} mark, {'x0': x + 15, 'x1': x + 21 + px, 'y0': y - 13, 'y1': y + 13} r, {'x0': x - 21 - px, 'x1': x - 15, 'y0': y - 13, 'y1': y + 13} l FROM m),
+ w AS (SELECT g, CAST(0 AS BIGINT) i, CAST(NULL AS BIGINT) pid, '' side, CAST([] AS STRUCT(x0 DOUBLE, x1 DOUBLE, y0 DOUBLE, y1 DOUBLE)[]) put FROM (SELECT DISTINCT g FROM m)
+  UNION ALL SELECT g, i, pid, side, CASE side WHEN 'outside' THEN put WHEN 'right' THEN list_concat(put, [mark, r]) WHEN 'left' THEN list_concat(put, [mark, l]) ELSE list_append(put, mark) END
+  FROM (SELECT b.g, b.i, b.pid, mark, r, l, put, CASE WHEN gone THEN 'outside' WHEN """ + FREE.format(q="r") + " AND r.x1 < 1200 THEN 'right' WHEN " + FREE.format(q="l") + """ AND l.x0 > 0 THEN 'left' ELSE 'hidden' END side FROM w JOIN b ON b.g = w.g AND b.i = w.i + 1))
+ SELECT pid, side FROM w WHERE i > 0""")
+def jn11_place_labels(spark, sf_dir):
+    """Labels of markers in a view for each nation, some beyond its borders."""
+    k = F.col("c_custkey")
+    marks = table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("view"), k.alias("pid"), (k % 5).alias("priority"), (k * 7919 % 1300 - 40.0).alias("x"), (k * 104729 % 950 - 20.0).alias("y"), (k % 9 * 12 + 20.0).alias("label_px"),
+        F.lit(1200.0).alias("view_width"), F.lit(900.0).alias("view_height"))
+    return spatial.place_labels(marks).select("pid", "side")
