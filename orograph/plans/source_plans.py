@@ -434,3 +434,35 @@ def geo17_georeference_errors(spark, sf_dir):
     rows = rows.select("k", x.alias("x"), y.alias("y"), z.alias("z"), (east + k % 7 * 0.5).alias("east"), north.alias("north"), (F.col("h") - 12.5 - k % 5 * 0.25).alias("height"))
     found = terrain.georeference_errors(rows, [float(i % 5 == 0) for i in range(16)], 18, 12.5)
     return found.select("k", F.round("horizontal", 3).alias("horizontal"), F.round("vertical", 3).alias("vertical"))
+
+
+@query("""WITH v AS (SELECT list(p_retailprice ORDER BY p_partkey) h, count(*) n FROM part), g AS (SELECT h, 40 w, n // 40 r FROM v),
+ p AS (SELECT c_custkey k, least(greatest((-74.1::DOUBLE + c_custkey % 57 * 0.0091::DOUBLE + 74.0) / 0.01::DOUBLE, 0), 38.999) px, least(greatest((5.0 - (5.05::DOUBLE - c_custkey % 61 * 0.0071::DOUBLE)) / 0.01::DOUBLE, 0), r - 1.001) py, h, w FROM customer, g),
+ q AS (SELECT *, CAST(floor(px) AS BIGINT) c, CAST(floor(py) AS BIGINT) l, px - floor(px) u, py - floor(py) f FROM p)
+ SELECT k, round(h[l * w + c + 1] * (1 - u) * (1 - f) + h[l * w + c + 2] * u * (1 - f) + h[(l + 1) * w + c + 1] * (1 - u) * f + h[(l + 1) * w + c + 2] * u * f, 5) geoid FROM q""")
+def src17_geoid_grid(spark, sf_dir):
+    """A regular grid of the parts' prices, forty wide, under points in and around it; cut into tiles with their neighbours' edges."""
+    grid = table(spark, sf_dir, "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_retailprice"))), lambda x: x["p_retailprice"]).alias("values"))
+    grid = grid.select(F.lit(-74.0).alias("west"), F.lit(5.0).alias("north"), F.lit(0.01).alias("step"), F.lit(40).alias("width"), F.slice("values", F.lit(1), (F.floor(F.size("values") / 40) * 40).cast("int")).alias("values"))
+    k = F.col("c_custkey")
+    points = table(spark, sf_dir, "customer").select(k.alias("k"), (k % 57 * 0.0091 - 74.1).alias("lon"), (F.lit(5.05) - k % 61 * 0.0071).alias("lat"))
+    return terrain.sample_grid(points, grid, tile=16).select("k", F.round("geoid", 5).alias("geoid"))
+
+
+@query("SELECT s_suppkey k, CAST(v AS VARCHAR) AS version, s_acctbal + v offset_x FROM supplier, (VALUES (1), (2)) t(v)")
+def snk09_versions(spark, sf_dir):
+    """Offsets written twice: the second version lies beside the first."""
+    path = scratch(spark, "versions")
+    for v in (1, 2):
+        texts.write_versioned(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_acctbal") + v).alias("offset_x")), path, str(v))
+    return spark.read.schema("k long, offset_x double, version string").json(path).select("k", "version", "offset_x")
+
+
+@query("WITH " + TREE_ROWS + " SELECT CASE WHEN node_id > 0 THEN CAST(node_id AS VARCHAR) END uri, node_id = 0 is_root, CASE WHEN node_id = 0 THEN 112.0::DOUBLE END shift FROM t")
+def snk10_root_transform(spark, sf_dir):
+    """A tileset whose root gets a matrix, written and read: only the root has it."""
+    t = tiletree.depths(part_tree(spark, sf_dir))
+    nodes = t.select(F.lit("parts").alias("tileset"), "node_id", "parent_id", "ord", "depth", F.when(F.col("node_id") > 0, _text("node_id")).alias("uri"), F.lit(1.0).alias("geometric_error"), F.array_repeat(F.lit(1.0), 12).alias("box"), F.lit(None).cast("array<double>").alias("transform"))
+    path = scratch(spark, "turned")
+    texts.write_tilesets(texts.with_root_transform(nodes, range(100, 116)), path)
+    return texts.read_tilesets(spark, path).select("uri", F.col("parent_id").isNull().alias("is_root"), F.get("transform", F.lit(12)).alias("shift"))
