@@ -207,32 +207,70 @@ def proximity_groups(points: DataFrame, view="view", radius: float = 30.0) -> Da
     return met.groupBy(view, "pid", "rank").agg(F.min_by("leader", "lrank").alias("leader")).select(view, "pid", "leader")
 
 
+#: Half a mark's side, and the gaps on its side and behind its label, in pixels.
+HALF, NEAR, FAR = 13, 15, 21
+#: Cells in which labels meet, in pixels.
+LABEL_CELL = (64.0, 32.0)
+
+
 def place_labels(marks: DataFrame, view="view", width="view_width") -> DataFrame:
-    """A side for each mark's label (view, pid, priority, x, y, label_px): right, else left, else hidden, by what stands already; ``side``. Marks
-    beyond the view (0 to ``width`` and, if there is such a column, to ``view_height``) are outside and block nothing. One view is one small group."""
-    kind, vkind = (marks.schema[c].dataType.simpleString() for c in ("pid", view))
-    #: Half a mark's side, and the gaps on its side and behind its label, in pixels.
-    half, near, far = 13, 15, 21
-    height = [c for c in ("view_height",) if c in marks.columns]
-
-    def run(pdf):
-        import pandas as pd
-
-        put, out = [], []
-        free = lambda q: all(q[0] >= o[1] or q[1] <= o[0] or q[2] >= o[3] or q[3] <= o[2] for o in put)
-        for r in pdf.sort_values(["priority", "pid"]).itertuples():
-            if r.x < 0 or r.y < 0 or r.x > getattr(r, width) or (height and r.y > r.view_height):
-                out.append((getattr(r, view), r.pid, "outside"))
-                continue
-            y = (r.y - half, r.y + half)
-            right, left = (r.x + near, r.x + far + r.label_px, *y), (r.x - far - r.label_px, r.x - near, *y)
-            side = "right" if free(right) and right[1] < getattr(r, width) else "left" if free(left) and left[0] > 0 else "hidden"
-            put.append((r.x - half, r.x + half, *y))
-            put += [b for s, b in (("right", right), ("left", left)) if s == side]
-            out.append((getattr(r, view), r.pid, side))
-        return pd.DataFrame(out, columns=[view, "pid", "side"])
-
-    return marks.select(view, "pid", "priority", "x", "y", "label_px", width, *height).groupBy(view).applyInPandas(run, f"{view} {vkind}, pid {kind}, side string")
+    """A side for each mark's label (view, pid, priority, x, y, label_px): right, else left, else hidden, by what stands already when marks come by priority
+    and pid; ``side``. Marks beyond the view (0 to ``width`` and, if there is such a column, to ``view_height``) or without a place are outside and block
+    nothing; no label_px counts as 0.
+
+    Exact without a walk. A side that leaves the view or meets an earlier mark is no choice from the start. Then a round places each label whose first choice
+    is, in all cells that it covers, the first of those who could still stand there: nobody before it can take the place any more. What it covers is no choice
+    for others. A round's joins have one new label a cell, so they are as long as the choices; there are as many rounds as labels wait for one another in a chain."""
+    rows = Ranges(marks.select(view, "pid", "priority", "x", "y", "label_px", width, *(c for c in ("view_height",) if c in marks.columns)), ["priority", "pid"], [view])
+    rows = rows.total(F.lit(1).cast("long"), "rank").frame().withColumn("v", F.concat(F.when(F.col(view).isNull(), "-").otherwise("+"), F.coalesce(F.col(view).cast("string"), F.lit(""))))
+    x, y, label = F.col("x"), F.col("y"), F.greatest(F.coalesce("label_px", F.lit(0)), F.lit(0))
+    inside = (x >= 0) & (y >= 0) & (x <= F.col(width))
+    inside = inside & (y <= F.col("view_height")) if "view_height" in marks.columns else inside
+    rows = rows.withColumn("__in", F.coalesce(inside, F.lit(False))).transform(settled)
+    on = rows.where("__in")
+
+    side = lambda k, a, b, fits: F.when(fits, F.struct(F.lit(k).alias("side"), a.cast("double").alias("x0"), b.cast("double").alias("x1")))
+    right, left = x + FAR + label, x - FAR - label
+    choices = F.filter(F.array(side(0, x + NEAR, right, right < F.col(width)), side(1, left, x - NEAR, left > 0)), lambda c: c.isNotNull())
+    choices = on.select("v", "rank", F.col("y").cast("double").alias("y"), F.explode(choices).alias("c")).select("v", "rank", "y", "c.*")
+    choices = _without_marks(choices, on.select("v", "rank", "x", "y"))
+
+    wide, high = LABEL_CELL
+    key, one = ["v", "cx", "cy"], ["v", "rank", "side"]
+    open_, placed = _in_cells(choices, wide, high, F.col("x0"), F.col("x1"), F.col("y") - HALF, F.col("y") + HALF).transform(settled), None
+    while open_.limit(1).count():
+        least = open_.groupBy(*key).agg(F.min("rank").alias("least"))
+        sides = open_.join(least, key).groupBy(*one).agg(F.min(F.col("rank") == F.col("least")).alias("first"))
+        chosen = sides.groupBy("v", "rank").agg(F.min(F.struct("side", "first")).alias("c")).where("c.first").select("v", "rank", F.col("c.side").alias("side")).transform(settled)
+        placed = chosen if placed is None else placed.unionByName(chosen)
+        rest = open_.join(chosen.select("v", "rank"), ["v", "rank"], "left_anti")
+        new = open_.join(chosen, one).select(*key, F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("y").alias("b"))
+        hit = (F.col("x0") < F.col("a1")) & (F.col("x1") > F.col("a0")) & (F.abs(F.col("y") - F.col("b")) < 2 * HALF)
+        open_ = rest.join(rest.join(new, key).where(hit).select(*one).distinct(), one, "left_anti").transform(settled)
+    if placed is None:
+        placed = choices.select(*one)
+    named = F.when(~F.col("__in"), "outside").when(F.col("side") == 0, "right").when(F.col("side") == 1, "left").otherwise("hidden")
+    return rows.join(placed, ["v", "rank"], "left").select(view, "pid", named.alias("side"))
+
+
+def _in_cells(boxes: DataFrame, wide: float, high: float, x0: Column, x1: Column, y0: Column, y1: Column) -> DataFrame:
+    """A row for each cell (``cx, cy``) that a box covers."""
+    span = lambda a, b, size: F.sequence(F.floor(a / size), F.floor(b / size))
+    return boxes.withColumn("cx", F.explode(span(x0, x1, wide))).withColumn("cy", F.explode(span(y0, y1, high)))
+
+
+def _without_marks(choices: DataFrame, marks: DataFrame) -> DataFrame:
+    """The choices (v, rank, side, x0, x1, y) that no earlier mark's square touches: a mark's centre within HALF of the label. Cells that lie wholly in reach are told
+    by their first mark, so crowded places cost a row a cell; only marks of cells on the rim are looked at one by one."""
+    size, one, key = 2.0 * HALF, ["v", "rank", "side"], ["v", "cx", "cy"]
+    x0, x1, y0, y1 = F.col("x0") - HALF, F.col("x1") + HALF, F.col("y") - 2 * HALF, F.col("y") + 2 * HALF
+    places = marks.select("v", F.col("rank").alias("by"), F.col("x").alias("mx"), F.col("y").alias("my"), F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
+    met = _in_cells(choices, size, size, x0, x1, y0, y1).join(places.groupBy(*key).agg(F.min("by").alias("least")), key).where("least < rank").transform(settled)
+    whole = (F.col("cx") * size > x0) & ((F.col("cx") + 1) * size <= x1) & (F.col("cy") * size > y0) & ((F.col("cy") + 1) * size <= y1)
+    gone = met.where(whole).select(*one).distinct()
+    rim = met.join(gone, one, "left_anti").join(places, key)
+    touched = rim.where((F.col("by") < F.col("rank")) & (F.col("mx") > x0) & (F.col("mx") < x1) & (F.col("my") > y0) & (F.col("my") < y1)).select(*one).distinct()
+    return choices.join(gone.unionByName(touched), one, "left_anti")
 
 
 def shelf_pack(items: DataFrame, by="atlas", width: int | None = None) -> DataFrame:

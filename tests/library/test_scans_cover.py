@@ -210,3 +210,28 @@ def test_one_large_text_file_is_many_tasks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert f == {i + 1: (f"m{i // 1000 * 1000}", i, 3 if i else 2500) for i in range(n)}
+
+
+def test_labels_placed_in_rounds(spark):
+    """Equal to marks that come one by one, on crowded views; a null view is a view of its own."""
+    r = random.Random(5)
+    rows = [(v, i, r.randrange(4), r.uniform(-20, 620), r.uniform(-20, 420), r.choice((0.0, 40.0, 130.0)), 600.0, 400.0) for v, n in (("a", 150), (None, 60), ("b", 12)) for i in range(n)]
+    # many marks on one spot, and marks that just touch
+    rows += [("c", i, 0, 300.0, 200.0, 50.0, 600.0, 400.0) for i in range(30)] + [("d", i, 0, 28.0 * i, 26.0 * (i % 3), 20.0, 600.0, 400.0) for i in range(20)]
+    rows += [("e", 1, 0, None, 5.0, 10.0, 600.0, 400.0), ("e", 2, 0, 100.0, 5.0, None, 600.0, 400.0)]
+    want = {}
+    for view in {x[0] for x in rows}:
+        standing = []
+        for _, pid, _, x, y, px, w, h in sorted((x for x in rows if x[0] == view), key=lambda x: (x[2], x[1])):
+            if x is None or not (0 <= x <= w and 0 <= y <= h):
+                want[view, pid] = "outside"
+                continue
+            px = px or 0.0
+            spots = [(side, a, b) for side, a, b in (("right", x + 15, x + 21 + px), ("left", x - 21 - px, x - 15)) if (b < w if side == "right" else a > 0)]
+            side, *box = next((s for s in spots if not any(s[1] < b and s[2] > a and abs(y - c) < 26 for a, b, c in standing)), ("hidden",))
+            standing += [(x - 13, x + 13, y)] + [(*box, y)] * bool(box)
+            want[view, pid] = side
+    df = spark.createDataFrame(rows, "view string, pid int, priority int, x double, y double, label_px double, view_width double, view_height double")
+    got = {(m.view, m.pid): m.side for m in spatial.place_labels(df).collect()}
+    assert got == want and set(want.values()) == {"right", "left", "hidden", "outside"}
+    assert spatial.place_labels(df.limit(0)).count() == 0
