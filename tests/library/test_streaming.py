@@ -15,7 +15,7 @@ SCHEMA = "key string, ts timestamp, seq long, radius_px double, failed boolean,
 
 def rows(n=120):
     r = random.Random(2)
-    return [(f"k{i % 3}", START + dt.timedelta(milliseconds=150 * i), i, r.uniform(0, 20), r.random() < 0.4, r.choice((-1, 1))) for i in range(n)]
+    return [(f"k{i % 3}", START + dt.timedelta(milliseconds=400 * i), i, r.uniform(0, 20), r.random() < 0.4, r.choice((-1, 1))) for i in range(n)]
 
 
 @pytest.fixture
@@ -55,12 +55,42 @@ def test_in_flight_stream(stream):
     assert got == {(r.seq, r.loading) for r in stateful.in_flight(batch).collect()} and got
 
 
-def test_retries_stream(stream):
-    source, run, batch = stream
-    got = {(r.key, r.due_ms) for r in run(rules.retries(source.withWatermark("ts", "0 seconds"), first_ms=500)).collect()}
-    want = {(r.key, int(r.due_ms)) for r in stateful.retries(batch, order=("ms", "seq"), first_ms=500.0).collect()}
-    last = max(int(r.ms) for r in batch.collect())
-    assert got <= want and {w for w in want if w[1] < last - 1000} <= got and got
+def shuffled(spark, folder, table, schema):
+    """Three files whose rows overlap in time by less than the watermark of 20 s."""
+    r = random.Random(4)
+    table = sorted(table, key=lambda x: x[2] + r.uniform(0, 40))
+    for k in range(3):
+        spark.createDataFrame(table[k * 40 : (k + 1) * 40], schema).coalesce(1).write.parquet(str(folder / "mixed" / f"b{k}"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(folder / "mixed"))
+    return source.withWatermark("ts", "20 seconds")
+
+
+def test_retries_stream(spark, stream, tmp_path):
+    """Equal to the batch for all that the watermark has passed, with rows out of order across files."""
+    _, run, batch = stream
+    with rules.on_rocksdb(spark):
+        got = [(r.key, r.due_ms, r.round) for r in run(rules.retries(shuffled(spark, tmp_path, rows(), SCHEMA), first_ms=500)).collect()]
+    want = {(r.key, r.due_ms, r.round) for r in stateful.retries(batch.withColumn("ts", F.col("ms")), first_ms=500.0).collect()}
+    passed = max(r.ms for r in batch.collect()) - 20_000
+    assert sorted(got) == sorted(w for w in want if w[1] <= passed) and 0 < len(got) < len(want)
+
+
+def test_loading_notices_stream(spark, stream, tmp_path):
+    _, run, batch = stream
+    table = [(key, ts, seq, seq % 7 < 4) for key, ts, seq, *_ in rows()]
+    schema = "key string, ts timestamp, seq long, loading boolean"
+    with rules.on_rocksdb(spark):
+        got = [(r.key, r.at_ms, r.shown) for r in run(rules.loading_notices(shuffled(spark, tmp_path, table, schema), 700.0)).collect()]
+    changes, was = [], {}
+    for key, ts, _, loading in table:
+        if loading != was.get(key, False):
+            changes.append((key, (ts - START) / dt.timedelta(milliseconds=1), loading))
+        was[key] = loading
+    first, last = (batch.agg(f("ms")).first()[0] for f in (F.min, F.max))
+    want = set()
+    for r in stateful.loading_notices(spark.createDataFrame(changes, "key string, ts double, loading boolean"), 700.0).collect():
+        want |= {(r.key, first + t, shown) for t, shown in ((r.notice_at, True), (r.until, False)) if t is not None}
+    assert sorted(got) == sorted(w for w in want if w[1] <= last - 20_000) and {x[2] for x in got} == {True, False}
 
 
 def test_request_timings_and_resume(spark, tmp_path):
