@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from orograph.operators import cells, requests, stateful
 from orograph.plans.tables import query, table
+from orograph.shared import scratch
+from orograph.streaming import rules
 
 
 def keyed_events(spark, sf_dir):
@@ -86,6 +88,33 @@ def str02_retries(spark, sf_dir):
     return stateful.retries(keyed_events(spark, sf_dir).withColumn("failed", F.col("seq") % 3 == 0))
 
 
+def streamed(spark, sf_dir, flag, rule, schema: str):
+    """What a streaming rule gives for the events, read as a stream of files and written as Parquet; the watermark is the latest time."""
+    kinds = table(spark, sf_dir, "events").schema
+    # a pattern, as a stream's path may not be a single file
+    source = spark.readStream.schema(kinds).parquet(f"{sf_dir}/events.parquet*")
+    rows = source.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), flag).withWatermark("ts", "0 seconds")
+    folder = scratch(spark, "stream")
+    with rules.on_rocksdb(spark):
+        rules.resumable(rows, rule, f"{folder}/out", f"{folder}/state")
+    return spark.read.schema(schema).parquet(f"{folder}/out")
+
+
+@query(RETRIES.replace("""SELECT k "key", ts, wait wait_ms, due due_ms, CAST(r AS INTEGER) round FROM f WHERE made""", """SELECT k "key", due due_ms, CAST(r AS INTEGER) round FROM f WHERE made AND due <= (SELECT floor(max(ts)) FROM e)"""))
+def str02_retries_stream(spark, sf_dir):
+    """Retries that have come due by the end of the stream."""
+    return streamed(spark, sf_dir, (F.col("event_id") % 3 == 0).alias("failed"), rules.retries, "key long, due_ms double, round int")
+
+
+@query("WITH " + E + f""", s AS (SELECT *, seq % 3 = 0 loading FROM e), c AS (SELECT *, coalesce(lag(loading) OVER ({ORDER}), false) was FROM s), d AS (SELECT k, ts, loading FROM c WHERE loading <> was),
+ n AS (SELECT *, lead(ts) OVER (PARTITION BY k ORDER BY ts) stop FROM d), w AS (SELECT floor(max(ts)) m FROM e)
+ SELECT k "key", ts + 1200 at_ms, true shown FROM n, w WHERE loading AND (stop IS NULL OR stop - ts > 1200) AND ts + 1200 <= m
+ UNION ALL SELECT k, stop, false FROM n, w WHERE loading AND stop - ts > 1200 AND stop <= m""")
+def str04_notices_stream(spark, sf_dir):
+    """Notices of loading that lasts, and their ends."""
+    return streamed(spark, sf_dir, (F.col("event_id") % 3 == 0).alias("loading"), rules.loading_notices, "key long, at_ms double, shown boolean")
+
+
 @query("WITH " + E + " SELECT k, count(*) n, min(v) lo, max(v) hi FROM e GROUP BY 1")
 def agg01_box_by_key(spark, sf_dir):
     return cells.bounding_box(keyed_events(spark, sf_dir), "radius_px", by=("key",)).select(F.col("key").alias("k"), "n", F.col("min_radius_px").alias("lo"), F.col("max_radius_px").alias("hi"))
