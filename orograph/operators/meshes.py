@@ -147,14 +147,16 @@ def count_differences(a: Column, b: Column) -> Column:
 
 
 def lowest_hit(triangles: DataFrame, points: DataFrame, cell: float) -> DataFrame:
-    """For each point (pid, x, y) the lowest z at which a vertical ray meets a triangle; null if none. Triangles and points meet by the cells of ``cover``."""
+    """For each point (pid, x, y) the lowest z at which a vertical ray meets a triangle; null if none. Triangles and places, equal ones of points once,
+    meet by the cells of ``cover``."""
     lo, hi = ([f(*(F.col(c + k) for c in "abc")) for k in "xy"] for f in (F.least, F.greatest))
     used = cover.levels(triangles, *lo, *hi, cell)
-    p = cover.with_point_cells(points.select("pid", F.col("x").alias("px"), F.col("y").alias("py")), F.col("px"), F.col("py"), used, cell)
+    p = cover.with_point_cells(points.select(F.col("x").alias("px"), F.col("y").alias("py")).distinct(), F.col("px"), F.col("py"), used, cell)
     j = p.join(cover.with_box_cells(triangles, *lo, *hi, cell), cover.CELL)
     d = (F.col("by") - F.col("cy")) * (F.col("ax") - F.col("cx")) + (F.col("cx") - F.col("bx")) * (F.col("ay") - F.col("cy"))
     s = ((F.col("by") - F.col("cy")) * (F.col("px") - F.col("cx")) + (F.col("cx") - F.col("bx")) * (F.col("py") - F.col("cy"))) / d
     t = ((F.col("cy") - F.col("ay")) * (F.col("px") - F.col("cx")) + (F.col("ax") - F.col("cx")) * (F.col("py") - F.col("cy"))) / d
     hits = j.where(d != 0).withColumns({"s": s, "t": t}).where("s >= 0 and t >= 0 and s + t <= 1")
     z = F.col("s") * F.col("az") + F.col("t") * F.col("bz") + (1 - F.col("s") - F.col("t")) * F.col("cz")
-    return points.join(hits.groupBy("pid").agg(F.min(z).alias("z_hit")), "pid", "left")
+    lowest = hits.groupBy(F.col("px").alias("x"), F.col("py").alias("y")).agg(F.min(z).alias("z_hit"))
+    return points.join(lowest, ["x", "y"], "left").select(*points.columns, "z_hit")

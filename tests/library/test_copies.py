@@ -60,3 +60,47 @@ def test_pairs_of_copies_are_tested_in_packs(spark, tested):
     want = [(p, r) for p in [*range(150), 3, 1002] for r in [*range(150), None]] + [(1002, 2000)]
     assert sorted(rows, key=repr) == sorted(want, key=repr)
     assert 0 < seen.value <= 300
+
+
+def shuffled(df):
+    """Rows that the joins of a finished frame made, by their metrics."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    todo, most = [plan], 0
+    while todo:
+        p = todo.pop()
+        name = p.getClass().getSimpleName()
+        p_ = p.plan() if name.endswith("QueryStageExec") else None
+        children = [p_] if p_ is not None else [p.children().apply(i) for i in range(p.children().size())]
+        if "Join" in name and p.metrics().contains("numOutputRows"):
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        todo += children
+    return most
+
+
+def test_equal_boxes_meet_in_packs(spark):
+    a = spark.createDataFrame([(i, 0.0, 0.0, 1.0, 1.0) for i in range(200)] + [(500, 1.0, 1.0, 1.0, 1.0), (501, 9.0, 9.0, 9.0, 9.0)], "id long, x0 double, y0 double, x1 double, y1 double")
+    b = spark.createDataFrame([(i, 0.5, 0.5, 2.0, 1.5) for i in range(300)], a.schema)
+    got = spatial.boxes_touching(a, b, 3.0)
+    rows = got.collect()
+    assert sorted((r.a_id, r.b_id) for r in rows) == [(i, j) for i in [*range(200), 500] for j in range(300)]
+    assert 0 < shuffled(got) < 2000
+
+
+def test_long_boxes_meet_few_that_they_do_not_touch(spark):
+    """Boxes a thousand long and a thousandth high, all in one square."""
+    a = spark.range(300).selectExpr("id", "0D x0", "id * 3D y0", "1000D x1", "id * 3D + 0.001D y1")
+    b = spark.range(300).selectExpr("id", "0D x0", "id * 3D + 1D y0", "1000D x1", "id * 3D + 1.001D y1").unionByName(a.where("id = 7"))
+    got = spatial.boxes_touching(a, b, 1.0)
+    assert [tuple(r) for r in got.collect()] == [(7, 7)]
+
+
+def test_lowest_hit_looks_at_equal_places_once(spark):
+    from orograph.operators import meshes
+
+    t = spark.range(200).selectExpr("id tid", "0D ax", "0D ay", "double(id) az", "2D bx", "0D by", "double(id) bz", "0D cx", "2D cy", "double(id) cz")
+    p = spark.range(200).selectExpr("id pid", "0.5D x", "0.5D y").unionByName(spark.createDataFrame([(900, 5.0, 5.0), (901, None, 1.0)], "pid long, x double, y double"))
+    got = meshes.lowest_hit(t, p, 1.0)
+    assert got.columns == ["pid", "x", "y", "z_hit"]
+    assert {r.pid: r.z_hit for r in got.collect()} == {i: 0.0 for i in range(200)} | {900: None, 901: None}
+    assert 0 < shuffled(got) < 2000
