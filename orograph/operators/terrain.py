@@ -36,6 +36,31 @@ def tiled_grid(grid: DataFrame, tile: int = 64) -> DataFrame:
     return at.select("tx", "ty", "west", "north", "step", F.col("width"), F.col("__rows").alias("rows"), heights.alias("heights"))
 
 
+def tiles_of_values(values: DataFrame, width: int, rows: int, tile: int = 64) -> DataFrame:
+    """The same tiles (``tx, ty, heights``) of a grid that has a row for each value (``index`` from 0, row by row from the north, and ``value``): no row and no
+    task has more of the grid than a tile. What is beyond the last whole row is left out."""
+
+    def places(at, n: int):
+        last = max(-(-(n - 1) // tile), 1) - 1
+        found = F.filter(F.array(F.floor(at / tile) - 1, F.floor(at / tile)), lambda t: (t >= 0) & (t <= last) & (at - t * tile <= tile))
+        to = lambda t: F.when((at == n - 1) & (t == last), F.lit(tile).cast("long")).otherwise(at - t * tile)
+        return F.flatten(F.transform(found, lambda t: F.transform(F.sequence(at - t * tile, to(t)), lambda j: F.struct(t.cast("int").alias("t"), j.alias("j")))))
+
+    at = values.where(F.col("index") < rows * width).withColumns({"__r": F.floor(F.col("index") / width), "__c": F.col("index") % width})
+    at = at.withColumn("__x", F.explode(places(F.col("__c"), width))).withColumn("__y", F.explode(places(F.col("__r"), rows)))
+    slot = F.struct((F.col("__y.j") * (tile + 1) + F.col("__x.j")).alias("i"), F.col("value").alias("v"))
+    heights = F.transform(F.array_sort(F.collect_list(slot)), lambda p: p["v"])
+    return at.groupBy(F.col("__x.t").alias("tx"), F.col("__y.t").alias("ty")).agg(heights.alias("heights"))
+
+
+def sample_values(points: DataFrame, values: DataFrame, west: float, north: float, step: float, width: int, lon="lon", lat="lat", name: str = "geoid", tile: int = 64) -> DataFrame:
+    """As ``sample_grid``, of a grid of any size that has a row for each value (``tiles_of_values``)."""
+    rows = values.count() // width
+    if not rows:
+        return points.withColumn(name, F.lit(None).cast("double"))
+    return sample_tiles(points, tiles_of_values(values, width, rows, tile), west, north, step, width, rows, lon=lon, lat=lat, name=name, tile=tile)
+
+
 def sample_tiles(points: DataFrame, tiles: DataFrame, west: float, north: float, step: float, width: int, rows: int, lon="lon", lat="lat", name: str = "geoid", tile: int = 64) -> DataFrame:
     """Points with a value of a grid in tiles (``tiled_grid``), bilinear; beyond the grid its border holds. An equal join on the tile: the grid may be of
     any size, and a busy tile's points are Spark's to split."""

@@ -10,7 +10,7 @@ from orograph.functions import mesh as M
 from orograph.operators import catalogue, terrain, tiletree
 from orograph.plans.tables import query, table
 from orograph.plans.tree_plans import part_tree
-from orograph.shared import scratch
+from orograph.shared import numbered, scratch
 from orograph.sources import archives, binaries, files, texts
 
 
@@ -442,11 +442,11 @@ def geo17_georeference_errors(spark, sf_dir):
  SELECT k, round(h[l * w + c + 1] * (1 - u) * (1 - f) + h[l * w + c + 2] * u * (1 - f) + h[(l + 1) * w + c + 1] * (1 - u) * f + h[(l + 1) * w + c + 2] * u * f, 5) geoid FROM q""")
 def src17_geoid_grid(spark, sf_dir):
     """A regular grid of the parts' prices, forty wide, under points in and around it; cut into tiles with their neighbours' edges."""
-    grid = table(spark, sf_dir, "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_retailprice"))), lambda x: x["p_retailprice"]).alias("values"))
-    grid = grid.select(F.lit(-74.0).alias("west"), F.lit(5.0).alias("north"), F.lit(0.01).alias("step"), F.lit(40).alias("width"), F.slice("values", F.lit(1), (F.floor(F.size("values") / 40) * 40).cast("int")).alias("values"))
+    prices = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("value"))
+    values = numbered(prices, ["p_partkey"], "index")
     k = F.col("c_custkey")
     points = table(spark, sf_dir, "customer").select(k.alias("k"), (k % 57 * 0.0091 - 74.1).alias("lon"), (F.lit(5.05) - k % 61 * 0.0071).alias("lat"))
-    return terrain.sample_grid(points, grid, tile=16).select("k", F.round("geoid", 5).alias("geoid"))
+    return terrain.sample_values(points, values, -74.0, 5.0, 0.01, 40, tile=16).select("k", F.round("geoid", 5).alias("geoid"))
 
 
 @query("SELECT s_suppkey k, CAST(v AS VARCHAR) AS version, s_acctbal + v offset_x FROM supplier, (VALUES (1), (2)) t(v)")
