@@ -1,12 +1,14 @@
 """ZIP and ZIP64 archives as a Spark data source: ``spark.read.format("zip_entries").load(path)`` gives ``name, method, size, content, archive`` of the
 entries of an archive, or of all archives (``*.zip``) below a folder. ``write_archives`` is the way back.
 
-The driver reads the archive's directory by offsets only; each partition then reads its own range of entries. Stored and deflated entries are
+The driver lists archives and opens only those that are larger than a partition, to cut their directory into ranges; it keeps no entry. Each partition
+reads the directories (or the range of one) of its own archives, small ones together. Stored and deflated entries are
 supported; ``.gz`` members are opened too unless ``gunzip`` is false. Entries whose name doesn't begin with the option ``prefix`` are not read, and a filter on
 the name or the archive goes to the directory. The path is a local one or a URI that pyarrow's file systems open for reading by
 offsets (``file:``, ``hdfs:``, ``s3:``, ``gs:``, ``abfs:``); executors open it themselves."""
 
 import gzip
+import io
 import struct
 import zlib
 
@@ -19,6 +21,10 @@ SCHEMA = "name string, method int, size bigint, content binary, archive string"
 #: Fixed values of the format.
 END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 TAIL = 65_557
+#: Bytes of a directory that are read at once.
+BLOCK = 4 << 20
+#: Partitions, at least, that many small archives are dealt to.
+SPREAD = 200
 
 
 def opened(path: str):
@@ -27,12 +33,12 @@ def opened(path: str):
     return system.open_input_file(inner)
 
 
-def directory(f) -> list[tuple[str, int, int, int, int]]:
-    """(name, method, packed size, size, offset of the local header) of every entry of an open file."""
+def directory_range(f) -> tuple[int, int, int]:
+    """Number of entries, offset and size of the directory of an open file."""
     f.seek(0, 2)
     length = f.tell()
     f.seek(max(0, length - TAIL - 20))
-    base, tail = f.tell(), f.read()
+    tail = f.read()
     at = tail.rfind(END)
     if at < 0:
         raise ValueError("no end of a ZIP directory found")
@@ -46,9 +52,19 @@ def directory(f) -> list[tuple[str, int, int, int, int]]:
         if head[:4] != END64:
             raise ValueError("no ZIP64 end of directory found")
         count, size, offset = struct.unpack_from("<QQQ", head, 32)
+    return count, offset, size
+
+
+def entries_of(f, count: int, offset: int, size: int):
+    """((name, method, packed size, size, offset of the local header), offset of what follows in the directory) of entries of a range of the directory, read
+    a block at a time."""
+    data, at, base, end = b"", 0, offset, offset + size
     f.seek(offset)
-    data, at, out = f.read(size), 0, []
     for _ in range(count):
+        # an entry is 46 bytes and three texts of 65535 at most
+        if len(data) - at < 46 + 3 * 0xFFFF and base + len(data) < end:
+            base, data, at = base + at, data[at:], 0
+            data += f.read(min(BLOCK, end - base - len(data)))
         if data[at : at + 4] != ENTRY:
             raise ValueError("a broken entry in the ZIP directory")
         method, _, _, _, packed, real, n, m, k = struct.unpack_from("<HHHIIIHHH", data, at + 10)
@@ -63,9 +79,13 @@ def directory(f) -> list[tuple[str, int, int, int, int]]:
                 packed = wide.pop(0) if packed == 0xFFFFFFFF else packed
                 start = wide.pop(0) if start == 0xFFFFFFFF else start
             p += 4 + length_
-        out.append((name, method, packed, real, start))
         at += 46 + n + m + k
-    return out
+        yield (name, method, packed, real, start), base + at
+
+
+def directory(f) -> list[tuple[str, int, int, int, int]]:
+    """(name, method, packed size, size, offset of the local header) of every entry of an open file."""
+    return [e for e, _ in entries_of(f, *directory_range(f))]
 
 
 def content(f, entry, gunzip: bool = True) -> bytes:
@@ -85,9 +105,11 @@ def content(f, entry, gunzip: bool = True) -> bytes:
 
 
 class Entries(InputPartition):
-    def __init__(self, archive, entries):
+    """Archives, each with a range of its directory (count, offset, size), or null for all of it."""
+
+    def __init__(self, archives):
         super().__init__(0)
-        self.archive, self.entries = archive, entries
+        self.archives = archives
 
 
 #: Filters on text columns that the directory can answer.
@@ -109,38 +131,63 @@ class ZipReader(DataSourceReader):
                 yield f
 
     def archives(self):
+        """(path, bytes) in order of paths."""
         system, root = located(self.path)
-        if system.get_file_info(root).type != fs.FileType.Directory:
-            return [self.path]
+        info = system.get_file_info(root)
+        if info.type != fs.FileType.Directory:
+            return [(self.path, info.size or 0)]
         found = system.get_file_info(fs.FileSelector(root, recursive=True))
         # paths on the same file system; a URI keeps what stands before its path
         before = self.path[: len(self.path.rstrip("/")) - len(root)] if self.path.rstrip("/").endswith(root) else ""
-        return sorted(before + f.path for f in found if f.type == fs.FileType.File and f.path.endswith(".zip"))
+        return sorted((before + f.path, f.size or 0) for f in found if f.type == fs.FileType.File and f.path.endswith(".zip"))
+
+    def wanted(self, archive, name=None):
+        """By archive alone, or by an entry's name, too."""
+        own = {"archive": archive, "name": name}
+        return (name is None or (not name.endswith("/") and name.startswith(self.prefix))) and all(test(own[c], v) for c, test, v in self.tests if own[c] is not None)
+
+    def cut(self, archive):
+        """Ranges of a large archive's directory with wanted entries of about a partition's bytes each."""
+        with opened(archive) as f:
+            count, at, size_ = directory_range(f)
+            n = size = some = 0
+            start = at
+            for e, after in entries_of(f, count, at, size_):
+                packed = e[2] if self.wanted(archive, e[0]) else None
+                if packed is not None and some and size + packed > self.bytes:
+                    yield n, start, at - start
+                    n, size, some, start = 0, 0, 0, at
+                n, at = n + 1, after
+                if packed is not None:
+                    size, some = size + packed, some + 1
+            if some:
+                yield n, start, at - start
 
     def partitions(self):
-        parts = []
-        for archive in self.archives():
-            wanted = lambda e, a=archive: e[0].startswith(self.prefix) and all(test({"name": e[0], "archive": a}[c], v) for c, test, v in self.tests)
-            with opened(archive) as f:
-                entries = [e for e in directory(f) if not e[0].endswith("/") and wanted(e)]
-            group, size = [], 0
-            for e in sorted(entries, key=lambda e: e[4]):
-                if group and size + e[2] > self.bytes:
-                    parts.append(Entries(archive, group))
-                    group, size = [], 0
-                group.append(e)
-                size += e[2]
-            if group:
-                parts.append(Entries(archive, group))
-        return parts or [Entries(self.path, [])]
+        parts, group, size = [], [], 0
+        found = [x for x in self.archives() if self.wanted(x[0])]
+        # small archives share a partition, but not so that few tasks have all
+        most = min(self.bytes, max(sum(b for _, b in found) // SPREAD, 1 << 16))
+        for archive, bytes_ in found:
+            if bytes_ > self.bytes:
+                parts += [Entries([(archive, r)]) for r in self.cut(archive)]
+                continue
+            if group and size + bytes_ > most:
+                parts.append(Entries(group))
+                group, size = [], 0
+            group.append((archive, None))
+            size += bytes_
+        return parts + [Entries(group)] if group or not parts else parts
 
     def read(self, partition):
-        if not partition.entries:
-            return
-        with opened(partition.archive) as f:
-            for e in partition.entries:
-                data = content(f, e, self.gunzip)
-                yield e[0], e[1], len(data), data, partition.archive
+        for archive, range_ in partition.archives:
+            with opened(archive) as f:
+                # a small archive is read at once
+                source = f if range_ else io.BytesIO(f.read())
+                found = [e for e, _ in entries_of(source, *(range_ or directory_range(source))) if self.wanted(archive, e[0])]
+                for e in sorted(found, key=lambda e: e[4]):
+                    data = content(source, e, self.gunzip)
+                    yield e[0], e[1], len(data), data, archive
 
 
 class ZipEntries(DataSource):
@@ -163,7 +210,6 @@ def register(spark) -> None:
 
 def write_archives(entries, folder: str, packed: bool = True) -> None:
     """Writes entries (archive, name, content) as one ZIP each archive (a path below the folder). An archive is one file and so one task's work."""
-    import io
     import zipfile
 
     import pandas as pd
