@@ -78,6 +78,24 @@ def ranks(df: DataFrame, value, wanted: dict, by=()) -> DataFrame:
     return groups.join(found, met, "left").select(*(groups[c] for c in by), *wanted)
 
 
+def percentiles(df: DataFrame, value, wanted: dict) -> DataFrame:
+    """One row with the linear percentiles ``wanted`` (name to q) of a whole table, bit for bit those of ``linear``. Distinct values are counted, and their
+    counts added up by ranges over the cluster, so no task holds all values."""
+    from orograph.shared import running
+
+    counts = df.select(finite(value).alias("__v")).where("__v is not null").groupBy("__v").agg(F.count(F.lit(1)).alias("__c"))
+    placed = running(counts, [F.col("__v")], F.col("__c"), "__k")
+    placed = placed.crossJoin(F.broadcast(placed.agg(F.sum("__c").alias("__n"))))
+    ends, out = [], []
+    for i, (name, q) in enumerate(wanted.items()):
+        at = F.lit(float(q)) * (F.col("__n") - 1)
+        for end, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            ends.append(F.max(F.when((F.col("__k") > place) & (F.col("__k") - F.col("__c") <= place), F.col("__v"))).alias(f"__{end}{i}"))
+        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        out.append(F.when(lo == hi, lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi).alias(name))
+    return placed.agg(F.max("__n").alias("__n"), *ends).select(*out)
+
+
 def round_half_up(x) -> Column:
     """Halves go towards positive infinity: -2.5 gives -2."""
     return F.floor(_col(x) + 0.5)

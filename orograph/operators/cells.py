@@ -125,12 +125,13 @@ def suggested_adjustment(summaries: DataFrame) -> DataFrame:
 
 def error_report(df: DataFrame, error: str, z: str, ground: float = 0.2) -> DataFrame:
     """Median, p95 and the largest of errors and of their sizes, overall and below the z percentile ``ground``."""
-    cut = df.agg(Q.linear(z, ground).alias("cut"))
-    e = F.abs(error)
-    rows = df.crossJoin(F.broadcast(cut))
-    low = F.col(z) < F.col("cut")
+    rows = df.crossJoin(F.broadcast(Q.percentiles(df, z, {"cut": ground})))
+    e, low = F.abs(error), F.col(z) < F.col("cut")
     parts = [(n, w) for n, w in (("", F.lit(True)), ("ground_", low))]
-    return rows.agg(*(f(F.when(w, e)).alias(n + m) for n, w in parts for m, f in (("median", Q.median), ("p95", lambda v: Q.linear(v, 0.95)), ("max", F.max))), F.max(error).alias("max_signed"), F.min(error).alias("min_signed"))
+    ends = rows.agg(*(F.max(F.when(w, e)).alias(f"{n}max") for n, w in parts), F.max(error).alias("max_signed"), F.min(error).alias("min_signed"))
+    for n, w in parts:
+        ends = ends.crossJoin(F.broadcast(Q.percentiles(rows.where(w).select(e.alias("e")), "e", {f"{n}median": 0.5, f"{n}p95": 0.95})))
+    return ends.select(*(n + m for n, _ in parts for m in ("median", "p95", "max")), "max_signed", "min_signed")
 
 
 def extreme_rows(df: DataFrame, x="x", y="y") -> DataFrame:
