@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .graph import components
+from .graph import components, extended
 from .shared import materialise, own_names, packed, size_of, unpacked, with_verdicts
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -291,11 +291,11 @@ def _by_pivots(common: DataFrame, links: DataFrame, part: DataFrame, texts: Data
         x, y = x.alias("x"), y.alias("y")
         equal = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.component") != F.col("y.component"))
         enough = (F.col("x.most") >= F.col("y.n")) & (F.col("y.most") >= F.col("x.n")) & _near("x", "y")
-        found = verify(x.join(y, equal & enough).select(*_pair()).distinct(), texts).where("alike").select("a", "b")
+        found = materialise(verify(x.join(y, equal & enough).select(*_pair()).distinct(), texts).where("alike").select("a", "b"), "found")
         links = materialise(links.union(found).distinct(), "links")
         if last:
             return links
-        part = materialise(components(links, "a", "b"), "part", links.count())
+        part = materialise(extended(part, found), "part", 2 * links.count())
         common = materialise(common.join(pivots.select("hub", "id"), ["hub", "id"], "left_anti"), "common", count)
         count = common.count()
     return links
@@ -323,11 +323,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     part = materialise(components(links, "a", "b"), "part", count)
     star = member.select(F.col("hub.id").alias("hub"), "id", "n", "bits0", "bits1").distinct()
     sharing, common = _sharing(star, checked, part, count)
-    links = materialise(links.union(verify(sharing, texts).where("alike").select("a", "b")).distinct(), "links")
-    part = materialise(components(links, "a", "b"), "part", count)
+    found = materialise(verify(sharing, texts).where("alike").select("a", "b"), "sharing")
+    links = materialise(links.union(found).distinct(), "links")
+    part = materialise(extended(part, found), "part", count)
     more = _by_pivots(common, links, part, texts)
     if more is not links:
-        links, part = more, components(more, "a", "b")
+        links, part = more, extended(part, more)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     verdict = stands.join(part.select(F.col("id").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
     verdict = materialise(verdict.select("same", "copies", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "verdict")
