@@ -16,8 +16,12 @@ hold a group's values in one row, as ``percentile`` holds its distinct values: t
 the same for groups of any size.
 """
 
-from pyspark.sql import Column, DataFrame
+import math
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _col(x) -> Column:
@@ -34,6 +38,41 @@ def linear(x, q: float) -> Column:
     return F.percentile(finite(x), F.lit(float(q)))
 
 
+@F.arrow_udf(DoubleType())
+def _between(lo: pa.Array, hi: pa.Array, part: pa.Array) -> pa.Array:
+    rows = zip(lo.to_pylist(), hi.to_pylist(), part.to_pylist(), strict=True)
+    return pa.array([None if a is None or b is None else a if d == 0 else math.fma(a, 1 - d, b * d) for a, b, d in rows], pa.float64())
+
+
+def between(lo: Column, hi: Column, at: Column) -> Column:
+    """What lies at the place ``at`` between the values at its floor and its ceiling: ``lo * (1 - d) + hi * d`` with one rounding of product and sum, as
+    DuckDB's interpolated quantiles are computed. ``linear`` rounds the product too, so the two differ in last bits."""
+    return _between(lo, hi, at - F.floor(at))
+
+
+def fused(x, q: float) -> Column:
+    """``linear`` with the last bits of ``between``; holds a group's values in one row."""
+    values = F.array_sort(F.collect_list(finite(x)))
+    at = F.lit(float(q)) * (F.size(values) - 1)
+    pick = lambda i: F.get(values, i.cast("int"))
+    return between(pick(F.floor(at)), pick(F.ceil(at)), at)
+
+
+def placed_values(df: DataFrame, value: str, by) -> DataFrame:
+    """df, which has a row for each distinct value of a group and its count ``c``, with ``__k`` (rows up to the value) and ``__n`` (of the group); other than
+    finite values don't count. A group is sorted by one task, which doesn't hold it."""
+    w, c = Window.partitionBy(*by), F.when(finite(value).isNotNull(), F.col("c")).otherwise(0)
+    return df.withColumns({"__k": F.sum(c).over(w.orderBy(finite(value)).rowsBetween(Window.unboundedPreceding, 0)), "__n": F.sum(c).over(w)})
+
+
+def fused_of(value: str, q: float) -> Column:
+    """``fused`` as an aggregate of what ``placed_values`` gives."""
+    at = F.lit(float(q)) * (F.max("__n") - 1)
+    here = F.lit(float(q)) * (F.col("__n") - 1)
+    end = lambda i: F.max(F.when((F.col("__k") > i) & (F.col("__k") - F.col("c") <= i), finite(value)))
+    return between(end(F.floor(here)), end(F.ceil(here)), at)
+
+
 def median(x) -> Column:
     return F.median(finite(x))
 

@@ -1,7 +1,7 @@
 """Grid cells over survey points, and what a report says of their residuals.
 
 Cells are keyed by ``floor(x / size), floor(y / size)``, negative coordinates included. All is aggregation with partial sums except
-the exact percentiles of a cell, which hold the cell's values: choose the cell so that it stays small however large the survey is."""
+the exact percentiles of a cell, for which one task sorts the cell's distinct values: choose the cell so that it stays small however large the survey is."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,9 +33,16 @@ def grid_cells(df: DataFrame, x, y, z, size_x: float, size_y: float | None = Non
     definition: the quantile's (``linear`` or ``nearest_rank``). point: ``mean`` of the points or ``centre`` of the cell. A
     neighbour counts as occupied with a single point."""
     x, y, z = (F.col(c) if isinstance(c, str) else c for c in (x, y, z))
-    quantile = {"linear": Q.linear, "nearest_rank": Q.nearest_rank, "floor_rank": Q.floor_rank}[definition]
     keyed = occupied(df.select(x.alias("x"), y.alias("y"), z.alias("z")), F.col("x"), F.col("y"), size_x, size_y)
-    every = keyed.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n"), quantile("z", low).alias("p5"), quantile("z", high).alias("p95"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    if definition == "linear":
+        # equal values of a cell are one row
+        counts = keyed.groupBy("ix", "iy", "z").agg(F.count(F.lit(1)).alias("c"), *(f(a).alias(f"{n}_{a}") for a in ("x", "y") for n, f in (("sum", F.sum), ("count", F.count))))
+        ends = [Q.fused_of("z", q).alias(n) for n, q in (("p5", low), ("p95", high))]
+        means = [(F.sum(f"sum_{a}") / F.sum(f"count_{a}")).alias(f"c{a}") for a in ("x", "y")]
+        every = Q.placed_values(counts, "z", ("ix", "iy")).groupBy("ix", "iy").agg(F.sum("c").alias("n"), *ends, *means)
+    else:
+        quantile = {"nearest_rank": Q.nearest_rank, "floor_rank": Q.floor_rank}[definition]
+        every = keyed.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n"), quantile("z", low).alias("p5"), quantile("z", high).alias("p95"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
     if point == "centre":
         every = every.withColumns({"cx": (F.col("ix") + 0.5) * size_x, "cy": (F.col("iy") + 0.5) * (size_y or size_x)})
     every = every.withColumn("disp", F.col("p95") - F.col("p5"))
@@ -68,7 +75,7 @@ def is_open(dispersion: float, column: str = "disp") -> Column:
 def summary(value: Column, where: Column | None = None, digits: int = 2, definition: str = "linear") -> Column:
     """struct<cells, median, q1, q3, iqr> of a selection, rounded; a count of 0 and nulls for an empty one."""
     v = value if where is None else F.when(where, value)
-    quantile = {"linear": Q.linear, "nearest_rank": Q.nearest_rank, "floor_rank": Q.floor_rank}[definition]
+    quantile = {"linear": Q.fused, "nearest_rank": Q.nearest_rank, "floor_rank": Q.floor_rank}[definition]
     q1, q2, q3 = (quantile(v, q) for q in (0.25, 0.5, 0.75))
     return F.struct(F.count(v).alias("cells"), Q.fixed(q2, digits).alias("median"), Q.fixed(q1, digits).alias("q1"), Q.fixed(q3, digits).alias("q3"), Q.fixed(q3 - q1, digits).alias("iqr"))
 
@@ -114,7 +121,7 @@ def after_fit(df: DataFrame, plane: DataFrame, x="x", y="y", r="res") -> DataFra
     """``iqr`` of what the plane leaves, and its tilt in degrees. The plane is one row."""
     left = df.crossJoin(F.broadcast(plane.select("a", "b", "c").limit(1)))
     rest = F.col(r) - (F.col("a") * F.col(x) + F.col("b") * F.col(y) + F.col("c"))
-    return left.agg((Q.linear(rest, 0.75) - Q.linear(rest, 0.25)).alias("iqr"), F.degrees(F.atan(F.sqrt(F.first("a") ** 2 + F.first("b") ** 2))).alias("tilt"))
+    return left.agg((Q.fused(rest, 0.75) - Q.fused(rest, 0.25)).alias("iqr"), F.degrees(F.atan(F.sqrt(F.first("a") ** 2 + F.first("b") ** 2))).alias("tilt"))
 
 
 def suggested_adjustment(summaries: DataFrame) -> DataFrame:
