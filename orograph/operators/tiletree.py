@@ -1,5 +1,6 @@
 """Trees of tiles as node tables: ``node_id, parent_id, ord`` and what a tile has. Folds go level by level, each an aggregation and
-a join, so a tree of any width is handled by the cluster; the driver only counts levels."""
+a join, so a tree of any width is handled by the cluster; the driver only counts levels. Joins are merges by hint: what Spark expects of a table that was
+written in between is far below its size, and a broadcast would take whole levels through the driver."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from orograph.shared import numbered, settled
 
 def leaves(nodes: DataFrame) -> DataFrame:
     parents = nodes.where(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("node_id")).distinct()
-    return nodes.join(parents, "node_id", "left_anti")
+    return nodes.hint("merge").join(parents, "node_id", "left_anti")
 
 
 def depths(nodes: DataFrame, most: int = 1000) -> DataFrame:
@@ -24,9 +25,10 @@ def depths(nodes: DataFrame, most: int = 1000) -> DataFrame:
         if seen > most:
             raise ValueError("the parents of some nodes form a cycle or a tree is too deep")
         above = state.select(F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("root").alias("r2"))
-        state = state.join(above, "up", "left").select("node_id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("r2", "root").alias("root")).transform(settled)
+        state = state.hint("merge").join(above, "up", "left").select("node_id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("r2", "root").alias("root")).transform(settled)
         seen *= 2
-    return nodes.join(state.select("node_id", "depth", "root"), "node_id")
+    # written once, as walks read it at every level
+    return settled(nodes.hint("merge").join(state.select("node_id", "depth", "root"), "node_id"))
 
 
 def transforms(nodes: DataFrame) -> DataFrame:
@@ -35,7 +37,7 @@ def transforms(nodes: DataFrame) -> DataFrame:
     level, deepest = done, nodes.agg(F.max("depth")).first()[0] or 0
     for d in range(1, deepest + 1):
         up = level.select(F.col("node_id").alias("parent_id"), F.col("world").alias("__up"))
-        level = nodes.where(F.col("depth") == d).join(up, "parent_id").withColumn("world", matrix.product(F.col("__up"), F.col("transform"))).select(*done.columns).transform(settled)
+        level = nodes.where(F.col("depth") == d).hint("merge").join(up, "parent_id").withColumn("world", matrix.product(F.col("__up"), F.col("transform"))).select(*done.columns).transform(settled)
         done = done.unionByName(level)
     return done
 
@@ -54,7 +56,7 @@ def fold(nodes: DataFrame, factor: float = 16.0) -> DataFrame:
             ends = [box_range("box", k) for k in range(3)]
             up = below.groupBy(F.col("parent_id").alias("node_id")).agg(
                 F.array(*(F.min(e[0]) for e in ends)).alias("__lo"), F.array(*(F.max(e[1]) for e in ends)).alias("__hi"), F.max("error").alias("__error"))
-            level = level.join(up, "node_id", "left")
+            level = level.hint("merge").join(up, "node_id", "left")
         lo = [F.least(F.get("lo", F.lit(k)), F.get("__lo", F.lit(k))) for k in range(3)]
         hi = [F.greatest(F.get("hi", F.lit(k)), F.get("__hi", F.lit(k))) for k in range(3)]
         leaf, mesh = F.col("__error").isNull(), F.col("lo").isNotNull()
@@ -126,10 +128,10 @@ def first_view(nodes: DataFrame) -> DataFrame:
     at = nodes.where("depth = 0").select("root", "node_id", "uri")
     found = None
     while at.limit(1).count():
-        here = at.join(children, "node_id", "left").transform(settled)
+        here = at.hint("merge").join(children, "node_id", "left").transform(settled)
         stop = here.where(F.col("uri").isNotNull() | F.coalesce(F.col("k") != 1, F.lit(True))).select("root", "node_id", "uri")
         found = stop if found is None else found.unionByName(stop)
-        at = here.where(F.col("uri").isNull() & (F.col("k") == 1)).select("root", F.col("only").alias("node_id")).join(nodes.select("node_id", "uri"), "node_id").select("root", "node_id", "uri").transform(settled)
+        at = here.where(F.col("uri").isNull() & (F.col("k") == 1)).select("root", F.col("only").alias("node_id")).hint("merge").join(nodes.select("node_id", "uri"), "node_id").select("root", "node_id", "uri").transform(settled)
     return found if found is not None else at
 
 
@@ -140,12 +142,12 @@ def subtrees(nodes: DataFrame, least_tiles: int = 1500, least_level: int = 2, le
     cut = width.groupBy("root").agg(F.sum("wide").alias("tiles"), F.min(F.when((F.col("depth") >= least_level) & (F.col("wide") >= least_wide), F.col("depth"))).alias("cut")).where((F.col("tiles") > least_tiles) & F.col("cut").isNotNull())
     inner = nodes.where(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("node_id")).distinct()
     level = nodes.join(cut.select("root", "cut"), "root", "left")
-    state = level.where(F.col("depth") == F.col("cut")).join(inner, "node_id", "left_semi").select("node_id", F.col("node_id").alias("subtree_id")).transform(settled)
+    state = level.where(F.col("depth") == F.col("cut")).hint("merge").join(inner, "node_id", "left_semi").select("node_id", F.col("node_id").alias("subtree_id")).transform(settled)
     done = state
     while state.limit(1).count():
-        state = nodes.join(state.withColumnRenamed("node_id", "parent_id"), "parent_id").select("node_id", "subtree_id").transform(settled)
+        state = nodes.hint("merge").join(state.withColumnRenamed("node_id", "parent_id"), "parent_id").select("node_id", "subtree_id").transform(settled)
         done = done.unionByName(state)
-    return nodes.join(done, "node_id", "left")
+    return nodes.hint("merge").join(done, "node_id", "left")
 
 
 def levels_bottom_up(nodes: DataFrame, leaf_table: DataFrame, combine) -> DataFrame:
@@ -153,11 +155,11 @@ def levels_bottom_up(nodes: DataFrame, leaf_table: DataFrame, combine) -> DataFr
     parent_id); what it makes of one level is written before the next starts."""
     ids = nodes.select("node_id", "parent_id", "depth")
     deepest = ids.agg(F.max("depth")).first()[0] or 0
-    leaves_ = leaf_table.join(ids, "node_id").transform(settled)
+    leaves_ = leaf_table.hint("merge").join(ids, "node_id").transform(settled)
     done = leaves_
     level = leaves_.where(F.col("depth") == deepest)
     for d in range(deepest, 0, -1):
-        made = combine(level).join(ids, "node_id").select(*leaves_.columns).transform(settled)
+        made = combine(level).hint("merge").join(ids, "node_id").select(*leaves_.columns).transform(settled)
         done = done.unionByName(made)
         # what combine makes is one level up; leaves of that level join it
         level = leaves_.where(F.col("depth") == d - 1).unionByName(made)
@@ -170,7 +172,7 @@ def dfs_order(nodes: DataFrame, separator: str = "/") -> DataFrame:
     done = level = nodes.where("depth = 0").withColumn("dfs", key)
     for d in range(1, (nodes.agg(F.max("depth")).first()[0] or 0) + 1):
         up = level.select(F.col("node_id").alias("parent_id"), F.col("dfs").alias("__up"))
-        level = nodes.where(F.col("depth") == d).join(up, "parent_id").withColumn("dfs", F.concat("__up", F.lit(separator), key)).select(*done.columns).transform(settled)
+        level = nodes.where(F.col("depth") == d).hint("merge").join(up, "parent_id").withColumn("dfs", F.concat("__up", F.lit(separator), key)).select(*done.columns).transform(settled)
         done = done.unionByName(level)
     return done
 

@@ -12,7 +12,7 @@ def part_tree(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(k.alias("node_id"), F.floor(k / 10).alias("parent_id"), (k % 10).cast("int").alias("ord"), F.col("p_retailprice").alias("bytes"), (k % 13 * 1.0).alias("x"), (k % 7 * 1.0).alias("y"), (k % 5 * 1.0).alias("z"), ((k % 101 + 1) / 1000).alias("texel"))
     ids = rows.select("node_id")
     # parents that are no parts themselves: only the root, 0
-    root = rows.select(F.col("parent_id").alias("node_id")).distinct().join(ids, "node_id", "left_anti").select("node_id", F.lit(None).cast("long").alias("parent_id"), F.lit(0).alias("ord"), *(F.lit(None).cast("double").alias(c) for c in ("bytes", "x", "y", "z", "texel")))
+    root = rows.select(F.col("parent_id").alias("node_id")).distinct().hint("merge").join(ids, "node_id", "left_anti").select("node_id", F.lit(None).cast("long").alias("parent_id"), F.lit(0).alias("ord"), *(F.lit(None).cast("double").alias(c) for c in ("bytes", "x", "y", "z", "texel")))
     parent = F.when(F.col("node_id") == 0, None).otherwise(F.col("parent_id"))
     return rows.unionByName(root).withColumn("parent_id", parent)
 
@@ -120,4 +120,4 @@ def geo14_tree_rebuild(spark, sf_dir):
     nodes = tiletree.depths(part_tree(spark, sf_dir))
     leaf = tiletree.leaves(nodes).select("node_id", F.lit(1).cast("long").alias("k"), "bytes")
     made = tiletree.levels_bottom_up(nodes, leaf, _joined)
-    return made.join(leaf.select("node_id"), "node_id", "left_anti").select("node_id", "k", F.round("bytes", 2).alias("bytes"))
+    return made.hint("merge").join(leaf.select("node_id"), "node_id", "left_anti").select("node_id", "k", F.round("bytes", 2).alias("bytes"))
