@@ -19,10 +19,10 @@ def _text(c):
 
 
 def _line_files(rows, spark, what):
-    """Writes lines (survey, place columns, value) as one text file a survey; the folder."""
+    """Writes lines (survey, place columns, value) as a text a survey, in parts of which each task writes those of its range; the folder."""
     path = scratch(spark, what)
     order = [c for c in rows.columns if c != "value"]
-    rows.repartition("survey").sortWithinPartitions(*order).select("survey", "value").write.partitionBy("survey").text(path)
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("survey", "value").write.partitionBy("survey").text(path)
     return path
 
 
@@ -46,26 +46,26 @@ def obj_of_parts(spark, sf_dir):
 
 @query("SELECT p_size survey, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) vid, p_partkey / 8.0::DOUBLE x, p_retailprice y, CAST(p_size AS DOUBLE) z, '0.5 ' || p_partkey % 3 rest FROM part")
 def src09_obj_vertices(spark, sf_dir):
-    found = texts.obj_vertices(texts.read_lines(spark, obj_of_parts(spark, sf_dir)))
+    found = texts.obj_vertices(texts.read_lines(spark, obj_of_parts(spark, sf_dir), parts=True))
     return found.select(_survey(), "vid", "x", "y", "z", "rest")
 
 
 @query("SELECT p_size survey, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) tid, p_partkey % 16 / 16.0::DOUBLE u, 0.25::DOUBLE v FROM part")
 def src10_obj_texture_vertices(spark, sf_dir):
-    return texts.obj_texture_vertices(texts.read_lines(spark, obj_of_parts(spark, sf_dir))).select(_survey(), "tid", "u", "v")
+    return texts.obj_texture_vertices(texts.read_lines(spark, obj_of_parts(spark, sf_dir), parts=True)).select(_survey(), "tid", "u", "v")
 
 
 @query("SELECT DISTINCT p_size survey, 'm' || p_size || '.mtl' \"library\" FROM part")
 def src10_obj_libraries(spark, sf_dir):
-    return texts.obj_libraries(texts.read_lines(spark, obj_of_parts(spark, sf_dir))).select(_survey(), "library")
+    return texts.obj_libraries(texts.read_lines(spark, obj_of_parts(spark, sf_dir), parts=True)).select(_survey(), "library")
 
 
 @query("SELECT p_size survey, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) vid, round(p_partkey / 8.0::DOUBLE - 100.5, 4) x, round(p_retailprice - 0.125, 4) y, p_size + 7.0::DOUBLE z, '0.5 ' || p_partkey % 3 rest FROM part")
 def snk08_shifted_obj(spark, sf_dir):
     """Moved, written again and read once more."""
-    lines = texts.shifted_obj(texts.numbered_lines(spark, obj_of_parts(spark, sf_dir)), 100.5, 0.125, -7)
+    lines = texts.shifted_obj(texts.numbered_lines(spark, obj_of_parts(spark, sf_dir), parts=True), 100.5, 0.125, -7)
     again = _line_files(lines.select(_survey(), "line", "value"), spark, "shifted")
-    return texts.obj_vertices(texts.read_lines(spark, again)).select(_survey(), "vid", "x", "y", "z", "rest")
+    return texts.obj_vertices(texts.read_lines(spark, again, parts=True)).select(_survey(), "vid", "x", "y", "z", "rest")
 
 
 FACES = """f AS (SELECT l_linenumber survey, row_number() OVER w fid, count(CASE WHEN l_orderkey % 5 = 0 THEN 1 END) OVER (w ROWS UNBOUNDED PRECEDING) grp, l_orderkey k, l_partkey a, l_suppkey b, l_linenumber c FROM lineitem WINDOW w AS (PARTITION BY l_linenumber ORDER BY l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice)),
@@ -82,7 +82,7 @@ def src10_obj_faces(spark, sf_dir):
     face = F.concat_ws(" ", F.lit("f"), at("a", "b"), at("b", "a"), at("c", "c"), F.when(F.col("k") % 2 == 0, at("a", "c")))
     place = ("survey", "k", *order[1:])
     rows = l.select(*place, F.lit(1).alias("part"), face.alias("value")).unionByName(l.where("k % 5 = 0").select(*place, F.lit(0).alias("part"), F.concat(F.lit("usemtl stone "), "b").alias("value")))
-    found = texts.obj_faces(texts.read_lines(spark, _line_files(rows, spark, "faces")))
+    found = texts.obj_faces(texts.read_lines(spark, _line_files(rows, spark, "faces"), parts=True))
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
     return found.select(_survey(), "fid", "material", joined("corners"), joined("textures"))
 
@@ -92,7 +92,7 @@ def src11_mtl_textures(spark, sf_dir):
     """An MTL file for each nation."""
     lines = F.array(F.concat(F.lit("newmtl slate "), _text("s_suppkey")), F.lit("Kd 1 1 1"), F.concat(F.lit("  map_Kd tex "), _text("s_suppkey"), F.lit(".jpg")))
     rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("survey"), F.col("s_suppkey").alias("k"), F.posexplode(lines).alias("at", "value"))
-    return texts.mtl_textures(texts.read_lines(spark, _line_files(rows, spark, "mtl"))).select(_survey(), "material", "texture")
+    return texts.mtl_textures(texts.read_lines(spark, _line_files(rows, spark, "mtl"), parts=True)).select(_survey(), "material", "texture")
 
 
 @query("SELECT s_nationkey survey, 's' || s_suppkey slug, s_name || ' final.slpk' file FROM supplier")
@@ -100,7 +100,7 @@ def src23_job_list(spark, sf_dir):
     """Lists of jobs with comments and empty lines between them; names have blanks."""
     lines = F.array(F.lit("# a comment"), F.lit(""), F.concat(F.lit("s"), _text("s_suppkey"), F.lit(" "), "s_name", F.lit(" final.slpk")))
     rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("survey"), F.col("s_suppkey").alias("k"), F.posexplode(lines).alias("at", "value"))
-    read = texts.read_lines(spark, _line_files(rows, spark, "jobs"))
+    read = texts.read_lines(spark, _line_files(rows, spark, "jobs"), parts=True)
     jobs = texts.job_list(read)
     return jobs.join(table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), _text("s_suppkey")).alias("slug"), F.col("s_nationkey").alias("survey")), "slug").select("survey", "slug", "file")
 
