@@ -277,7 +277,9 @@ def _by_pivots(common: DataFrame, links: DataFrame, part: DataFrame, texts: Data
         of = common.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
         sizes = of.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("hub").agg(F.max(F.struct("k", "component")).alias("major"))
         of = materialise(of.join(sizes.select("hub", F.col("major.component").alias("major")), "hub"), "members", count)
-        x, y = _cells(of.where("component != major"), False), _cells(of, True)
+        rest = of.where("component != major")
+        # of the two sides the smaller one has its neighbours' cells: a hub's largest component is a row for each member
+        x, y = _cells(rest, True), _cells(of, False)
         key = ["hub", "band", "cell"]
         met = x.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("nx")).join(y.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("ny")), [*key, "component"], "full")
         met = met.groupBy(*key).agg(F.sum("nx").alias("nx"), F.sum("ny").alias("ny"), F.sum(F.col("nx") * F.col("ny")).alias("same"))
@@ -286,8 +288,9 @@ def _by_pivots(common: DataFrame, links: DataFrame, part: DataFrame, texts: Data
             return links
         last = turn == ROUNDS or pairs <= MANY * count + ANYWAY
         if not last:
-            pivots = materialise(x.groupBy(*key).agg(F.min(F.struct("id", *(c for c in x.columns if c not in (*key, "id")))).alias("p")).select(*key, "p.*"), "pivots", count)
-            x = pivots
+            alone = _cells(rest, False)
+            pivots = materialise(alone.groupBy(*key).agg(F.min(F.struct("id", *(c for c in rest.columns if c not in ("hub", "id")))).alias("p")).select("hub", "p.*"), "pivots", count)
+            x = _cells(pivots, True)
         x, y = x.alias("x"), y.alias("y")
         equal = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.component") != F.col("y.component"))
         enough = (F.col("x.most") >= F.col("y.n")) & (F.col("y.most") >= F.col("x.n")) & _near("x", "y")

@@ -133,6 +133,23 @@ def test_pivots_find_what_all_pairs_find(spark, monkeypatch, anyway):
     assert {i: found.get(i, i) for i, _ in table} == want
 
 
+def test_a_large_component_has_one_cell_a_member(spark, monkeypatch):
+    """Of a star's members only those outside its largest component are repeated for the cells beside their own."""
+    repeated, inner = [], near_dedup._cells
+
+    def seen(rows, around):
+        if around:
+            repeated.append(rows.count())
+        return inner(rows, around)
+
+    monkeypatch.setattr(near_dedup, "_cells", seen)
+    monkeypatch.setattr(near_dedup, "verify", lambda pairs, texts: pairs.selectExpr("a", "b", "true alike"))
+    common = spark.createDataFrame([(0, i, 100 + i % 5, 0, 0, 10 + i % 3, 900) for i in range(1, 301)], "hub long, id long, n long, bits0 long, bits1 long, lacks int, most long")
+    part = spark.createDataFrame([(i, 1) for i in range(1, 299)], "id long, component long")
+    links = near_dedup._by_pivots(common, spark.createDataFrame([], "a long, b long"), part, None)
+    assert {(r.a, r.b) for r in links.collect()} == {(i, j) for j in (299, 300) for i in range(1, j)} and repeated and max(repeated) == 2
+
+
 def shingled(text):
     data = np.frombuffer(text.encode(), np.uint8)
     return near_dedup.shingles(data, np.array([0, len(data)]))[0]
