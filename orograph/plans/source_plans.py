@@ -330,7 +330,7 @@ def src12_tilesets(spark, sf_dir):
         F.array_repeat(F.lit(1.0), 12).alias("box"), F.when(F.col("node_id") == 7, F.array_repeat(F.lit(2.0), 16)).alias("transform"))
     path = scratch(spark, "tilesets")
     texts.write_tilesets(nodes, path)
-    read = texts.read_tilesets(spark, path)
+    read = texts.read_tilesets(spark, path, parts=True)
     up = read.select(F.col("node_id").alias("parent_id"), F.col("uri").alias("parent"))
     return read.join(up, "parent_id", "left").select("uri", "parent", F.col("geometric_error").alias("error"))
 
@@ -465,4 +465,4 @@ def snk10_root_transform(spark, sf_dir):
     nodes = t.select(F.lit("parts").alias("tileset"), "node_id", "parent_id", "ord", "depth", F.when(F.col("node_id") > 0, _text("node_id")).alias("uri"), F.lit(1.0).alias("geometric_error"), F.array_repeat(F.lit(1.0), 12).alias("box"), F.lit(None).cast("array<double>").alias("transform"))
     path = scratch(spark, "turned")
     texts.write_tilesets(texts.with_root_transform(nodes, range(100, 116)), path)
-    return texts.read_tilesets(spark, path).select("uri", F.col("parent_id").isNull().alias("is_root"), F.get("transform", F.lit(12)).alias("shift"))
+    return texts.read_tilesets(spark, path, parts=True).select("uri", F.col("parent_id").isNull().alias("is_root"), F.get("transform", F.lit(12)).alias("shift"))
