@@ -3,6 +3,7 @@
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -38,6 +39,21 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20):
+    """Contents of files are long: jobs within pass at most so many rows and about so many bytes at a time to and from Python. The session's own limits are back
+    afterwards."""
+    limits = {f"spark.sql.execution.arrow.{k}": v for k, v in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size))}
+    before = {k: spark.conf.get(k) for k in limits}
+    for k, v in limits.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def up_to(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, 0)
 

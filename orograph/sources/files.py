@@ -5,6 +5,8 @@ phases: tasks write below a folder of their own beside the target, a retried tas
 driver rename that folder to the target. So a tree's files appear together or not at all; what stood there before is kept as ``<folder>.backup``
 (one, the last). If a task fails for good, the target stays as it was. Without overwrite the target must not exist. Reading is Spark's ``binaryFile``.
 
+Rows of a path may also be the pieces of its file (option ``pieces``), in its order and one after the other in a partition.
+
 ``spark.read.format("float_triples").load(path)`` reads files of flat little-endian doubles, three to a row (``x, y, z``), in partitions of bounded size.
 
 Paths are local ones or URIs that pyarrow's file systems open; executors open them themselves."""
@@ -12,12 +14,15 @@ Paths are local ones or URIs that pyarrow's file systems open; executors open th
 import os
 import uuid
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from orograph.shared import small_batches
+
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path, and the path on it."""
@@ -34,8 +39,8 @@ class Written(WriterCommitMessage):
 
 
 class FileRowsWriter(DataSourceWriter):
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite = path.rstrip("/"), overwrite
+    def __init__(self, path: str, overwrite: bool, pieces: bool = False):
+        self.path, self.overwrite, self.pieces = path.rstrip("/"), overwrite, pieces
         self.staging = f"{self.path}.staging-{uuid.uuid4().hex}"
 
     def write(self, iterator):
@@ -43,15 +48,18 @@ class FileRowsWriter(DataSourceWriter):
 
         system, root = located(self.staging)
         attempt, n = TaskContext.get().taskAttemptId(), 0
-        for row in iterator:
-            name = row["path"]
+        # rows of one path that follow each other are pieces of its file
+        for name, pieces in groupby(iterator, key=lambda row: row["path"]):
             if name.startswith("/") or ".." in name.split("/"):
                 raise ValueError(f"{name} is not a path below the folder")
             target = f"{root}/{name}"
             system.create_dir(target.rpartition("/")[0], recursive=True)
             # a file has its name only when it is whole
             with system.open_output_stream(f"{target}.{attempt}") as f:
-                f.write(bytes(row["content"]))
+                for k, row in enumerate(pieces):
+                    if k and not self.pieces:
+                        raise ValueError(f"two rows have the path {name}")
+                    f.write(bytes(row["content"]))
             system.move(f"{target}.{attempt}", target)
             n += 1
         return Written(n)
@@ -89,7 +97,7 @@ class FileRows(DataSource):
         return "path string, content binary"
 
     def writer(self, schema, overwrite):
-        return FileRowsWriter(self.options["path"], overwrite)
+        return FileRowsWriter(self.options["path"], overwrite, self.options.get("pieces", "false").lower() == "true")
 
 
 @dataclass
@@ -147,7 +155,9 @@ def register(spark) -> None:
         spark.dataSource.register(source)
 
 
-def write_files(rows, folder: str, overwrite: bool = True) -> None:
-    """Writes rows (path, content) below a folder, all or none."""
+def write_files(rows, folder: str, overwrite: bool = True, pieces: bool = False) -> None:
+    """Writes rows (path, content) below a folder, all or none. pieces: rows of a path are in one partition and follow each other; together they are its file, of which a
+    task holds a batch at a time."""
     register(rows.sparkSession)
-    rows.select("path", "content").write.format("file_rows").mode("overwrite" if overwrite else "append").save(folder)
+    with small_batches(rows.sparkSession):
+        rows.select("path", "content").write.format("file_rows").option("pieces", str(pieces).lower()).mode("overwrite" if overwrite else "append").save(folder)
