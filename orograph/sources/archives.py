@@ -12,9 +12,13 @@ import io
 import struct
 import zlib
 
+import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, StringEndsWith, StringStartsWith
+from pyspark.sql.types import BinaryType
 
+from orograph.shared import Ranges, small_batches
 from orograph.sources.files import located, write_files
 
 SCHEMA = "name string, method int, size bigint, content binary, archive string"
@@ -208,17 +212,78 @@ def register(spark) -> None:
     spark.dataSource.register(ZipEntries)
 
 
-def write_archives(entries, folder: str, packed: bool = True) -> None:
-    """Writes entries (archive, name, content) as one ZIP each archive (a path below the folder). An archive is one file and so one task's work."""
-    import zipfile
+#: Bytes of contents that are packed at once, about.
+FRAME = 4 << 20
+#: Values of a field that is in the ZIP64 part instead.
+WIDE, WIDE_COUNT = 0xFFFFFFFF, 0xFFFF
+#: Fixed values of an entry's head: the first day that the format knows, a name in UTF-8.
+DAY, UTF8 = 33, 0x800
+
+
+def packed_entry(name: str, data: bytes, packed: bool = True) -> tuple[bytes, int, int, int]:
+    """An entry as it stands in an archive, with its local header, and what the directory must know: checksum, packed size and size."""
+    if len(data) >= WIDE:
+        raise ValueError(f"{name}: an entry of 4 GB or more is not supported")
+    crc, body = zlib.crc32(data), data
+    if packed:
+        deflate = zlib.compressobj(-1, zlib.DEFLATED, -15)
+        body = deflate.compress(data) + deflate.flush()
+    raw = name.encode()
+    head = struct.pack("<HHHHHIIIHH", 20, UTF8, 8 if packed else 0, 0, DAY, crc, len(body), len(data), len(raw), 0)
+    return LOCAL + head + raw + body, crc, len(body), len(data)
+
 
-    import pandas as pd
+def directory_entry(name: str, crc: int, packed: int, size: int, start: int, deflated: bool) -> bytes:
+    """An entry's record in the directory; places beyond 4 GB are in its ZIP64 part."""
+    raw, extra = name.encode(), b"" if start < WIDE else struct.pack("<HHQ", 1, 8, start)
+    fields = struct.pack("<HHHHHHIIIHHHHHII", 45, 45 if extra else 20, UTF8, 8 if deflated else 0, 0, DAY, crc, packed, size, len(raw), len(extra), 0, 0, 0, 0x1800000, min(start, WIDE))
+    return ENTRY + fields + raw + extra
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED if packed else zipfile.ZIP_STORED) as z:
-            for name, data in sorted(zip(pdf.name, pdf.content, strict=True)):
-                z.writestr(zipfile.ZipInfo(name), bytes(data), zipfile.ZIP_DEFLATED if packed else zipfile.ZIP_STORED)
-        return pd.DataFrame({"path": [pdf.archive.iloc[0]], "content": [out.getvalue()]})
 
-    write_files(entries.select("archive", "name", "content").groupBy("archive").applyInPandas(build, "path string, content binary"), folder)
+def directory_end(count: int, size: int, start: int) -> bytes:
+    """What stands behind a directory of so many entries and bytes."""
+    last = END + struct.pack("<HHHHIIH", 0, 0, min(count, WIDE_COUNT), min(count, WIDE_COUNT), min(size, WIDE), min(start, WIDE), 0)
+    if count < WIDE_COUNT and size < WIDE and start < WIDE:
+        return last
+    return END64 + struct.pack("<QHHIIQQQQ", 44, 45, 45, 0, 0, count, count, size, start) + LOCATOR64 + struct.pack("<IQI", 0, start + size, 1) + last
+
+
+def write_archives(entries, folder: str, packed: bool = True) -> None:
+    """Writes entries (archive, name, content) as one ZIP each archive (a path below the folder), entries in the order of names.
+
+    Entries are packed where they are, and their places are running sums over ranges of names. Only the joining of pieces to a file is one task's work; it holds a
+    batch of them at a time."""
+
+    def pack(batches):
+        for batch in batches:
+            archive, name, data = (batch.column(c) for c in range(3))
+            at = 0
+            while at < len(batch):
+                found, end, size = [], at, 0
+                while end < len(batch) and (end == at or size < FRAME):
+                    value = data[end].as_py() or b""
+                    found.append(packed_entry(name[end].as_py(), value, packed))
+                    end, size = end + 1, size + len(value)
+                piece, crc, small, real = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([archive.slice(at, end - at), name.slice(at, end - at), pa.array(piece, pa.binary()), *(pa.array(c, pa.int64()) for c in (crc, small, real))], ["archive", "name", "piece", "crc", "packed", "size"])
+                at = end
+
+    @F.arrow_udf(BinaryType())
+    def record(name: pa.Array, crc: pa.Array, small: pa.Array, size: pa.Array, start: pa.Array) -> pa.Array:
+        rows = zip(*(c.to_pylist() for c in (name, crc, small, size, start)), strict=True)
+        return pa.array([directory_entry(*row, packed) for row in rows], pa.binary())
+
+    @F.arrow_udf(BinaryType())
+    def ending(count: pa.Array, size: pa.Array, start: pa.Array) -> pa.Array:
+        return pa.array([directory_end(*row) for row in zip(*(c.to_pylist() for c in (count, size, start)), strict=True)], pa.binary())
+
+    with small_batches(entries.sparkSession):
+        made = entries.select("archive", "name", F.col("content").cast("binary").alias("content")).mapInArrow(pack, "archive string, name string, piece binary, crc long, packed long, size long")
+        placed = Ranges(made, ["name"], ["archive"]).total(F.length("piece").cast("long"), "end").total(F.lit(1).cast("long"), "number").frame()
+    placed = placed.withColumn("start", F.col("end") - F.length("piece"))
+    listed = placed.select("archive", "number", record("name", "crc", "packed", "size", "start").alias("content"))
+    ends = placed.groupBy("archive").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("name") + 46 + F.when(F.col("start") < WIDE, 0).otherwise(12)).alias("bytes"), F.max("end").alias("start"))
+    pieces = placed.select("archive", F.lit(0).alias("section"), "number", F.col("piece").alias("content")).unionByName(listed.select("archive", F.lit(1).alias("section"), "number", "content"))
+    pieces = pieces.unionByName(ends.select("archive", F.lit(2).alias("section"), F.lit(0).cast("long").alias("number"), ending("n", "bytes", "start").alias("content")))
+    order = ("archive", "section", "number")
+    write_files(pieces.repartition("archive").sortWithinPartitions(*order).select(F.col("archive").alias("path"), "content"), folder, pieces=True)
