@@ -11,6 +11,7 @@ import gzip
 import io
 import struct
 import zlib
+from itertools import groupby
 
 import pyarrow as pa
 from pyarrow import fs
@@ -268,6 +269,12 @@ def write_archives(entries, folder: str, packed: bool = True) -> None:
                 yield pa.RecordBatch.from_arrays([archive.slice(at, end - at), name.slice(at, end - at), pa.array(piece, pa.binary()), *(pa.array(c, pa.int64()) for c in (crc, small, real))], ["archive", "name", "piece", "crc", "packed", "size"])
                 at = end
 
+    def joined(batches):
+        # the small pieces of a batch are one
+        for batch in batches:
+            for path, rows in groupby(zip(*(c.to_pylist() for c in batch.columns), strict=True), key=lambda row: row[0]):
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([b"".join(row[1] for row in rows)], pa.binary())], ["path", "content"])
+
     @F.arrow_udf(BinaryType())
     def record(name: pa.Array, crc: pa.Array, small: pa.Array, size: pa.Array, start: pa.Array) -> pa.Array:
         rows = zip(*(c.to_pylist() for c in (name, crc, small, size, start)), strict=True)
@@ -286,4 +293,5 @@ def write_archives(entries, folder: str, packed: bool = True) -> None:
     pieces = placed.select("archive", F.lit(0).alias("section"), "number", F.col("piece").alias("content")).unionByName(listed.select("archive", F.lit(1).alias("section"), "number", "content"))
     pieces = pieces.unionByName(ends.select("archive", F.lit(2).alias("section"), F.lit(0).cast("long").alias("number"), ending("n", "bytes", "start").alias("content")))
     order = ("archive", "section", "number")
-    write_files(pieces.repartition("archive").sortWithinPartitions(*order).select(F.col("archive").alias("path"), "content"), folder, pieces=True)
+    pieces = pieces.repartition("archive").sortWithinPartitions(*order).select(F.col("archive").alias("path"), "content")
+    write_files(pieces.mapInArrow(joined, "path string, content binary"), folder, pieces=True)
