@@ -164,11 +164,11 @@ def src06_layer_check(spark, sf_dir):
     return read.select(F.regexp_extract("path", "/([0-9]+)/3dSceneLayer", 1).cast("int").alias("n_nationkey"), problem("content").alias("problem"), warning("content").alias("warning"))
 
 
-def _order_points(spark, sf_dir):
-    """A point for each line of an order, all numbers exact in single precision."""
-    l = table(spark, sf_dir, "lineitem")
+def _order_points(spark, sf_dir, letter):
+    """A point for each line of an order, all numbers exact in single precision, and the archive of each thousand orders, whose lines are dealt to one partition."""
+    l = table(spark, sf_dir, "lineitem").withColumn("archive", F.concat(F.lit(letter), _text(F.floor(F.col("l_orderkey") / 1000)), F.lit(".zip"))).repartition("archive")
     point = F.struct("l_linenumber", (F.col("l_partkey") / 8).alias("x"), F.col("l_quantity").alias("y"), (F.col("l_suppkey") / 4).alias("z"))
-    return l.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(point)).alias("p"))
+    return l.groupBy("archive", "l_orderkey").agg(F.array_sort(F.collect_list(point)).alias("p"))
 
 
 @F.pandas_udf(BinaryType())
@@ -182,9 +182,9 @@ POINTS = "p AS (SELECT l_orderkey k, row_number() OVER (PARTITION BY l_orderkey
 @query("WITH " + POINTS + " SELECT 'geometries/' || k tile, CAST(vid AS BIGINT) vid, x, y, z, x / 2 u, z v FROM p")
 def src08_geometry(spark, sf_dir):
     """A geometry buffer for each order, in an archive for each thousand orders."""
-    rows = _order_points(spark, sf_dir).select(F.concat(F.lit("g"), _text(F.floor(F.col("l_orderkey") / 1000)), F.lit(".zip")).alias("archive"), F.concat(F.lit("geometries/"), _text("l_orderkey")).alias("name"), _geometry("p").alias("content"))
+    rows = _order_points(spark, sf_dir, "g").withColumn("name", F.concat(F.lit("geometries/"), _text("l_orderkey")))
     path = scratch(spark, "geometries")
-    archives.write_archives(rows, path, packed=False)
+    archives.write_archives(rows, path, packed=False, content=_geometry("p"), dealt=True)
     archives.register(spark)
     return binaries.vertices(spark.read.format("zip_entries").load(path))
 
@@ -211,9 +211,10 @@ def _corners(content: pd.Series) -> pd.Series:
 @query("WITH " + POINTS + ", n AS (SELECT *, count(*) OVER (PARTITION BY k) n FROM p), c AS (SELECT a.k, a.vid tid, (a.x + b.x + c.x) / 3 + a.k % 16 x, (a.y + b.y + c.y) / 3 y, (a.z + b.z + c.z) / 3 + 0.5 z FROM n a JOIN n b ON a.k = b.k AND b.vid = (a.vid + 1) % a.n JOIN n c ON a.k = c.k AND c.vid = (a.vid + 2) % a.n) SELECT k, CAST(tid AS INTEGER) tid, round(x, 6) x, round(y, 6) y, round(z, 6) z FROM c")
 def src13_glb_meshes(spark, sf_dir):
     """A glb in a b3dm for each order, moved by its node: the middle of every triangle in the world (SRC-14, too)."""
-    rows = _order_points(spark, sf_dir).select(F.concat(F.lit("t"), _text(F.floor(F.col("l_orderkey") / 1000)), F.lit(".zip")).alias("archive"), F.concat(_text("l_orderkey"), F.lit(".b3dm")).alias("name"), _b3dm("p", "l_orderkey").alias("content"))
+    rows = _order_points(spark, sf_dir, "t").withColumn("name", F.concat(_text("l_orderkey"), F.lit(".b3dm")))
     path = scratch(spark, "b3dm")
-    archives.write_archives(rows, path, packed=False)
+    # deflated, as most of a small glb is its JSON
+    archives.write_archives(rows, path, content=_b3dm("p", "l_orderkey"), dealt=True)
     archives.register(spark)
     read = spark.read.format("zip_entries").load(path).where(F.col("name").endswith(".b3dm"))
     found = read.select(F.substring_index("name", ".", 1).cast("long").alias("k"), F.explode(_corners("content")).alias("c"))

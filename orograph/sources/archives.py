@@ -10,6 +10,7 @@ offsets (``file:``, ``hdfs:``, ``s3:``, ``gs:``, ``abfs:``); executors open it t
 import gzip
 import io
 import struct
+import tempfile
 import zlib
 from itertools import groupby
 
@@ -17,9 +18,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, StringEndsWith, StringStartsWith
-from pyspark.sql.types import BinaryType
 
-from orograph.shared import Ranges, small_batches
 from orograph.sources.files import located, write_files
 
 SCHEMA = "name string, method int, size bigint, content binary, archive string"
@@ -249,11 +248,12 @@ def directory_end(count: int, size: int, start: int) -> bytes:
     return END64 + struct.pack("<QHHIIQQQQ", 44, 45, 45, 0, 0, count, count, size, start) + LOCATOR64 + struct.pack("<IQI", 0, start + size, 1) + last
 
 
-def write_archives(entries, folder: str, packed: bool = True) -> None:
+def write_archives(entries, folder: str, packed: bool = True, content=None, dealt: bool = False) -> None:
     """Writes entries (archive, name, content) as one ZIP each archive (a path below the folder), entries in the order of names.
 
-    Entries are packed where they are, and their places are running sums over ranges of names. Only the joining of pieces to a file is one task's work; it holds a
-    batch of them at a time."""
+    Entries are packed where they are. Only the joining of pieces to a file is one task's work; it holds a batch of them at a time, and spools the directory, which
+    follows them. content: a column that makes the contents of the entries' other columns, only where an archive is joined, so that these move in their stead; for
+    archives that are many. dealt: the entries of an archive are in one partition already."""
 
     def pack(batches):
         for batch in batches:
@@ -269,29 +269,38 @@ def write_archives(entries, folder: str, packed: bool = True) -> None:
                 yield pa.RecordBatch.from_arrays([archive.slice(at, end - at), name.slice(at, end - at), pa.array(piece, pa.binary()), *(pa.array(c, pa.int64()) for c in (crc, small, real))], ["archive", "name", "piece", "crc", "packed", "size"])
                 at = end
 
+    def sent(path, data):
+        return pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([data], pa.binary())], ["path", "content"])
+
+    def ended(path, listed, count, start):
+        size = listed.tell()
+        listed.seek(0)
+        while data := listed.read(FRAME):
+            yield sent(path, data)
+        listed.close()
+        yield sent(path, directory_end(count, size, start))
+
     def joined(batches):
         # the small pieces of a batch are one
+        own = listed = None
+        count = at = 0
         for batch in batches:
             for path, rows in groupby(zip(*(c.to_pylist() for c in batch.columns), strict=True), key=lambda row: row[0]):
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([b"".join(row[1] for row in rows)], pa.binary())], ["path", "content"])
-
-    @F.arrow_udf(BinaryType())
-    def record(name: pa.Array, crc: pa.Array, small: pa.Array, size: pa.Array, start: pa.Array) -> pa.Array:
-        rows = zip(*(c.to_pylist() for c in (name, crc, small, size, start)), strict=True)
-        return pa.array([directory_entry(*row, packed) for row in rows], pa.binary())
-
-    @F.arrow_udf(BinaryType())
-    def ending(count: pa.Array, size: pa.Array, start: pa.Array) -> pa.Array:
-        return pa.array([directory_end(*row) for row in zip(*(c.to_pylist() for c in (count, size, start)), strict=True)], pa.binary())
-
-    with small_batches(entries.sparkSession):
-        made = entries.select("archive", "name", F.col("content").cast("binary").alias("content")).mapInArrow(pack, "archive string, name string, piece binary, crc long, packed long, size long")
-        placed = Ranges(made, ["name"], ["archive"]).total(F.length("piece").cast("long"), "end").total(F.lit(1).cast("long"), "number").frame()
-    placed = placed.withColumn("start", F.col("end") - F.length("piece"))
-    listed = placed.select("archive", "number", record("name", "crc", "packed", "size", "start").alias("content"))
-    ends = placed.groupBy("archive").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("name") + 46 + F.when(F.col("start") < WIDE, 0).otherwise(12)).alias("bytes"), F.max("end").alias("start"))
-    pieces = placed.select("archive", F.lit(0).alias("section"), "number", F.col("piece").alias("content")).unionByName(listed.select("archive", F.lit(1).alias("section"), "number", "content"))
-    pieces = pieces.unionByName(ends.select("archive", F.lit(2).alias("section"), F.lit(0).cast("long").alias("number"), ending("n", "bytes", "start").alias("content")))
-    order = ("archive", "section", "number")
-    pieces = pieces.repartition("archive").sortWithinPartitions(*order).select(F.col("archive").alias("path"), "content")
-    write_files(pieces.mapInArrow(joined, "path string, content binary"), folder, pieces=True)
+                if listed is None or path != own:
+                    if listed is not None:
+                        yield from ended(own, listed, count, at)
+                    own, listed, count, at = path, tempfile.SpooledTemporaryFile(FRAME), 0, 0
+                pieces = []
+                for _, name, piece, *known in rows:
+                    listed.write(directory_entry(name, *known, at, packed))
+                    pieces.append(piece)
+                    count, at = count + 1, at + len(piece)
+                yield sent(path, b"".join(pieces))
+        if listed is not None:
+            yield from ended(own, listed, count, at)
+
+    if content is None:
+        entries = entries.select("archive", "name", F.col("content").cast("binary").alias("content")).mapInArrow(pack, "archive string, name string, piece binary, crc long, packed long, size long")
+    rows = (entries if dealt else entries.repartition("archive")).sortWithinPartitions("archive", "name")
+    made = rows if content is None else rows.select("archive", "name", content.cast("binary").alias("content"))
+    write_files(made.mapInArrow(joined if content is None else lambda batches: joined(pack(batches)), "path string, content binary"), folder, pieces=True)
