@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from orograph.operators import copies, spatial
 
@@ -50,6 +51,21 @@ def test_boxes_that_all_meet(spark, request, cut):
     assert 0 < moved(got) < 12_000
 
 
+@pytest.mark.parametrize("n,m", [(600, 200), (3, 400), (400, 3)])
+def test_places_in_rings_that_all_meet(spark, fine, n, m):
+    r = random.Random(n)
+    p = [(i, r.uniform(0, 4), r.uniform(0, 4)) for i in range(n)] + [(9000, None, 1.0), (9001, -50.0, 1.0)]
+    square = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)]
+    q = [(j, square(-1.0 - j / 100, -1.0, 9.0)) for j in range(m)] + [(8000, None), (8001, square(2.0, 2.0, 1.0))]
+    got = spatial.points_in_rings(spark.createDataFrame(p, "pid long, lon double, lat double"), spark.createDataFrame(q, RINGS), 1.0)
+    want = {(i, j) for i in range(n) for j in range(m)} | {(i, 8001) for i, x, y in p[:n] if 2 <= x < 3 and 2 <= y < 3}
+    rows = [tuple(x) for x in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    assert 0 < moved(got) < 30_000
+    held = [x.n for x in got.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(held) > 1 and max(held) < 0.8 * len(rows)
+
+
 def test_heavy_keys_are_cut_into_blocks(spark, fine):
     a = spark.range(900).selectExpr("struct(if(id < 500, 0, id) x, 'y' y) k", "id a")
     b = spark.range(700).selectExpr("struct(if(id < 300, 0, id) x, 'y' y) k", "id b").unionByName(spark.createDataFrame([((None, "y"), 1)], "k struct<x:long,y:string>, b long"))
